@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import repeats
+from . import jaccard, repeats
 
-QUERIES = {"op5_substring_dedup": repeats.op5_substring_dedup}
+QUERIES = {"op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join, "op5_substring_dedup": repeats.op5_substring_dedup}
 ORACLES = {"op5_substring_dedup": repeats.ORACLE}
