@@ -24,32 +24,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import U64, mix, packed, shingle_sets, text_buffers, word_table
+from .kernels import U64, mix, packed, shingle_sets, sliced, text_buffers, word_table
 from .shared import bins_for, materialize
 
 SKETCH_BITS = 22  # cells of the frequency sketch: a fixed 8 MB, whatever the input
 _BLOCK = 1 << 16
-_SLICE = 8 << 20
 _KEEP = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
 _KEEP_SQL = "token long, sig long, n int, rank int"
 _BIN = pa.schema([("bin", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("token", "sig", "n", "rank"))])
 _BIN_SQL = "bin int, known boolean, token binary, sig binary, n binary, rank binary"
 
 
-def sliced(batch: pa.RecordBatch, column: int):
-    """Parts of a batch with about `_SLICE` bytes of text each, so that a task's memory stays bounded."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // _SLICE
-    for a, b in zip(*(lambda c: (np.concatenate(([0], c)), np.concatenate((c, [len(part)]))))(np.flatnonzero(np.diff(part)) + 1), strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def set_hash(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) + U64(len(s))]))[0].astype(np.int64))
 

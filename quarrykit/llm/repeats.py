@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, mix, packed, text_buffers, windows, word_table
+from .kernels import U64, mix, packed, sliced, text_buffers, windows, word_table
 from .shared import bins_for, materialize
 
 _PACK = "bin int, keys binary, doc binary, fp binary, cnt binary, pos binary, src binary, diag binary"
@@ -82,7 +82,7 @@ def repeated_edges(docs: DataFrame, k: int, bins: int) -> DataFrame:
     """Packed occurrences (doc_id, position) of edges that start in a smaller doc_id, with source document and offset."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, 2)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
