@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, repeats
+from . import bpe, jaccard, packing, repeats
 
-QUERIES = {"op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join, "op5_substring_dedup": repeats.op5_substring_dedup}
+QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_substring_dedup": repeats.op5_substring_dedup,
+    "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
+}
 ORACLES = {"op5_substring_dedup": repeats.ORACLE}
