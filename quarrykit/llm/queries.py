@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, crf, jaccard, langid, packing, repeats
+from . import bpe, crf, divergence, jaccard, langid, packing, repeats
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_language_id": langid.op2_language_id,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_substring_dedup": repeats.op5_substring_dedup,
+    "op6_distribution_divergence": divergence.op6_distribution_divergence,
     "op7_quality_classifier": crf.op7_quality_classifier,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
 }
