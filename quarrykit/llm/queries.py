@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, crf, divergence, jaccard, langid, packing, repeats
+from . import bpe, crf, divergence, jaccard, langid, media, packing, repeats
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_distribution_divergence": divergence.op6_distribution_divergence,
     "op7_quality_classifier": crf.op7_quality_classifier,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
+    "op10_media_columns": media.op10_media_columns,
 }
 ORACLES = {"op5_substring_dedup": repeats.ORACLE}
