@@ -201,7 +201,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """sig, shingles of the documents in `wanted` (doc_id), one per class."""
+    """sig, shingles of the documents in `wanted` (doc_id), one row per document and text."""
 
     def run(batches):
         for whole in batches:
@@ -209,7 +209,8 @@ def set_table(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
                 made = [(set_hash(s), s.view(np.int64)) for _, s in shingle_sets(word_table(*text_buffers(batch.column(0)), lower=True), batch.num_rows, ngram) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.list_(pa.int64()))], ["sig", "shingles"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"])
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).join(wanted, "doc_id", "left_semi")
+    return texts.dropDuplicates(["doc_id", "fp"]).select("text").mapInArrow(run, "sig long, shingles array<long>")
 
 
 def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, hub_rounds: int = 2) -> DataFrame:
@@ -242,8 +243,11 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, hub_round
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(_possible(pairs, reps, percent), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        if sets is None:
-            sets = materialize(set_table(docs, reps.select("doc_id"), ngram), "sets")
+        wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("sig"), "sig", "left_anti")
+        more = materialize(set_table(docs, reps.join(wanted, "sig", "left_semi").select("doc_id"), ngram), "sets")
+        sets = more if sets is None else sets.union(more)
         found = materialize(_links(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
         root = components(links)
