@@ -103,14 +103,14 @@ class _Stock:
         pair = self._pair(gap)
         if pair:
             return pair
-        for a in np.flatnonzero(left[:gap])[::-1]:
+        for a in map(int, np.flatnonzero(left[:gap])[::-1]):
             if 3 * a < gap:
                 break
             left[a] -= 1
             pair = self._pair(gap - a, a)
             left[a] += 1
             if pair:
-                return (int(a), *pair)
+                return (a, *pair)
         return None
 
     def _pair(self, gap: int, most: int | None = None) -> tuple[int, int] | None:
@@ -123,7 +123,7 @@ class _Stock:
             both[gap // 2] = False
         top = gap - 1 if most is None else min(most, gap - 1)
         hit = np.flatnonzero(both[(gap + 1) // 2 : top + 1])
-        return (a := int(hit[-1]) + (gap + 1) // 2, gap - a) if len(hit) else None
+        return (a := int(hit[-1]) + (gap + 1) // 2, int(gap) - a) if len(hit) else None
 
 
 def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
