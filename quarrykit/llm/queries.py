@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, crf, divergence, jaccard, langid, media, packing, repeats
+from . import bpe, crf, divergence, jaccard, langid, media, packing, repeats, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_language_id": langid.op2_language_id,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_host_reputation": urls.op4_host_reputation,
     "op5_substring_dedup": repeats.op5_substring_dedup,
     "op6_distribution_divergence": divergence.op6_distribution_divergence,
     "op7_quality_classifier": crf.op7_quality_classifier,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_media_columns": media.op10_media_columns,
 }
-ORACLES = {"op5_substring_dedup": repeats.ORACLE}
+ORACLES = {"op4_host_reputation": urls.ORACLE, "op5_substring_dedup": repeats.ORACLE}
