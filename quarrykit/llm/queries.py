@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, crf, divergence, jaccard, langid, media, packing, repeats, urls
+from . import bpe, crf, divergence, jaccard, langid, licences, media, packing, repeats, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_substring_dedup": repeats.op5_substring_dedup,
     "op6_distribution_divergence": divergence.op6_distribution_divergence,
     "op7_quality_classifier": crf.op7_quality_classifier,
+    "op8_licence_scan": licences.op8_licence_scan,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_media_columns": media.op10_media_columns,
 }
