@@ -23,7 +23,7 @@ from .langid import fold
 from .lines import SYMBOLS, byte_class, line_table, prefix_sums, repeated
 
 SAMPLE = 4000  # labelled documents at most from which the field is fitted
-_STEPS, _RATE, _L2 = 150, 0.1, 1e-4
+_STEPS, _RATE, _L2, _BLOCK = 150, 0.1, 1e-4, 200
 _UPPER, _LOWER, _DIGIT = (byte_class(bytes(range(a, b))) for a, b in ((65, 91), (97, 123), (48, 58)))
 _BANG, _PIPE, _STOP, _COMMA, _OTHER = byte_class(b"!?"), byte_class(b"|"), byte_class(b".:;"), byte_class(b","), byte_class(b"-_=+/\\~^@\"'()[]{}")
 
@@ -106,13 +106,16 @@ def fit(texts: list[str | None], labels: list[int]) -> Field:
     y = np.array(labels, float)
     if not n:
         return Field(np.zeros(0), np.zeros((2, 2)), (1.0, 0.0), 0.5)
-    raw, offsets = text_buffers(pa.array(texts, pa.large_string()))
-    lines, x = line_features(raw, offsets)
+    made = []
+    for a in range(0, n, _BLOCK):  # in blocks: the byte arrays of a block are much larger than its features
+        lines, part = line_features(*text_buffers(pa.array(texts[a : a + _BLOCK], pa.large_string())))
+        made.append((lines.doc + a, (lines.end - lines.start + 1).astype(float), part))
+    doc, size, x = (np.concatenate(c) for c in zip(*made, strict=True))
     base = float(np.clip(y.mean(), 0.01, 0.99))
-    count = np.bincount(lines.doc, minlength=n)
+    count = np.bincount(doc, minlength=n)
     begin = np.cumsum(count) - count
-    truth, size = y[lines.doc], (lines.end - lines.start + 1).astype(float)
-    same = lines.doc[1:] == lines.doc[:-1]
+    truth = y[doc]
+    same = doc[1:] == doc[:-1]
     seen = np.zeros((2, 2))
     np.add.at(seen, (truth[:-1][same].astype(int), truth[1:][same].astype(int)), 1)
     w, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
@@ -124,7 +127,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Field:
         move = _RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
         w, moves = w + move[:-4], moves + move[-4:].reshape(2, 2)
     has = count > 0
-    z = _logit(_pooled(marginals(x @ w, moves, begin, count)[0], size, lines.doc, n))[has]
+    z = _logit(_pooled(marginals(x @ w, moves, begin, count)[0], size, doc, n))[has]
     a, b = 1.0, 0.0
     for _ in range(300):
         q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
