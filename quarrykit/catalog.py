@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quarrykit.plans import corpus
+
+QUERIES: dict = {**corpus.QUERIES}
+ORACLES: dict = {**corpus.ORACLES}
