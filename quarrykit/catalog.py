@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrykit.plans import corpus
+from quarrykit.plans import answers, corpus, retrieval
 
-QUERIES: dict = {**corpus.QUERIES}
-ORACLES: dict = {**corpus.ORACLES}
+QUERIES: dict = {**corpus.QUERIES, **retrieval.QUERIES, **answers.QUERIES}
+ORACLES: dict = {**corpus.ORACLES, **retrieval.ORACLES, **answers.ORACLES}

@@ -116,9 +116,11 @@ def reference_list(runs: DataFrame, key: str = "question_id") -> DataFrame:
 
     `runs`: key, cited (array of ids in number order), opened_ids, urls.
     """
-    item = lambda kind, x, i: F.struct(F.lit(kind).alias("kind"), x.alias("ref"))
+    def items(kind: str, refs: Column) -> Column:
+        return F.transform(refs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("ref")))
+
     unused = F.filter("opened_ids", lambda x: ~F.array_contains("cited", x))
-    all_ = F.concat(*(F.transform(c, lambda x, i, k=k: item(k, x, i)) for k, c in (("cited", F.col("cited")), ("opened", unused), ("web", F.col("urls")))))
+    all_ = F.concat(items("cited", F.col("cited")), items("opened", unused), items("web", F.col("urls")))
     return runs.select(key, F.posexplode(all_).alias("ordinal", "r")).select(key, (F.col("ordinal") + 1).alias("ordinal"), "r.kind", "r.ref")
 
 
