@@ -33,6 +33,7 @@ from .shared import bins_for, materialize
 
 SKETCH_BITS = 22  # cells of the frequency sketch: a fixed 8 MB, whatever the input
 _BLOCK = 1 << 16
+HUBS = (1, 4)  # hubs per list in the rounds before the last
 _KEEP = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
 _KEEP_SQL = "token long, sig long, n int, rank int"
 _BIN = pa.schema([("bin", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("token", "sig", "n", "rank"))])
@@ -182,15 +183,34 @@ def join_keys(tokens: DataFrame, limit: int, percent: int) -> DataFrame:
     return keys.join(lists, "key")
 
 
-def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and bitmaps allow a link."""
-    left = bits.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    right = bits.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+def _may_link(percent: int):
+    """Condition on (na, ba) and (nb, bb): sizes and bitmaps allow a link."""
     apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(8)), F.lit(0))
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return both.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
+    total = F.col("na") + F.col("nb")
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return sizes & (apart <= total - 2 * F.ceil(F.lit(percent) * total / F.lit(100.0 + percent)))
+
+
+def _sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("key", F.col("sig").alias(side), F.col("root").alias(f"r{side}"), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}"))
+
+
+def hub_pairs(members: DataFrame, hubs: int, seed: int, percent: int) -> DataFrame:
+    """Every member of a key's list with `hubs` of its classes, if they may link and are not joined yet."""
+    pick = lambda i: F.min(F.struct(F.xxhash64("sig", F.lit(seed + i)).alias("h"), "sig", "root", "n", "bits"))
+    chosen = members.groupBy("key").agg(*(pick(i).alias(f"h{i}") for i in range(hubs)))
+    one = chosen.select("key", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"h{i}.{c}").alias(c) for c in ("sig", "root", "n", "bits"))) for i in range(hubs))))).alias("x")).select("key", "x.*")
+    met = _sided(members, "a").join(_sided(one, "b"), "key").where((F.col("ra") != F.col("rb")) & _may_link(percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a key's list in different components that may link. Lists are cut into bands of set sizes first."""
+    band = lambda c: F.floor(F.log(c) / np.log(100 / percent)).cast("int")
+    left = _sided(members, "a").withColumn("band", band("na"))
+    right = _sided(members, "b").withColumn("band", F.explode(F.array(*(band("nb") + i for i in (-1, 0, 1)))))
+    met = left.join(right, (left["key"] == right["key"]) & (left["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(percent))
+    return met.select("a", "b").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +233,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
     return texts.dropDuplicates(["doc_id", "fp"]).select("text").mapInArrow(run, "sig long, shingles array<long>")
 
 
-def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, hub_rounds: int = 2) -> DataFrame:
+def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) for every row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     table = materialize(class_table(docs, ngram), "classes")
@@ -223,25 +243,19 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80, hub_round
     member = keys.select("sig").distinct()
     reps = rows.join(member, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     reps = materialize(reps, "representatives")
+    here = keys.select("key", "sig").join(reps.select("sig", "n", "bits"), "sig")
     sets = links = tried = root = None
-    for turn in range(hub_rounds + 1):
-        here = keys.select("key", "sig")
-        if root is not None:
-            here = here.join(root.withColumnRenamed("u", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-            mixed = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            here = here.join(mixed, "key")
-        else:
-            here = here.withColumn("root", F.col("sig"))
-        if turn < hub_rounds:
-            hubs = here.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), F.col("sig").alias("hub"), F.col("root").alias("hub_root"))).alias("x")).select("key", "x.hub", "x.hub_root")
-            pairs = here.join(hubs, "key").where("root <> hub_root").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
+    for turn, hubs in enumerate((*HUBS, None)):
+        if root is None:
+            members = here.withColumn("root", F.col("sig"))
         else:
-            left, right = (here.select("key", F.col("sig").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-            pairs = left.join(right, "key").where("a < b and ra <> rb").select("a", "b")
-        pairs = pairs.distinct()
+            joined = here.join(root.withColumnRenamed("u", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+            mixed = joined.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            members = joined.join(mixed, "key", "left_semi")
+        pairs = all_pairs(members, percent) if hubs is None else hub_pairs(members, hubs, 16 * turn, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(_possible(pairs, reps, percent), "pairs")
+        pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
         if sets is not None:
