@@ -103,7 +103,7 @@ def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         pairs = BytePairs(path)
-        cache = PartCache(lambda texts: [pairs.encode(t) for t in texts])
+        cache = PartCache(pairs.encode)
         for whole in batches:
             for batch in sliced(whole, 1):
                 ids = cache.ids(batch.column(1).to_pylist(), tuple(pairs.added))

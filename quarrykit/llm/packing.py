@@ -35,7 +35,7 @@ def tokenizer_file() -> str:
 
 
 def id_encoder(path: str):
-    """(strings -> their ids as bytes, strings of added tokens) of a tokenizers JSON file, without special tokens.
+    """(string -> its ids as bytes, strings of added tokens) of a tokenizers JSON file, without special tokens.
 
     Where the file is a byte-level BPE whose ids follow its merge order, ordinary strings go through tiktoken with the
     same vocabulary, which gives the same ids in half the time; all else goes through tokenizers itself.
@@ -51,7 +51,7 @@ def id_encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    whole = lambda texts: [id_bytes(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    whole = lambda text: id_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
     pairs = BytePairs(path)
     added = tuple(pairs.added)
     made = [new for _, new in pairs.merges.values()]
@@ -59,7 +59,7 @@ def id_encoder(path: str):
     if len(plain) != 256 + len(made) or made != sorted(set(made)) or max(pairs.first) > made[0]:
         return whole, added
     ordinary = tiktoken.Encoding("byte pairs", pat_str=PIECE, mergeable_ranks=plain, special_tokens={}).encode_ordinary
-    return lambda texts: [whole([t])[0] if any(s in t for s in added) else id_bytes(ordinary(t)) for t in texts], added
+    return lambda text: whole(text) if any(s in text for s in added) else id_bytes(ordinary(text)), added
 
 
 def tokenized_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, separator: int = SEPARATOR) -> DataFrame:

@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Callable, Iterable
 
 ODD = re.compile(r"^\s|\s\s|\s\Z")
-CACHED = 400_000  # parts kept per task
+CACHED = 300_000  # parts kept per generation and task
 
 
 def id_bytes(ids: list[int]) -> bytes:
@@ -36,48 +36,35 @@ def real(part: str) -> str:
 
 
 class PartCache(dict):
-    """part -> ids as little-endian unsigned 32-bit bytes. `encode` gets a list of strings and returns their ids' bytes."""
+    """part -> ids as little-endian unsigned 32-bit bytes, made on first use by `encode` (string -> bytes).
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = CACHED):
+    It has two generations of at most `limit` parts: when the young one is full it becomes the old one, from which parts
+    that are used again come back. So frequent parts stay and memory is bounded.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int = CACHED):
         super().__init__()
         self.encode, self.limit = encode, limit
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: encode(m) for m in ".,!?;:"}
 
-    def learn(self, parts: Iterable[str]) -> None:
-        new = [p for p in set(parts) if p not in self]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(set(parts))
-        whole, tails = [], []
-        for p in new:
-            if len(p) > 2 and p[-1] in ".,!?;:" and p[-2].isalpha():  # the mark is a piece of its own
-                tails.append(p)
-                if p[:-1] not in self:
-                    whole.append(p[:-1])
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            if len(part) > 2 and part[-1] in self.marks and part[-2].isalpha():  # the mark is a piece of its own
+                ids = self[part[:-1]] + self.marks[part[-1]]
             else:
-                whole.append(p)
-        whole = list(set(whole))
-        self.update(zip(whole, self.encode([real(p) for p in whole]), strict=True))
-        marks = {p[-1] for p in tails}
-        after = dict(zip(marks, self.encode(list(marks)), strict=True))
-        for p in tails:
-            self[p] = self[p[:-1]] + after[p[-1]]
-
-    def ids(self, texts: list[str | None], special: tuple[str, ...] = ()) -> list[bytes]:
+                ids = self.encode(real(part))
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+    def ids(self, texts: Iterable[str | None], special: tuple[str, ...] = ()) -> list[bytes]:
         """Ids of each text; null counts as empty. Texts with a special token's string are encoded whole."""
-        split = [None if t is None or not t or any(s in t for s in special) else parts_of(t) for t in texts]
-        out: list[bytes] = [b""] * len(texts)
-        todo: list[int] = []
-        need: set[str] = set()
-        for i, p in enumerate(split):  # in groups, so that what is known stays below the limit
-            if p is not None:
-                todo.append(i)
-                need.update(p)
-            if len(need) >= self.limit // 2 or i == len(split) - 1:
-                self.learn(need)
-                for k in todo:
-                    out[k] = b"".join(map(self.__getitem__, split[k]))[4:]
-                todo, need = [], set()
-        odd = [i for i, p in enumerate(split) if p is None and texts[i]]
-        for i, x in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
-            out[i] = x
+        out = []
+        for text in texts:
+            parts = None if not text or any(s in text for s in special) else parts_of(text)
+            out.append(b"".join(map(self.__getitem__, parts))[4:] if parts else self.encode(text) if text else b"")
         return out
