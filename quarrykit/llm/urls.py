@@ -52,10 +52,11 @@ def _strength(groups: DataFrame, by: list[str]) -> DataFrame:
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame, double_suffixes: list[str] | None = None) -> DataFrame:
-    """`hosts` (distinct host) with mean, deviation of the posterior good rate. `outcomes`: host, good (0 or 1)."""
+    """Mean and deviation of the posterior good rate of all `hosts` (host) and of `outcomes` (host, good: 0 or 1)."""
     domain, suffix = registered_domain(F.col("host"), double_suffixes)
     counted = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.sum("good").alias("good"))
-    h = hosts.join(counted, "host", "left").fillna(0, ["n", "good"]).withColumns({"domain": domain, "suffix": suffix})
+    every = hosts.select("host").union(counted.select("host")).distinct()
+    h = every.join(counted, "host", "left").fillna(0, ["n", "good"]).withColumns({"domain": domain, "suffix": suffix})
     d = h.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     s = d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = s.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("prior"))
