@@ -191,24 +191,29 @@ def _may_link(percent: int):
     return sizes & (apart <= total - 2 * F.ceil(F.lit(percent) * total / F.lit(100.0 + percent)))
 
 
-def _sided(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("key", F.col("sig").alias(side), F.col("root").alias(f"r{side}"), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}"))
+def _with_bits(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link. Sizes and bitmaps are joined to distinct pairs, not to every row of the lists."""
+    left, right = (reps.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(_may_link(percent)).select("a", "b")
 
 
-def hub_pairs(members: DataFrame, hubs: int, seed: int, percent: int) -> DataFrame:
-    """Every member of a key's list with `hubs` of its classes, if they may link and are not joined yet."""
-    pick = lambda i: F.min(F.struct(F.xxhash64("sig", F.lit(seed + i)).alias("h"), "sig", "root", "n", "bits"))
+def hub_pairs(members: DataFrame, reps: DataFrame, hubs: int, seed: int, percent: int) -> DataFrame:
+    """Every member (key, sig, root) with up to `hubs` classes of its list, if they may link and are not joined yet."""
+    pick = lambda i: F.min(F.struct(F.xxhash64("sig", F.lit(seed + i)).alias("h"), F.struct("sig", "root").alias("x")))
     chosen = members.groupBy("key").agg(*(pick(i).alias(f"h{i}") for i in range(hubs)))
-    one = chosen.select("key", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"h{i}.{c}").alias(c) for c in ("sig", "root", "n", "bits"))) for i in range(hubs))))).alias("x")).select("key", "x.*")
-    met = _sided(members, "a").join(_sided(one, "b"), "key").where((F.col("ra") != F.col("rb")) & _may_link(percent))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = chosen.select("key", F.array_distinct(F.array(*(F.col(f"h{i}.x") for i in range(hubs)))).alias("hubs"))
+    met = members.join(one, "key").select("sig", "root", F.explode("hubs").alias("hub")).where("root <> hub.root")
+    pairs = met.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct()
+    return _with_bits(pairs, reps, percent)
 
 
-def all_pairs(members: DataFrame, percent: int) -> DataFrame:
+def all_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """All pairs of a key's list in different components that may link. Lists are cut into bands of set sizes first."""
     band = lambda c: F.floor(F.log(c) / np.log(100 / percent)).cast("int")
-    left = _sided(members, "a").withColumn("band", band("na"))
-    right = _sided(members, "b").withColumn("band", F.explode(F.array(*(band("nb") + i for i in (-1, 0, 1)))))
+    full = members.join(reps.select("sig", "n", "bits"), "sig")
+    side = lambda x: full.select("key", F.col("sig").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    left = side("a").withColumn("band", band("na"))
+    right = side("b").withColumn("band", F.explode(F.array(*(band("nb") + i for i in (-1, 0, 1)))))
     met = left.join(right, (left["key"] == right["key"]) & (left["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(percent))
     return met.select("a", "b").distinct()
 
@@ -243,7 +248,7 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFr
     member = keys.select("sig").distinct()
     reps = rows.join(member, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     reps = materialize(reps, "representatives")
-    here = keys.select("key", "sig").join(reps.select("sig", "n", "bits"), "sig")
+    here = keys.select("key", "sig")
     sets = links = tried = root = None
     for turn, hubs in enumerate((*HUBS, None)):
         if root is None:
@@ -252,7 +257,7 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFr
             joined = here.join(root.withColumnRenamed("u", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
             mixed = joined.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
             members = joined.join(mixed, "key", "left_semi")
-        pairs = all_pairs(members, percent) if hubs is None else hub_pairs(members, hubs, 16 * turn, percent)
+        pairs = all_pairs(members, reps, percent) if hubs is None else hub_pairs(members, reps, hubs, 16 * turn, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
