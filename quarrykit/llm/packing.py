@@ -93,15 +93,15 @@ class _Stock:
         for length, n in counts.items():
             self.left[length] = n
 
-    def fill(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that sum to `gap`, the longest first; at most as often as available."""
+    def fill(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """Up to `most` (three at the most) available lengths that sum to `gap`, the longest first."""
         left = self.left
         if gap <= 0:
             return None
         if left[gap]:
             return (gap,)
-        pair = self._pair(gap)
-        if pair:
+        pair = self._pair(gap) if most > 1 else None
+        if pair or most < 3:
             return pair
         for a in map(int, np.flatnonzero(left[:gap])[::-1]):
             if 3 * a < gap:
@@ -127,7 +127,15 @@ class _Stock:
 
 
 def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences); uses every piece exactly once."""
+    """(lengths of one sequence, how many such sequences); uses every piece exactly once.
+
+    Filling with triples or pairs can use up short lengths that later gaps need, so plans with combinations of up to
+    three, two and one lengths are made, and the one with the fewest sequences counts.
+    """
+    return min((_plan(counts, size, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     stock, out = _Stock(counts, size), []
     left = stock.left
     for top in range(size, 0, -1):
@@ -135,7 +143,7 @@ def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int,
             left[top] -= 1
             held, gap = [top], size - top
             while gap:
-                more = stock.fill(gap)
+                more = stock.fill(gap, most)
                 if more is None:
                     fits = np.flatnonzero(left[: gap + 1])
                     if not len(fits):
