@@ -5,8 +5,12 @@ Patterns are ASCII for white space and digits, and only \\n ends a line, so that
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def strip_space(c: Column) -> Column:
@@ -54,15 +58,25 @@ DROPPED = ["script", "style", "nav", "footer", "header", "aside", "form"]
 ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 
 
-def extract_html_text(c: Column, max_chars: int = 8000) -> Column:
-    """Text nodes of a page, one per line, without navigation, scripts and the like."""
+@F.pandas_udf(StringType())
+def unescape_html(texts: pd.Series) -> pd.Series:
+    """All HTML entities, by the standard library's table."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def extract_html_text(c: Column, max_chars: int = 8000, all_entities: bool = False) -> Column:
+    """Text nodes of a page, one per line, without navigation, scripts and the like.
+
+    The common entities are replaced in place; `all_entities` decodes the full table in Arrow batches instead.
+    """
     out = F.regexp_replace(F.coalesce(c, F.lit("")), "(?s)<!--.*?-->|<![^>]*>", "")
     for tag in DROPPED:
         out = F.regexp_replace(out, f"(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>", "")
     nodes = F.transform(F.split(out, "<[^>]+>"), strip_space)
     out = F.array_join(F.filter(nodes, lambda x: x != ""), "\n")
-    for entity, char in ENTITIES:
+    for entity, char in [] if all_entities else ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
+    out = unescape_html(out) if all_entities else out
     out = F.regexp_replace(F.regexp_replace(out, "\\n{3,}", "\n\n"), "[ \\t]{2,}", " ")
     return strip_space(F.substring(out, 1, max_chars))
 

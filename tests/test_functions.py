@@ -86,3 +86,5 @@ def test_prompt_template(spark):
 def test_html(spark):
     page = "<html><head><title>T &amp; U</title><style>p{}</style></head><body><nav>n</nav><!-- c --><p>One<p>Two</p><script>x</script><footer>f</footer></body></html>"
     assert apply(spark, [page, "", None], text.extract_html_text) == ["T & U\nOne\nTwo", "", ""]
+    rare = ["<p>a &eacute; &#233; &lt;</p>"]
+    assert apply(spark, rare, lambda c: text.extract_html_text(c, all_entities=True)) == ["a é é <"]
