@@ -225,17 +225,37 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _marks(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A bit array of `bits` cells with the hashed doc_id of every wanted row; `bits / 64` rows at most reach the driver."""
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    rows = wanted.select(F.expr("cast(1 as bigint)").alias("one"), cell.alias("cell")).groupBy(F.floor(F.col("cell") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(one, cast(cell % 64 as int))")).alias("set"))
+    out = np.zeros(bits // 64, np.int64)
+    for word, value in rows.collect():
+        out[word] = value
+    return out.view(U64)
+
+
 def set_table(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """sig, shingles of the documents in `wanted` (doc_id), one row per document and text."""
+    """sig, shingles of every class in `wanted` (sig, doc_id of a document that has it).
+
+    Documents that are surely not wanted are left out by a broadcast bit array (16 bits a wanted row, 4 MB at most), so
+    that no text is shuffled; the join that follows is exact.
+    """
+    bits = 1 << min(25, max(16, (16 * wanted.count()).bit_length()))
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted, bits))
 
     def run(batches):
+        marked = marks.value
         for whole in batches:
-            for batch in sliced(whole, 0):
-                made = [(set_hash(s), s.view(np.int64)) for _, s in shingle_sets(word_table(*text_buffers(batch.column(0)), lower=True), batch.num_rows, ngram) if len(s)]
+            cell = whole.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = (marked[cell >> 6] >> (cell & 63).astype(U64) & U64(1)).astype(bool)
+            for batch in sliced(whole.filter(pa.array(keep)), 1):
+                made = [(set_hash(s), s.view(np.int64)) for _, s in shingle_sets(word_table(*text_buffers(batch.column(1)), lower=True), batch.num_rows, ngram) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.list_(pa.int64()))], ["sig", "shingles"])
 
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).join(wanted, "doc_id", "left_semi")
-    return texts.dropDuplicates(["doc_id", "fp"]).select("text").mapInArrow(run, "sig long, shingles array<long>")
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("cell")
+    made = docs.select(cell, "text").mapInArrow(run, "sig long, shingles array<long>")
+    return made.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
@@ -265,7 +285,7 @@ def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFr
         wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("sig"), "sig", "left_anti")
-        more = materialize(set_table(docs, reps.join(wanted, "sig", "left_semi").select("doc_id"), ngram), "sets")
+        more = materialize(set_table(docs, reps.join(wanted, "sig", "left_semi").select("sig", "doc_id"), ngram), "sets")
         sets = more if sets is None else sets.union(more)
         found = materialize(_links(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
