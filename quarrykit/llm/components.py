@@ -23,14 +23,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return made.where("u <> v").distinct()
 
 
+def _done(edges: DataFrame) -> bool:
+    """True if every node is either a root or has one parent that is a root: one grouping tells."""
+    child, parent = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    seen = child.union(parent).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """`edges` (u, v: long) to (u, root): every node of an edge with the least node it is joined to."""
-    now = materialize(edges.where("u <> v").select("u", "v").distinct(), label)
-    state = None
-    for _ in range(64):  # converges in about log2(diameter) rounds
+    turned = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = materialize(turned.distinct(), label)
+    while not _done(now):  # about log2(diameter) rounds
         now = materialize(_star(_star(now, True), False), label)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
-    return now.select("u", F.col("v").alias("root")).union(now.select(F.col("v").alias("u"), F.col("v").alias("root"))).distinct()
+    return now.union(now.select(F.col("v").alias("u"), "v").distinct()).withColumnRenamed("v", "root")

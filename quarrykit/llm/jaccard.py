@@ -33,7 +33,7 @@ from .shared import bins_for, materialize
 
 SKETCH_BITS = 22  # cells of the frequency sketch: a fixed 8 MB, whatever the input
 _BLOCK = 1 << 16
-HUBS = (1, 4)  # hubs per list in the rounds before the last
+HUBS = (1, 2)  # hubs per list in the rounds before the last
 _KEEP = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
 _KEEP_SQL = "token long, sig long, n int, rank int"
 _BIN = pa.schema([("bin", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("token", "sig", "n", "rank"))])
@@ -198,8 +198,13 @@ def _with_bits(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame, reps: DataFrame, hubs: int, seed: int, percent: int) -> DataFrame:
-    """Every member (key, sig, root) with up to `hubs` classes of its list, if they may link and are not joined yet."""
-    pick = lambda i: F.min(F.struct(F.xxhash64("sig", F.lit(seed + i)).alias("h"), F.struct("sig", "root").alias("x")))
+    """Every member (key, sig, root) with up to `hubs` classes of its list, if they may link and are not joined yet.
+
+    With seed 0 a class tends to be the hub of all its lists, which makes few pairs; later seeds choose anew for every
+    list, so that a member meets other classes in each of its lists.
+    """
+    by = ["sig"] if seed == 0 else ["sig", "key"]
+    pick = lambda i: F.min(F.struct(F.xxhash64(*by, F.lit(seed + i)).alias("h"), F.struct("sig", "root").alias("x")))
     chosen = members.groupBy("key").agg(*(pick(i).alias(f"h{i}") for i in range(hubs)))
     one = chosen.select("key", F.array_distinct(F.array(*(F.col(f"h{i}.x") for i in range(hubs)))).alias("hubs"))
     met = members.join(one, "key").select("sig", "root", F.explode("hubs").alias("hub")).where("root <> hub.root")
