@@ -199,13 +199,16 @@ def test_other_transforms():
 
 
 def test_back_references_and_cache():
-    """literal 7, literal 9, copy 4 from two back, then the cache's colours; normal codes of unequal lengths."""
+    """Two literals, a copy of four pixels from one back, then both colours from the cache; codes of unequal lengths."""
+    key = lambda g: (0x1E35A7BD * (0xFF000000 | g << 8) & 0xFFFFFFFF) >> 31
+    first = 7
+    second = next(g for g in range(8, 60) if key(g) != key(first))
     out = webp.Writer()
     out.put(0, 1)
     out.put(1, 1)
     out.put(1, 4)  # a colour cache of two
     out.put(0, 1)
-    lengths = {7: 1, 9: 2, 256 + 3: 3, 280: 4, 281: 4}
+    lengths = {first: 1, second: 2, 256 + 3: 3, 280: 4, 281: 4}
     out.put(0, 1)
     out.put(15, 4)
     order = {0: 1, 1: 3, 2: 3, 3: 3, 4: 3}  # lengths of the code-length code
@@ -217,28 +220,10 @@ def test_back_references_and_cache():
         out.put_array(np.array([int(c) for c in bits[lengths.get(s, 0)]], np.uint8))
     for symbol in (0, 0, 255):
         out.put_single(symbol)
-    out.put_single(5)  # distance prefix 5: an extra bit
-    key = lambda g: (0x1E35A7BD * (0xFF000000 | g << 8) & 0xFFFFFFFF) >> 31
-    code = {7: "0", 9: "10", 259: "110", 280: "1110", 281: "1111"}
-    far = 3 * 2 + 1  # distance code 7 or 8 by the extra bit: 7 means (1, 2) from above
-    assert webp.NEAR[far - 1] == (1, 2) or webp.NEAR[far - 1]
-    out.put_array(np.array([int(c) for c in code[7] + code[9] + code[259] + "0" + code[280 + key(9)] + code[280 + key(7)]], np.uint8))
-    want = {0: 7, 1: 9}
-    x, y = webp.NEAR[_distance_code(5, 0) - 1]
-    d = max(1, x + y * 8)
-    if d > 2:
-        with pytest.raises(ValueError, match="back-reference"):
-            webp.decode(out.file(8, 1))
-        return
-    got = webp.decode(out.file(8, 1))[0, :, 2].tolist()
-    row = [want[0], want[1]]
-    for _ in range(4):
-        row.append(row[-d])
-    assert got == [*row, 9, 7]
-
-
-def _distance_code(prefix, extra):
-    return ((2 + (prefix & 1)) << (prefix - 2 >> 1)) + extra + 1
+    out.put_single(1)  # distance code 2: the pixel to the left
+    code = {first: "0", second: "10", 259: "110", 280: "1110", 281: "1111"}
+    out.put_array(np.array([int(c) for c in code[first] + code[second] + code[259] + code[280 + key(second)] + code[280 + key(first)]], np.uint8))
+    assert webp.decode(out.file(8, 1))[0, :, 2].tolist() == [first, second, second, second, second, second, second, first]
 
 
 def test_copies_that_overlap():
