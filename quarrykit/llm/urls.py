@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 LIMIT, Z = 0.5, 1.96
@@ -57,6 +59,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, double_suffixes: list
     counted = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.sum("good").alias("good"))
     every = hosts.select("host").union(counted.select("host")).distinct()
     h = every.join(counted, "host", "left").fillna(0, ["n", "good"]).withColumns({"domain": domain, "suffix": suffix})
+    h = materialize(h, "hosts")  # every level of the shrinkage reads it
     d = h.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     s = d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = s.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("prior"))
