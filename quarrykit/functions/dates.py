@@ -39,6 +39,12 @@ def normalize_date(c: Column) -> Column:
     decade = F.regexp_extract(x, DECADE, 1)
     x = F.when(decade != "", F.regexp_replace(x, F.lit(DECADE), decade)).otherwise(x)
     x = F.regexp_replace(x, "^[ ,.\\-–—]+|[ ,.\\-–—]+$", "")
+    once = F.struct(original.alias("original"), approximate.alias("approximate"), era.alias("era"), decade.alias("decade"), x.alias("x"))
+    return F.element_at(F.transform(F.array(once), lambda r: _parsed(r["original"], r["approximate"], r["era"], r["decade"], r["x"])), 1)
+
+
+def _parsed(original: Column, approximate: Column, era: Column, decade: Column, x: Column) -> Column:
+    """The ladder over a cleaned string; as a lambda's body its inputs are computed once."""
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(x, pattern, group)
