@@ -33,7 +33,7 @@ from .shared import bins_for, materialize
 
 SKETCH_BITS = 22  # cells of the frequency sketch: a fixed 8 MB, whatever the input
 _BLOCK = 1 << 16
-HUBS = (1, 2)  # hubs per list in the rounds before the last
+HUBS = (1, 1)  # hubs per list in the rounds before the last
 _KEEP = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
 _KEEP_SQL = "token long, sig long, n int, rank int"
 _BIN = pa.schema([("bin", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("token", "sig", "n", "rank"))])
