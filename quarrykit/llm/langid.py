@@ -100,7 +100,7 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, count: np.ndarray, switch: fl
     order = np.argsort(-count, kind="stable")
     begin, count = begin[order], count[order]
     n, k = scores.shape
-    best, moved = np.zeros(n, np.int8), np.zeros((n, k), bool)
+    best, moved = np.zeros(n, np.int32), np.zeros((n, k), bool)
     value = np.zeros((len(begin), k))
     active = np.searchsorted(-count, -np.arange(count[0] if len(count) else 0), "left")  # sequences longer than t
     for t, a in enumerate(active):
@@ -112,7 +112,7 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, count: np.ndarray, switch: fl
             best[at], moved[at] = top, jump
             np.maximum(v, reach[:, None], out=v)
         v += scores[at]
-    label, state = np.zeros(n, np.int8), value.argmax(1).astype(np.int8) if len(begin) else np.zeros(0, np.int8)
+    label, state = np.zeros(n, np.int32), value.argmax(1).astype(np.int32) if len(begin) else np.zeros(0, np.int32)
     for t in range(len(active) - 1, -1, -1):
         a = active[t]
         at, s = begin[:a] + t, state[:a]

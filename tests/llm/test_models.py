@@ -66,6 +66,21 @@ def test_viterbi():
             assert abs(mine[np.arange(n), got].sum() - 2.0 * (got[1:] != got[:-1]).sum() - best) < 1e-9
 
 
+def test_viterbi_of_many_labels():
+    want = np.repeat([3, 127, 128, 199, 150], 4)
+    scores = np.zeros((len(want), 200))
+    scores[np.arange(len(want)), want] = 9.0
+    assert langid.viterbi(scores, np.array([0, 12]), np.array([12, 8]), 2.0).tolist() == want.tolist()
+
+
+def test_two_hundred_languages(spark):
+    rows = [(i, " ".join(f"{a}{chr(97 + i % 20)}{chr(97 + i // 20)}{a}q" for a in "bcdfg"), f"l{i:03}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    made = langid.label_texts(docs.select("doc_id", "text"), langid.learn(docs)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in made} == {i: name for i, _, name in rows}
+    assert all({s["lang"] for s in r["spans"]} == {r["lang_pred"]} for r in made)
+
+
 def test_mixed_text_gets_spans(spark):
     train = [(i, "the and of with that this from " * 5 if i % 2 else "и не на что он был для как " * 5, "en" if i % 2 else "ru") for i in range(60)]
     model = langid.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"))
