@@ -1,17 +1,23 @@
 """License scans (8): a trained paragraph classifier over sparse word n-grams, confirmed by template comparison.
 
-Paragraphs are lines with a word. Their 2- and 3-word n-grams, as far as they occur in the templates, are the features
-of a multinomial logistic regression with an L1 penalty (so few weights stay). It learns licence families from the
-templates and from cut pieces of them, and the class `unknown` from corpus paragraphs. The probability that a family
-needs is calibrated on the unknown paragraphs: `QUANTILE` of them stay below it. A prediction counts only if a template
-of the family shares at least `COVER` of its n-grams with the paragraph.
+Units are lines with a word and, as licences are mostly hard-wrapped, paragraphs: runs of such lines, joined, which a
+blank line ends. Their 2- and 3-word n-grams, as far as they occur in the templates, are the features of a multinomial
+logistic regression with an L1 penalty (so few weights stay). It learns licence families from the templates and from cut
+pieces of them, and the class `unknown` from corpus lines. Each family is judged by itself, from the n-grams of its own
+templates, so that two licences side by side are both found. The probability that a family needs is calibrated on the
+unknown lines: `QUANTILE` of them stay below it. A prediction counts only if a template of the family shares at least
+`COVER` of its n-grams with the unit, and if no other family explains the shared n-grams better (a notice of the AGPL
+holds nearly all of the GPL's).
+
+A result's `paragraph` is the number of its line. A paragraph's family that no single line of it shows has the number of
+the line that shares most n-grams with the family's closest template.
 
 All DataFrame operations and Spark ML, no Python in tasks. A paragraph that no template can confirm is left out early: it
-holds none of the words (`anchors`) that any sufficient share of a template's n-grams must contain. The learning sample is bounded by `SAMPLE` paragraphs; scanning
+holds none of the words (`anchors`) that any sufficient share of a template's n-grams must contain. The learning sample is bounded by `SAMPLE` lines; scanning
 covers every paragraph of every text.
 
-Defined cases: null and empty texts have no paragraphs; ties between families go to the first by name; repeated rows give
-repeated results; an empty table gives no rows; extra columns are ignored.
+Defined cases: null and empty texts have no paragraphs; repeated rows give repeated results; an empty table gives no rows;
+extra columns are ignored. A family counts once per paragraph if it is found by joined lines only.
 """
 
 from __future__ import annotations
@@ -21,16 +27,24 @@ import re
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 SAMPLE = 4000  # corpus paragraphs at most that stand for `unknown`
 QUANTILE, LEAST, COVER = 0.999, 0.5, 0.6
 
+FILLED, MARK = "[^\\x20\\x09-\\x0D]", "\x01"
+
 #: Fixed: words that say little about a licence.
 COMMON = {"under", "this", "work", "with", "that", "the", "any", "and", "only", "following", "author", "file", "form", "later", "version", "which", "other", "public", "general", "person"}
 #: Fixed: notices and opening sentences by which licences are recognised, by family.
 TEMPLATES = {
+    "AGPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -59,6 +73,15 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GNU General Public License, version 2.",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "Licensed under the ISC License.",
+    ],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
@@ -73,6 +96,23 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
     ],
 }
+#: Fixed: identifiers of SPDX lines, by family; each gives a template of its own.
+SPDX = {
+    "AGPL": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "Apache-2.0": ["Apache-2.0"],
+    "BSD": ["BSD-2-Clause", "BSD-3-Clause"],
+    "CC-BY": ["CC-BY-3.0", "CC-BY-4.0"],
+    "CC-BY-NC": ["CC-BY-NC-3.0", "CC-BY-NC-4.0"],
+    "CC-BY-SA": ["CC-BY-SA-3.0", "CC-BY-SA-4.0"],
+    "GPL": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "ISC": ["ISC"],
+    "LGPL": ["LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "MIT": ["MIT"],
+    "MPL-2.0": ["MPL-2.0"],
+    "public domain": ["CC0-1.0", "Unlicense"],
+}
+for _family, _ids in SPDX.items():
+    TEMPLATES[_family] += [f"SPDX-License-Identifier: {x}" for x in _ids]
 
 
 def words(text: Column) -> Column:
@@ -98,7 +138,13 @@ def templates(spark: SparkSession) -> DataFrame:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (number of the line), line."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    return lines.where(F.col("line").rlike(FILLED))
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, block: each run of filled lines, every line led by its number and a mark."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(FILLED), F.concat(i.cast("string"), F.lit(MARK), x)).otherwise(""))
+    return docs.select("doc_id", F.explode(F.split(F.array_join(numbered, "\n"), "\n\n+")).alias("block")).where("block <> ''")
 
 
 def vocabulary(spark: SparkSession) -> list[str]:
@@ -127,14 +173,35 @@ def anchors(spark: SparkSession, cover: float = COVER) -> list[str]:
     return sorted(x for x in out if not any(y != x and y in x for y in out))
 
 
-def candidates(docs: DataFrame, anchor_words: list[str]) -> DataFrame:
-    """Paragraphs that hold an anchor, with their words and n-grams. No other paragraph can be confirmed."""
+def any_anchor(anchor_words: list[str]):
     by_letter = {c: [re.escape(x[1:]) for x in anchor_words if x[0] == c] for c in sorted({x[0] for x in anchor_words})}
     any_of = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
-    holds = lambda text: text.rlike(any_of)
+    return lambda text: text.rlike(any_of)
+
+
+def plain_line(numbered: Column) -> Column:
+    """A numbered line's text, lower-cased. In an SPDX expression every identifier gets the tag before it."""
+    line = F.lower(F.regexp_replace(numbered, f"^\\d+{MARK}", ""))
+    return F.when(line.contains("spdx-license-identifier:"), F.regexp_replace(line, " (?:or|and) +", " spdx-license-identifier ")).otherwise(line)
+
+
+def candidates(docs: DataFrame, anchor_words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(blocks that hold an anchor: block_id, doc_id, lines; their units: block_id, doc_id, paragraph, single, grams).
+
+    No other unit can be confirmed. `grams` has the distinct n-grams that any template has; a unit is a line that holds an
+    anchor (`single`) or all lines of a block.
+    """
+    holds = any_anchor(anchor_words)
     texts = docs.select("doc_id", "text").where(holds(F.lower("text")))
-    lines = paragraphs(texts).where(holds(F.lower("line")))
-    return lines.select("doc_id", "paragraph", words(F.col("line")).alias("w")).select("doc_id", "paragraph", ngrams(F.col("w")).alias("grams"))
+    found = blocks(texts).where(holds(F.lower("block"))).select(F.monotonically_increasing_id().alias("block_id"), "doc_id", F.filter(F.split("block", "\n"), lambda x: x != "").alias("numbered"))
+    number = lambda x: F.substring_index(x, MARK, 1).cast("int")
+    lines = F.transform("numbered", lambda x: F.struct(number(x).alias("paragraph"), plain_line(x).alias("line")))
+    kept = materialize(found.select("block_id", "doc_id", lines.alias("lines")), "blocks")  # so that block_id stays
+    line = kept.select("block_id", "doc_id", F.explode("lines").alias("l")).select("block_id", "doc_id", "l.paragraph", F.lit(True).alias("single"), "l.line").where(holds(F.col("line")))
+    joined = kept.where("size(lines) > 1").select("block_id", "doc_id", F.col("lines")[0]["paragraph"].alias("paragraph"), F.lit(False).alias("single"), F.array_join("lines.line", " ").alias("line"))
+    known = vocabulary(docs.sparkSession)
+    units = line.unionByName(joined).withColumn("w", words(F.col("line"))).drop("line")
+    return kept, units.select("block_id", "doc_id", "paragraph", "single", F.array_distinct(F.filter(ngrams(F.col("w")), lambda g: g.isin(known))).alias("grams"))
 
 
 class Scanner:
@@ -144,7 +211,7 @@ class Scanner:
         self.spark, self.vocab = spark, vocabulary(spark)
         self.families = ["unknown", *sorted(TEMPLATES)]
         self.counts = CountVectorizerModel.from_vocabulary(self.vocab, "grams", "features")
-        known = templates(spark)
+        self.known = known = templates(spark)
         size = F.size("w")
         cut = lambda a, n: F.slice("w", a, F.greatest(n, F.lit(2)))
         pieces = F.array(F.col("w"), cut(F.lit(1), F.ceil(size * 0.8).cast("int")), cut(F.greatest(F.ceil(size * 0.2).cast("int"), F.lit(1)), size))
@@ -159,24 +226,44 @@ class Scanner:
         weight = F.when(F.col("family") == "unknown", 0.05).otherwise(1.0)
         rows = self.counts.transform(rows.withColumn("weight", weight).coalesce(2)).cache()
         self.model = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=30, weightCol="weight").fit(rows)
-        limit = self._best(self.model.transform(rows.where("family = 'unknown'"))).agg(F.expr(f"percentile(probability, {QUANTILE})")).first()[0]
+        alone = rows.where("family = 'unknown'").select("grams", F.monotonically_increasing_id().alias("row"))
+        limit = self._probable(self._covered(alone)).groupBy("row").agg(F.max("probability").alias("p")).agg(F.expr(f"percentile(p, {QUANTILE})")).first()[0]
         rows.unpersist()
         self.least = min(0.95, max(LEAST, limit or 0.0))
 
-    def _best(self, scored: DataFrame) -> DataFrame:
-        """Adds family and probability of the likeliest family other than unknown."""
-        p = vector_to_array("probability")
-        pairs = F.array(*(F.struct(p[i].alias("probability"), F.lit(-i).alias("order"), F.lit(name).alias("family")) for i, name in enumerate(self.families) if i))
-        return scored.withColumn("_top", F.array_max(pairs)).drop("probability", "rawPrediction", "prediction", "features", "family").select("*", "_top.family", "_top.probability").drop("_top")
+    def _covered(self, units: DataFrame) -> DataFrame:
+        """`units` for each family: grams (those of its templates), coverage by its closest template, matched (shared with it)."""
+        of = self.known.select("family", F.array_distinct("grams").alias("t")).groupBy("family").agg(F.collect_list("t").alias("ts"))
+        of = of.select(F.col("family"), "ts", F.array_distinct(F.flatten("ts")).alias("own"))
+        each = units.crossJoin(F.broadcast(of)).withColumn("grams", F.array_intersect("grams", "own"))  # as many rows as there are families
+        shared = lambda t: F.array_intersect(F.col("grams"), t)
+        closest = F.array_max(F.transform("ts", lambda t: F.struct((F.size(shared(t)) / F.size(t)).alias("coverage"), shared(t).alias("matched"))))
+        return each.withColumn("_closest", closest).drop("own", "ts").select("*", "_closest.*").drop("_closest")
+
+    def _probable(self, covered: DataFrame) -> DataFrame:
+        """Adds the probability of the row's family, by the n-grams of its own templates."""
+        scored = self.model.transform(self.counts.transform(covered))
+        index = F.array_position(F.array(*(F.lit(x) for x in self.families)), F.col("family")) - 1
+        return scored.withColumn("_p", vector_to_array("probability")).drop("probability", "rawPrediction", "prediction", "features").withColumn("probability", F.get("_p", index.cast("int"))).drop("_p")
+
+    def judge(self, kept: DataFrame, units: DataFrame) -> DataFrame:
+        """doc_id, paragraph, family, probability, coverage of the units of `candidates` that are found to be a licence's."""
+        key = ["block_id", "doc_id", "paragraph", "single"]
+        met = self._probable(self._covered(units.where("size(grams) > 0")).where(F.col("coverage") >= COVER)).drop("grams")
+        whole = met.groupBy(*key).agg(F.collect_list(F.struct("family", "probability", "coverage", "matched")).alias("fs"))
+        better = lambda f, g: (g["coverage"] > f["coverage"]) & (F.size(F.array_except(f["matched"], g["matched"])) <= (1 - COVER) * F.size(f["matched"]))
+        left = F.filter("fs", lambda f: ~F.exists("fs", lambda g: better(f, g)))
+        hits = whole.select(*key, F.explode(left).alias("f")).select(*key, "f.*").where(F.col("probability") >= self.least)
+        hits = hits.withColumn("_alone", F.max("single").over(Window.partitionBy("block_id", "family"))).where(F.col("single") | ~F.col("_alone"))
+        shares = lambda x: F.size(F.array_intersect(ngrams(words(x["line"])), F.col("matched")))
+        at = F.array_max(F.transform("lines", lambda x: F.struct(shares(x).alias("n"), (-x["paragraph"]).alias("p"))))
+        wrapped = hits.where("not single").join(kept.select("block_id", "lines"), "block_id").withColumn("paragraph", -at["p"])
+        cols = ["doc_id", "paragraph", "family", "probability", "coverage"]
+        return hits.where("single").select(*cols).unionByName(wrapped.select(*cols))
 
     def scan(self, docs: DataFrame) -> DataFrame:
-        """doc_id, paragraph, family, probability, coverage of every paragraph that is found to be a licence's."""
-        hits = candidates(docs, anchors(self.spark))
-        scored = self._best(self.model.transform(self.counts.transform(hits))).where(F.col("probability") >= self.least)
-        known = templates(self.spark).groupBy("family").agg(F.collect_list("grams").alias("templates"))
-        met = scored.join(F.broadcast(known), "family")  # as many rows as there are families
-        covers = F.transform("templates", lambda t: F.size(F.array_intersect(F.col("grams"), t)) / F.size(F.array_distinct(t)))
-        return met.withColumn("coverage", F.array_max(covers)).where(F.col("coverage") >= COVER).select("doc_id", "paragraph", "family", "probability", "coverage")
+        """`judge` of the candidates of `docs`."""
+        return self.judge(*candidates(docs, anchors(self.spark)))
 
 
 def op8_licence_scan(spark, sf_dir: str) -> DataFrame:

@@ -230,6 +230,37 @@ def test_licences(spark, scanner):
     assert scanner.scan(frame.limit(0)).count() == 0
 
 
+def test_wrapped_licences_and_families(spark, scanner):
+    import textwrap
+
+    first = lambda family, i=0: licences.TEMPLATES[family][i]
+    wrap = lambda text, width, lead="": "\n".join(textwrap.wrap(text, width, initial_indent=lead, subsequent_indent=lead))
+    whole = {f: max(licences.TEMPLATES[f], key=len) for f in ("AGPL", "Apache-2.0", "BSD", "GPL", "ISC", "LGPL", "MIT")}
+    texts = {}
+    for family, text in whole.items():
+        for width in (20, 40, 78, 2000):
+            texts[f"{family} {width}"] = (f"some words here\n\n{wrap(text, width)}\n \nmore", {family})
+    texts["comment"] = ("/*\n" + wrap(whole["GPL"], 70, " * ") + "\n */", {"GPL"})
+    texts["inside"] = ("words of a text\n" + wrap(whole["MIT"], 60) + "\nand the end", {"MIT"})
+    texts["both"] = (wrap(whole["MIT"], 50) + "\n" + wrap(whole["Apache-2.0"], 50), {"MIT", "Apache-2.0"})
+    texts["lines"] = (first("MIT") + "\n" + first("GPL"), {"MIT", "GPL"})
+    texts["short"] = ("Licensed under the GNU Lesser General Public License, version 3.", {"LGPL"})
+    texts["isc"] = ("Released under the ISC License.", {"ISC"})
+    texts["spdx"] = ("# SPDX-License-Identifier: MIT\nint x;", {"MIT"})
+    texts["spdx list"] = ("// SPDX-License-Identifier: (Apache-2.0 OR GPL-2.0-or-later)", {"Apache-2.0", "GPL"})
+    texts["spdx lgpl"] = ("SPDX-License-Identifier: LGPL-2.1-only", {"LGPL"})
+    texts["apart"] = ("Released under the\n\nMIT License.", set())
+    texts["none"] = ("The software is for any person\nwho wants to publish\nand to share a copy of the files.", set())
+    found = {}
+    for r in scanner.scan(spark.createDataFrame([(k, v[0]) for k, v in texts.items()], "doc_id string, text string")).collect():
+        found.setdefault(r["doc_id"], []).append(r["family"])
+    assert {k: sorted(found.get(k, [])) for k in texts} == {k: sorted(v[1]) for k, v in texts.items()}
+    again = [("a", f"x\n\n{wrap(whole['BSD'], 50)}\n\ny\nz\n\n{wrap(whole['BSD'], 50)}")]
+    rows = scanner.scan(spark.createDataFrame(again, "doc_id string, text string")).collect()
+    lines = again[0][1].split("\n")
+    assert len(rows) == 2 and all(lines[r["paragraph"]] in wrap(whole["BSD"], 50) for r in rows)
+
+
 def test_anchors_lose_nothing(spark):
     anchors = licences.anchors(spark)
     for family, w, grams in licences.templates(spark).select("family", "w", "grams").collect():
