@@ -5,7 +5,7 @@ blank line ends. Their 2- and 3-word n-grams, as far as they occur in the templa
 logistic regression with an L1 penalty (so few weights stay). It learns licence families from the templates and from cut
 pieces of them, and the class `unknown` from corpus lines. Each family is judged by itself, from the n-grams of its own
 templates, so that two licences side by side are both found. The probability that a family needs is calibrated on the
-unknown lines: `QUANTILE` of them stay below it. A prediction counts only if a template of the family shares at least
+unconfirmed candidates of all documents: `QUANTILE` of them stay below it. A prediction counts only if a template of the family shares at least
 `COVER` of its n-grams with the unit, and if no other family explains the shared n-grams better (a notice of the AGPL
 holds nearly all of the GPL's).
 
@@ -13,8 +13,8 @@ A result's `paragraph` is the number of its line. A paragraph's family that no s
 the line that shares most n-grams with the family's closest template.
 
 All DataFrame operations and Spark ML, no Python in tasks. A paragraph that no template can confirm is left out early: it
-holds none of the words (`anchors`) that any sufficient share of a template's n-grams must contain. The learning sample is bounded by `SAMPLE` lines; scanning
-covers every paragraph of every text.
+holds none of the words (`anchors`) that any sufficient share of a template's n-grams must contain. The learning sample is bounded by `SAMPLE` lines,
+chosen by hash and so the same in every run; calibration and scanning cover every paragraph of every text.
 
 Defined cases: null and empty texts have no paragraphs; repeated rows give repeated results; an empty table gives no rows;
 extra columns are ignored. A family counts once per paragraph if it is found by joined lines only.
@@ -205,7 +205,7 @@ def candidates(docs: DataFrame, anchor_words: list[str]) -> tuple[DataFrame, Dat
 
 
 class Scanner:
-    """The fitted classifier with its calibrated probability."""
+    """The fitted classifier with its calibrated probability; `found` has the candidates of the documents that it was made from."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, sample: int = SAMPLE):
         self.spark, self.vocab = spark, vocabulary(spark)
@@ -217,18 +217,22 @@ class Scanner:
         pieces = F.array(F.col("w"), cut(F.lit(1), F.ceil(size * 0.8).cast("int")), cut(F.greatest(F.ceil(size * 0.2).cast("int"), F.lit(1)), size))
         positive = known.select("family", F.explode(pieces).alias("w")).select("family", ngrams(F.col("w")).alias("grams"))
         chosen = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, sample // 8))
-        lines = paragraphs(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")).limit(sample).select(words(F.col("line")).alias("w")).select(ngrams(F.col("w")).alias("grams"))
+        lines = paragraphs(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi"))
+        lines = lines.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph", "line").limit(sample).select(words(F.col("line")).alias("w")).select(ngrams(F.col("w")).alias("grams"))
         cover = known.select(F.col("grams").alias("template"))
         alike = F.broadcast(cover).where("size(template) > 0")
         unknown = lines.join(alike, F.size(F.array_intersect("grams", "template")) >= COVER * F.size(F.array_distinct("template")), "left_anti")
         index = F.array_position(F.array(*(F.lit(x) for x in self.families)), F.col("family")) - 1
         rows = positive.unionByName(unknown.withColumn("family", F.lit("unknown"))).withColumn("label", index.cast("double"))
         weight = F.when(F.col("family") == "unknown", 0.05).otherwise(1.0)
-        rows = self.counts.transform(rows.withColumn("weight", weight).coalesce(2)).cache()
+        rows = self.counts.transform(rows.withColumn("weight", weight).coalesce(1)).cache()
         self.model = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=30, weightCol="weight").fit(rows)
-        alone = rows.where("family = 'unknown'").select("grams", F.monotonically_increasing_id().alias("row"))
-        limit = self._probable(self._covered(alone)).groupBy("row").agg(F.max("probability").alias("p")).agg(F.expr(f"percentile(p, {QUANTILE})")).first()[0]
         rows.unpersist()
+        kept, units = candidates(docs, anchors(spark))
+        self.found = kept, materialize(units, "units")
+        sets = self.found[1].groupBy("grams").agg(F.count("*").alias("n")).withColumn("unit", F.col("grams"))
+        unconfirmed = self._probable(self._covered(sets)).groupBy("unit", "n").agg(F.max("probability").alias("p"), F.max("coverage").alias("most")).where(F.col("most") < COVER)
+        limit = unconfirmed.agg(F.expr(f"percentile(p, {QUANTILE}, n)")).first()[0]
         self.least = min(0.95, max(LEAST, limit or 0.0))
 
     def _covered(self, units: DataFrame) -> DataFrame:
@@ -268,5 +272,6 @@ class Scanner:
 
 def op8_licence_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = Scanner(spark, docs).scan(docs)
+    scanner = Scanner(spark, docs)
+    found = scanner.judge(*scanner.found)
     return found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 4).alias("probability"), F.round("coverage", 4).alias("coverage"))

@@ -261,6 +261,16 @@ def test_wrapped_licences_and_families(spark, scanner):
     assert len(rows) == 2 and all(lines[r["paragraph"]] in wrap(whole["BSD"], 50) for r in rows)
 
 
+def test_licence_limit_from_all_documents_in_any_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, two = (licences.Scanner(spark, x, 40) for x in (docs.repartition(7, "text"), docs.orderBy(F.desc("doc_id")).coalesce(1)))
+    assert one.least == two.least and one.model.coefficientMatrix.toArray().tolist() == two.model.coefficientMatrix.toArray().tolist()
+    ids = [r[0] for r in spark.range(100).orderBy(F.xxhash64("id")).collect()]
+    near = "Permission is hereby granted, free of charge, to any person obtaining a copy of this file"
+    made = lambda other: spark.createDataFrame([(i, "a few plain words" if i == ids[0] else other) for i in ids], "doc_id long, text string")
+    assert licences.Scanner(spark, made("more plain words"), 8).least == licences.LEAST < licences.Scanner(spark, made(near), 8).least
+
+
 def test_anchors_lose_nothing(spark):
     anchors = licences.anchors(spark)
     for family, w, grams in licences.templates(spark).select("family", "w", "grams").collect():
