@@ -215,3 +215,21 @@ def retrieval_comparison(spark, sf_dir):
     reranked = keyword.top_k(hybrid.select("query_id", F.col("chunk_id"), (F.col("chunk_id").cast("double")).alias("score")), 5)
     made = fusion.retrieval_comparison(ve, kw, hybrid, reranked)
     return made.withColumns({c: F.round(c, 6) for c in made.columns if c.endswith("_score")})
+
+
+def fused(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(BM25 and vector search over all fixed chunks, fused; chunks)."""
+    best, chunks = searched(spark, sf_dir)
+    embed = vector.hashing_embedder()
+    index = vector.embed_texts(chunks.select("chunk_id", "text"), embed)
+    return fusion.hybrid_merge(best, vector.vector_search(vector.embed_queries(asked(spark, sf_dir), embed), index)), chunks
+
+
+@query("hybrid_search")
+def hybrid_search(spark, sf_dir):
+    return fused(spark, sf_dir)[0].select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "source")
+
+
+@query("hybrid_retrieve")
+def hybrid_retrieve(spark, sf_dir):
+    return fusion.retrieve(asked(spark, sf_dir), *fused(spark, sf_dir)).withColumn("score", F.round("score", 6))
