@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,5 +35,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     turned = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = materialize(turned.distinct(), label)
     while not _done(now):  # about log2(diameter) rounds
-        now = materialize(_star(_star(now, True), False), label)
+        before, now = now, materialize(_star(_star(now, True), False), label)
+        discard(before)
     return now.union(now.select(F.col("v").alias("u"), "v").distinct()).withColumnRenamed("v", "root")

@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import sliced, text_buffers, word_table
+from .kernels import sliced, span_counts, text_buffers, word_table
 from .langid import fold
-from .lines import SYMBOLS, byte_class, line_table, prefix_sums, repeated
+from .lines import line_table, repeated
 
 SAMPLE = 4000  # labelled documents at most from which the field is fitted
 _STEPS, _RATE, _L2, _BLOCK = 150, 0.1, 1e-4, 200
-_UPPER, _LOWER, _DIGIT = (byte_class(bytes(range(a, b))) for a, b in ((65, 91), (97, 123), (48, 58)))
-_BANG, _PIPE, _STOP, _COMMA, _OTHER = byte_class(b"!?"), byte_class(b"|"), byte_class(b".:;"), byte_class(b","), byte_class(b"-_=+/\\~^@\"'()[]{}")
+_KINDS = (bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"|", b"#*$%&<>", b"!?", b".:;", b",", b"-_=+/\\~^@\"'()[]{}")
+_KIND = np.full(256, len(_KINDS))
+for _i, _chars in enumerate(_KINDS):
+    _KIND[list(_chars)] = _i
 
 
 class Field(NamedTuple):
@@ -39,16 +41,15 @@ def line_features(raw: np.ndarray, offsets: np.ndarray):
     """(lines, features per line with those of its neighbours): shares of byte classes, word and line lengths, repeats."""
     lines = line_table(raw, offsets)
     size = np.maximum(lines.end - lines.start, 1).astype(float)
-    part = lambda flags: (lambda s: s[lines.end] - s[lines.start])(prefix_sums(flags))
+    upper, lower, digit, pipe, symbol, bang, stop, comma, other = span_counts(raw, lines.start, _KIND, len(_KINDS)).T
+    symbol = symbol + pipe
     table = word_table(raw, offsets)
-    begins, echo = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
-    begins[table.start] = True
-    near = table.doc[1:] == table.doc[:-1]
-    echo[table.start[1:][near & (table.hash[1:] == table.hash[:-1])]] = True
-    words = np.maximum(part(begins), 1)
-    rows = [part(x[raw]) / size for x in (_UPPER, _LOWER, _DIGIT, SYMBOLS, _BANG, _STOP, _COMMA, _OTHER)]
-    rows += [np.minimum(part(x[raw]) / words, 2) for x in (SYMBOLS, _BANG, _DIGIT, _PIPE)] + [part(echo) / words, (part(echo) > 1).astype(float)]
-    rows += [np.minimum(size / words, 20) / 10, np.minimum(np.log1p(size), 10) / 5, repeated(lines).astype(float), (~lines.filled).astype(float), (part(_STOP[raw]) == 0).astype(float)]
+    within = lambda at: np.searchsorted(at, lines.end, "left") - np.searchsorted(at, lines.start, "left")
+    echo = within(table.start[1:][(table.doc[1:] == table.doc[:-1]) & (table.hash[1:] == table.hash[:-1])])
+    words = np.maximum(within(table.start), 1)
+    rows = [x / size for x in (upper, lower, digit, symbol, bang, stop, comma, other)]
+    rows += [np.minimum(x / words, 2) for x in (symbol, bang, digit, pipe)] + [echo / words, (echo > 1).astype(float)]
+    rows += [np.minimum(size / words, 20) / 10, np.minimum(np.log1p(size), 10) / 5, repeated(lines).astype(float), (~lines.filled).astype(float), (stop == 0).astype(float)]
     own = np.stack(rows, 1) if len(lines.doc) else np.zeros((0, len(rows)))
     same = lines.doc[1:] == lines.doc[:-1]
     before, after = np.zeros_like(own), np.zeros_like(own)

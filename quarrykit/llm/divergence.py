@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import DELIMITER, U64, Words, k_word_hash, mix, packed, sliced, text_buffers, word_table
-from .lines import SYMBOLS, line_table, prefix_sums, repeated
+from .kernels import DELIMITER, U64, Words, k_word_hash, mix, packed, sliced, span_counts, text_buffers, word_table
+from .lines import SYMBOLS, line_table, repeated
 
 COMMON, CELL_BITS = 64, 14
 MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 50, 0.28, 0.40
@@ -32,6 +32,8 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[32], _CLASS[9:14] = 0, 1, 2
 _CLASS[ord(".")], _CLASS[ord(",")], _CLASS[[33, 63]], _CLASS[SYMBOLS] = 5, 6, 7, 8
 _CLASS[0xC2], _CLASS[0xC3:0xCA], _CLASS[0xCA:256], _CLASS[0x80:0xC0] = 10, 11, 12, 13
 _N = 13
+#: 0: symbols, 1: other first bytes of word characters, 2: white space and continuation bytes.
+_MARKS = np.where(SYMBOLS, 0, np.where(DELIMITER | (np.arange(256) & 0xC0 == 0x80), 2, 1))
 
 
 class References(NamedTuple):
@@ -46,9 +48,7 @@ def _cells(words: Words) -> np.ndarray:
 
 
 def _classes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    n = len(offsets) - 1
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    return np.bincount(owner * (_N + 1) + _CLASS[raw], minlength=n * (_N + 1)).reshape(n, _N + 1)[:, :_N]
+    return span_counts(raw, offsets[:-1], _CLASS, _N)
 
 
 def references(docs: DataFrame) -> References:
@@ -107,7 +107,7 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 def base_counts(raw: np.ndarray, offsets: np.ndarray, words: Words) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every text."""
     n = len(offsets) - 1
-    span = lambda flags: (lambda s: s[offsets[1:]] - s[offsets[:-1]])(prefix_sums(flags))
+    marks = span_counts(raw, offsets[:-1], _MARKS, 2)
     count = words.counts(n)
     lines = line_table(raw, offsets)
     dups = np.bincount(lines.doc[repeated(lines)], minlength=n)
@@ -123,8 +123,8 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray, words: Words) -> dict[str,
             covered[many + k] = True
     return {
         "n_words": count,
-        "word_chars": span(~DELIMITER[raw] & ((raw & 0xC0) != 0x80)),
-        "n_symbols": span(SYMBOLS[raw]),
+        "word_chars": marks.sum(1),
+        "n_symbols": marks[:, 0],
         "n_dup_lines": dups,
         "n_repeat_words": np.bincount(words.doc[covered], minlength=n),
     }

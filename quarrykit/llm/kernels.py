@@ -16,8 +16,8 @@ import pyarrow.compute  # noqa: F401
 U64 = np.uint64
 _P, _A, _B = U64(0x9E6D62D06F6A9A9B), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 _PINV = U64(pow(int(_P), -1, 1 << 64))
-_CHUNK = 2 << 20
-_SLICE = 6 << 20
+_CHUNK = 1 << 18
+_SLICE = 1 << 20
 
 DELIMITER = np.zeros(256, bool)
 DELIMITER[[0x20, *range(0x09, 0x0E)]] = True
@@ -50,16 +50,48 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+_steps = [np.full(_CHUNK + 1, base, U64) for base in (_P, _PINV)]
+for _s in _steps:
+    _s[0] = 1
+_UP, _DOWN = (np.multiply.accumulate(_s) for _s in _steps)
+del _steps, _s
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_P, _PINV)):
-            steps = np.full(max(n, _CHUNK + 4096), base, U64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def pieces(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of bounded length."""
+    for at in range(0, len(raw), _CHUNK):
+        yield at, min(at + _CHUNK, len(raw))
+
+
+def span_sums(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = _SAME) -> np.ndarray:
+    """Polynomial sum modulo 2**64 of the bytes of each span; spans are sorted and do not overlap.
+
+    Works in pieces of `_CHUNK` bytes, so that memory does not follow the length of a text or of a single word.
+    """
+    out = np.zeros(len(start), U64)
+    sums = np.zeros(min(len(raw), _CHUNK) + 1, U64)
+    for at, to in pieces(raw):
+        n = to - at
+        np.cumsum((fold[raw[at:to]].astype(U64) + U64(1)) * _UP[:n], out=sums[1 : n + 1])
+        i, j = np.searchsorted(start, (at, to), "left")
+        a = start[i:j] - at
+        out[i:j] = (sums[np.minimum(end[i:j], to) - at] - sums[a]) * _DOWN[a]
+        if i and end[i - 1] > at:  # the span that goes on from the piece before
+            out[i - 1 : i] += sums[min(end[i - 1], to) - at : min(end[i - 1], to) - at + 1] * U64(pow(int(_P), int(at - start[i - 1]), 1 << 64))
+    return out
+
+
+def span_counts(raw: np.ndarray, start: np.ndarray, kind: np.ndarray, n: int) -> np.ndarray:
+    """Bytes of kinds 0 to n-1 (a table of 256 kinds; kind n is not counted) from each span's start to the next one's."""
+    out = np.zeros((len(start), n), np.int64)
+    for at, to in pieces(raw):
+        i, j = np.searchsorted(start, (at, to), "left")
+        owner = np.cumsum(np.bincount(start[i:j] - at, minlength=to - at))
+        made = np.bincount(owner * (n + 1) + kind[raw[at:to]], minlength=(j - i + 1) * (n + 1)).reshape(-1, n + 1)[:, :n]
+        if i:
+            out[i - 1] += made[0]
+        out[i:j] += made[1:]
+    return out
 
 
 class Words(NamedTuple):
@@ -74,45 +106,32 @@ class Words(NamedTuple):
         return np.bincount(self.doc, minlength=n_docs)
 
 
-def word_table(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of texts laid end to end. Works through the bytes in pieces that end at a delimiter or a text's end."""
-    out: list[tuple[np.ndarray, ...]] = []
-    n, at = len(raw), 0
-    while at < n:
-        to = min(at + _CHUNK, n)
-        if to < n:
-            cut = offsets[np.searchsorted(offsets, to, "right") - 1]
-            if cut <= at:  # inside one long text: back to a delimiter, or on to the next one
-                gaps = np.flatnonzero(DELIMITER[raw[at:to]])
-                if len(gaps):
-                    cut = at + gaps[-1] + 1
-                else:
-                    cut = offsets[np.searchsorted(offsets, to, "left")]
-                    ahead = np.flatnonzero(DELIMITER[raw[to:cut]])
-                    cut = to + ahead[0] + 1 if len(ahead) else cut
-            to = int(cut)
-        part = raw[at:to]
-        word = ~DELIMITER[part]
-        begins, ends = word.copy(), word.copy()
-        edge = offsets[(offsets > at) & (offsets < to)] - at
-        before, after = np.empty(len(word), bool), np.empty(len(word), bool)
-        before[0], after[-1] = False, False
-        before[1:], after[:-1] = word[:-1], word[1:]
-        before[edge], after[edge - 1] = False, False
-        begins &= ~before
-        ends &= ~after
-        starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        up, down = _power_tables(len(part) + 1)
-        sums = np.empty(len(part) + 1, U64)
-        sums[0] = 0
-        np.cumsum(((LOWER if lower else _SAME)[part].astype(U64) + U64(1)) * up[: len(part)], out=sums[1:])
-        h = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U64) * _A)
-        starts, stops = starts + at, stops + at
-        out.append((h, np.searchsorted(offsets, starts, "right") - 1, starts, stops))
-        at = to
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words of texts laid end to end."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for at, to in pieces(raw):
+        word = np.zeros(to - at + 2, bool)  # with one byte before and one after
+        word[1:-1] = ~DELIMITER[raw[at:to]]
+        word[0] = at > 0 and not DELIMITER[raw[at - 1]]
+        word[-1] = to < len(raw) and not DELIMITER[raw[to]]
+        begins, ends = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+        i, j, k = np.searchsorted(offsets, (at, to, to + 1), "left")
+        first = offsets[i:j] - at
+        begins[first] = word[1:-1][first]
+        last = offsets[i:k] - at - 1
+        last = last[last >= 0]
+        ends[last] = word[1:-1][last]
+        out.append((np.flatnonzero(begins) + at, np.flatnonzero(ends) + at + 1))
     if not out:
-        return Words(np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3)))
-    return Words(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def word_table(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+    """Words of texts laid end to end."""
+    start, end = word_bounds(raw, offsets)
+    h = mix(span_sums(raw, start, end, LOWER if lower else _SAME) + (end - start).astype(U64) * _A)
+    return Words(h, np.searchsorted(offsets, start, "right") - 1, start, end)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,14 +190,20 @@ def shingle_sets(words: Words, n_docs: int, k: int) -> Iterator[tuple[int, np.nd
             yield i, h[:0]
 
 
-def sliced(batch: pa.RecordBatch, column: int):
-    """Parts of a batch with about `_SLICE` bytes of text each, so that a task's memory stays bounded."""
+def sliced(batch: pa.RecordBatch, column: int, most: int = _SLICE):
+    """Parts of a batch with about `most` bytes of text each, so that a task's memory stays bounded."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // _SLICE
-    for a, b in zip(*(lambda c: (np.concatenate(([0], c)), np.concatenate((c, [len(part)]))))(np.flatnonzero(np.diff(part)) + 1), strict=True):
+    part = np.cumsum(sizes) // most
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
 
 
 def packed(a: np.ndarray, kind=None) -> bytes:
     return np.ascontiguousarray(a, kind).tobytes()
+
+
+def unpacked(column, kind: str) -> np.ndarray:
+    """The numbers of a whole column of `packed` values, laid end to end."""
+    return text_buffers(column)[0].view(kind)

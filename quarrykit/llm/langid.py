@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import DELIMITER, LOWER, packed, sliced, text_buffers, word_table
+from .kernels import DELIMITER, LOWER, Words, packed, pieces, sliced, span_counts, text_buffers, word_table
 
 CELL_BITS = 15
 SWITCH = 12.0  # nats that a change of language within a text costs
@@ -31,30 +31,40 @@ _SCRIPT = np.zeros(256, np.uint16)
 for _i, (_a, _b) in enumerate(SCRIPTS.values()):
     _SCRIPT[_a : _b + 1] = 1 << _i
 _SCRIPT[65:91] = _SCRIPT[97:123] = 1
-_LETTERS = (_SCRIPT > 0).astype(np.int64)
+_NO_LETTER = (_SCRIPT == 0).astype(np.int64)  # kind 0: letters
+_PLAIN = np.where(DELIMITER, np.uint8(32), LOWER).astype(np.uint32)
 _N = len(SCRIPTS)
 
 
 class Model(NamedTuple):
     langs: list[str]
-    score: np.ndarray  # cells x languages
+    score: np.ndarray  # languages x cells
     allowed: np.ndarray  # scripts x languages
 
 
-def _features(raw: np.ndarray, offsets: np.ndarray):
-    """Words, the trigram cell of every byte, and each word's script (the last in the table that occurs in it) or -1."""
-    words = word_table(raw, offsets)
-    low = np.where(DELIMITER[raw], np.uint8(32), LOWER[raw]).astype(np.uint32)
-    before, after = np.empty_like(low), np.empty_like(low)
-    before[1:], after[:-1] = low[:-1], low[1:]
-    edge = offsets[:-1][np.diff(offsets) > 0]
-    before[edge] = 32
-    ends = offsets[1:][np.diff(offsets) > 0] - 1
-    after[ends] = 32
-    cell = ((before << 16 | low << 8 | after) * np.uint32(2654435761)) >> np.uint32(32 - CELL_BITS)
-    bits = np.bitwise_or.reduceat(_SCRIPT[raw], words.start) if len(words.start) else np.zeros(0, np.uint16)
-    script = np.where(bits > 0, np.floor(np.log2(np.maximum(bits, 1))).astype(np.int64), -1)
-    return words, cell, script
+def _cells(raw: np.ndarray, offsets: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The trigram cells of bytes a to b; a text's ends count as spaces."""
+    low = np.full(b - a + 2, 32, np.uint32)
+    lo, hi = max(a - 1, 0), min(b + 1, len(raw))
+    low[lo - a + 1 : hi - a + 1] = _PLAIN[raw[lo:hi]]
+    before, after = low[:-2].copy(), low[2:].copy()
+    i, j = np.searchsorted(offsets, (a, b), "left")
+    before[offsets[i:j] - a] = 32
+    i, j = np.searchsorted(offsets, (a, b), "right")
+    after[offsets[i:j] - 1 - a] = 32
+    return ((before << 16 | low[1:-1] << 8 | after) * np.uint32(2654435761)) >> np.uint32(32 - CELL_BITS)
+
+
+def _scripts(raw: np.ndarray, words: Words) -> np.ndarray:
+    """Each word's script (the last in the table that occurs in it) or -1."""
+    bits = np.zeros(len(words.start), np.uint16)
+    for a, b in pieces(raw):
+        i, j = np.searchsorted(words.start, (a, b))
+        found = np.bitwise_or.reduceat(_SCRIPT[raw[a:b]], np.append(0, words.start[i:j] - a))  # white space has no script
+        if i and words.end[i - 1] > a:
+            bits[i - 1] |= found[0]
+        bits[i:j] = found[1:]
+    return np.where(bits > 0, np.floor(np.log2(np.maximum(bits, 1))).astype(np.int64), -1)
 
 
 def learn(docs: DataFrame) -> Model:
@@ -67,16 +77,20 @@ def learn(docs: DataFrame) -> Model:
                 raw, offsets = text_buffers(batch.column(0))
                 if not len(raw):
                     continue
-                words, cell, script = _features(raw, offsets)
+                words = word_table(raw, offsets)
+                script = _scripts(raw, words)
                 codes = batch.column(1).dictionary_encode()
                 names, of = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
-                inside = ~DELIMITER[raw]
-                owner = np.repeat(of, np.diff(offsets))
+                lang = of[words.doc]
+                made = np.zeros(len(names) << CELL_BITS, np.int64)
+                for a, b in pieces(raw):
+                    i, j = np.searchsorted(offsets, (a, b))
+                    owner = np.repeat(of[max(i - 1, 0) : j], np.diff(np.concatenate(([a] if i else [], offsets[i:j], [b])).astype(np.int64)))
+                    made += np.bincount((owner << CELL_BITS) + _cells(raw, offsets, a, b), ~DELIMITER[raw[a:b]], minlength=len(made)).astype(np.int64)
                 for i, name in enumerate(names):
                     cells, scripts = total.setdefault(name, (np.zeros(1 << CELL_BITS, np.int64), np.zeros(_N, np.int64)))
-                    cells += np.bincount(cell[inside & (owner == i)], minlength=1 << CELL_BITS)
-                    mine = script[(of[words.doc] == i) & (script >= 0)]
-                    scripts += np.bincount(mine, minlength=_N)
+                    cells += made[i << CELL_BITS : (i + 1) << CELL_BITS]
+                    scripts += np.bincount(script[(lang == i) & (script >= 0)], minlength=_N)
         for name, (cells, scripts) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([packed(np.concatenate((cells, scripts)), "<i8")], pa.binary())], ["lang", "counts"])
 
@@ -90,7 +104,7 @@ def learn(docs: DataFrame) -> Model:
     counts = np.array([np.frombuffer(r[1], "<i8") for r in rows], float).reshape(len(rows), (1 << CELL_BITS) + _N)
     cells, scripts = counts[:, : 1 << CELL_BITS], counts[:, 1 << CELL_BITS :]
     logp = np.log((cells + 0.5) / (cells.sum(1, keepdims=True) + 0.5 * cells.shape[1])) if langs else cells
-    score = (logp - logp.mean(0, keepdims=True)).T if langs else logp.T
+    score = logp - logp.mean(0, keepdims=True) if langs else logp
     allowed = (scripts / np.maximum(scripts.sum(1, keepdims=True), 1) >= RARE).T
     return Model(langs, np.ascontiguousarray(score, np.float32), allowed)
 
@@ -122,11 +136,17 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, count: np.ndarray, switch: fl
     return label
 
 
-def _word_scores(cell, words, script, model: Model) -> np.ndarray:
-    out = np.empty((len(words.start), len(model.langs)), np.float32)
-    for i in range(len(model.langs)):
-        sums = np.concatenate(([0.0], np.cumsum(model.score[:, i][cell], dtype=np.float64)))
-        out[:, i] = sums[words.end] - sums[words.start]
+def _word_scores(raw: np.ndarray, offsets: np.ndarray, words: Words, model: Model) -> np.ndarray:
+    out = np.zeros((len(words.start), len(model.langs)), np.float32)
+    for a, b in pieces(raw):
+        i, j = np.searchsorted(words.start, (a, b))
+        i -= int(i > 0 and words.end[i - 1] > a)
+        cell, sums = _cells(raw, offsets, a, b), np.zeros(b - a + 1)
+        start, end = np.maximum(words.start[i:j], a) - a, np.minimum(words.end[i:j], b) - a
+        for k, score in enumerate(model.score):
+            np.cumsum(score[cell], out=sums[1:])
+            out[i:j, k] += sums[end] - sums[start]
+    script = _scripts(raw, words)
     plain = script < 0
     out[plain] = 0
     fits = model.allowed[np.maximum(script, 0)]
@@ -149,12 +169,12 @@ def label_texts(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                 n = batch.num_rows
                 share, parts = np.zeros((n, max(1, len(model.langs)))), [[] for _ in range(n)]
                 if len(raw) and model.langs:
-                    words, cell, script = _features(raw, offsets)
+                    words = word_table(raw, offsets)
                     count = words.counts(n)
                     begin = np.cumsum(count) - count
-                    label = viterbi(_word_scores(cell, words, script, model), begin, count)
-                    sums = np.concatenate(([0], np.cumsum(_LETTERS[raw])))
-                    np.add.at(share, (words.doc, label), sums[words.end] - sums[words.start])
+                    label = viterbi(_word_scores(raw, offsets, words, model), begin, count)
+                    letters = span_counts(raw, words.start, _NO_LETTER, 1)[:, 0]
+                    share = np.bincount(words.doc * len(model.langs) + label, letters, minlength=n * len(model.langs)).reshape(n, -1)
                     if out_spans and len(label):
                         cut = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (words.doc[1:] != words.doc[:-1]))))
                         for a, m in zip(cut, np.diff(np.append(cut, len(label))), strict=True):

@@ -6,18 +6,12 @@ from typing import NamedTuple
 
 import numpy as np
 
-from .kernels import DELIMITER, U64, _power_tables, mix
+from .kernels import U64, mix, span_sums, word_bounds
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 
-def byte_class(chars: bytes) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(chars)] = True
-    return out
-
-
 class Lines(NamedTuple):
     """All \\n-split lines in order: text index, byte start and end, hash, and whether a word is in it."""
 
@@ -28,24 +22,16 @@ class Lines(NamedTuple):
     filled: np.ndarray
 
 
-def prefix_sums(flags: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-
-
 def line_table(raw: np.ndarray, offsets: np.ndarray) -> Lines:
     """Empty texts have no lines; every other text has one more line than line feeds."""
     breaks = np.flatnonzero(raw == 10)
     full = np.diff(offsets) > 0
     start = np.sort(np.concatenate((offsets[:-1][full], breaks + 1)))
     end = np.sort(np.concatenate((offsets[1:][full], breaks)))
-    doc = np.searchsorted(offsets, end, "right") - 1
-    doc = np.minimum(np.where(offsets[doc] == end, np.searchsorted(offsets, end, "left") - 1, doc), len(offsets) - 2) if len(end) else doc
-    up, down = _power_tables(len(raw) + 2)
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
-    words = prefix_sums(~DELIMITER[raw])
-    return Lines(doc, start, end, h, words[end] > words[start])
+    doc = np.repeat(np.arange(len(full)), np.where(full, np.diff(np.searchsorted(breaks, offsets)) + 1, 0))
+    h = mix(span_sums(raw, start, end) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+    first = word_bounds(raw, offsets)[0]
+    return Lines(doc, start, end, h, np.searchsorted(first, end, "left") > np.searchsorted(first, start, "left"))
 
 
 def repeated(lines: Lines) -> np.ndarray:

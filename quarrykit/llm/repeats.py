@@ -34,6 +34,7 @@ from .shared import bins_for, materialize
 
 _PACK = "bin int, keys binary, doc binary, fp binary, cnt binary, pos binary, src binary, diag binary"
 _FIELDS = pa.schema([("bin", pa.int32()), *((n, pa.binary()) for n in ("keys", "doc", "fp", "cnt", "pos", "src", "diag"))])
+_BATCH = 3 << 20  # bytes of text whose windows are settled at once
 _SEGMENT = "doc_id long, fp long, start long, n long, src long, src_start long"
 
 
@@ -82,7 +83,7 @@ def repeated_edges(docs: DataFrame, k: int, bins: int) -> DataFrame:
     """Packed occurrences (doc_id, position) of edges that start in a smaller doc_id, with source document and offset."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in sliced(whole, 2)):
+        for batch in (part for whole in batches for part in sliced(whole, 2, _BATCH)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; only where it is unset (tests, one machine) a folder of our own."""
+    """The cluster's `spark.checkpoint.dir`; where it is unset, a folder in the warehouse, which executors share too."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="quarrykit-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return (path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quarrykit").rstrip("/")
+
+
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From here on Spark hands Python at most about `size` bytes at once (its default is 64 MB), as texts may be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") or 0) > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -26,6 +28,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` of which nothing is read any more."""
+    for table in tables:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
