@@ -1,75 +1,114 @@
 """N-gram Jaccard join (1): size-aware heavy-light join of shingle sets, and the groups its links make.
 
-Two texts link when 100 * |intersection| >= threshold * |union| of their distinct n-word shingles (words lower-cased
-A-Z). Equal sets are one *class* from the start (64-bit hash of the set and its size), so copies cost one row each.
+Two texts link when 100 * |intersection| >= percent * |union| of their distinct n-word shingles (words lower-cased A-Z).
+Equal sets are one *class* from the start, so copies cost one row each.
 
 1. `class_table`: per document its set size, class and a 512-bit parity bitmap; the same pass counts shingles in a
    sketch of fixed size. The sketch only orders shingles from rare to frequent; any order gives right results.
-2. `shared_tokens`: the first shingles of each set in that order (prefix filter: linked sets share `c` shingles within
-   their first n - ceil(t * n) + c) go in packed rows to bins, which keep those that two or more classes hold.
-3. `join_keys`: for small sets every 2-subset of the kept shingles is a key, for large sets every shingle is one (its
-   inverted list is scanned). The boundary is the size at which the summed cost is least: number of subsets against
-   lengths of the lists. Sets up to boundary / t carry subsets too, so pairs over the boundary meet.
-4. Rounds: within each key's list every class is compared with one hub of the list; links are merged to components.
-   The last round compares all classes of a list that are still in different components, so no link is lost, while a
-   dense group of any size costs about one comparison per member and round.
-5. A candidate is dropped by set size or when the bitmaps differ in more bits than the symmetric difference may have
-   (never a linked pair), else its intersection is counted in full.
-
-Defined cases: null or empty texts have no shingles and link with nothing; a text with fewer words than n is one
-shingle; repeated rows and equal texts link; an empty table gives no rows; extra columns are ignored.
+2. `shared_tokens`: the first shingles of each set in that order (prefix filter: linked sets share two shingles within
+   their first n - ceil(t * n) + 2) go in packed rows to bins, which keep those that two or more classes hold.
+3. Groups of near copies are contracted first: every class is compared with one hub of each of its shingles' lists, the
+   class for which the shingle is rarest (a text that the others were changed from has no rare shingles of its own, so
+   it tends to be the hub of them all); then with another hub of each list that is left. Lists within one component
+   are done: two classes that still have to meet are in different components, so all shingles they share are in the
+   lists that are left.
+4. `join_keys`: for small sets every 2-subset of the shingles that are left is a key, for large sets every shingle is
+   one (its inverted list is scanned). The boundary is the size at which the summed cost is least: number of subsets
+   against lengths of the lists. Sets up to boundary / t carry subsets too, so pairs over the boundary meet.
+5. All classes of a key's list that are in different components are compared, so no link is lost, while a dense group of
+   any size costs about one comparison per member and hub round. Keys stay packed in binary rows; a list that may be
+   longer than `HOT` is cut into parts by class, and every two parts meet in a bin of their own.
+6. A candidate is dropped by set size or when the bitmaps differ in more bits than the symmetric difference may have
+   (never a linked pair), else both texts are read and the intersection is counted in full.
+
+Classes are known by a 64-bit hash of the set; a second one tells apart unequal sets of one hash, whose documents then
+use the second (`clashes`).
+
+Defined cases: null or empty texts have no shingles and link with nothing; rows without doc_id link with nothing and
+have no component; a text with fewer words than n is one shingle; repeated rows and equal texts link; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import U64, mix, packed, shingle_sets, sliced, text_buffers, word_table
-from .shared import bins_for, materialize
+from .kernels import U64, mix, packed, shingle_sets, sliced, text_buffers, unpacked, word_table
+from .shared import bins_for, bounded_batches, discard, materialize
 
-SKETCH_BITS = 22  # cells of the frequency sketch: a fixed 8 MB, whatever the input
-_BLOCK = 1 << 16
-HUBS = (1, 1)  # hubs per list in the rounds before the last
+SKETCH_BITS = 20  # cells of the frequency sketch: a fixed 4 MB a task and 2 MB to broadcast, whatever the input
+_BLOCK, _BATCH = 1 << 16, 4 << 20
+HOT = 20_000  # members of a list that are compared in one place; longer lists are cut into parts
+KEYS_PER_BIN, SHORT, SIDE = 200_000, 8, 256
 _KEEP = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
 _KEEP_SQL = "token long, sig long, n int, rank int"
 _BIN = pa.schema([("bin", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("token", "sig", "n", "rank"))])
 _BIN_SQL = "bin int, known boolean, token binary, sig binary, n binary, rank binary"
+_SEEDS = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
+
+
+def set_hashes(all_shingles: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of sets laid end to end, none of them empty."""
+    return mix(np.add.reduceat(mix(all_shingles ^ _SEEDS[seed]), start) + size.astype(U64)).view(np.int64)
+
+
+def set_hash(s: np.ndarray, seed: int = 0) -> int:
+    return int(set_hashes(s, np.zeros(1, np.int64), np.array([len(s)]), seed)[0])
 
 
-def set_hash(s: np.ndarray) -> int:
-    return int(mix(np.array([mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) + U64(len(s))]))[0].astype(np.int64))
+def class_of(s: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
+    made = set_hash(s)
+    return set_hash(s, 1) if made in clashes else made
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount((s >> U64(7)).astype(np.int64) & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+def _bitmaps(all_shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Per set the parities of its shingles in 512 cells, as eight numbers."""
+    owner = np.repeat(np.arange(len(size)) * 512, size)
+    odd = np.bincount(owner + ((all_shingles >> U64(7)) & U64(511)).astype(np.int64), minlength=512 * len(size)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def class_table(docs: DataFrame, ngram: int) -> DataFrame:
-    """doc_id, n, sig, bits for every document, and rows of the sketch (block, counts) in the same table."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("bits", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
+    """doc_id, n, sig, other (second hash), bits of every document, and rows of the sketch (block, counts)."""
+    kinds = {"doc_id": pa.int64(), "n": pa.int32(), "sig": pa.int64(), "other": pa.int64(), "bits": pa.list_(pa.int64()), "block": pa.int32(), "counts": pa.binary()}
+    rows = lambda size, **cols: pa.RecordBatch.from_arrays([(cols[c] if isinstance(cols[c], pa.Array) else pa.array(cols[c], t)) if c in cols else pa.nulls(size, t) for c, t in kinds.items()], list(kinds))
 
     def run(batches):
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for whole in batches:
             for batch in sliced(whole, 1):
-                n, sig, bits = [], [], []
-                for _, s in shingle_sets(word_table(*text_buffers(batch.column(1)), lower=True), batch.num_rows, ngram):
-                    n.append(len(s))
-                    sig.append(set_hash(s) if len(s) else None)
-                    bits.append(_bitmap(s) if len(s) else None)
-                    np.add.at(cells, (s >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                k = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+                made = [s for _, s in shingle_sets(word_table(*text_buffers(batch.column(1)), lower=True), batch.num_rows, ngram)]
+                n = np.array([len(s) for s in made])
+                full = n > 0
+                if not full.any():
+                    yield rows(batch.num_rows, doc_id=batch.column(0), n=n)
+                    continue
+                flat, size = np.concatenate(made), n[full]
+                np.add.at(cells, (flat >> U64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                index = np.where(full, np.cumsum(full) - 1, 0)
+                spread = lambda x: pa.array(x[index], mask=~full)
+                hashes = (spread(set_hashes(flat, np.cumsum(size) - size, size, seed)) for seed in (0, 1))
+                held = pa.array(np.append(0, np.cumsum(8 * full)), pa.int32(), mask=np.append(~full, False))
+                bits = pa.ListArray.from_arrays(held, pa.array(_bitmaps(flat, size)))
+                yield rows(batch.num_rows, doc_id=batch.column(0), n=n, sig=next(hashes), other=next(hashes), bits=bits)
         blocks = [i for i in range(len(cells) // _BLOCK) if cells[i * _BLOCK : (i + 1) * _BLOCK].any()]
-        m = len(blocks)
-        if m:
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(blocks, pa.int32()), pa.array([packed(cells[i * _BLOCK : (i + 1) * _BLOCK], "<u4") for i in blocks], pa.binary())], schema=schema)
+        if blocks:
+            yield rows(len(blocks), block=blocks, counts=[packed(cells[i * _BLOCK : (i + 1) * _BLOCK], "<u4") for i in blocks])
+
+    fields = "doc_id long, n int, sig long, other long, bits array<long>, block int, counts binary"
+    return docs.select("doc_id", "text").mapInArrow(run, fields)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig long, bits array<long>, block int, counts binary")
+
+def find_clashes(rows: DataFrame) -> frozenset[int]:
+    """Hashes that unequal sets share: N * N / 2**65 are expected of N sets, so some hundred of 10**11."""
+    both = rows.where("sig is not null").groupBy("sig").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    return frozenset(r["sig"] for r in both.where("lo <> hi").select("sig").collect())
 
 
 def sketch_levels(table: DataFrame) -> np.ndarray:
@@ -89,21 +128,21 @@ def sketch_levels(table: DataFrame) -> np.ndarray:
     return out
 
 
-def shared_tokens(docs: DataFrame, levels, ngram: int, percent: int, bins: int) -> DataFrame:
+def shared_tokens(docs: DataFrame, levels, ngram: int, percent: int, bins: int, clashes: frozenset[int] = frozenset()) -> DataFrame:
     """token, sig, n, rank: prefix shingles (with one more than a single shared one needs) that two or more classes hold."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def emit(batches):
         level = table.value
         for whole in batches:
-            for batch in sliced(whole, 0):
+            for batch in sliced(whole, 0, _BATCH):
                 tokens, sigs, sizes, ranks, seen = [], [], [], [], set()
                 for _, s in shingle_sets(word_table(*text_buffers(batch.column(0)), lower=True), batch.num_rows, ngram):
                     n = len(s)
                     size = n - -(-percent * n // 100) + 2
                     if n * (100 - percent) < percent:  # no set of another size or content can link
                         continue
-                    sig = set_hash(s)
+                    sig = class_of(s, clashes)
                     if sig in seen:
                         continue
                     seen.add(sig)
@@ -129,9 +168,9 @@ def shared_tokens(docs: DataFrame, levels, ngram: int, percent: int, bins: int)
                 yield from _packed_rows(again, spread, True, token, sig, n, rank, settled=True)
 
     def settle(group: pa.Table) -> pa.Table:
-        known = np.repeat(group["known"].to_numpy(), [len(x) // 8 for x in group["sig"].to_pylist()])
-        token, sig = (np.concatenate([np.frombuffer(x, "<i8") for x in group[c].to_pylist()]) for c in ("token", "sig"))
-        n, rank = (np.concatenate([np.frombuffer(x, "<i4") for x in group[c].to_pylist()]) for c in ("n", "rank"))
+        known = np.repeat(group["known"].to_numpy(), np.diff(text_buffers(group["sig"])[1]) // 8)
+        token, sig = (unpacked(group[c], "<i8") for c in ("token", "sig"))
+        n, rank = (unpacked(group[c], "<i4") for c in ("n", "rank"))
         order = np.argsort(token, kind="stable")
         ts = token[order]
         same = ts[1:] == ts[:-1]
@@ -139,7 +178,7 @@ def shared_tokens(docs: DataFrame, levels, ngram: int, percent: int, bins: int)
         at = order[keep]
         return pa.table([pa.array(x[at]) for x in (token, sig, n, rank)], schema=_KEEP)
 
-    return docs.select("text").mapInArrow(emit, _BIN_SQL).groupBy("bin").applyInArrow(settle, _KEEP_SQL)
+    return docs.where("doc_id is not null").select("text").mapInArrow(emit, _BIN_SQL).groupBy("bin").applyInArrow(settle, _KEEP_SQL)
 
 
 def _packed_rows(mask, bins, known, token, sig, n, rank, settled=False):
@@ -157,30 +196,154 @@ def _packed_rows(mask, bins, known, token, sig, n, rank, settled=False):
     )
 
 
-def boundary(tokens: DataFrame, percent: int) -> int:
-    """Set size up to which subsets cost less than scanned lists: least total over all sizes (geometric size classes)."""
-    lists = tokens.groupBy("token").agg(F.count("*").alias("len"))
-    per_set = tokens.join(lists, "token").groupBy("sig", "n").agg(F.sum("len").alias("scan"), F.count("*").alias("r"))
+class Boundary(NamedTuple):
+    """Sets up to `size` use subsets; cost of all scanned lists, of the choice made, sets on either side, number of keys."""
+
+    size: int
+    scan_all: float
+    cost: float
+    small: int
+    large: int
+    keys: int
+
+
+def prefixes(lists: DataFrame, reps: DataFrame) -> DataFrame:
+    """One row per class: sig, n, root, doc_id, bits, and its shingles `t` (len of the list, key, rank), at most its prefix."""
+    lens = lists.groupBy("key").agg(F.count("*").alias("len"))
+    held = lists.join(lens, "key").groupBy("sig", "root").agg(F.collect_list(F.struct("len", "key", "rank")).alias("t"))
+    return held.join(reps, "sig").select("sig", "n", "root", "doc_id", "bits", "t.key", "t.rank", "t.len")
+
+
+def boundary(classes: DataFrame, percent: int) -> Boundary:
+    """The set size up to which subsets cost less than scanned lists: least total over all sizes (geometric classes)."""
     step = F.floor(F.log("n") / np.log(100 / percent)).alias("step")
-    rows = per_set.groupBy(step).agg(F.sum("scan").alias("scan"), F.sum(F.expr("r * (r - 1) / 2")).alias("enum"), F.max("n").alias("top")).orderBy("step").collect()
-    best, cost, at = 0, sum(r["scan"] for r in rows), sum(r["scan"] for r in rows)
-    for r in rows:  # one row per size class: at most a few hundred
+    per_set = classes.select("n", step, F.size("key").cast("double").alias("r"), F.aggregate("len", F.lit(0).cast("double"), lambda x, y: x + y).alias("scan"))
+    sums = F.sum("scan").alias("scan"), F.sum(F.expr("r * (r - 1) / 2")).alias("enum"), F.max("n").alias("top"), F.count("*").alias("sets"), F.sum("r").alias("r")
+    rows = per_set.groupBy("step").agg(*sums).orderBy("step").collect()  # one row per size class: at most a few hundred
+    total = at = sum(r["scan"] for r in rows)
+    keys = listed = sum(r["r"] for r in rows)
+    best, cost, small, below = 0, total, 0, 0
+    for r in rows:
         at += r["enum"] - r["scan"]
+        listed += r["enum"] - r["r"]
+        below += r["sets"]
         if at < cost:
-            best, cost = r["top"], at
-    return best
+            best, cost, small, keys = r["top"], at, below, listed
+    return Boundary(best, total, cost, small, below - small, int(keys))
+
+
+def _keys_of(n: int, key: np.ndarray, rank: np.ndarray, lens: np.ndarray, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set and how long their lists may be: 2-subsets up to `limit` / t, single shingles above `limit`."""
+    made = []
+    if n > limit:
+        own = rank < n - -(-percent * n // 100) + 1
+        made.append((mix(key[own].view(U64)), lens[own]))
+    if 100 * n <= 100 * limit * 100 / percent:
+        order = np.argsort(key)
+        key, lens = key[order].view(U64), lens[order]
+        i, j = np.triu_indices(len(key), 1)
+        made.append((mix(key[i] * U64(3) ^ mix(key[j])), np.minimum(lens[i], lens[j])))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+
+def _blocked(keys: np.ndarray, lens: np.ndarray, sig: int, hot: int) -> np.ndarray:
+    """Keys of the blocks that a set joins: a list that may be over `hot` long is cut into parts, and every two parts meet."""
+    parts = -(-lens // hot)
+    if parts.max(initial=1) == 1:
+        return keys
+    out = [keys[parts == 1]]
+    for k, s in zip(keys[parts > 1], parts[parts > 1].tolist(), strict=True):
+        own = int(mix(np.array([sig], np.int64).view(U64))[0] % U64(s))
+        other = np.arange(s)
+        out.append(mix(k ^ mix((np.minimum(other, own) * s + np.maximum(other, own)).astype(U64) + U64(1))))
+    return np.concatenate(out)
+
 
+_SETS = (("sig", "<i8"), ("root", "<i8"), ("doc", "<i8"), ("n", "<i4"), ("bits", "<u8"))
+_MEET = pa.schema([("bin", pa.int32()), ("key", pa.binary()), ("of", pa.binary()), *((c, pa.binary()) for c, _ in _SETS)])
 
-def join_keys(tokens: DataFrame, limit: int, percent: int) -> DataFrame:
-    """key, sig, n: 2-subsets for sets up to `limit` (and up to limit / t), single shingles for sets above `limit`."""
-    single = tokens.where((F.col("n") > limit) & (F.col("rank") < F.expr(f"n - ceil({percent} * n / 100.0) + 1"))).select(F.xxhash64("token").alias("key"), "sig", "n")
-    small = tokens.where(F.col("n") <= F.lit(limit) * 100 / percent)
-    mine = small.groupBy("sig", "n").agg(F.sort_array(F.collect_set("token")).alias("t"))  # a set's own prefix
-    first = mine.select("sig", "n", "t", F.posexplode("t").alias("i", "a"))
-    pairs = first.select("sig", "n", "a", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("b"))
-    keys = single.union(pairs.select(F.xxhash64("a", "b").alias("key"), "sig", "n")).distinct()
-    lists = keys.groupBy("key").agg(F.count("*").alias("len")).where("len > 1")
-    return keys.join(lists, "key")
+
+def list_pairs(classes: DataFrame, limit: int, percent: int, bins: int, hot: int = HOT) -> DataFrame:
+    """a, b, da, db: all pairs of classes in one key's list that are in different components and may link.
+
+    Keys go to bins in packed rows: a Spark row holds the keys of one batch and bin with the sets that have them.
+    """
+
+    def emit(batches):
+        for batch in batches:
+            cols = [batch.column(i) for i in range(batch.num_columns)]
+            sig, n, root, doc = (c.to_numpy() for c in cols[:4])
+            bits = cols[4].flatten().to_numpy().reshape(-1, 8)
+            at = cols[5].offsets.to_numpy() - cols[5].offsets[0].as_py()
+            key, rank, lens = (c.flatten().to_numpy() for c in cols[5:])
+            made = [_keys_of(int(n[i]), *(x[at[i] : at[i + 1]] for x in (key, rank, lens)), limit, percent) for i in range(len(sig))]
+            held = [_blocked(*m, int(sig[i]), hot) for i, m in enumerate(made)]
+            keys, of = np.concatenate([*held, np.zeros(0, U64)]), np.repeat(np.arange(len(held)), [len(h) for h in held])
+            home = (keys >> U64(20)) % U64(bins)
+            order = np.argsort(home, kind="stable")
+            keys, of, home = keys[order], of[order], home[order]
+            cuts = np.flatnonzero(np.diff(home, prepend=U64(bins + 1), append=U64(bins + 1)))
+            rows = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                used, index = np.unique(of[a:b], return_inverse=True)
+                sets = (sig[used], root[used], doc[used], n[used], bits[used])
+                rows.append((int(home[a]), packed(keys[a:b]), packed(index, "<i4"), *(packed(x, t) for x, (_, t) in zip(sets, _SETS, strict=True))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MEET.types, strict=True)], schema=_MEET)
+
+    def meet(group: pa.Table) -> pa.Table:
+        sizes = np.diff(text_buffers(group["sig"])[1]) // 8
+        sig, root, doc, n, bits = (unpacked(group[c], t) for c, t in _SETS)
+        bits, n = bits.reshape(-1, 8), n.astype(np.int64)
+        of = unpacked(group["of"], "<i4") + np.repeat(np.cumsum(sizes) - sizes, np.diff(text_buffers(group["of"])[1]) // 4)
+        key = unpacked(group["key"], "<u8")
+        order = np.argsort(key, kind="stable")
+        key, of = key[order], of[order]
+        found = []
+
+        def check(a, b):
+            """Keeps the pairs (indexes of sets) whose components differ and whose sizes and bitmaps allow a link."""
+            ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
+            total = n[a] + n[b]
+            ok = np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= total - 2 * -(-percent * total // (100 + percent))
+            a, b = a[ok], b[ok]
+            if len(a):
+                turn = sig[a] > sig[b]
+                found.append((np.where(turn, b, a), np.where(turn, a, b)))
+
+        start = np.flatnonzero(np.diff(key, prepend=key[:1] + U64(1)))
+        size = np.diff(np.append(start, len(key)))
+        apart = np.minimum.reduceat(root[of], start) != np.maximum.reduceat(root[of], start)
+        for width in range(2, SHORT + 1):
+            first = start[apart & (size == width)]
+            for i in range(width):
+                for j in range(i + 1, width):
+                    check(of[first + i], of[first + j])
+        for a, m in zip(start[apart & (size > SHORT)].tolist(), size[apart & (size > SHORT)].tolist(), strict=True):
+            mine = of[a : a + m]
+            for i in range(0, m, SIDE):
+                for j in range(i, m, SIDE):
+                    x, y = mine[i : i + SIDE], mine[j : j + SIDE]
+                    p, q = np.triu_indices(len(x), 1) if i == j else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
+                    check(x[p], y[q])
+            if len(found) > 1000:
+                found[:] = [_distinct(sig, found)]
+        a, b = _distinct(sig, found)
+        return pa.table({"a": sig[a], "b": sig[b], "da": doc[a], "db": doc[b]})
+
+    made = classes.mapInArrow(emit, "bin int, key binary, of binary, sig binary, root binary, doc binary, n binary, bits binary")
+    return made.groupBy("bin").applyInArrow(meet, "a long, b long, da long, db long").distinct()
+
+
+def _distinct(sig: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray]:
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((sig[b], sig[a]))
+    a, b = a[order], b[order]
+    keep = np.concatenate(([True], (sig[a][1:] != sig[a][:-1]) | (sig[b][1:] != sig[b][:-1])))
+    return a[keep], b[keep]
 
 
 def _may_link(percent: int):
@@ -192,42 +355,53 @@ def _may_link(percent: int):
 
 
 def _with_bits(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may link. Sizes and bitmaps are joined to distinct pairs, not to every row of the lists."""
-    left, right = (reps.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").where(_may_link(percent)).select("a", "b")
+    """Pairs (a, b) that may link, with a document of either. Sizes and bitmaps are joined to distinct pairs only."""
+    side = lambda x: reps.select(F.col("sig").alias(x), F.col("doc_id").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b", "da", "db")
 
 
-def hub_pairs(members: DataFrame, reps: DataFrame, hubs: int, seed: int, percent: int) -> DataFrame:
-    """Every member (key, sig, root) with up to `hubs` classes of its list, if they may link and are not joined yet.
+def hub_pairs(members: DataFrame, first) -> DataFrame:
+    """(a, b): every member (key, sig, root) with the hub of its list, if they are not joined yet.
 
-    With seed 0 a class tends to be the hub of all its lists, which makes few pairs; later seeds choose anew for every
-    list, so that a member meets other classes in each of its lists.
+    The hub is the member with the least `first` (columns).
     """
-    by = ["sig"] if seed == 0 else ["sig", "key"]
-    pick = lambda i: F.min(F.struct(F.xxhash64(*by, F.lit(seed + i)).alias("h"), F.struct("sig", "root").alias("x")))
-    chosen = members.groupBy("key").agg(*(pick(i).alias(f"h{i}") for i in range(hubs)))
-    one = chosen.select("key", F.array_distinct(F.array(*(F.col(f"h{i}.x") for i in range(hubs)))).alias("hubs"))
-    met = members.join(one, "key").select("sig", "root", F.explode("hubs").alias("hub")).where("root <> hub.root")
-    pairs = met.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct()
-    return _with_bits(pairs, reps, percent)
+    hubs = members.groupBy("key").agg(F.min(F.struct(*first, "sig", "root")).alias("hub")).select("key", "hub.sig", "hub.root").toDF("key", "b", "hub_root")
+    return members.join(hubs, "key").where("root <> hub_root").select(F.col("sig").alias("a"), "b").distinct()
 
 
-def all_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a key's list in different components that may link. Lists are cut into bands of set sizes first."""
-    band = lambda c: F.floor(F.log(c) / np.log(100 / percent)).cast("int")
-    full = members.join(reps.select("sig", "n", "bits"), "sig")
-    side = lambda x: full.select("key", F.col("sig").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
-    left = side("a").withColumn("band", band("na"))
-    right = side("b").withColumn("band", F.explode(F.array(*(band("nb") + i for i in (-1, 0, 1)))))
-    met = left.join(right, (left["key"] == right["key"]) & (left["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(percent))
-    return met.select("a", "b").distinct()
+def linked(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, clashes: frozenset[int]) -> DataFrame:
+    """u, v: the pairs (a, b, da, db) whose sets, made again from the texts of da and db, are similar enough.
 
+    Texts are smaller than their shingles, so texts are shuffled, and only those that some pair needs.
+    """
+    texts = wanted_texts(docs, pairs.select(F.col("da").alias("doc_id")).union(pairs.select("db")).distinct())
+    left, right = (texts.select(F.col("doc_id").alias(f"d{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+    both = pairs.join(left, "da").select("a", "b", "db", "ta").join(right, "db").select("a", "b", "ta", "tb")
+
+    def sets(batch, at):
+        found = shingle_sets(word_table(*text_buffers(batch.column(at)), lower=True), batch.num_rows, ngram)
+        return (s for _, s in found)
+
+    def run(batches):
+        for whole in batches:
+            for batch in sliced(whole, 2):
+                u, v, hub, known = [], [], None, None
+                asked = list(zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True))
+                for (a, b), x, i in zip(asked, sets(batch, 2), range(len(asked)), strict=True):
+                    if b != hub:
+                        hub, known = b, next(sets(batch.slice(i, 1), 3))
+                    if class_of(known, clashes) != b:  # another row with the same doc_id
+                        hub = None
+                        continue
+                    if class_of(x, clashes) != a:
+                        continue
+                    common = len(x) + len(known) - len(np.union1d(x, known))
+                    if 100 * common >= percent * (len(x) + len(known) - common):
+                        u.append(a)
+                        v.append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left, right = (sets.select(F.col("sig").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return both.mapInArrow(run, "u long, v long").distinct()
 
 
 def _marks(wanted: DataFrame, bits: int) -> np.ndarray:
@@ -240,11 +414,10 @@ def _marks(wanted: DataFrame, bits: int) -> np.ndarray:
     return out.view(U64)
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """sig, shingles of every class in `wanted` (sig, doc_id of a document that has it).
+def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text of documents, without most of those that are surely not `wanted` (doc_id).
 
-    Documents that are surely not wanted are left out by a broadcast bit array (16 bits a wanted row, 4 MB at most), so
-    that no text is shuffled; the join that follows is exact.
+    A broadcast bit array (16 bits a wanted row, 4 MB at most) tells; the join that follows is exact.
     """
     bits = 1 << min(25, max(16, (16 * wanted.count()).bit_length()))
     marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted, bits))
@@ -254,47 +427,55 @@ def set_table(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
         for whole in batches:
             cell = whole.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = (marked[cell >> 6] >> (cell & 63).astype(U64) & U64(1)).astype(bool)
-            for batch in sliced(whole.filter(pa.array(keep)), 1):
-                made = [(set_hash(s), s.view(np.int64)) for _, s in shingle_sets(word_table(*text_buffers(batch.column(1)), lower=True), batch.num_rows, ngram) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.list_(pa.int64()))], ["sig", "shingles"])
+            yield whole.filter(pa.array(keep)).drop_columns(["cell"])
 
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("cell")
-    made = docs.select(cell, "text").mapInArrow(run, "sig long, shingles array<long>")
-    return made.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    return docs.where("doc_id is not null").select(cell, "doc_id", "text").mapInArrow(run, "doc_id long, text string")
+
+
+def _mixed(lists: DataFrame, root: DataFrame | None) -> DataFrame:
+    """Rows (key, sig, ...) of the lists that are not within one component, with their component's `root`."""
+    joined = lists.join(root.withColumnRenamed("u", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    apart = joined.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return joined.join(apart, "key", "left_semi")
 
 
 def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) for every row of `docs` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     table = materialize(class_table(docs, ngram), "classes")
-    rows = table.where("block is null").select("doc_id", "n", "sig", "bits")
-    tokens = materialize(shared_tokens(docs, sketch_levels(table), ngram, percent, bins_for(docs)), "tokens")
-    keys = materialize(join_keys(tokens, boundary(tokens, percent), percent), "keys")
-    member = keys.select("sig").distinct()
+    rows = table.where("block is null").select("doc_id", "n", "sig", "other", "bits")
+    clashes = find_clashes(rows)
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("sig").isin(*clashes), F.col("other")).otherwise(F.col("sig")) if clashes else F.col("sig"))
+    rows = rows.select("doc_id", "n", own.alias("sig"), "bits")
+    tokens = materialize(shared_tokens(docs, sketch_levels(table), ngram, percent, bins_for(docs), clashes), "tokens")
+    member = tokens.select("sig").distinct()
     reps = rows.join(member, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     reps = materialize(reps, "representatives")
-    here = keys.select("key", "sig")
-    sets = links = tried = root = None
-    for turn, hubs in enumerate((*HUBS, None)):
-        if root is None:
-            members = here.withColumn("root", F.col("sig"))
-        else:
-            joined = here.join(root.withColumnRenamed("u", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-            mixed = joined.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            members = joined.join(mixed, "key", "left_semi")
-        pairs = all_pairs(members, reps, percent) if hubs is None else hub_pairs(members, reps, hubs, 16 * turn, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+
+    links = None
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Components of all links so far and of those among `pairs` (a, b, da, db)."""
+        nonlocal links
         pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("sig"), "sig", "left_anti")
-        more = materialize(set_table(docs, reps.join(wanted, "sig", "left_semi").select("sig", "doc_id"), ngram), "sets")
-        sets = more if sets is None else sets.union(more)
-        found = materialize(_links(pairs, sets, percent), "links")
+        found = materialize(linked(docs, pairs, ngram, percent, clashes), "links")
+        discard(pairs)
         links = found if links is None else links.union(found)
-        root = components(links)
+        return components(links)
+
+    lists = tokens.withColumnRenamed("token", "key")
+    members = lists.withColumn("root", F.col("sig"))
+    root = compare(_with_bits(hub_pairs(members, ["rank", F.xxhash64("sig")]), reps, percent))
+    left = materialize(_mixed(lists, root), "lists")
+    discard(tokens)
+    root = compare(_with_bits(hub_pairs(left, [F.xxhash64("sig", "key")]), reps, percent))
+    classes = materialize(prefixes(_mixed(left.drop("root"), root), reps), "prefixes")
+    discard(left)
+    limit = boundary(classes, percent)
+    root = compare(list_pairs(classes, limit.size, percent, max(128, limit.keys // KEYS_PER_BIN)))
+    discard(classes, reps)
     groups = rows.join(root.withColumnRenamed("u", "sig"), "sig", "left").withColumn("group", F.coalesce("root", "sig"))
     least = groups.where("sig is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     return groups.join(least, "group", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
@@ -305,9 +486,16 @@ def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(docs, ngram=4, percent=85)
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id: the least by all comparable columns, the text first."""
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
+    least = F.min_by(F.struct(*docs.columns), F.struct("text", *rest))
+    return docs.where("doc_id is not null").groupBy("doc_id").agg(least.alias("least")).select("least.*")
+
+
 def one_per_group(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without the members of a group other than the one with the least doc_id; repeated rows of it become one."""
     groups = jaccard_groups(docs, ngram, percent)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     loose = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(loose)
+    return one_per_id(docs.join(first, "doc_id", "left_semi")).select(*docs.columns).unionByName(loose)
