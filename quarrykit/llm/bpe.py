@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .kernels import sliced
 from .packing import tokenizer_file
-from .units import PartCache, id_bytes
+from .units import LONGEST, PartCache, id_bytes
 
 #: Fixed: how a byte-level BPE of this family cuts text into pieces.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,45 +47,65 @@ class BytePairs:
         self.first = [0] * 256
         for c, b in letter.items():
             self.first[b] = vocab[c]
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] << 32 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
+        #: Whether ids alone tell the order of merges and nothing but bytes, pieces and merges makes the ids.
+        self.plain = self._cuts_plainly(spec) and len(vocab) == 256 + len(self.made) and self.made == sorted(set(self.made)) and max(self.first) < self.made[0]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s.encode() for s, i in self.added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.piece = regex.compile(PIECE)
-        self.known = lru_cache(200_000)(self._piece)
+        self.cached = lru_cache(100_000)(self._piece)
+
+    @staticmethod
+    def _cuts_plainly(spec: dict) -> bool:
+        """No normalizer, the usual pieces without a prefix space, no option of the model that changes merges."""
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        return bool(usual) and not spec.get("normalizer") and model["type"] == "BPE" and not any(model.get(x) for x in options)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one piece."""
-        ids = [self.first[b] for b in data]
-        n, merges = len(ids), self.merges
+        first = self.first
+        ids = [first[b] for b in data]
+        n, rank_of, made = len(ids), self.ranks.get, self.made
         if n == 1:
             return ids
+        queue = [r * n + i for i in range(n - 1) if (r := rank_of(ids[i] << 32 | ids[i + 1])) is not None]  # rank, then position
+        if not queue:
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         push, pop = heapq.heappush, heapq.heappop
-        entries = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get(ids[i] << 32 | ids[i + 1]))]
-        heapq.heapify(entries)
-        while entries:
-            _, i, new, a, b = pop(entries)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+        heapq.heapify(queue)
+        while queue:
+            rank, i = divmod(pop(queue), n)
+            a, j = ids[i], after[i]
+            if a < 0 or j >= n or rank_of(a << 32 | ids[j]) != rank:
                 continue  # stale
-            ids[i], ids[j] = new, -1
+            new = ids[i] = made[rank]
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get(new << 32 | ids[k]):
-                    push(entries, (m[0], i, m[1], new, ids[k]))
+                if (r := rank_of(new << 32 | ids[k])) is not None:
+                    push(queue, r * n + i)
             h = before[i]
-            if h >= 0 and (m := merges.get(ids[h] << 32 | new)):
-                push(entries, (m[0], h, m[1], ids[h], new))
+            if h >= 0 and (r := rank_of(ids[h] << 32 | new)) is not None:
+                push(queue, r * n + h)
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
         return id_bytes(self.merge(piece.encode()))
 
+    def known(self, piece: str) -> bytes:
+        """Ids of a piece as bytes; long pieces are not kept."""
+        return self.cached(piece) if len(piece) <= LONGEST else self._piece(piece)
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not any(s in text for s in self.added):

@@ -2,10 +2,12 @@
 
 1. `tokenized_pieces`: each document's ids, then the separator id; only documents longer than a sequence are cut, with
    the shorter piece first.
-2. `plan`: works on the histogram of lengths, which has at most `size` rows whatever the input. From the longest length
-   down, the gap that a length leaves is looked up among single lengths, sums of two and sums of three; a combination
-   that fills it exactly is used as often as all its counts allow. Without one, the longest length that fits goes in
-   and the search goes on with what is left of the gap (best fit).
+2. `plan`: works on the histogram of lengths, which has at most `size` rows whatever the input. `SumIndex` knows for
+   every sum the pair of lengths that is available most often, and keeps up with the counts. From the longest length
+   down, the gap that a length leaves is looked up among single lengths, pairs and triples (a length and the pair for
+   the rest); a combination that fills it exactly is used as often as all its counts allow. A combination of short
+   pieces only is passed over (`SPARE`), as later gaps need them. Without one, the longest length that fits goes in and
+   the search goes on with what is left of the gap (best fit).
 3. `packed_pieces`: pieces are ranked within their length (salted, so that a length which a third of all pieces have is
    spread over many tasks) and rank ranges of the plan give sequence and offset.
 
@@ -15,16 +17,19 @@ occur; an empty table gives no rows; other columns than those named are ignored.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import sliced
-from .shared import materialize
-from .units import PartCache, id_bytes
+from .shared import bounded_batches, materialize
+from .units import id_bytes
 
 SEQUENCE, SEPARATOR = 1024, 2
+SPARE = 0.8
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -35,13 +40,12 @@ def tokenizer_file() -> str:
 
 
 def id_encoder(path: str):
-    """(string -> its ids as bytes, strings of added tokens) of a tokenizers JSON file, without special tokens.
+    """String -> its ids as bytes (little-endian unsigned 32-bit) by a tokenizers JSON file, without special tokens.
 
-    Where the file is a byte-level BPE whose ids follow its merge order, ordinary strings go through tiktoken with the
-    same vocabulary, which gives the same ids in half the time; all else goes through tokenizers itself.
+    Where the file is a plain byte-level BPE (no normalizer, no prefix space, merges in the order of their ids), ordinary
+    strings go through tiktoken with the same vocabulary, which gives the same ids in half the time; strings that hold an
+    added token, and all other files, go through tokenizers itself.
     """
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tiktoken
     from tokenizers import Tokenizer
@@ -53,26 +57,24 @@ def id_encoder(path: str):
     tokenizer.no_padding()
     whole = lambda text: id_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
     pairs = BytePairs(path)
+    if not pairs.plain:
+        return whole
     added = tuple(pairs.added)
-    made = [new for _, new in pairs.merges.values()]
-    plain = {s: i for i, s in pairs.strings.items() if i not in set(pairs.added.values())}
-    if len(plain) != 256 + len(made) or made != sorted(set(made)) or max(pairs.first) > made[0]:
-        return whole, added
-    ordinary = tiktoken.Encoding("byte pairs", pat_str=PIECE, mergeable_ranks=plain, special_tokens={}).encode_ordinary
-    return lambda text: whole(text) if any(s in text for s in added) else id_bytes(ordinary(text)), added
+    ranks = {s: i for i, s in pairs.strings.items() if i not in set(pairs.added.values())}
+    ordinary = tiktoken.Encoding("byte pairs", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: whole(text) if any(s in text for s in added) else id_bytes(ordinary(text))
 
 
 def tokenized_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) for every piece of `docs` (doc_id, text)."""
 
     def run(batches):
-        encode, special = id_encoder(path)
-        cache, end = PartCache(encode), np.array([separator], "<u4").tobytes()
+        encode, end = id_encoder(path), np.array([separator], "<u4").tobytes()
         for whole in batches:
             for batch in sliced(whole, 1):
                 rows = []
-                for doc, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1).to_pylist(), special), strict=True):
-                    ids += end
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = encode(text or "") + end
                     n, at, k = len(ids) // 4, 0, 0
                     while at < n:
                         to = at + ((n - at - 1) % size + 1)
@@ -85,70 +87,79 @@ def tokenized_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, separator
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-class _Stock:
-    """Available counts by length, and the exact complements among them."""
+class SumIndex:
+    """Available counts by length, and for every sum the pair of lengths of which most are available."""
 
     def __init__(self, counts: dict[int, int], size: int):
         self.left = np.zeros(size + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
-
-    def fill(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
-        """Up to `most` (three at the most) available lengths that sum to `gap`, the longest first."""
-        left = self.left
-        if gap <= 0:
+        self.often, self.first = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        for total in range(2, size + 1):
+            self._refresh(total)
+
+    def _refresh(self, total: int) -> None:
+        n = self.left[1:total]
+        often = np.minimum(n, n[::-1])
+        if total % 2 == 0:
+            often[total // 2 - 1] = n[total // 2 - 1] // 2
+        at = int(often.argmax())
+        self.often[total], self.first[total] = often[at], at + 1
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """Two available lengths of this sum. An entry whose counts have fallen below half is looked up anew."""
+        if total < 2 or not self.often[total]:
             return None
-        if left[gap]:
-            return (gap,)
-        pair = self._pair(gap) if most > 1 else None
-        if pair or most < 3:
-            return pair
-        for a in map(int, np.flatnonzero(left[:gap])[::-1]):
-            if 3 * a < gap:
-                break
-            left[a] -= 1
-            pair = self._pair(gap - a, a)
-            left[a] += 1
-            if pair:
-                return (a, *pair)
-        return None
-
-    def _pair(self, gap: int, most: int | None = None) -> tuple[int, int] | None:
-        if gap < 2:
+        a = int(self.first[total])
+        b = total - a
+        now = self.left[a] // 2 if a == b else min(self.left[a], self.left[b])
+        if not now or 2 * now < self.often[total]:
+            self._refresh(total)
+            a = int(self.first[total])
+            b = total - a
+        return (max(a, b), min(a, b)) if self.often[total] else None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """An available length and the pair for the rest of this sum."""
+        if total < 3:
             return None
-        have = self.left[: gap + 1] > 0
-        both = have & have[::-1]
-        both[0] = both[gap] = False
-        if gap % 2 == 0 and self.left[gap // 2] < 2:
-            both[gap // 2] = False
-        top = gap - 1 if most is None else min(most, gap - 1)
-        hit = np.flatnonzero(both[(gap + 1) // 2 : top + 1])
-        return (a := int(hit[-1]) + (gap + 1) // 2, int(gap) - a) if len(hit) else None
-
-
-def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences); uses every piece exactly once.
-
-    Filling with triples or pairs can use up short lengths that later gaps need, so plans with combinations of up to
-    three, two and one lengths are made, and the one with the fewest sequences counts.
-    """
-    return min((_plan(counts, size, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
-
+        often = np.minimum(self.left[1 : total - 1], self.often[total - 1 : 1 : -1])  # counts only fall: an upper bound
+        while (at := int(often.argmax())) >= 0 and often[at]:
+            self.left[at + 1] -= 1
+            self._refresh(total - at - 1)
+            rest = self.pair(total - at - 1)
+            self.left[at + 1] += 1
+            self._refresh(total - at - 1)
+            if rest:
+                return tuple(sorted((at + 1, *rest), reverse=True))
+            often[at] = 0
+        return None
 
-def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    stock, out = _Stock(counts, size), []
+    def longest(self, gap: int) -> int:
+        """The longest available length that fits, or 0."""
+        fits = np.flatnonzero(self.left[: gap + 1])
+        return int(fits[-1]) if len(fits) else 0
+
+    def fill(self, gap: int, spare: float) -> tuple[int, ...]:
+        """Lengths that fill the gap exactly, the longest of them at least `spare` times the longest that fits; else this one."""
+        best = self.longest(gap)
+        if best == gap:
+            return (gap,) if gap else ()
+        for made in (self.pair(gap), self.triple(gap)):
+            if made and made[0] >= spare * best:
+                return made
+        return (best,) if best else ()
+
+
+def plan(counts: dict[int, int], size: int = SEQUENCE, spare: float = SPARE) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of one sequence, how many such sequences); uses every piece exactly once."""
+    stock, out = SumIndex(counts, size), []
     left = stock.left
     for top in range(size, 0, -1):
         while left[top]:
             left[top] -= 1
             held, gap = [top], size - top
-            while gap:
-                more = stock.fill(gap, most)
-                if more is None:
-                    fits = np.flatnonzero(left[: gap + 1])
-                    if not len(fits):
-                        break
-                    more = (int(fits[-1]),)
+            while more := stock.fill(gap, spare):
                 for x in more:
                     left[x] -= 1
                 held += more
@@ -180,12 +191,13 @@ def packed_pieces(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     before = group.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
     ranked = salted.withColumn("_in", inside).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in"))
-    placed = ranked.join(ranges, "length").where("_rank >= lo and _rank < hi")
+    placed = ranked.join(F.broadcast(ranges), "length").where("_rank >= lo and _rank < hi")  # as large as the plan, whatever the input
     return placed.withColumn("sequence_id", F.col("first") + F.col("_rank") - F.col("lo")).drop("_salt", "_in", "_before", "_rank", "lo", "hi", "first")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, separator: int = SEPARATOR, digest: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids (or with `digest` only ids_crc32), sequence_id, offset."""
+    bounded_batches(docs.sparkSession)
     pieces = tokenized_pieces(docs, path or tokenizer_file(), size, separator)
     if digest:
         pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

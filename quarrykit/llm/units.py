@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable
 
 ODD = re.compile(r"^\s|\s\s|\s\Z")
 CACHED = 300_000  # parts kept per generation and task
+LONGEST = 64  # characters of a part that is kept: so a cache's bytes are bounded too
 
 
 def id_bytes(ids: list[int]) -> bytes:
@@ -55,6 +56,8 @@ class PartCache(dict):
                 ids = self[part[:-1]] + self.marks[part[-1]]
             else:
                 ids = self.encode(real(part))
+        if len(part) > LONGEST:
+            return ids
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

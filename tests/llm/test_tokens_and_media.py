@@ -28,8 +28,8 @@ def pairs():
 def test_bpe_equals_library(text):
     t, p = Tokenizer.from_file(packing.tokenizer_file()), test_bpe_equals_library.__dict__.setdefault("p", bpe.BytePairs(packing.tokenizer_file()))
     want = t.encode(text, add_special_tokens=False).ids
-    for encode, special in ((p.encode, tuple(p.added)), packing.id_encoder(packing.tokenizer_file())):
-        (got,) = units.PartCache(encode, limit=4).ids([text], special)
+    (cached,) = units.PartCache(p.encode, limit=4).ids([text], tuple(p.added))
+    for got in (cached, p.encode(text), packing.id_encoder(packing.tokenizer_file())(text)):
         assert np.frombuffer(got, "<u4").tolist() == want
         assert p.decode(got) == text
 
@@ -58,6 +58,53 @@ def test_plan():
     assert sum(n for _, n in packing.plan({512: 7})) == 4 and packing.plan({}) == []
 
 
+def test_plan_uses_combinations(spark):
+    """Close to the least number of sequences that all tokens need, with pairs and triples that fill gaps exactly."""
+    encode = packing.id_encoder(packing.tokenizer_file())
+    sizes = [len(encode(r["text"] or "")) // 4 + 1 for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    counts = {}
+    for n in sizes:
+        for x in [(n - 1) % 1024 + 1, *[1024] * ((n - 1) // 1024)]:
+            counts[x] = counts.get(x, 0) + 1
+    made = packing.plan(counts)
+    least = -(-sum(sizes) // 1024)
+    assert least <= sum(n for _, n in made) <= least + 1
+    assert sum(n for lengths, n in made if len(lengths) > 2 and sum(lengths) == 1024) > 30
+
+
+def test_sum_index():
+    """Pairs and triples against all combinations, while counts fall."""
+    rng = random.Random(2)
+    for _ in range(60):
+        counts = {rng.randrange(1, 30): rng.randrange(1, 4) for _ in range(8)}
+        index = packing.SumIndex(counts, 40)
+        while index.left.any():
+            have = [x for x in range(41) for _ in range(index.left[x])]
+            pairs = {have[i] + have[j] for i in range(len(have)) for j in range(i)}
+            triples = {have[i] + have[j] + have[k] for i in range(len(have)) for j in range(i) for k in range(j)}
+            for total in range(1, 41):
+                for made, sums in ((index.pair(total), pairs), (index.triple(total), triples)):
+                    assert (made is not None) == (total in sums) and (made is None or sum(made) == total)
+                    assert made is None or all(index.left[x] >= made.count(x) for x in made)
+            index.left[rng.choice(have)] -= 1
+
+
+def test_other_tokenizer_files(tmp_path):
+    """Files whose options change the ids are left to the library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(packing.tokenizer_file()))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"model": {**spec["model"], "ignore_merges": True}}):
+        path = str(tmp_path / "other.json")
+        json.dump({**spec, **change}, open(path, "w"))
+        assert not bpe.BytePairs(path).plain
+        text = "Hello the World  again"
+        assert np.frombuffer(packing.id_encoder(path)(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert bpe.BytePairs(packing.tokenizer_file()).plain
+
+
 def check_packing(rows, texts, tokenizer):
     by_doc, by_sequence = {}, {}
     for r in rows:
