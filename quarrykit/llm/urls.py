@@ -2,7 +2,9 @@
 
 Labelled page outcomes are counted per host. Good rates shrink through beta-binomial priors: the suffix towards all
 pages, the registered domain towards its suffix, the host towards its domain. How strongly is estimated at every level by
-moments of the groups' rates. A host is blocked when the upper bound of its posterior good rate is under `limit`.
+moments of the groups' rates. A host is blocked when the upper bound of its posterior good rate (a beta quantile) is
+under the limit, which the data set: the good rate of all labelled pages less `margin`. So a host goes when it is worse
+than pages in general beyond doubt, whether labels are mostly good or mostly bad.
 
 All DataFrame operations. Hosts and rules meet through the host's own suffixes, once per distinct host; pages meet the
 host table in one join, whose hot hosts the engine may split.
@@ -21,7 +23,7 @@ from .shared import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-LIMIT, Z = 0.5, 1.96
+MARGIN, Z = 0.0, 1.645  # Z: 95 % of the posterior lies under the upper bound
 LEAST, MOST = 2.0, 1000.0  # range of a prior's strength in pages
 
 
@@ -54,7 +56,8 @@ def _strength(groups: DataFrame, by: list[str]) -> DataFrame:
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame, double_suffixes: list[str] | None = None) -> DataFrame:
-    """Mean and deviation of the posterior good rate of all `hosts` (host) and of `outcomes` (host, good: 0 or 1)."""
+    """Posterior good rate of all `hosts` (host) and of `outcomes` (host, good: 0 or 1): mean, a and b of the beta
+    distribution, and `whole`, the good rate of all outcomes."""
     domain, suffix = registered_domain(F.col("host"), double_suffixes)
     counted = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.sum("good").alias("good"))
     every = hosts.select("host").union(counted.select("host")).distinct()
@@ -73,8 +76,24 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, double_suffixes: list
     s_rate = shrunk(s, whole, [], "rate").select("suffix", F.col("rate").alias("prior"))
     d_rate = shrunk(d, s_rate, ["suffix"], "rate").select("suffix", "domain", F.col("rate").alias("prior"))
     h_rate = shrunk(h, d_rate, ["suffix", "domain"], "mean")
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("k") + 1))
-    return h_rate.select("host", "domain", "suffix", "n", "good", "mean", sd.alias("deviation"))
+    a, b = F.col("mean") * (F.col("n") + F.col("k")), (1 - F.col("mean")) * (F.col("n") + F.col("k"))
+    rated = h_rate.select("host", "domain", "suffix", "n", "good", "mean", a.alias("a"), b.alias("b"))
+    return rated.join(F.broadcast(whole.select(F.col("prior").alias("whole"))))  # one row
+
+
+def beta_bound(a: Column, b: Column, z: float) -> Column:
+    """Quantile of a beta distribution: its log-odds have mean psi(a) - psi(b) and variance psi'(a) + psi'(b), and are nearly
+    normal. Both functions come from their series at x + 6, stepped back six times."""
+
+    def digamma(x: Column) -> Column:
+        y = x + 6
+        return F.log(y) - 0.5 / y - 1 / (12 * y**2) + 1 / (120 * y**4) - sum((1 / (x + i) for i in range(6)), F.lit(0.0))
+
+    def trigamma(x: Column) -> Column:
+        y = x + 6
+        return 1 / y + 0.5 / y**2 + 1 / (6 * y**3) - 1 / (30 * y**5) + sum((1 / (x + i) ** 2 for i in range(6)), F.lit(0.0))
+
+    return 1 / (1 + F.exp(-(digamma(a) - digamma(b) + z * F.sqrt(trigamma(a) + trigamma(b)))))
 
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -85,16 +104,16 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("host").agg(F.sort_array(F.collect_set(F.struct(F.length("rule").alias("length"), "rule", "path", "action")), asc=False).alias("rules"))
 
 
-def judge_pages(pages: DataFrame, rules: DataFrame, outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: DataFrame, outcomes: DataFrame, margin: float = MARGIN, z: float = Z) -> DataFrame:
     """page_id, host, path, rule, verdict, good_rate, upper_bound for every row of `pages` (page_id, url)."""
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     hosts = parsed.select("host").distinct()
     known = host_reputation(outcomes, hosts).join(host_rules(hosts, rules), "host", "left")
     fit = F.element_at(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), 1)
-    upper = F.least(F.col("mean") + z * F.col("deviation"), F.lit(1.0))
+    upper = beta_bound(F.col("a"), F.col("b"), z)
     made = parsed.join(known, "host", "left").withColumn("_fit", F.when(F.exists("rules", lambda r: F.startswith(F.col("path"), r["path"])), fit))
-    own = F.when(upper < limit, "block").otherwise("allow")
+    own = F.when(upper < F.col("whole") - margin, "block").otherwise("allow")
     return made.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(F.col("_fit.action"), own).alias("verdict"), F.col("mean").alias("good_rate"), upper.alias("upper_bound"))
 
 
@@ -121,6 +140,9 @@ def _level(name: str, keys: str, parent: str, on: str) -> str:
 {name}r AS (SELECT {keys}, n, k, (good + k * prior) / (n + k) AS prior FROM {name}p, {name}k)"""
 
 
+_DIGAMMA = "ln({x} + 6) - 0.5 / ({x} + 6) - 1 / (12 * ({x} + 6) ** 2) + 1 / (120 * ({x} + 6) ** 4)" + "".join(f" - 1 / ({{x}} + {i})" for i in range(6))
+_TRIGAMMA = "1 / ({x} + 6) + 0.5 / ({x} + 6) ** 2 + 1 / (6 * ({x} + 6) ** 3) - 1 / (30 * ({x} + 6) ** 5)" + "".join(f" + 1 / ({{x}} + {i}) ** 2" for i in range(6))
+
 ORACLE = f"""
 WITH u AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
@@ -133,7 +155,8 @@ w AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS prior FROM s),
 {_level("s", "suffix", "w", "true")},
 {_level("d", "suffix, domain", "sr", "x.suffix = p.suffix")},
 {_level("h", "host", "dr", "x.suffix = p.suffix AND x.domain = p.domain")},
-v AS (SELECT host, CASE WHEN least(prior + {Z} * sqrt(prior * (1 - prior) / (n + k + 1)), 1) < {LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM hr),
+b AS (SELECT host, prior * (n + k) AS a, (1 - prior) * (n + k) AS b FROM hr),
+v AS (SELECT host, CASE WHEN 1 / (1 + exp(-({_DIGAMMA.format(x="a")} - ({_DIGAMMA.format(x="b")}) + {Z} * sqrt({_TRIGAMMA.format(x="a")} + {_TRIGAMMA.format(x="b")})))) < prior - {MARGIN} THEN 'block' ELSE 'allow' END AS verdict FROM b, w),
 rules(action, rule, rhost, rpath) AS (VALUES {", ".join(f"('{a}', '{r}', '{r.split('/')[0]}', '/{r.split('/', 1)[1]}')" for a, r in RULES)}),
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.action, v.verdict) AS verdict FROM p LEFT JOIN m USING (page_id) JOIN v USING (host)

@@ -211,6 +211,28 @@ def test_reputation_blocks_bad_hosts(spark):
     assert {r["host"]: r["verdict"] for r in made.collect()} == {"h1.good.org": "allow", "bad.evil.org": "block", "unseen.net": "allow"}
 
 
+def test_reputation_on_given_pages(spark):
+    """Hosts of the given pages differ by chance only; one whose labels are turned bad is blocked by evidence alone."""
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    outcomes = urls.page_outcomes(pages, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    worst = Counter(r["host"] for r in outcomes).most_common(1)[0][0]
+    none = spark.createDataFrame([], "action string, rule string")
+    for planted, blocked in ((None, set()), (worst, {worst})):
+        rows = [(r["host"], 0 if r["host"] == planted else r["good"]) for r in outcomes]
+        made = urls.judge_pages(pages, none, spark.createDataFrame(rows, "host string, good long"))
+        assert {r["host"] for r in made.where("verdict = 'block'").select("host").distinct().collect()} == blocked
+
+
+def test_beta_bound(spark):
+    """Against quantiles of samples."""
+    rng = np.random.default_rng(3)
+    cases = [(0.7, 0.4), (1.0, 1.0), (5.5, 2.0), (60.0, 9.0), (900.0, 140.0)]
+    made = spark.createDataFrame(cases, "a double, b double").select(urls.beta_bound(F.col("a"), F.col("b"), urls.Z).alias("q")).collect()
+    for (a, b), r in zip(cases, made, strict=True):
+        assert abs((rng.beta(a, b, 200_000) <= r["q"]).mean() - 0.95) < 0.03
+
+
 @pytest.fixture(scope="module")
 def scanner(spark):
     return licences.Scanner(spark, spark.read.parquet(f"{SF}/documents.parquet"), 800)
