@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,40 +31,45 @@ def chunk_fixed(articles: DataFrame, chunk_size: int = 1000, overlap: int = 200,
     return _finish(rows, "fixed_size", f"size={chunk_size},overlap={overlap},min={min_chunk_size}")
 
 
-def _paragraph_groups(text: Column, target: int) -> Column:
-    """Paragraphs with offsets and the number of the chunk they belong to, by one fold over the split text."""
-    parts = F.split(text, "\n\n")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<struct<chunk:int,start:int,end:int,text:string>>").alias("out"))
+def _paragraph_groups(target: int):
+    """(lengths of paragraphs, lengths without outer white space) -> chunks by first and last paragraph and offsets.
 
-    def add(state: Column, part: Column) -> Column:
-        clean = strip_space(part)
-        size = F.length(clean)
-        start, end = state["at"], state["at"] + F.length(part)
-        blank = size == 0
-        flush = (state["used"] > 0) & (state["used"] + size > target)
-        chunk = F.when(flush, state["chunk"] + 1).otherwise(state["chunk"])
-        item = F.struct(chunk.alias("chunk"), start.alias("start"), end.alias("end"), clean.alias("text"))
-        return F.struct(
-            (end + 2).alias("at"), F.when(blank, state["used"]).when(flush, size).otherwise(state["used"] + size).alias("used"),
-            F.when(blank, state["chunk"]).otherwise(chunk).alias("chunk"), F.when(blank, state["out"]).otherwise(F.concat(state["out"], F.array(item))).alias("out"),
-        )
+    A paragraph joins the open chunk unless that would pass `target`: a running sum that starts anew at each chunk, which
+    no built-in expresses without copying its list, so it runs over Arrow batches of lengths; texts stay in the JVM.
+    """
 
-    return F.aggregate(parts, zero, add, lambda s: s["out"])
+    @F.pandas_udf("array<struct<first:int,last:int,start:bigint,end:bigint>>")
+    def groups(raw: pd.Series, clean: pd.Series) -> pd.Series:
+        out = []
+        for lengths, filled in zip(raw, clean, strict=True):
+            at, used, made = 0, 0, []
+            for i, (n, m) in enumerate(zip(lengths.tolist(), filled.tolist(), strict=True)):
+                if m:
+                    if made and used + m <= target:
+                        used += m
+                        made[-1]["last"], made[-1]["end"] = i, at + n
+                    else:
+                        used = m
+                        made.append({"first": i, "last": i, "start": at, "end": at + n})
+                at += n + 2
+            out.append(made)
+        return pd.Series(out, dtype=object)
+
+    return groups
 
 
 def chunk_paragraphs(articles: DataFrame, target_size: int = 1000, max_size: int = 1500, min_chunk_size: int = 100) -> DataFrame:
     """Whole paragraphs up to about `target_size` characters; merged texts under the minimum go.
 
-    `max_size` only enters the settings (and so the ids). The fold copies its list as it grows, so texts with more than
-    some thousand paragraphs should be cut into articles first.
+    `max_size` only enters the settings (and so the ids). The work is linear in a text's paragraphs.
     """
-    items = articles.select(F.col("page_id").alias("document_id"), "title", _paragraph_groups(F.coalesce("text", F.lit("")), target_size).alias("items"))
-    last = F.element_at("items", -1)["chunk"]
-    rows = items.where(F.size("items") > 0).select("document_id", "title", "items", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    own = rows.withColumn("own", F.filter("items", lambda x: x["chunk"] == F.col("chunk")))
-    made = own.select(
-        "document_id", "title", F.array_join(F.transform("own", lambda x: x["text"]), "\n\n").alias("text"),
-        F.element_at("own", 1)["start"].cast("long").alias("start_char"), F.element_at("own", -1)["end"].cast("long").alias("end_char"),
+    rows = articles.select(F.col("page_id").alias("document_id"), "title", F.split(F.coalesce("text", F.lit("")), "\n\n").alias("parts"))
+    rows = rows.withColumn("clean", F.transform("parts", strip_space))
+    lengths = [F.transform(c, lambda x: F.length(x)) for c in ("parts", "clean")]
+    made = rows.select("document_id", "title", "clean", F.explode(_paragraph_groups(target_size)(*lengths)).alias("g"))
+    own = F.slice("clean", F.col("g.first") + 1, F.col("g.last") - F.col("g.first") + 1)
+    made = made.select(
+        "document_id", "title", F.array_join(F.filter(own, lambda x: x != ""), "\n\n").alias("text"), F.col("g.start").alias("start_char"), F.col("g.end").alias("end_char"),
     )
     return _finish(made.where(F.length("text") >= min_chunk_size), "paragraph_aware", f"target={target_size},max={max_size},min={min_chunk_size}")
 

@@ -25,6 +25,11 @@ def chunks_contain(ids: DataFrame, chunks: DataFrame) -> DataFrame:
     return ids.select("chunk_id").join(known, "chunk_id", "left").select("chunk_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def count_chunks(chunks: DataFrame) -> DataFrame:
+    """count: how many different chunk ids the table has."""
+    return chunks.agg(F.countDistinct("chunk_id").alias("count"))
+
+
 def search_summaries(queries: DataFrame, retrieved: DataFrame, top_k: int = 5) -> DataFrame:
     """query_id, n_results, results (chunk_id, score, title, snippet of 120) of queries with a text."""
     if not 1 <= top_k <= 50:

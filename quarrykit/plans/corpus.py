@@ -137,8 +137,8 @@ def strip_wiki_markup(spark, sf_dir):
     return wikitext(spark, sf_dir).select("doc_id", text.strip_wiki_markup(F.col("raw")).alias("text"))
 
 
-def xml_pages(spark, sf_dir: str) -> DataFrame:
-    """Pages in dump form: every 7th a redirect, every 11th outside the main namespace."""
+def page_xml(spark, sf_dir: str) -> DataFrame:
+    """Pages in dump form (xml): every 7th a redirect, every 11th outside the main namespace."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     d = read(spark, sf_dir, "documents")
     i = F.col("doc_id")
@@ -146,7 +146,11 @@ def xml_pages(spark, sf_dir: str) -> DataFrame:
         F.lit("<page><title>"), escape(F.concat_ws("/", "source", "doc_id")), F.lit("</title><ns>"), F.when(i % 11 == 0, "1").otherwise("0"), F.lit("</ns><id>"), i.cast("string"), F.lit("</id>"),
         F.when(i % 7 == 0, '<redirect title="x" />').otherwise(""), F.lit("<revision><id>r"), i.cast("string"), F.lit('</id><text xml:space="preserve">'), escape(F.coalesce("text", F.lit(""))), F.lit("</text></revision></page>"),
     )
-    return mediawiki.parse_pages(d.select(xml.alias("xml")))
+    return d.select(xml.alias("xml"))
+
+
+def xml_pages(spark, sf_dir: str) -> DataFrame:
+    return mediawiki.parse_pages(page_xml(spark, sf_dir))
 
 
 INGESTED = f"ingested AS (SELECT CAST(doc_id AS VARCHAR) AS page_id, concat_ws('/', source, doc_id) AS title, {_strip_sql('text')} AS text FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND text <> '')"

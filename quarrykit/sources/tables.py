@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,12 @@ LOG = "timestamp string, event_type string, level string, run_id string, run_typ
 QUESTION = "id string, question string, topic string, expected_date_range string"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: in `spark.checkpoint.dir`, or in the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def read_chunks(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     rows = spark.read.schema(CHUNKS).parquet(path)
     return rows.select(*columns) if columns else rows
@@ -31,6 +39,18 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LOG)
 
 
+def write_run_logs(logs: DataFrame, path: str) -> None:
+    """Log events as `.jsonl` files; `data` stays JSON text."""
+    logs.write.mode("overwrite").json(path)
+    jvm, spark = logs.sparkSession.sparkContext._jvm, logs.sparkSession
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):  # one name per task
+        name = status.getPath().getName()
+        if name.startswith("part-") and name.endswith(".json"):
+            files.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"{name.removesuffix('.json')}.jsonl"))
+
+
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a JSON array; every item needs id and question, else an error names the first bad ones."""
     rows = spark.read.schema(QUESTION).option("multiLine", True).json(path)
