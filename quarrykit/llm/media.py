@@ -1,7 +1,9 @@
 """Media columns (10): payloads stored as lossless WebP, read back as pixel arrays, with features of the pixels.
 
-Defined cases: null text is empty, an empty payload is 64 zero bytes; repeated rows get equal results; a payload over
-the format's 16384 x 16384 samples is refused with an error; an empty table gives no rows.
+A value is one image of 64 columns, or several one after the other where the payload has more rows than the format allows.
+
+Defined cases: null text is empty, an empty payload is 64 zero bytes; repeated rows get equal results; an empty table
+gives no rows; `encode_media` reads doc_id and text only, `decode_media` keeps other columns than those that it makes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import sliced, text_buffers
-from .webp import decode, encode_samples
+from .shared import bounded_batches
+from .webp import encode_samples, images
 
 UNIT = 64
 
@@ -47,6 +50,7 @@ def encode_media(docs: DataFrame, unit: int = UNIT) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "payload_bytes", "media"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 
@@ -58,9 +62,8 @@ def decode_media(media: DataFrame) -> DataFrame:
             at, size = batch.schema.get_field_index("media"), batch.schema.get_field_index("payload_bytes")
             rows = []
             for data, n in zip(batch.column(at), batch.column(size), strict=True):
-                pixels = decode(data.as_py())
-                samples = np.ascontiguousarray(pixels[..., 2])
-                rows.append((samples.tobytes()[: n.as_py()], pixels.shape[1], pixels.shape[0], features(samples)))
+                samples = np.concatenate([pixels[..., 2] for pixels in images(data.as_py())])
+                rows.append((samples.tobytes()[: n.as_py()], samples.shape[1], samples.shape[0], features(samples)))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             for name, c, t in zip(("payload", "width", "height", "feature"), cols, (pa.binary(), pa.int32(), pa.int32(), pa.string()), strict=True):
                 batch = batch.append_column(name, pa.array(c, t))

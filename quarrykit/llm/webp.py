@@ -1,22 +1,40 @@
 """Lossless WebP (VP8L): a decoder for the whole format and a writer of 8-bit samples.
 
 The decoder reads prefix codes (simple and normal, one group or a meta image of groups), back-references, the colour
-cache and all four transforms, and returns the pixels as an array of ARGB bytes. Images whose codes all have one length
-per channel are read by array operations at once; every other image symbol by symbol.
+cache and all four transforms, and returns the pixels as an array of ARGB bytes. Where only green varies, the code at
+every bit position is looked up by array operations and the chain of codes is followed; every other image is read symbol
+by symbol.
+
+The writer stores samples as green: as a palette where there are few values, as differences to the left neighbour
+(predictor) where these are more regular, with back-references to earlier runs and prefix codes by frequency.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 
 import numpy as np
 
 MOST = 16384  # largest width and height of the format
+WIDTH = 64
+FRAME = WIDTH * MOST  # samples of one image at most; longer payloads are several images
+LONGEST_CODE, LEAST_COPY, FARTHEST = 15, 10, 1_000_000
 #: Fixed: order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: Neighbours that distance codes 1 to 120 name: by distance, then by column, right before left.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
-_REVERSED = [np.array([int(format(i, f"0{n}b")[::-1], 2) if n else 0 for i in range(1 << n)]) for n in range(9)]
+
+
+def _reversals() -> list[np.ndarray]:
+    """For each width the numbers with their bits in reverse order."""
+    made = [np.zeros(1, np.int64)]
+    for _ in range(LONGEST_CODE):
+        made.append(np.concatenate((2 * made[-1], 2 * made[-1] + 1)))
+    return made
+
+
+_REVERSED = _reversals()
 
 
 class Bits:
@@ -54,27 +72,40 @@ class Code:
         if len(used) == 1:
             self.fixed = 0
             return
-        n = lengths[used]
+        n = self.lengths = lengths[used]
         if (1 << int(n.max())) < len(used) or int((2.0 ** -n.astype(float)).sum() * (1 << 20)) != 1 << 20:
             raise ValueError("a prefix code is not complete")
         if n.min() == n.max():
             self.fixed = int(n[0])
-        self.table: dict[tuple[int, int], int] = {}
-        code, last = 0, 0
-        for i in np.lexsort((used, n)):
-            code <<= int(n[i]) - last
-            last = int(n[i])
-            self.table[last, code] = int(used[i])
+        self.table: dict[tuple[int, int], int] | None = None
+
+    def _fill(self) -> dict[tuple[int, int], int]:
+        self.table, code, last = {}, 0, 0
+        for i in np.lexsort((self.symbols, self.lengths)):
+            code <<= int(self.lengths[i]) - last
+            last = int(self.lengths[i])
+            self.table[last, code] = int(self.symbols[i])
             code += 1
+        return self.table
+
+    def window(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """(width, symbol, length) by the next `width` bits, whatever follows the code in them."""
+        if self.fixed == 0:
+            return 0, self.symbols[:1], np.zeros(1, np.int64)
+        order = np.lexsort((self.symbols, self.lengths))
+        n = self.lengths[order]
+        width = int(n[-1])
+        row, times = _REVERSED[width], 1 << width - n
+        return width, np.repeat(self.symbols[order], times)[row], np.repeat(n, times)[row]
 
     def read(self, bits: Bits) -> int:
         if self.fixed == 0:
             return int(self.symbols[0])
-        code = 0
+        code, table = 0, self.table or self._fill()
         for n in range(1, 16):
             code = code << 1 | bits.read(1)
-            if (n, code) in self.table:
-                return self.table[n, code]
+            if (n, code) in table:
+                return table[n, code]
         raise ValueError("no such prefix code")
 
 
@@ -93,20 +124,31 @@ def read_code(bits: Bits, size: int) -> Code:
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     if of_lengths.fixed == 1 and of_lengths.symbols[-1] < 16 and left == size:
         return Code(of_lengths.symbols[bits.array(size)])
-    i, before = 0, 8
+    i, before, at = 0, 8, bits.at
+    width, symbol, length = of_lengths.window()
+    symbol, length, mask = symbol.tolist(), length.tolist(), (1 << width) - 1
+    ahead = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 2 * size + 8], "little") >> (at & 7)  # 14 bits a symbol at most
     while i < size and left:
         left -= 1
-        s = of_lengths.read(bits)
+        s, used = symbol[ahead & mask], length[ahead & mask]
+        ahead >>= used
+        at += used
         if s < 16:
             lengths[i] = s
             before = s or before
             i += 1
             continue
-        n, value = (3 + bits.read(2), before) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
+        more, least, value = ((2, 3, before), (3, 3, 0), (7, 11, 0))[s - 16]
+        n = least + (ahead & (1 << more) - 1)
+        ahead >>= more
+        at += more
         if i + n > size:
             raise ValueError("too many code lengths")
         lengths[i : i + n] = value
         i += n
+    if at > bits.end:
+        raise ValueError("the bit stream ends too early")
+    bits.at = at
     return Code(lengths)
 
 
@@ -130,7 +172,7 @@ def _read_image(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
     groups = [[read_code(bits, n) for n in sizes] for _ in range(int(meta.max()) + 1 if meta is not None else 1)]
     total = w * h
     if len(groups) == 1 and not cache_bits:
-        made = _read_fixed(bits, groups[0], total)
+        made = _read_green(bits, groups[0], total, w)
         if made is not None:
             return made.reshape(h, w)
     out, cache, at = np.zeros(total, np.uint32), [0] * (1 << cache_bits), 0
@@ -167,22 +209,97 @@ def _read_image(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
     return out.reshape(h, w)
 
 
-def _read_fixed(bits: Bits, group: list[Code], total: int) -> np.ndarray | None:
-    """All pixels at once, if each channel's code has one length and only literals."""
-    codes = group[:4]
-    if any(c.fixed is None or c.symbols[-1] > 255 for c in codes):
+def _far(code: np.ndarray, w: int) -> np.ndarray:
+    """Pixels back for distance codes."""
+    near = np.array([0, *(max(1, x + y * w) for x, y in NEAR)])
+    return np.where(code > 120, code - 120, near[np.minimum(code, 120)])
+
+
+def _chain(size: np.ndarray, at: int, most: int) -> np.ndarray:
+    """Positions of at most `most` codes from `at` on, when the code at position i is size[i] long. Four are passed at once."""
+    one = np.append(size, np.zeros(256, np.uint8))
+    two = one[: len(size)] + one[np.arange(len(size)) + size]
+    two = np.append(two, np.zeros(256, np.uint8))
+    four = (two[: len(size)] + two[np.arange(len(size)) + two[: len(size)]]).tobytes()
+    found: list[int] = []
+    add = found.append
+    try:
+        for _ in range(-(-most // 4)):
+            step = four[at]
+            add(at)
+            at += step
+    except IndexError:
+        pass
+    first = np.array(found, np.int64)
+    out = np.empty((len(first), 4), np.int64)
+    out[:, 0] = first
+    out[:, 1] = first + one[first]
+    out[:, 2] = first + two[first]
+    out[:, 3] = out[:, 2] + one[np.minimum(out[:, 2], len(size))]
+    out = out.ravel()[:most]
+    return out[: int(np.searchsorted(out, len(size), "left"))]
+
+
+def _read_green(bits: Bits, group: list[Code], total: int, w: int) -> np.ndarray | None:
+    """All pixels, if red, blue and alpha have one value each: codes are looked up at every bit, then chained."""
+    if any(c.fixed != 0 for c in group[1:4]):
         return None
-    widths = [c.fixed for c in codes]
-    flat = bits.array(total * sum(widths)).reshape(total, sum(widths)) if sum(widths) else np.zeros((total, 0), np.uint8)
-    out, at = np.zeros(total, np.uint32), 0
-    for code, n, shift in zip(codes, widths, (8, 16, 0, 24), strict=True):  # green, red, blue, alpha
-        index = np.zeros(total, np.intp)
-        for k in range(n):
-            index <<= 1
-            index |= flat[:, at + k]
-        out |= code.symbols.astype(np.uint32)[index] << np.uint32(shift)
-        at += n
-    return out
+    red, blue, alpha = (int(c.symbols[0]) for c in group[1:4])
+    base = np.uint32(alpha << 24 | red << 16 | blue)
+    if group[0].fixed == 0:
+        return np.full(total, base | np.uint32(int(group[0].symbols[0]) << 8), np.uint32) if group[0].symbols[0] < 256 else None
+    first = bits.at >> 3
+    raw = np.frombuffer(bits.data, np.uint8, offset=first).astype(np.uint32)
+    raw = np.concatenate((raw, np.zeros(12, np.uint32)))
+    four = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    peek = (four[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # the next 25 bits or more at every bit
+    n = 8 * (len(raw) - 12)
+    width, symbol, length = group[0].window()
+    index = peek[:n] & np.uint32((1 << width) - 1)
+    size, shown = length.astype(np.uint8)[index], symbol.astype(np.uint16)[index]
+    copies = np.flatnonzero(shown > 255)
+    run = far = None
+    if len(copies) and group[0].symbols[-1] > 255:
+
+        def amounts(at, prefix):
+            """Values of prefixes whose extra bits begin at `at`, and how many bits these are."""
+            extra = np.maximum(prefix - 2, 0) >> 1
+            value = peek[np.minimum(at, len(peek) - 1)].astype(np.int64) & (1 << extra) - 1
+            return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + value + 1), extra
+
+        at = copies + size[copies]
+        lengths, extra = amounts(at, shown[copies].astype(np.int64) - 256)
+        at = at + extra
+        dwidth, dsymbol, dlength = group[4].window()
+        index = (peek[np.minimum(at, len(peek) - 1)] & np.uint32((1 << dwidth) - 1)).astype(np.int64)
+        codes, dextra = amounts(at + dlength[index], dsymbol[index])
+        size[copies] = np.minimum(at + dlength[index] + dextra - copies, 63)
+        run, far = np.ones(n, np.int64), np.zeros(n, np.int64)
+        run[copies], far[copies] = lengths, _far(codes, w)
+    place = _chain(size, bits.at - 8 * first, total)
+    amount = None if run is None else run[place]
+    if run is not None:
+        ends = np.cumsum(amount)
+        place = place[: int(np.searchsorted(ends, total, "left")) + 1]
+        amount = amount[: len(place)]
+        if len(ends) >= len(place) and ends[len(place) - 1] > total:
+            raise ValueError("a back-reference leaves the image")
+    if (len(place) if run is None else int(amount.sum())) < total or (last := int(place[-1]) + int(size[place[-1]])) > n:
+        raise ValueError("the bit stream ends too early")
+    bits.at = 8 * first + last
+    green = shown[place]
+    if run is None:
+        return base | green.astype(np.uint32) << np.uint32(8)
+    to = np.cumsum(amount) - amount
+    out = np.zeros(total, np.uint16)
+    literal = green < 256
+    out[to[literal]] = green[literal]
+    again = np.flatnonzero(~literal)
+    for a, m, d in zip(to[again].tolist(), amount[again].tolist(), far[place[again]].tolist(), strict=True):
+        if d > a:
+            raise ValueError("a back-reference leaves the image")
+        out[a : a + m] = out[a - d : a - d + m] if d >= m else np.resize(out[a - d : a], m)
+    return base | out.astype(np.uint32) << np.uint32(8)
 
 
 def _bytes(pixels: np.ndarray) -> np.ndarray:
@@ -305,66 +422,246 @@ def decode(data: bytes) -> np.ndarray:
     return _bytes(pixels)[..., ::-1]
 
 
+def images(data: bytes) -> list[np.ndarray]:
+    """All images of a column value, one after the other, as `decode` returns them."""
+    out, at = [], 0
+    while at < len(data):
+        to = at + 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]
+        out.append(decode(data[at:to]))
+        at = to
+    return out
+
+
+def code_lengths(counts: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarray:
+    """Lengths of a prefix code by frequency, none over `longest`."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    weight = counts[used]
+    while True:
+        heap = [(int(c), i) for i, c in enumerate(weight)]
+        heapq.heapify(heap)
+        parent, n = [0] * (2 * len(used) - 1), len(used)
+        while len(heap) > 1:
+            a = heapq.heappop(heap)
+            b = heap[0]
+            parent[a[1]] = parent[b[1]] = n
+            heapq.heapreplace(heap, (a[0] + b[0], n))
+            n += 1
+        depth = [0] * n
+        for i in range(n - 2, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth[: len(used)]) <= longest:
+            out[used] = depth[: len(used)]
+            return out
+        weight = weight // 2 + 1
+
+
+def code_bits(lengths: np.ndarray) -> np.ndarray:
+    """The codes of a canonical prefix code, first bit lowest."""
+    out = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) < 2:
+        return out
+    order = used[np.lexsort((used, lengths[used]))]
+    n = lengths[order]
+    top = int(n[-1])
+    begin = np.cumsum(1 << top - n) - (1 << top - n)  # left-aligned, so reversed codes start at bit 0
+    out[order] = _REVERSED[top][begin]
+    return out
+
+
+def prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, extra bits, how many) that store lengths and distance codes."""
+    v = value.astype(np.int64) - 1
+    high = np.frexp(np.maximum(v, 1).astype(float))[1].astype(np.int64) - 1
+    extra = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), v & (1 << extra) - 1, extra
+
+
+def find_copies(x: np.ndarray, least: int = LEAST_COPY) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of runs of `least` samples or more that occur before, in order, not overlapping."""
+    n = len(x) - 7
+    if n < 2:
+        return []
+    eight = np.ndarray((n,), "<u8", np.ascontiguousarray(x), 0, (1,))
+    order = np.argsort(eight, kind="stable")
+    ordered = eight[order]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    if not len(same):
+        return []
+    back = np.zeros(n, np.int64)
+    back[order[same + 1]] = order[same + 1] - order[same]
+    back[back > FARTHEST] = 0
+    cut = np.flatnonzero(np.diff(back, prepend=-1))
+    length = np.diff(np.append(cut, n)) + 7
+    good = (back[cut] > 0) & (length >= least)
+    out, at = [], 0
+    for a, m, d in zip(cut[good].tolist(), length[good].tolist(), back[cut[good]].tolist(), strict=True):
+        if a < at:
+            a, m = at, m - at + a
+        while m >= least:
+            out.append((a, min(m, 4096), d))
+            a, m = a + min(m, 4096), m - min(m, 4096)
+            at = a
+    return out
+
+
 class Writer:
     """Collects bits, least significant first."""
 
     def __init__(self):
-        self.parts: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.widths: list[np.ndarray] = []
 
     def put(self, value: int, n: int) -> None:
-        self.parts.append(np.array([value >> i & 1 for i in range(n)], np.uint8))
+        self.put_many([value], [n])
 
-    def put_array(self, bits: np.ndarray) -> None:
-        self.parts.append(bits)
+    def put_many(self, values, widths) -> None:
+        self.values.append(np.asarray(values, np.int64))
+        self.widths.append(np.asarray(widths, np.int64))
+
+    def put_bits(self, bits: np.ndarray) -> None:
+        self.put_many(bits, np.ones(len(bits), np.int64))
 
     def put_single(self, symbol: int) -> None:
         """A code of one symbol."""
         self.put(1 | 0 << 1 | 1 << 2 | symbol << 3, 11)
 
-    def put_equal(self, used: np.ndarray, length: int) -> None:
-        """A code of 2**length used symbols (a mask), all of the same length."""
+    def put_code(self, lengths: np.ndarray) -> None:
+        """The lengths of a code of at least one symbol."""
+        used = np.flatnonzero(lengths).tolist()
+        if len(used) <= 2 and used[-1] < 256:
+            self.put_single(used[0]) if len(used) == 1 else self.put(1 | 1 << 1 | 1 << 2 | used[0] << 3 | used[1] << 11, 19)
+            return
+        symbols, extras = [], []
+        last = -1
+        for i in used:
+            gap = i - last - 1
+            while gap:
+                n = min(gap, 138)
+                kind, more = (18, (n - 11, 7)) if n > 10 else (17, (n - 3, 3)) if n > 2 else (0, (0, 0))
+                n = n if kind else 1
+                symbols.append(kind)
+                extras.append(more)
+                gap -= n
+            symbols.append(int(lengths[i]))
+            extras.append((0, 0))
+            last = i
+        if last < len(lengths) - 1:
+            for n in [138] * ((len(lengths) - 1 - last) // 138) + [(len(lengths) - 1 - last) % 138]:
+                kinds = [(18, (n - 11, 7))] if n > 10 else [(17, (n - 3, 3))] if n > 2 else [(0, (0, 0))] * n
+                symbols += [k for k, _ in kinds]
+                extras += [e for _, e in kinds]
+        own = code_lengths(np.bincount(symbols, minlength=19), 7)
+        count = max(4, int(np.flatnonzero(own[list(LENGTH_ORDER)])[-1]) + 1)
+        self.put(0 | count - 4 << 1, 5)
+        self.put_many(own[list(LENGTH_ORDER[:count])], np.full(count, 3))
         self.put(0, 1)
-        count = LENGTH_ORDER.index(length) + 1
-        self.put(count - 4, 4)
-        for k in LENGTH_ORDER[:count]:
-            self.put(int(k in (0, length)), 3)
+        only = np.count_nonzero(own) < 2
+        at = np.array(symbols)
+        values, widths = np.zeros(2 * len(at), np.int64), np.zeros(2 * len(at), np.int64)
+        values[::2], widths[::2] = code_bits(own)[at], 0 if only else own[at]
+        values[1::2], widths[1::2] = zip(*extras, strict=True)
+        self.put_many(values, widths)
+
+    def put_green(self, x: np.ndarray, main: bool, alpha: int) -> None:
+        """An image whose green varies, with back-references; red and blue are 0."""
+        self.put(0, 2 if main else 1)  # no colour cache; one group
+        copies = find_copies(x)
+        start, run, back = (np.array(c, np.int64) for c in zip(*copies, strict=True)) if copies else (np.zeros(0, np.int64),) * 3
+        held = np.ones(len(x), bool)
+        if copies:
+            inside = np.zeros(len(x) + 1, np.int64)
+            inside[start] = 1
+            inside[start + run] -= 1
+            held = np.cumsum(inside[:-1]) == 0
+        at = np.concatenate((np.flatnonzero(held), start))
+        lengths, more, extra = prefix_of(run)
+        codes, dmore, dextra = prefix_of(back + 120)
+        green = np.concatenate((x[held].astype(np.int64), 256 + lengths))
+        own, far = code_lengths(np.bincount(green, minlength=280)), code_lengths(np.bincount(codes, minlength=40))
+        self.put_code(own)
+        for symbol in (0, 0, alpha):
+            self.put_single(symbol)
+        self.put_code(far) if copies else self.put_single(0)
+        width = np.zeros((len(at), 4), np.int64)
+        value = np.zeros((len(at), 4), np.int64)
+        value[:, 0], width[:, 0] = code_bits(own)[green], own[green] if np.count_nonzero(own) > 1 else 0
+        c = len(at) - len(start)
+        value[c:, 1], width[c:, 1], value[c:, 3], width[c:, 3] = more, extra, dmore, dextra
+        value[c:, 2], width[c:, 2] = code_bits(far)[codes], far[codes] if np.count_nonzero(far) > 1 else 0
+        order = np.argsort(at, kind="stable")
+        if copies:
+            self.put_many(value[order].ravel(), width[order].ravel())
+        else:
+            self.put_many(value[:, 0], width[:, 0])
+
+    def put_palette(self, colours: np.ndarray) -> None:
+        """Opaque colours that differ in green, each as the difference to the one before."""
         self.put(0, 1)
-        self.put_array(used.astype(np.uint8))
+        green, alpha = np.diff(colours.astype(np.int64), prepend=0) & 255, np.where(np.arange(len(colours)) == 0, 255, 0)
+        codes = [code_lengths(np.bincount(c, minlength=n)) for c, n in ((green, 280), (alpha, 256))]
+        self.put_code(codes[0])
+        self.put_single(0)
+        self.put_single(0)
+        self.put_code(codes[1])
+        self.put_single(0)
+        for g, a in zip(green.tolist(), alpha.tolist(), strict=True):
+            for symbol, lengths in ((g, codes[0]), (a, codes[1])):
+                self.put(int(code_bits(lengths)[symbol]), int(lengths[symbol]) if np.count_nonzero(lengths) > 1 else 0)
 
     def file(self, w: int, h: int) -> bytes:
-        body = np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        value, width = np.concatenate(self.values), np.concatenate(self.widths)
+        full = width > 0
+        value, width = value[full], width[full]
+        of = np.repeat(np.arange(len(width)), width)
+        bits = (value[of] >> np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width) & 1).astype(np.uint8)
+        body = np.packbits(bits, bitorder="little").tobytes()
         head = struct.pack("<I", w - 1 | h - 1 << 14)
         chunk = b"\x2f" + head + body
         chunk_size, chunk = len(chunk), chunk + b"\0" * (len(chunk) & 1)
         return b"RIFF" + struct.pack("<I", 12 + len(chunk)) + b"WEBPVP8L" + struct.pack("<I", chunk_size) + chunk
 
 
+def _cost(counts: np.ndarray) -> float:
+    """Bits by entropy."""
+    c = counts[counts > 0].astype(float)
+    return float((c * (np.log2(c.sum()) - np.log2(c))).sum())
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
-    """8-bit samples (a multiple of 64 of them) as the green channel of one opaque image, row by row.
-
-    The image is 64 wide, or wider where its height would pass the format's limit; the last row is then filled with 0.
-    The code gives the occurring values the fewest bits that all can share.
-    """
-    w = 64 * -(-len(samples) // (64 * MOST))
-    h = -(-len(samples) // w)
-    if w > MOST:
-        raise ValueError("too many samples for one image")
-    if len(samples) < w * h:
-        samples = np.concatenate((samples, np.zeros(w * h - len(samples), np.uint8)))
+    """8-bit samples (a multiple of 64 of them) as the green channel of opaque images 64 wide, row by row."""
+    return b"".join(_encode_frame(samples[a : a + FRAME]) for a in range(0, len(samples), FRAME))
+
+
+def _encode_frame(samples: np.ndarray) -> bytes:
+    w, h = WIDTH, len(samples) // WIDTH
     out = Writer()
-    out.put(0, 3)  # no transform, no colour cache, one group
-    used = np.bincount(samples, minlength=280) > 0
-    length = int(used.sum() - 1).bit_length()
-    if length == 0:
-        out.put_single(int(samples[0]))
+    counts = np.bincount(samples, minlength=256)
+    values = np.flatnonzero(counts)
+    if len(values) <= 16:
+        out.put(1 | 3 << 1 | len(values) - 1 << 3, 11)  # palette
+        out.put_palette(values)
+        shift = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+        n = 8 >> shift
+        rank = np.searchsorted(values, samples).reshape(h, -1, 1 << shift)
+        out.put(0, 1)
+        out.put_green((rank << n * np.arange(1 << shift)).sum(2).astype(np.uint8).ravel(), True, 255)
+        return out.file(w, h)
+    rows = samples.reshape(h, w)
+    step = np.diff(rows, axis=1, prepend=rows[:, :1])
+    step[1:, 0], step[0, 0] = rows[1:, 0] - rows[:-1, 0], rows[0, 0]
+    if _cost(np.bincount(step.ravel())) < 0.95 * _cost(counts):
+        out.put(1 | 0 << 1 | 7 << 3, 6)  # predictor in blocks of 512
+        out.put(0, 1)
+        for symbol in (1, 0, 0, 255, 0):  # one block after the other: the left neighbour
+            out.put_single(symbol)
+        out.put(0, 1)
+        out.put_green(step.ravel(), True, 0)
     else:
-        spare = np.flatnonzero(~used[:256])[: (1 << length) - int(used.sum())]
-        used[spare] = True
-        out.put_equal(used, length)
-    for symbol in (0, 0, 255, 0):  # red, blue, alpha, distance
-        out.put_single(symbol)
-    if length:
-        code = _REVERSED[length][np.cumsum(used[:256]) - 1 & (1 << length) - 1].astype(np.uint8)
-        row = (code[:, None] >> np.arange(length, dtype=np.uint8)) & 1
-        out.put_array(row.astype(np.uint8)[samples].ravel())
+        out.put(0, 1)
+        out.put_green(samples, True, 255)
     return out.file(w, h)

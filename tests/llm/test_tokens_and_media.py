@@ -159,7 +159,40 @@ def test_samples_round_trip(high, n):
 
 def test_wide_image():
     samples = np.random.default_rng(0).integers(0, 9, 64 * webp.MOST + 64).astype(np.uint8)
-    assert (webp.decode(webp.encode_samples(samples))[..., 2].ravel()[: len(samples)] == samples).all()
+    parts = webp.images(webp.encode_samples(samples))
+    assert [p.shape[:2] for p in parts] == [(webp.MOST, 64), (1, 64)]
+    assert (np.concatenate([p[..., 2].ravel() for p in parts]) == samples).all()
+
+
+def test_writer_methods(monkeypatch):
+    """Palette, predictor, prefix codes by frequency and back-references are all written where they shrink, and read back."""
+    rng = np.random.default_rng(5)
+    text = np.frombuffer((" ".join(rng.choice(["the", "words", "of", "some", "prose", "are", "unequal"], 900)) + " " * 64).encode(), np.uint8)
+    cases = {
+        "one value": np.full(640, 9), "palette 2": rng.integers(0, 2, 6400), "palette 4": rng.integers(0, 4, 6400), "palette 16": rng.integers(0, 16, 6400), "noise": rng.integers(0, 256, 6400),
+        "ramp": np.cumsum(rng.integers(0, 3, 6400)) % 256, "skewed": np.minimum(rng.geometric(0.3, 6400), 255), "repeats": np.tile(rng.integers(0, 256, 100), 64), "text": text[: len(text) // 64 * 64],
+    }
+    sizes = {}
+    for name, x in cases.items():
+        x = x.astype(np.uint8)
+        data = webp.encode_samples(x)
+        (got,) = webp.images(data)
+        assert (got[..., 2].ravel() == x).all() and (got[..., 0] == 255).all() and not got[..., [1, 3]].any()
+        sizes[name] = len(data) / len(x)
+        monkeypatch.setattr(webp, "_read_green", lambda *_: None)  # symbol by symbol
+        assert (webp.images(data)[0] == got).all()
+        monkeypatch.undo()
+    assert sizes["one value"] < 0.1 and sizes["palette 2"] < 0.2 and sizes["palette 4"] < 0.33 and sizes["palette 16"] < 0.6 and sizes["noise"] < 1.1
+    assert sizes["ramp"] < 0.3 and sizes["skewed"] < 0.5 and sizes["repeats"] < 0.1 and sizes["text"] < 0.5
+
+
+def test_long_codes():
+    """Frequencies that grow like Fibonacci numbers would need more than 15 bits."""
+    counts = np.array([1, 1])
+    while len(counts) < 24:
+        counts = np.append(counts, counts[-1] + counts[-2])
+    lengths = webp.code_lengths(counts)
+    assert lengths.max() <= 15 and (2.0 ** -lengths).sum() == 1
 
 
 def plain(out, pixels):
@@ -167,11 +200,11 @@ def plain(out, pixels):
     for size in (280, 256, 256, 256):
         used = np.zeros(size, bool)
         used[:256] = True
-        out.put_equal(used, 8)
+        out.put_code(np.where(used, 8, 0))
     out.put_single(0)
     for p in pixels:
         for shift in (8, 16, 0, 24):
-            out.put_array(np.array([int(p) >> shift >> 7 - k & 1 for k in range(8)], np.uint8))
+            out.put_bits(np.array([int(p) >> shift >> 7 - k & 1 for k in range(8)], np.uint8))
 
 
 def image(width, height, pixels, transform):
@@ -264,12 +297,12 @@ def test_back_references_and_cache():
     out.put(0, 1)
     bits = {0: "0", 1: "100", 2: "101", 3: "110", 4: "111"}
     for s in range(282):
-        out.put_array(np.array([int(c) for c in bits[lengths.get(s, 0)]], np.uint8))
+        out.put_bits(np.array([int(c) for c in bits[lengths.get(s, 0)]], np.uint8))
     for symbol in (0, 0, 255):
         out.put_single(symbol)
     out.put_single(1)  # distance code 2: the pixel to the left
     code = {first: "0", second: "10", 259: "110", 280: "1110", 281: "1111"}
-    out.put_array(np.array([int(c) for c in code[first] + code[second] + code[259] + code[280 + key(second)] + code[280 + key(first)]], np.uint8))
+    out.put_bits(np.array([int(c) for c in code[first] + code[second] + code[259] + code[280 + key(second)] + code[280 + key(first)]], np.uint8))
     assert webp.decode(out.file(8, 1))[0, :, 2].tolist() == [first, second, second, second, second, second, second, first]
 
 
@@ -287,7 +320,7 @@ def test_copies_that_overlap():
     for symbol in (0, 0, 255):
         out.put_single(symbol)
     out.put_single(1)  # distance code 2: (1, 0)
-    out.put_array(np.array([0, 1, 1], np.uint8))  # literal 65; length prefix 4, extra bit 1: six pixels
+    out.put_bits(np.array([0, 1, 1], np.uint8))  # literal 65; length prefix 4, extra bit 1: six pixels
     assert webp.NEAR[:2] == [(0, 1), (1, 0)]
     assert webp.decode(out.file(7, 1))[0, :, 2].tolist() == [65] * 7
 
