@@ -4,12 +4,16 @@ An edge is a window of k consecutive words, a node the k-1 words between two edg
 with a smaller doc_id are *repeated*; the smallest such document is the edge's source.
 
 1. `repeated_edges`: every task hashes its windows, settles those that repeat inside its batch (the batch's first
-   document is their source) and sends one occurrence of each edge, packed in binary rows, to the edge's bin. A hot edge
-   thus reaches its bin once per batch, however many documents hold it. Bins find the smallest document of each edge.
+   document is their source) and sends one occurrence of each edge, packed in binary rows, to the edge's bin. Edges that
+   repeat are remembered within the task, so a hot edge reaches its bin about once per task, however many documents hold
+   it. Bins find the smallest document of each edge.
 2. `walks`: a document's consecutive repeated edges that also follow each other in the source make one segment.
 3. `compact_paths`: segments that follow each other in a document meet at a node; where no other segment enters or
-   leaves it, the node does not branch and both become one path (joins with pointer doubling).
-4. `verified`: the words of every span are compared, by SHA-256, with the words at its source coordinates.
+   leaves it, the node does not branch and both become one path (joins with pointer doubling). `path_spans` then joins a
+   document's segments of one path to one long span with its route (segments with their source coordinates).
+4. `verified`: one occurrence of each route is compared segment by segment with the words at the source coordinates,
+   every other one as a whole with that occurrence, by SHA-256. Two different windows of one hash show here; spans that
+   fail are settled by their words themselves (`settled_by_words`).
 5. `remove_repeats`: words covered by a verified span go.
 
 Bins grow with the input, so a bin's size stays the same at any scale.
@@ -26,15 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import U64, mix, packed, sliced, text_buffers, windows, word_table
-from .shared import bins_for, materialize
+from .shared import bins_for, bounded_batches, discard, materialize
 
 _PACK = "bin int, keys binary, doc binary, fp binary, cnt binary, pos binary, src binary, diag binary"
 _FIELDS = pa.schema([("bin", pa.int32()), *((n, pa.binary()) for n in ("keys", "doc", "fp", "cnt", "pos", "src", "diag"))])
 _BATCH = 3 << 20  # bytes of text whose windows are settled at once
+_KNOWN = 1 << 16  # repeated edges that a task remembers
 _SEGMENT = "doc_id long, fp long, start long, n long, src long, src_start long"
 
 
@@ -79,16 +84,24 @@ def _ordered(bins, keys, doc, fp, pos, src=None, diag=None) -> pa.RecordBatch:
     return _rows(bins[at], pick(keys), doc[at], fp[at], pos[at], pick(src), pick(diag))
 
 
-def repeated_edges(docs: DataFrame, k: int, bins: int) -> DataFrame:
+def repeated_edges(docs: DataFrame, k: int, bins: int, bits: int = 64) -> DataFrame:
     """Packed occurrences (doc_id, position) of edges that start in a smaller doc_id, with source document and offset."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # edges that have repeated: hash, document, position
         for batch in (part for whole in batches for part in sliced(whole, 2, _BATCH)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             prints = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             h, doc, pos = windows(word_table(*text_buffers(batch.column(2))), k)
+            h &= U64((1 << bits) - 1)
+            at = np.minimum(np.searchsorted(known[0], h), max(len(known[0]) - 1, 0))
+            old = (known[0][at] == h) & (known[1][at] < ids[doc]) if len(known[0]) else np.zeros(len(h), bool)
+            if old.any():
+                d, at = ids[doc[old]], at[old]
+                yield _ordered(_doc_bin(d, bins), None, d, prints[doc[old]], pos[old], known[1][at], known[2][at] - pos[old])
+                h, doc, pos = h[~old], doc[~old], pos[~old]
             if not len(h):
                 continue
             order = np.argsort(h, kind="stable")  # within an edge: by doc_id, then position
@@ -107,6 +120,11 @@ def repeated_edges(docs: DataFrame, k: int, bins: int) -> DataFrame:
                 a, b = order[inner], order[first[inner]]
                 d = ids[doc[a]]
                 yield _ordered(_doc_bin(d, bins), None, d, prints[doc[a]], pos[a], ids[doc[b]], pos[b] - pos[a])
+                new = np.unique(first[inner])[: _KNOWN - len(known[0])]
+                more = (hs[new], owner[new], pos[order[new]])
+                merged = [np.concatenate(x) for x in zip(known, more, strict=True)]
+                by = np.argsort(merged[0], kind="stable")
+                known = tuple(x[by] for x in merged)
 
     def settle(table: pa.Table) -> pa.Table:
         done = table.filter(pa.compute.is_null(table["keys"]))
@@ -175,21 +193,34 @@ def compact_paths(segments: DataFrame) -> DataFrame:
         step = link.join(ahead, "up", "left")
         if step.where("over is not null and over <> seg").isEmpty():
             break
-        link = materialize(step.select("seg", F.when(F.col("over") == F.col("seg"), F.col("up")).otherwise(F.coalesce("over", "up")).alias("up")), "links")
+        before, link = link, materialize(step.select("seg", F.when(F.col("over") == F.col("seg"), F.col("up")).otherwise(F.coalesce("over", "up")).alias("up")), "links")
+        discard(before)
     return s.join(link, "seg", "left").withColumn("path", F.coalesce("up", "seg")).drop("up", "seg")
 
 
-def verified(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
-    """Spans whose words equal, word for word by SHA-256, those at their source coordinates in some text of `src`.
+def path_spans(segments: DataFrame) -> DataFrame:
+    """doc_id, fp, start, n (edges), path, route: segments of one path that follow each other in a document as one span.
 
-    Only texts that hold a span or a source are read again; each of their ranges is hashed once.
+    `route` lists the segments: n, src, src_start.
     """
-    width = F.col("n") + F.lit(k - 1)
-    own = spans.select("doc_id", "fp", "start", width.alias("n_words"))
-    src = spans.select(F.col("src").alias("doc_id"), F.lit(None).cast("long").alias("fp"), F.col("src_start").alias("start"), width.alias("n_words"))
-    asked = own.unionByName(src).distinct().groupBy("doc_id", F.col("fp").alias("want")).agg(F.collect_list(F.struct("start", "n_words")).alias("ranges"))
+    own = Window.partitionBy("doc_id", "fp").orderBy("start")  # as many rows as a document has segments
+    goes_on = (F.lag("path").over(own) == F.col("path")) & (F.lag(F.col("start") + F.col("n")).over(own) == F.col("start"))
+    numbered = segments.withColumn("run", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("run").over(own))
+    part = F.struct("start", "n", "src", "src_start")
+    made = numbered.groupBy("doc_id", "fp", "run").agg(F.first("path").alias("path"), F.min("start").alias("start"), F.sum("n").alias("n"), F.sort_array(F.collect_list(part)).alias("parts"))
+    route = F.transform("parts", lambda p: F.struct(p["n"].alias("n"), p["src"].alias("src"), p["src_start"].alias("src_start")))
+    return made.select("doc_id", "fp", "start", "n", "path", route.alias("route"))
+
+
+def word_digests(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, fp, own, start, n_words, digest: SHA-256 of word ranges of `docs` (doc_id, text).
+
+    `asked` (doc_id, want, start, n_words): `want` is the hash of the text, or null for every text of that doc_id. Only
+    texts that hold a range are read again; each range is hashed once.
+    """
+    ranges = asked.distinct().groupBy("doc_id", "want").agg(F.collect_list(F.struct("start", "n_words")).alias("ranges"))
     texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("fp"), "text")
-    both = texts.join(asked, "doc_id").where("want is null or want = fp").withColumn("own", F.col("want").isNotNull())
+    both = texts.join(ranges, "doc_id").where("want is null or want = fp").withColumn("own", F.col("want").isNotNull())
 
     def digest(batches):
         for batch in batches:
@@ -199,31 +230,84 @@ def verified(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "fp", "own", "start", "n_words", "digest"])
 
-    made = materialize(both.select("doc_id", "fp", "own", "text", "ranges").mapInArrow(digest, "doc_id long, fp long, own boolean, start long, n_words long, digest binary"), "digests")
+    return both.select("doc_id", "fp", "own", "text", "ranges").mapInArrow(digest, "doc_id long, fp long, own boolean, start long, n_words long, digest binary")
+
+
+def verified(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+    """`spans` (doc_id, fp, start, n, path, route) with n_words and `good`: whether their words are those of the sources."""
+    spans = spans.withColumn("n_words", F.col("n") + F.lit(k - 1))
+    head = spans.groupBy("route").agg(F.min(F.struct("doc_id", "fp", "start", "n_words")).alias("head"))
+    at = F.aggregate(F.slice("route", 1, F.col("i")), F.lit(0).cast("long"), lambda x, p: x + p["n"])
+    parts = head.select("head", F.size("route").alias("m"), "route", F.posexplode("route").alias("i", "p"))
+    parts = parts.select("head", "m", (F.col("head.start") + at).alias("start"), (F.col("p.n") + k - 1).alias("n_words"), "p.src", "p.src_start")
+    parts = materialize(parts, "parts")
+    own = spans.select("doc_id", F.col("fp").alias("want"), "start", "n_words")
+    first = parts.select("head.doc_id", F.col("head.fp").alias("want"), "start", "n_words")
+    src = parts.select(F.col("src").alias("doc_id"), F.lit(None).cast("long").alias("want"), F.col("src_start").alias("start"), "n_words")
+    made = materialize(word_digests(docs, own.unionByName(first).unionByName(src)), "digests")
     mine = made.where("own").select("doc_id", "fp", "start", "n_words", "digest").distinct()
     theirs = made.where("not own").select(F.col("doc_id").alias("src"), F.col("start").alias("src_start"), "n_words", "digest").distinct()
-    checked = spans.withColumn("n_words", width).join(mine, ["doc_id", "fp", "start", "n_words"])
-    return checked.join(theirs, ["src", "src_start", "n_words", "digest"], "left_semi").drop("digest")
+    checked = parts.select("*", "head.doc_id", "head.fp").join(mine, ["doc_id", "fp", "start", "n_words"]).join(theirs, ["src", "src_start", "n_words", "digest"], "left_semi")
+    sound = checked.groupBy("head", "m").agg(F.count("*").alias("met")).where("met = m").select("head")
+    whole = mine.select(F.struct("doc_id", "fp", "start", "n_words").alias("head"), F.col("digest").alias("head_digest"))
+    heads = head.join(sound, "head").join(whole, "head").select("route", "head_digest")
+    out = spans.join(mine, ["doc_id", "fp", "start", "n_words"]).join(heads, "route", "left")
+    out = materialize(out.select("doc_id", "fp", "start", "n_words", "path", "route", F.coalesce(F.col("digest") == F.col("head_digest"), F.lit(False)).alias("good")), "spans")
+    discard(parts, made)
+    return out
+
+
+def settled_by_words(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+    """doc_id, fp, start, n_words: single windows of `spans` (whose hashes misled) that occur in a smaller doc_id.
 
+    Windows meet by their words. Every holder of a misleading edge but its source has a span here, or a span whose
+    source has one; of sources all windows are taken.
+    """
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("fp"), words.alias("w"))
+    sources = spans.select(F.explode("route.src").alias("doc_id")).distinct()
+    own = texts.join(spans.select("doc_id", "fp", "start", F.col("n_words")), ["doc_id", "fp"]).select("doc_id", "fp", "w", F.lit(True).alias("own"), F.explode(F.sequence("start", F.col("start") + F.col("n_words") - k)).alias("start"))
+    other = texts.join(sources, "doc_id", "left_semi").where(F.size("w") >= k).select("doc_id", "fp", "w", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.size("w").cast("long") - k)).alias("start"))
+    windows_ = own.unionByName(other)
+    windows_ = windows_.select("doc_id", "fp", "own", "start", F.slice("w", (F.col("start") + 1).cast("int"), k).alias("window"))
+    least = windows_.groupBy("window").agg(F.min("doc_id").alias("least"))
+    return windows_.where("own").join(least, "window").where("least < doc_id").select("doc_id", "fp", "start", F.lit(k).cast("long").alias("n_words")).distinct()
 
-def repeated_spans(docs: DataFrame, k: int = 13, bins: int | None = None) -> DataFrame:
-    """doc_id, fp (hash of the text), start, n_words, src, src_start, path: every repeated span with its source."""
-    segments = materialize(walks(repeated_edges(docs, k, bins or bins_for(docs))), "segments")
-    return materialize(verified(docs, compact_paths(segments), k), "spans")
 
+def repeated_spans(docs: DataFrame, k: int = 13, bins: int | None = None, bits: int = 64) -> DataFrame:
+    """doc_id, fp (hash of the text), start, n_words, path, route: every repeated span with its sources.
 
-def remove_repeats(docs: DataFrame, k: int = 13, bins: int | None = None) -> DataFrame:
-    """`docs` with text = the kept words joined by one space, plus n_words and n_removed. Other columns stay."""
-    spans = repeated_spans(docs, k, bins)
-    cover = spans.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("_cover"))
-    keyed = docs.withColumn("_fp", F.xxhash64("text"))
-    hit = keyed.join(cover.withColumnsRenamed({"doc_id": "_id", "fp": "_f"}), (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_f")), "left").drop("_id", "_f", "_fp")
+    Results do not depend on the number of hash `bits`; fewer than 64 only make more work.
+    """
+    bounded_batches(docs.sparkSession)
+    segments = materialize(walks(repeated_edges(docs, k, bins or bins_for(docs), bits)), "segments")
+    spans = materialize(path_spans(compact_paths(segments)), "paths")
+    discard(segments)
+    checked = verified(docs, spans, k)
+    discard(spans)
+    bad = checked.where("not good")
+    found = checked.where("good").drop("good")
+    if bad.isEmpty():
+        return found
+    by_words = settled_by_words(docs, bad, k).withColumns({"path": F.lit(None).cast("long"), "route": F.lit(None).cast(found.schema["route"].dataType)})
+    return found.unionByName(by_words)
+
+
+def remove_repeats(docs: DataFrame, k: int = 13, bins: int | None = None, bits: int = 64) -> DataFrame:
+    """`docs` with text = the kept words joined by one space, plus n_words and n_removed in place of columns of these names.
+
+    Other columns stay, whatever their names.
+    """
+    spans = repeated_spans(docs, k, bins, bits)
+    cover = spans.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__cover"))
+    keyed = docs.withColumn("__fp", F.xxhash64("text"))
+    hit = keyed.join(cover.withColumnsRenamed({"doc_id": "__id", "fp": "__f"}), (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__f")), "left").drop("__id", "__f", "__fp")
 
     def cut(batches):
         for batch in batches:
             texts, counts, gone = [], [], []
-            at_text, at_cover = batch.schema.get_field_index("text"), batch.schema.get_field_index("_cover")
-            covers = batch.column(at_cover)
+            at_text, at__cover = batch.schema.get_field_index("text"), batch.schema.get_field_index("__cover")
+            covers = batch.column(at__cover)
             for i, text in enumerate(batch.column(at_text)):
                 words = (text.as_py() or "").encode().split()
                 n, keep, to = len(words), [], 0
@@ -236,12 +320,12 @@ def remove_repeats(docs: DataFrame, k: int = 13, bins: int | None = None) -> Dat
                 counts.append(n)
                 gone.append(n - len(words))
             batch = batch.set_column(at_text, "text", pa.array(texts, pa.binary()).cast(pa.string()))
-            batch = batch.set_column(at_cover, "n_words", pa.array(counts, pa.int64()))
+            batch = batch.set_column(at__cover, "n_words", pa.array(counts, pa.int64()))
             yield batch.append_column("n_removed", pa.array(gone, pa.int64()))
 
     names = [c for c in hit.columns if c not in ("n_words", "n_removed")]
     hit = hit.select(*names)
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" if f.name != "_cover" else "n_words long" for f in hit.schema] + ["n_removed long"])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" if f.name != "__cover" else "n_words long" for f in hit.schema] + ["n_removed long"])
     return hit.mapInArrow(cut, fields)
 
 

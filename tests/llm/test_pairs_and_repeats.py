@@ -93,7 +93,27 @@ def test_paths_and_sources(docs, texts):
     assert spans
     for s in spans:
         mine = words(texts[s["doc_id"]])[s["start"] : s["start"] + s["n_words"]]
-        assert mine == words(texts[s["src"]])[s["src_start"] : s["src_start"] + s["n_words"]] and s["src"] < s["doc_id"]
+        at = 0
+        for p in s["route"]:
+            assert mine[at : at + p["n"] + 12] == words(texts[p["src"]])[p["src_start"] : p["src_start"] + p["n"] + 12] and p["src"] < s["doc_id"]
+            at += p["n"]
+        assert at + 12 == s["n_words"]
+
+
+def test_path_spans(spark):
+    rows = [(5, 0, 0, 4, 1, 0, 9), (5, 0, 4, 3, 2, 50, 9), (5, 0, 7, 2, 2, 90, 8), (5, 0, 20, 1, 1, 4, 9), (6, 0, 0, 3, 2, 50, 9)]
+    made = repeats.path_spans(spark.createDataFrame(rows, "doc_id long, fp long, start long, n long, src long, src_start long, path long"))
+    got = sorted((r["doc_id"], r["start"], r["n"], r["path"], [tuple(p) for p in r["route"]]) for r in made.collect())
+    assert got == [(5, 0, 7, 9, [(4, 1, 0), (3, 2, 50)]), (5, 7, 2, 8, [(2, 2, 90)]), (5, 20, 1, 9, [(1, 1, 4)]), (6, 0, 3, 9, [(3, 2, 50)])]
+
+
+def test_windows_of_one_hash(docs, texts):
+    """With hashes of 6 bits nearly all windows clash; what is removed stays right, by the words themselves."""
+    few = {i: t for i, t in texts.items() if i < 40}
+    rows = docs.where("doc_id < 40")
+    assert repeats.repeated_spans(rows, 5, 3, bits=6).where("route is null").count() > 0
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in repeats.remove_repeats(rows, 5, 3, bits=6).collect()}
+    assert got == removed(few, 5)
 
 
 def test_path_compaction(spark):
