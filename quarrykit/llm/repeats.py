@@ -84,6 +84,22 @@ def _ordered(bins, keys, doc, fp, pos, src=None, diag=None) -> pa.RecordBatch:
     return _rows(bins[at], pick(keys), doc[at], fp[at], pos[at], pick(src), pick(diag))
 
 
+def _sources(new: np.ndarray, row: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For occurrences sorted by (edge, doc, row, position): (the source occurrence of each, occurrences in its document).
+
+    The source is in the edge's first document. An edge that occurs there more than once is on a loop of the graph: the
+    occurrences of every other row take its occurrences in turn, so that loops run along loops.
+    """
+    start = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    first = start[group]
+    many = np.add.reduceat((doc == doc[first]).astype(np.int64), start)[group]
+    fresh = new.copy()
+    fresh[1:] |= (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])
+    turn = np.arange(len(new)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    return first + turn % many, many
+
+
 def repeated_edges(docs: DataFrame, k: int, bins: int, bits: int = 64) -> DataFrame:
     """Packed occurrences (doc_id, position) of edges that start in a smaller doc_id, with source document and offset."""
 
@@ -108,6 +124,7 @@ def repeated_edges(docs: DataFrame, k: int, bins: int, bits: int = 64) -> DataFr
             hs, owner = h[order], ids[doc[order]]
             new = np.concatenate(([True], hs[1:] != hs[:-1]))
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            source, many = _sources(new, doc[order], owner)
             inner = owner != owner[first]
             # One occurrence of each edge goes to its bin for every position in the batch's first document.
             out = np.zeros(len(h), bool)
@@ -117,10 +134,10 @@ def repeated_edges(docs: DataFrame, k: int, bins: int, bits: int = 64) -> DataFr
             send = send[np.argsort(key_bin[send], kind="stable")]
             yield _rows(key_bin[send].astype(np.int32), h[send], ids[doc[send]], prints[doc[send]], pos[send])
             if inner.any():
-                a, b = order[inner], order[first[inner]]
+                a, b = order[inner], order[source[inner]]
                 d = ids[doc[a]]
                 yield _ordered(_doc_bin(d, bins), None, d, prints[doc[a]], pos[a], ids[doc[b]], pos[b] - pos[a])
-                new = np.unique(first[inner])[: _KNOWN - len(known[0])]
+                new = np.unique(first[inner & (many == 1)])[: _KNOWN - len(known[0])]
                 more = (hs[new], owner[new], pos[order[new]])
                 merged = [np.concatenate(x) for x in zip(known, more, strict=True)]
                 by = np.argsort(merged[0], kind="stable")
@@ -139,13 +156,12 @@ def repeated_edges(docs: DataFrame, k: int, bins: int, bits: int = 64) -> DataFr
             same = ks[1:] == ks[:-1]
             many = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
             key, doc, fp, pos = key[many], doc[many], fp[many], pos[many]
-            order = np.lexsort((pos, doc, key))
+            order = np.lexsort((pos, fp, doc, key))
             key, doc, fp, pos = key[order], doc[order], fp[order], pos[order]
             if len(key):
-                new = np.concatenate(([True], key[1:] != key[:-1]))
-                first = np.flatnonzero(new)[np.cumsum(new) - 1]
-                hit = np.flatnonzero(doc != doc[first])
-                d, src, diag = doc[hit], doc[first[hit]], pos[first[hit]] - pos[hit]
+                source, _ = _sources(np.concatenate(([True], key[1:] != key[:-1])), fp, doc)
+                hit = np.flatnonzero(doc != doc[source])
+                d, src, diag = doc[hit], doc[source[hit]], pos[source[hit]] - pos[hit]
                 made.append(pa.Table.from_batches([_ordered(_doc_bin(d, bins), None, d, fp[hit], pos[hit], src, diag)]))
         return pa.concat_tables(made) if made else _FIELDS.empty_table()
 
