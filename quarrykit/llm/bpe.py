@@ -5,7 +5,8 @@ have changed meanwhile it is stale and skipped, else both become one symbol and
 pushed. Decoding concatenates the vocabulary's byte strings.
 
 Defined cases: null text is empty; an empty text has no ids; strings of added tokens get their own id; very long texts
-are encoded whole, piece by piece; repeated rows get equal results; an empty table gives no rows.
+are encoded whole, piece by piece; repeated rows get equal results; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .kernels import sliced
 from .packing import tokenizer_file
+from .shared import bounded_batches
 from .units import LONGEST, PartCache, id_bytes
 
 #: Fixed: how a byte-level BPE of this family cuts text into pieces.
@@ -120,6 +122,7 @@ class BytePairs:
 def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), decoded (text of those ids) for every row of `docs` (doc_id, text)."""
     path = path or tokenizer_file()
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         pairs = BytePairs(path)

@@ -1,12 +1,14 @@
 """Quality classifier (7): a linear-chain conditional random field over the lines of a text.
 
 Every line has features of its own and of both neighbours; the field labels it bad or good. It is trained by gradient
-ascent on at most `SAMPLE` labelled documents (the smallest document hashes), whose lines carry the document's label.
+ascent on at most `SAMPLE` labelled documents (the smallest document hashes) of at most `SAMPLE_BYTES` bytes in all, whose
+lines carry the document's label.
 A document's quality is the length-weighted mean of its lines' forward-backward marginals, calibrated by a logistic
 curve on the same sample.
 
 Defined cases: texts without bytes (null too) have no lines and get the base rate of the sample; documents labelled more
-than once count once with their least label; without labels every score is 0.5; an empty table gives no rows.
+than once count once with their least label, and of rows with one doc_id the least text; without labels every score is
+0.5; repeated rows get equal results; an empty table gives no rows; all other columns stay, but `quality_score` is replaced.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from .kernels import sliced, span_counts, text_buffers, word_table
 from .langid import fold
 from .lines import line_table, repeated
+from .shared import bounded_batches, discard, materialize, one_per_id
 
 SAMPLE = 4000  # labelled documents at most from which the field is fitted
+SAMPLE_BYTES = 64 << 20  # bytes of text at most from which the field is fitted
 _STEPS, _RATE, _L2, _BLOCK = 150, 0.1, 1e-4, 200
 _KINDS = (bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"|", b"#*$%&<>", b"!?", b".:;", b",", b"-_=+/\\~^@\"'()[]{}")
 _KIND = np.full(256, len(_KINDS))
@@ -137,20 +141,27 @@ def fit(texts: list[str | None], labels: list[int]) -> Field:
     return Field(w, moves, (a, b), base)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits on the labelled documents with the smallest hashes of their doc_id, at most `sample`."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field:
+    """Fits on the labelled documents with the smallest hashes of their doc_id, at most `sample` of at most `sample_bytes`."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.where(fold() != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator()
-    texts, marks = [], []
-    for r in rows:
-        texts.append(r["text"])
-        marks.append(int(r["quality"] > 0))
-    return fit(texts, marks)
+    rows = materialize(one_per_id(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")), "sample")
+    sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()  # `sample` rows
+    taken, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["size"]
+        if total > sample_bytes:
+            break
+        taken.append(r["doc_id"])
+    kept = rows.where(F.col("doc_id").isin(taken)).orderBy("doc_id").collect() if taken else []
+    made = fit([r["text"] for r in kept], [int(r["quality"] > 0) for r in kept])
+    discard(rows)
+    return made
 
 
 def score_documents(docs: DataFrame, field: Field) -> DataFrame:
     """`docs` with quality_score: the calibrated, length-weighted share of good lines."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):

@@ -8,7 +8,8 @@ plus a guard that shrinks with the text's length; texts under `MIN_WORDS` words
 Base rules: under 50 words, or more than half of the words in repeated 3-word windows, fail.
 
 Defined cases: null text has no words (fails the base rules); documents without a language feed no reference; without
-any reference only the base rules decide; repeated rows get equal results; an empty table gives no rows.
+any reference only the base rules decide; repeated rows get equal results; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from .kernels import DELIMITER, U64, Words, k_word_hash, mix, packed, sliced, span_counts, text_buffers, word_table
 from .lines import SYMBOLS, line_table, repeated
+from .shared import bounded_batches
 
 COMMON, CELL_BITS = 64, 14
 MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 50, 0.28, 0.40
@@ -73,6 +75,7 @@ def references(docs: DataFrame) -> References:
         s = np.sum([np.frombuffer(x, "<i8") for x in group["counts"].to_pylist()], axis=0)
         return pa.table({"lang": group["lang"][:1], "counts": pa.array([packed(s, "<i8")], pa.binary())})
 
+    bounded_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("text", "lang")
     rows = known.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary")
     rows = sorted(((r[0], np.frombuffer(r[1], "<i8")) for r in rows.collect()), key=lambda r: r[0])  # one row per language
@@ -132,6 +135,7 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray, words: Words) -> dict[str,
 
 def judge(docs: DataFrame, refs: References, min_words: int = MIN_WORDS, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, nearest_lang, char_distance, word_distance for every row of `docs`."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(refs)
 
     def run(batches):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, mix, packed, shingle_sets, sliced, text_buffers, unpacked, word_table
-from .shared import bins_for, bounded_batches, discard, materialize
+from .shared import bins_for, bounded_batches, discard, materialize, one_per_id
 
 SKETCH_BITS = 20  # cells of the frequency sketch: a fixed 4 MB a task and 2 MB to broadcast, whatever the input
 _BLOCK, _BATCH = 1 << 16, 4 << 20
@@ -486,13 +486,6 @@ def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(docs, ngram=4, percent=85)
 
 
-def one_per_id(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id: the least by all comparable columns, the text first."""
-    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
-    least = F.min_by(F.struct(*docs.columns), F.struct("text", *rest))
-    return docs.where("doc_id is not null").groupBy("doc_id").agg(least.alias("least")).select("least.*")
-
-
 def one_per_group(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without the members of a group other than the one with the least doc_id; repeated rows of it become one."""
     groups = jaccard_groups(docs, ngram, percent)

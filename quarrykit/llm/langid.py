@@ -6,7 +6,8 @@ languages that hardly ever write in the word's script are ruled out for it. Vite
 words when every change of language costs `SWITCH`. A text's language is the one with most letters in its spans.
 
 Defined cases: null texts and texts without any letter are `und` with score 0; ties go to the language that sorts
-first; without any learning row everything is `und`; repeated rows get equal results; an empty table gives no rows.
+first; without any learning row everything is `und`; repeated rows get equal results; an empty table gives no rows; other
+columns stay, but those named lang_pred, score and spans are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import DELIMITER, LOWER, Words, packed, pieces, sliced, span_counts, text_buffers, word_table
+from .shared import bounded_batches
 
 CELL_BITS = 15
 SWITCH = 12.0  # nats that a change of language within a text costs
@@ -98,6 +100,7 @@ def learn(docs: DataFrame) -> Model:
         s = np.sum([np.frombuffer(x, "<i8") for x in group["counts"].to_pylist()], axis=0)
         return pa.table({"lang": group["lang"][:1], "counts": pa.array([packed(s, "<i8")], pa.binary())})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, counts binary")
     rows = sorted(rows.groupBy("lang").applyInArrow(add, "lang string, counts binary").collect())  # one row per language
     langs = [r[0] for r in rows]
@@ -182,14 +185,15 @@ def label_texts(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                             parts[d].append({"lang": model.langs[label[a]], "first_word": int(a - begin[d]), "n_words": int(m)})
                 top = share.argmax(1)
                 letters = share.sum(1)
-                ok = np.array(batch.column(batch.schema.get_field_index("_letters")).fill_null(False).to_pylist(), bool) & bool(model.langs)
+                ok = np.array(batch.column(batch.schema.get_field_index("__letters")).fill_null(False).to_pylist(), bool) & bool(model.langs)
                 pred = [model.langs[t] if o else "und" for t, o in zip(top, ok, strict=True)]
                 score = np.where(ok, np.where(letters > 0, share.max(1) / np.maximum(letters, 1), 1 / max(1, len(model.langs))), 0.0)
-                made = batch.drop_columns(["_letters"]).append_column("lang_pred", pa.array(pred)).append_column("score", pa.array(score))
+                made = batch.drop_columns(["__letters"]).append_column("lang_pred", pa.array(pred)).append_column("score", pa.array(score))
                 yield made.append_column("spans", pa.array(parts, kind)) if out_spans else made
 
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "spans")
-    marked = docs.withColumn("_letters", F.col("text").rlike("\\p{L}"))
+    marked = docs.withColumn("__letters", F.col("text").rlike("\\p{L}"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"]
     fields += ["spans array<struct<lang:string,first_word:bigint,n_words:bigint>>"] * spans
     return marked.mapInArrow(run, ", ".join(fields))

@@ -25,6 +25,7 @@ other's source, and spans belong to (doc_id, text), so repeated rows get equal r
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -309,10 +310,18 @@ def repeated_spans(docs: DataFrame, k: int = 13, bins: int | None = None, bits:
     return found.unionByName(by_words)
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, bins: int | None = None, bits: int = 64) -> DataFrame:
+def cut_words(text: bytes, keep: list[int]) -> bytes:
+    """Only the words with these numbers, each with the white space after it, and what stands before the first word."""
+    at = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    ends = [*at[1:], len(text)]
+    return text[: at[0] if at else None] + b"".join(text[at[i] : ends[i]] for i in keep)
+
+
+def remove_repeats(docs: DataFrame, k: int = 13, bins: int | None = None, bits: int = 64, joined: bool = True) -> DataFrame:
     """`docs` with text = the kept words joined by one space, plus n_words and n_removed in place of columns of these names.
 
-    Other columns stay, whatever their names.
+    Not `joined`: words go from the text as it stands, with the white space after them, and texts without a repeat stay
+    as they are. Other columns stay, whatever their names.
     """
     spans = repeated_spans(docs, k, bins, bits)
     cover = spans.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__cover"))
@@ -329,10 +338,14 @@ def remove_repeats(docs: DataFrame, k: int = 13, bins: int | None = None, bits:
                 n, keep, to = len(words), [], 0
                 if covers[i].is_valid:
                     for span in covers[i].as_py():
-                        keep += words[to : max(to, span["start"])]
+                        keep += range(to, max(to, span["start"]))
                         to = max(to, span["start"] + span["n_words"])
-                    words = keep + words[to:]
-                texts.append(b" ".join(words))
+                    keep += range(to, n)
+                    raw = None if joined else cut_words(text.as_py().encode(), keep)
+                    words = [words[j] for j in keep]
+                else:
+                    raw = None if joined or not text.is_valid else text.as_py().encode()
+                texts.append(b" ".join(words) if joined else raw)
                 counts.append(n)
                 gone.append(n - len(words))
             batch = batch.set_column(at_text, "text", pa.array(texts, pa.binary()).cast(pa.string()))

@@ -37,6 +37,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id that is not null: the least by its text, then by all other comparable columns."""
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
+    least = F.min_by(F.struct(*docs.columns), F.struct("text", *rest))
+    return docs.where("doc_id is not null").groupBy("doc_id").agg(least.alias("least")).select("least.*")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

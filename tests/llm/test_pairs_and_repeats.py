@@ -107,6 +107,15 @@ def test_path_spans(spark):
     assert got == [(5, 0, 7, 9, [(4, 1, 0), (3, 2, 50)]), (5, 7, 2, 8, [(2, 2, 90)]), (5, 20, 1, 9, [(1, 1, 4)]), (6, 0, 3, 9, [(3, 2, 50)])]
 
 
+def test_words_cut_from_the_text(docs, texts):
+    """Without joining, white space of what stays is untouched."""
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs, 13, joined=False).collect()}
+    for i, (_, gone, kept) in removed(texts, 13).items():
+        assert got[i]["n_removed"] == gone and words(got[i]["text"]) == words(kept)
+        assert gone or got[i]["text"] == texts[i]
+    assert repeats.cut_words(b" a  b\nc d\t", [0, 2]) == b" a  c "
+
+
 def test_windows_of_one_hash(docs, texts):
     """With hashes of 6 bits nearly all windows clash; what is removed stays right, by the words themselves."""
     few = {i: t for i, t in texts.items() if i < 40}
