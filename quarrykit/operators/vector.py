@@ -1,7 +1,8 @@
 """Embedding jobs and exact nearest-neighbour search for a whole table of queries.
 
-Query vectors travel in blocks of at most `BLOCK` rows; each block is broadcast, every task keeps its best k per query, and
-only those rows are ranked. So neither all pairs nor all vectors ever meet in one place.
+Queries and index rows are packed in blocks (one row of bytes each); every block of the index meets every block of queries
+in one join, keeps its best k per query, and only those rows are ranked. So neither all pairs nor all vectors ever meet in
+one place, and no vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keyword import terms_of, top_k
 
-BLOCK = 4096
+BLOCK = 1024  # about as many queries, and at most as many index rows, in a block
 Embed = Callable[[list[str]], np.ndarray]
 
 
@@ -82,40 +84,63 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _packed(kind: str, name: str) -> str:
+    return f"{name}_ids array<{kind}>, {name} binary"
+
+
+def _pack(ids: pa.Array, vectors: pa.Array) -> list[pa.Array]:
+    flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.ascontiguousarray(flat).tobytes()], pa.binary())]
+
+
+def _best(near: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least in every row of `near`; ties by score as it is shown, then by id."""
+    score = np.round(1 / (1 + near), 9)
+    if score.shape[1] > k:
+        row, column = np.nonzero(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, column = np.divmod(np.arange(score.size), score.shape[1])
+    order = np.lexsort((np.argsort(np.argsort(ids, kind="stable"), kind="stable")[column], -score[row, column], row))
+    row, column = row[order], column[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
+    return row[keep], column[keep]
+
+
 def vector_search(queries: DataFrame, index: DataFrame, k: int = 20, squared: bool = True, block: int = BLOCK) -> DataFrame:
     """query_id, rank, chunk_id, score, source of the k nearest rows by L2; score = 1 / (1 + distance).
 
-    `queries`: query_id, vector; `index`: chunk_id, vector.
+    `queries`: query_id, vector; `index`: chunk_id, vector. Rows without a vector are left out.
     """
-    spark, made = queries.sparkSession, None
-    total = queries.count()
-    numbered = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // block)))).alias("_block"))
-    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {index.schema['chunk_id'].dataType.simpleString()}, distance double"
-    for b in range(max(1, -(-total // block))):
-        rows = numbered.where(F.col("_block") == b).select("query_id", "vector").toPandas()  # about `block` rows
-        ids = rows["query_id"].to_numpy()
-        matrix = np.array(rows["vector"].tolist(), np.float64).reshape(len(rows), -1)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def nearest(frames, shared=shared):
-            ids, q = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(ids)
-            for pdf in frames:
-                if not len(pdf) or not len(ids):
-                    continue
-                x = np.array(pdf["vector"].tolist(), np.float64)
-                names = pdf["chunk_id"].to_numpy()
+    query_kind, chunk_kind = queries.schema["query_id"].dataType.simpleString(), index.schema["chunk_id"].dataType.simpleString()
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.where("vector is not null").select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", "vector")
+
+    def gather(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        columns = (group[c].combine_chunks() for c in ("query_id", "vector"))
+        return pa.table([group["block"][:1], *_pack(*columns)], names=["block", "query_ids", "query"])
+
+    def pack(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, block):
+                part = whole.slice(a, block)
+                yield pa.RecordBatch.from_arrays(_pack(part.column(0), part.column(1)), ["chunk_ids", "chunk"])
+
+    def nearest(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                ids, chunk_ids = row.column(0).flatten(), row.column(2).flatten()
+                q, x = (np.frombuffer(row.column(c)[0].as_py()).reshape(len(n), -1) for c, n in ((1, ids), (3, chunk_ids)))
                 near = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
                 near = near if squared else np.sqrt(near)
-                for i in range(len(ids)):
-                    at = np.argpartition(near[i], min(k, len(x) - 1))[: k + 1] if len(x) > k + 1 else np.arange(len(x))
-                    at = np.flatnonzero(near[i] <= near[i][at].max()) if len(x) > k + 1 else at  # keep ties
-                    d, n = np.concatenate((best[i][0], near[i][at])), np.concatenate((best[i][1], names[at].astype(object)))
-                    order = np.lexsort((n.astype(names.dtype if names.dtype != object else str), d))[:k]
-                    best[i] = d[order], n[order]
-            yield pd.DataFrame({"query_id": np.repeat(ids, [len(d) for d, _ in best]), "chunk_id": np.concatenate([n for _, n in best]) if best else [], "distance": np.concatenate([d for d, _ in best]) if best else []})
-
-        part = index.select("chunk_id", "vector").mapInPandas(nearest, kind)
-        made = part if made is None else made.unionByName(part)
+                r, c = _best(near, chunk_ids.to_numpy(zero_copy_only=False), k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), chunk_ids.take(pa.array(c)), pa.array(near[r, c])], ["query_id", "chunk_id", "distance"])
+
+    left = asked.groupBy("block").applyInArrow(gather, f"block long, {_packed(query_kind, 'query')}")
+    right = index.where("vector is not null").select("chunk_id", "vector").mapInArrow(pack, _packed(chunk_kind, "chunk"))
+    met = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(left, "block")
+    made = met.select("query_ids", "query", "chunk_ids", "chunk").mapInArrow(nearest, f"query_id {query_kind}, chunk_id {chunk_kind}, distance double")
     scored = made.withColumn("score", F.round(1 / (1 + F.col("distance")), 9))
     return top_k(scored, k).select("query_id", "rank", "chunk_id", "score", F.lit("vector").alias("source"))
