@@ -2,22 +2,30 @@
 
 Terms are runs of letters and digits, lower-cased; k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a
 term repeated in a query counts once; ties go by chunk_id.
+
+The index has one row per chunk with its terms, so a chunk's score is complete where the chunk is: blocks of chunks meet
+blocks of queries, keep the best k of each query, and only these rows are shuffled. No term, however frequent, gathers
+its chunks anywhere.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+QUERIES, CHUNKS = 256, 256  # about as many queries, and at most as many chunks, in a block
 
 
 class KeywordIndex(NamedTuple):
-    """postings (term, chunk_id, tf, dl), terms (term, df), size (one row: n, avgdl)."""
+    """chunks (chunk_id, dl, terms, tf: how often each occurs), terms (term, df), size (one row: n, avgdl)."""
 
-    postings: DataFrame
+    chunks: DataFrame
     terms: DataFrame
     size: DataFrame
 
@@ -27,32 +35,110 @@ def terms_of(text: Column) -> Column:
 
 
 def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
-    """Term frequencies are counted before any term is shuffled, so a frequent term costs one row per chunk."""
-    rows = chunks.select("chunk_id", terms_of(F.col("text")).alias("t"))
-    size = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    postings = rows.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return KeywordIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), size)
+    """Term frequencies are counted where the chunk is read; only the terms' document counts are shuffled."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def count(batches):
+        for batch in batches:
+            tokens, lengths = batch.column(1).flatten(), np.diff(batch.column(1).offsets.to_numpy())
+            coded = tokens.dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            cell, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * n + coded.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(cell, n)
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(lengths)))), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(term)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], ["chunk_id", "dl", "terms", "tf"])
+
+    rows = chunks.select("chunk_id", terms_of(F.col("text")).alias("t")).mapInArrow(count, f"chunk_id {kind}, dl int, terms array<string>, tf array<int>")
+    terms = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return KeywordIndex(rows, terms, rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def write_keyword_index(index: KeywordIndex, path: str) -> None:
-    """Postings sorted by term, so that a search reads only the row groups of its terms."""
-    index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.size.write.mode("overwrite").parquet(f"{path}/size")
+    """Chunks are written first, and the counts are made from what was written."""
+    index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    rows = index.chunks.sparkSession.read.parquet(f"{path}/chunks")
+    rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
 
 
 def read_keyword_index(spark, path: str) -> KeywordIndex:
-    return KeywordIndex(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "size")))
+    return KeywordIndex(*(spark.read.parquet(f"{path}/{x}") for x in ("chunks", "terms", "size")))
 
 
-def bm25_scores(queries: DataFrame, index: KeywordIndex) -> DataFrame:
-    """query_id, chunk_id, score of every chunk that matches any term. The engine broadcasts the query terms if small."""
+def _query_blocks(queries: DataFrame, index: KeywordIndex, blocks: int) -> DataFrame:
+    """block, query_ids, words, q (of each word's entries), entries (number per word), idf, avgdl of each block of queries."""
+    kind = queries.schema["query_id"].dataType.simpleString()
     asked = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    n, avgdl = F.col("n"), F.col("avgdl")
-    weighted = asked.join(index.terms, "term").join(F.broadcast(index.size)).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return index.postings.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    n = F.col("n")
+    weighted = asked.join(index.terms, "term").join(F.broadcast(index.size)).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
+    weighted = weighted.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", "term", "idf", "avgdl")
+
+    def gather(group: pa.Table) -> pa.Table:
+        ids, words = (group[c].combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+        q, w = (x.indices.to_numpy() for x in (ids, words))
+        order = np.argsort(w, kind="stable")
+        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+        cols = [ids.dictionary, words.dictionary, q[order].astype(np.int32), np.bincount(w).astype(np.int32), group["idf"].to_numpy()[order]]
+        return pa.table([group["block"][:1], *map(whole, cols), group["avgdl"][:1]], names=["block", "query_ids", "words", "q", "entries", "idf", "avgdl"])
+
+    return weighted.groupBy("block").applyInArrow(gather, f"block long, query_ids array<{kind}>, words array<string>, q array<int>, entries array<int>, idf array<double>, avgdl double")
+
+
+def bm25_scores(queries: DataFrame, index: KeywordIndex, k: int = 20) -> DataFrame:
+    """query_id, chunk_id, score: for each block of chunks the best k of every query, and so all that can be among its best k."""
+    blocks = max(1, -(-queries.count() // QUERIES))
+    query_kind, chunk_kind = queries.schema["query_id"].dataType.simpleString(), index.chunks.schema["chunk_id"].dataType.simpleString()
+
+    def pack(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, CHUNKS):
+                part = whole.slice(a, CHUNKS)
+                row = [part.column(0), part.column(1), pa.array(np.diff(part.column(2).offsets.to_numpy()), pa.int32()), part.column(2).flatten(), part.column(3).flatten()]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row], ["chunk_ids", "dl", "sizes", "terms", "tf"])
+
+    def score(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                chunk_ids, dl, sizes, terms, tf, query_ids, words, q, entries, idf = (row.column(c).flatten() for c in range(10))
+                avgdl = row.column(10)[0].as_py()
+                dl, sizes, tf, q, entries, idf = (x.to_numpy() for x in (dl, sizes, tf, q, entries, idf))
+                word = pa.compute.index_in(terms, words).fill_null(-1).to_numpy()
+                met = np.flatnonzero(word >= 0)
+                chunk, word, tf = np.repeat(np.arange(len(dl)), sizes)[met], word[met], tf[met]
+                used, column = np.unique(word, return_inverse=True)
+                weight = np.zeros((len(dl), len(used)))
+                weight[chunk, column] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[chunk] / avgdl))
+                wanted = np.zeros((len(used), len(query_ids)))
+                place = np.full(len(words), -1)
+                place[used] = np.arange(len(used))
+                at = place[np.repeat(np.arange(len(words)), entries)]
+                wanted[at[at >= 0], q[at >= 0]] = idf[at >= 0]
+                r, c, s = best_columns(np.round((weight @ wanted).T, 9), chunk_ids, k)
+                hit = s > 0
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(r[hit])), chunk_ids.take(pa.array(c[hit])), pa.array(s[hit])], ["query_id", "chunk_id", "score"])
+
+    right = index.chunks.select("chunk_id", "dl", "terms", "tf").mapInArrow(pack, f"chunk_ids array<{chunk_kind}>, dl array<int>, sizes array<int>, terms array<string>, tf array<int>")
+    met = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(_query_blocks(queries, index, blocks), "block")
+    cols = ["chunk_ids", "dl", "sizes", "terms", "tf", "query_ids", "words", "q", "entries", "idf", "avgdl"]
+    return met.select(*cols).mapInArrow(score, f"query_id {query_kind}, chunk_id {chunk_kind}, score double")
+
+
+def best_columns(score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k best in every row of `score`; ties by id."""
+    if score.shape[1] > k:
+        row, column = np.nonzero(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, column = np.divmod(np.arange(score.size), max(1, score.shape[1]))
+    place = np.empty(len(ids), np.int64)
+    place[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((place[column], -score[row, column], row))
+    row, column = row[order], column[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
+    row, column = row[keep], column[keep]
+    return row, column, score[row, column]
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -63,6 +149,5 @@ def top_k(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 def bm25_search(queries: DataFrame, index: KeywordIndex, chunks: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, chunk_id, score, source, title, section, document_id, text."""
-    scores = bm25_scores(queries, index).withColumn("score", F.round("score", 9))
-    best = top_k(scores.where("score > 0"), k)
+    best = top_k(bm25_scores(queries, index, k), k)
     return best.join(chunks.select("chunk_id", "title", "section", "document_id", "text"), "chunk_id").withColumn("source", F.lit("keyword")).select("query_id", "rank", "chunk_id", "score", "source", "title", "section", "document_id", "text")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keyword import terms_of, top_k
+from .keyword import best_columns, top_k
 
 BLOCK = 1024  # about as many queries, and at most as many index rows, in a block
 Embed = Callable[[list[str]], np.ndarray]
@@ -93,20 +93,6 @@ def _pack(ids: pa.Array, vectors: pa.Array) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.ascontiguousarray(flat).tobytes()], pa.binary())]
 
 
-def _best(near: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k least in every row of `near`; ties by score as it is shown, then by id."""
-    score = np.round(1 / (1 + near), 9)
-    if score.shape[1] > k:
-        row, column = np.nonzero(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k])
-    else:
-        row, column = np.divmod(np.arange(score.size), score.shape[1])
-    order = np.lexsort((np.argsort(np.argsort(ids, kind="stable"), kind="stable")[column], -score[row, column], row))
-    row, column = row[order], column[order]
-    first = np.flatnonzero(np.diff(row, prepend=-1))
-    keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
-    return row[keep], column[keep]
-
-
 def vector_search(queries: DataFrame, index: DataFrame, k: int = 20, squared: bool = True, block: int = BLOCK) -> DataFrame:
     """query_id, rank, chunk_id, score, source of the k nearest rows by L2; score = 1 / (1 + distance).
 
@@ -135,7 +121,7 @@ def vector_search(queries: DataFrame, index: DataFrame, k: int = 20, squared: bo
                 q, x = (np.frombuffer(row.column(c)[0].as_py()).reshape(len(n), -1) for c, n in ((1, ids), (3, chunk_ids)))
                 near = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
                 near = near if squared else np.sqrt(near)
-                r, c = _best(near, chunk_ids.to_numpy(zero_copy_only=False), k)
+                r, c, _ = best_columns(np.round(1 / (1 + near), 9), chunk_ids, k)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), chunk_ids.take(pa.array(c)), pa.array(near[r, c])], ["query_id", "chunk_id", "distance"])
 
     left = asked.groupBy("block").applyInArrow(gather, f"block long, {_packed(query_kind, 'query')}")

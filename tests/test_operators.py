@@ -76,7 +76,7 @@ def test_keyword_search(spark, chunks):
 def test_keyword_index_round_trip(spark, chunks, tmp_path):
     index = keyword.build_keyword_index(chunks)
     keyword.write_keyword_index(index, str(tmp_path / "index"))
-    assert keyword.read_keyword_index(spark, str(tmp_path / "index")).postings.count() == index.postings.count()
+    assert keyword.read_keyword_index(spark, str(tmp_path / "index")).chunks.count() == index.chunks.count()
 
 
 @pytest.mark.parametrize("block", [2, 4096])
