@@ -492,3 +492,16 @@ def one_per_group(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFra
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     loose = docs.where("doc_id is null")
     return one_per_id(docs.join(first, "doc_id", "left_semi")).select(*docs.columns).unionByName(loose)
+
+
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []::VARCHAR[]) AS ws FROM documents),
+t AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS grams FROM w),
+s AS MATERIALIZED (SELECT doc_id, unnest(grams) AS g FROM t),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+n AS (SELECT doc_id, len(grams) AS n FROM t),
+e AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT reach.u, b.v FROM reach JOIN both_ b ON reach.v = b.u)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, r.component_id FROM n JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) r ON r.u = n.doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_media_columns": media.op10_media_columns,
 }
-ORACLES = {"op4_host_reputation": urls.ORACLE, "op5_substring_dedup": repeats.ORACLE}
+ORACLES = {"op1_ngram_jaccard_join": jaccard.ORACLE, "op4_host_reputation": urls.ORACLE, "op5_substring_dedup": repeats.ORACLE}

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarrykit.llm import components, jaccard, kernels, repeats
@@ -57,6 +58,61 @@ def test_jaccard_edge_cases(spark, nothing):
     assert got == [(0, 0), (1, 1), (1, 1), (5, 5), (5, 5)]
 
 
+@pytest.fixture(scope="module")
+def classes(spark):
+    """Prefix rows of alike and unlike sets of 6 to 60 numbers, and the pairs of them with a similarity of 0.8 or more."""
+    rng = np.random.default_rng(8)
+    sets, base = [], rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    for i in range(160):
+        s = base[: rng.integers(6, 61)] if i % 2 else rng.integers(1, 1 << 62, rng.integers(6, 61)).astype(np.uint64)
+        s = np.concatenate((s[rng.random(len(s)) > 0.06], rng.integers(1, 1 << 62, rng.integers(0, 3)).astype(np.uint64)))
+        sets.append(np.unique(s))
+    prefix = {i: s[: len(s) - -(-80 * len(s) // 100) + 2] for i, s in enumerate(sets)}
+    often = Counter(int(x) for p in prefix.values() for x in p)
+    rows = []
+    for i, p in prefix.items():
+        shared = [(int(np.array(x).view(np.int64)), r, often[int(x)]) for r, x in enumerate(p) if often[int(x)] > 1]
+        bits = [int(x) for x in jaccard._bitmaps(sets[i], np.array([len(sets[i])]))]
+        rows.append((i, len(sets[i]), i, 1000 + i, bits, [k for k, _, _ in shared], [r for _, r, _ in shared], [c for _, _, c in shared]))
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - c)}
+    return spark.createDataFrame(rows, "sig long, n int, root long, doc_id long, bits array<long>, key array<long>, rank array<int>, len array<long>").repartition(3), linked
+
+
+@pytest.mark.parametrize("limit", [0, 25, 1000])
+@pytest.mark.parametrize("hot", [5, 20_000])
+def test_lists_lose_no_link(classes, limit, hot):
+    """Subsets, scanned lists and both, in whole lists and in lists cut into parts."""
+    rows, linked = classes
+    made = [(r["a"], r["b"]) for r in jaccard.list_pairs(rows, limit, 80, 7, hot).collect()]
+    assert len(linked) > 100 and linked <= set(made) and len(made) == len(set(made)) < 4 * len(linked)
+
+
+def test_boundary(classes):
+    """The size of the least total cost, and what lies on either side."""
+    rows, _ = classes
+    held = [(r["n"], len(r["key"]), sum(r["len"])) for r in rows.collect()]
+    made = jaccard.boundary(rows, 80)
+    cost = lambda top: sum(k * (k - 1) / 2 if n <= top else scan for n, k, scan in held)
+    assert made.scan_all == cost(0) and made.cost == cost(made.size) < min(cost(0), cost(1000) + 1)
+    assert made.small == sum(n <= made.size for n, _, _ in held) > 0 and made.small + made.large == len(held)
+
+
+def test_clashing_sets(spark):
+    rows = spark.createDataFrame([(1, 7, 70), (2, 7, 70), (3, 8, 80), (4, 8, 81), (5, None, None)], "doc_id long, sig long, other long")
+    assert jaccard.find_clashes(rows) == frozenset({8})
+    s = np.arange(5, dtype=np.uint64)
+    assert jaccard.class_of(s) == jaccard.set_hash(s) != jaccard.class_of(s, frozenset({jaccard.set_hash(s)})) == jaccard.set_hash(s, 1)
+
+
+def test_sql_equals_brute_force():
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    own = dict(c.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert {i: (n, m) for i, n, m in c.execute(jaccard.ORACLE).fetchall()} == groups(own, 4, 85)
+
+
 def removed(texts, k):
     first = {}
     for i in sorted(texts):
