@@ -64,10 +64,10 @@ def unescape_html(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-def extract_html_text(c: Column, max_chars: int = 8000, all_entities: bool = False) -> Column:
+def extract_html_text(c: Column, max_chars: int = 8000, all_entities: bool = True) -> Column:
     """Text nodes of a page, one per line, without navigation, scripts and the like.
 
-    The common entities are replaced in place; `all_entities` decodes the full table in Arrow batches instead.
+    All entities are decoded, in Arrow batches; without `all_entities` only the common ones, in the JVM.
     """
     out = F.regexp_replace(F.coalesce(c, F.lit("")), "(?s)<!--.*?-->|<![^>]*>", "")
     for tag in DROPPED:
@@ -81,13 +81,13 @@ def extract_html_text(c: Column, max_chars: int = 8000, all_entities: bool = Fal
     return strip_space(F.substring(out, 1, max_chars))
 
 
-def page_text(status: Column, content_type: Column, body: Column, max_chars: int = 8000) -> dict[str, Column]:
+def page_text(status: Column, content_type: Column, body: Column, max_chars: int = 8000, all_entities: bool = True) -> dict[str, Column]:
     """text, char_count, fetched, error of a stored response."""
     if not 100 <= max_chars <= 50000:
         raise ValueError("max_chars must be from 100 to 50000")
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     failed = F.coalesce(status, F.lit(0)) >= 400
-    text = F.when(failed, "").when(kind.contains("html"), extract_html_text(body, max_chars)).when(kind.contains("text/plain"), F.substring(F.coalesce(body, F.lit("")), 1, max_chars)).otherwise(F.concat(F.lit("[Non-text content: "), F.coalesce(content_type, F.lit("")), F.lit("]")))
+    text = F.when(failed, "").when(kind.contains("html"), extract_html_text(body, max_chars, all_entities)).when(kind.contains("text/plain"), F.substring(F.coalesce(body, F.lit("")), 1, max_chars)).otherwise(F.concat(F.lit("[Non-text content: "), F.coalesce(content_type, F.lit("")), F.lit("]")))
     return {"text": text, "char_count": F.length(text), "fetched": ~failed, "error": F.when(failed, F.concat(F.lit("HTTP "), status.cast("string")))}
 
 

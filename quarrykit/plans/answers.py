@@ -130,7 +130,7 @@ def answers(spark, sf_dir: str) -> DataFrame:
     """
     i, n = F.col("doc_id"), F.col("doc_id").cast("string")
     cid = lambda x: F.concat(F.lit("c"), n, F.lit(x))
-    chunk = lambda x: F.struct(cid(x).alias("chunk_id"), n.alias("document_id"), F.concat(F.lit("T"), (i % 7).cast("string"), F.lit("" if x == "c" else x)).alias("title"), F.lit(None).cast("string").alias("section"), F.substring(F.coalesce("text", F.lit("")), 1, 300).alias("text"))
+    chunk = lambda x: F.struct(cid(x).alias("chunk_id"), n.alias("document_id"), F.concat(F.lit("T"), (i % 7).cast("string"), F.lit("" if x == "c" else x)).alias("title"), F.lit(None).cast("string").alias("section"), F.coalesce("text", F.lit("")).alias("text"))
     answer = F.concat(F.lit("First ["), cid("b"), F.lit("]["), cid("a"), F.lit("] and ["), cid("b"), F.lit("]."), F.when(i % 3 == 0, " Also [ghost1].").otherwise(""), F.when(i % 4 == 0, "\n\nNothing here.\n\nNor here.").otherwise(""))
     timeline = F.when(i % 2 == 0, F.array(F.struct(F.lit("1900").alias("date"), F.lit("a|b").alias("event"), F.array(cid("a"), F.lit("zz")).alias("supporting_chunk_ids")), F.struct(F.lit("1901").alias("date"), F.lit("c").alias("event"), F.array().cast("array<string>").alias("supporting_chunk_ids"))))
     urls = F.array(F.concat(F.lit("http://x/"), n))
@@ -146,6 +146,17 @@ def extract_citations(spark, sf_dir):
     return answers(spark, sf_dir).select("question_id", *(F.array_join(c, ",").alias(n) for n, c in (("cited", citations.extract_citations(F.col("answer_text"), ids)), ("web", citations.extract_citations(F.col("answer_text"), F.col("urls"))), ("bracketed", citations.find_bracket_ids(F.col("answer_text"))))))
 
 
+@query("web_citations", "SELECT doc_id AS question_id, CASE WHEN doc_id % 2 = 0 THEN 'http://x/' || doc_id || ',' || 'http://y/' || doc_id ELSE 'http://y/' || doc_id END AS cited, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) END AS n_chars FROM documents")
+def web_citations(spark, sf_dir):
+    """Urls cited after a whole text: two known ones, the second cited first by odd ids alone, and an unknown one."""
+    n = F.col("doc_id").cast("string")
+    x, y = F.concat(F.lit("http://x/"), n), F.concat(F.lit("http://y/"), n)
+    body = F.translate(F.coalesce("text", F.lit("")), "[]", "()")
+    answer = F.concat(body, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ["), x, F.lit("]"))).otherwise(""), F.lit(" ["), y, F.lit("] [http://unknown/]"))
+    cited = citations.extract_citations(answer, F.array(x, y))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.array_join(cited, ",").alias("cited"), F.length(body).alias("n_chars"))
+
+
 @query(
     "numberize_citations",
     f"""WITH {ANSWERS} SELECT doc_id AS question_id, 'First [1][2] and [1].' || CASE WHEN ghost THEN ' Also [ghost1].' ELSE '' END || CASE WHEN thin THEN chr(10) || chr(10) || 'Nothing here.' || chr(10) || chr(10) || 'Nor here.' ELSE '' END AS text, '1:' || c || 'b:T' || t || 'b|2:' || c || 'a:T' || t || 'a' AS map FROM a""",
@@ -182,7 +193,7 @@ def reference_list(spark, sf_dir):
 
 @query(
     "evidence_block",
-    f"""WITH {ANSWERS}, x AS (SELECT a.*, substr(coalesce(text, ''), 1, 300) AS h FROM a JOIN documents USING (doc_id))
+    f"""WITH {ANSWERS}, x AS (SELECT a.*, coalesce(text, '') AS h FROM a JOIN documents USING (doc_id))
 SELECT doc_id AS question_id, '--- Evidence 1: [' || c || 'a] T' || t || 'a ---' || chr(10) || h || chr(10) || chr(10) || '--- Evidence 2: [' || c || 'b] T' || t || 'b ---' || chr(10) || h || chr(10) || chr(10) || '--- Evidence 3: [' || c || 'c] T' || t || ' ---' || chr(10) || h AS evidence,
 CASE WHEN timed THEN '--- TIMELINE (for reference while writing your answer) ---' || chr(10) || '• 1900: a|b  [' || c || 'a, zz]' || chr(10) || '• 1901: c  [no source]' || chr(10) ELSE '' END AS timeline FROM x""",
 )
@@ -200,9 +211,9 @@ def build_prompts(spark, sf_dir):
     return prompts.build_prompts(rows, TEMPLATE).select("question_id", "prompt", "prompt_version")
 
 
-@query("web_and_sub_answer_blocks", "SELECT page_id, '[Web 1] ' || url || chr(10) || 'URL: ' || url || chr(10) || substr(html, 1, 20) AS web, '[Part 1] ' || url || chr(10) || '(no answer)' || chr(10) || chr(10) || '[Part 2] Sub-question 2' || chr(10) || 'x' AS parts FROM pages")
+@query("web_and_sub_answer_blocks", "SELECT page_id, '[Web 1] ' || url || chr(10) || 'URL: ' || url || chr(10) || html AS web, '[Part 1] ' || url || chr(10) || '(no answer)' || chr(10) || chr(10) || '[Part 2] Sub-question 2' || chr(10) || 'x' AS parts FROM pages")
 def web_and_sub_answer_blocks(spark, sf_dir):
-    web = F.array(F.struct(F.col("url").alias("title"), F.col("url").alias("url"), F.substring("html", 1, 20).alias("snippet")))
+    web = F.array(F.struct(F.col("url").alias("title"), F.col("url").alias("url"), F.col("html").alias("snippet")))
     none = F.lit(None).cast("string")
     parts = F.array(F.struct(F.col("url").alias("question"), none.alias("answer_text")), F.struct(none.alias("question"), F.lit("x").alias("answer_text")))
     return read(spark, sf_dir, "pages").select("page_id", prompts.web_results_block(web).alias("web"), prompts.sub_answers_block(parts).alias("parts"))

@@ -172,7 +172,7 @@ def _html_sql(x: str, n: int = 8000) -> str:
         out = f"regexp_replace({out}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', '', 'g')"
     out = f"array_to_string(list_filter(list_transform(string_split_regex({out}, '<[^>]+>'), lambda x: {STRIP('x')}), lambda x: x <> ''), chr(10))"
     for entity, char in text.ENTITIES:
-        out = f"replace({out}, {quoted(entity)}, {quoted(char)})"
+        out = f"replace({out}, {quoted(entity)}, {quoted(char)})" if entity != "&amp;" else f"regexp_replace({out}, '&amp;?', '&', 'g')"
     out = f"regexp_replace(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g')"
     return STRIP(f"substr({out}, 1, {n})")
 
@@ -185,13 +185,13 @@ def extract_html_text(spark, sf_dir):
 @query(
     "extract_pages",
     f"""WITH r AS (SELECT page_id, url, html, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status, CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'text/plain' ELSE 'image/png' END AS ct FROM pages),
-t AS (SELECT page_id, url, status, CASE WHEN status >= 400 THEN '' WHEN contains(ct, 'html') THEN {_html_sql("html", 500)} WHEN contains(ct, 'text/plain') THEN substr(html, 1, 500) ELSE '[Non-text content: ' || ct || ']' END AS text FROM r)
+t AS (SELECT page_id, url, status, CASE WHEN status >= 400 THEN '' WHEN contains(ct, 'html') THEN {_html_sql("html")} WHEN contains(ct, 'text/plain') THEN substr(html, 1, 8000) ELSE '[Non-text content: ' || ct || ']' END AS text FROM r)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS char_count, status < 400 AS fetched, CASE WHEN status >= 400 THEN 'HTTP ' || status END AS error FROM t""",
 )
 def extract_pages(spark, sf_dir):
     status = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
     kind = F.when(F.col("page_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 1, "text/plain").otherwise("image/png")
-    made = text.page_text(status, kind, F.col("html"), 500)
+    made = text.page_text(status, kind, F.col("html"))
     return read(spark, sf_dir, "pages").select("page_id", "url", *(c.alias(n) for n, c in made.items())).withColumn("char_count", F.col("char_count").cast("long"))
 
 
@@ -213,9 +213,9 @@ def fill_token_usage(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", a.alias("tokens_in"), b.alias("tokens_out"))
 
 
-@query("normalize_web_results", "SELECT regexp_extract(html, '<title>([^<]*)', 1) AS title, url, substr(html, 1, 30) AS snippet, 'duckduckgo' AS source FROM pages")
+@query("normalize_web_results", "SELECT regexp_extract(html, '<title>([^<]*)', 1) AS title, url, html AS snippet, 'duckduckgo' AS source FROM pages")
 def normalize_web_results(spark, sf_dir):
-    raw = read(spark, sf_dir, "pages").select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url").alias("href"), F.substring("html", 1, 30).alias("body"))
+    raw = read(spark, sf_dir, "pages").select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url").alias("href"), F.col("html").alias("body"))
     return text.normalize_web_results(raw, "duckduckgo")
 
 
