@@ -83,6 +83,7 @@ def sources_used(runs: DataFrame, key: str = "question_id") -> DataFrame:
     return grouped.select(key, "pos", "title", F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 
+#: Fixed: measures of a report and their labels; the texts of `render_report` are fixed too.
 LABELS = [
     ("citation_count", "Citations in answer"), ("unique_cited_titles", "Unique sources cited"), ("unique_titles", "Unique sources opened"), ("timeline_item_count", "Timeline events"),
     ("avg_citations_per_event", "Avg citations per event"), ("retrieved_count", "Chunks retrieved"), ("opened_count", "Chunks opened"), ("total_steps", "Agent steps"), ("model_latency_ms", "Model latency (ms)"),
@@ -98,7 +99,7 @@ def render_report(run_id: str, generated: str) -> Column:
     ids = lambda t: F.array_join(F.transform(F.filter("opened", lambda o: o["title"] == t), lambda o: code(o["chunk_id"])), ", ")
     sources = F.transform(_titles(F.col("opened")), lambda t: F.concat(F.lit("- **"), t, F.lit("**: "), ids(t)))
     values = measures()
-    shown = lambda n: F.format_string("%.1f", values[n].cast("double")) if n in ("avg_citations_per_event", "model_latency_ms") else values[n].cast("string")
+    shown = lambda n: F.format_string("%.1f", F.bround(values[n].cast("double"), 1)) if n in ("avg_citations_per_event", "model_latency_ms") else values[n].cast("string")
     table = [F.concat(F.lit(f"| {label} | "), shown(n), F.lit(" |")) for n, label in LABELS]
     block = lambda head, items, none: F.concat(F.lit(f"\n## {head}\n"), F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise(none), F.lit("\n"))
     answer = F.when(F.col("answer_text") != "", F.col("answer_text")).otherwise("*No answer generated.*")
