@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """From here on Spark hands Python at most about `size` bytes at once (its default is 64 MB), as texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") or 0) > size:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).strip().lower()).groups()
+    now = int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20}.get(unit, 30)
+    if now <= 0 or now > size:
+        spark.conf.set(key, size)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
