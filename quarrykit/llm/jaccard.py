@@ -43,7 +43,7 @@ from .kernels import U64, mix, packed, shingle_sets, sliced, text_buffers, unpac
 from .shared import bins_for, bounded_batches, discard, materialize, one_per_id
 
 SKETCH_BITS = 20  # cells of the frequency sketch: a fixed 4 MB a task and 2 MB to broadcast, whatever the input
-_BLOCK, _BATCH = 1 << 16, 4 << 20
+_BLOCK, _BATCH = 1 << 16, 2 << 20
 HOT = 20_000  # members of a list that are compared in one place; longer lists are cut into parts
 KEYS_PER_BIN, SHORT, SIDE = 200_000, 8, 256
 _KEEP = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])

@@ -39,7 +39,7 @@ from .shared import bins_for, bounded_batches, discard, materialize
 
 _PACK = "bin int, keys binary, doc binary, fp binary, cnt binary, pos binary, src binary, diag binary"
 _FIELDS = pa.schema([("bin", pa.int32()), *((n, pa.binary()) for n in ("keys", "doc", "fp", "cnt", "pos", "src", "diag"))])
-_BATCH = 3 << 20  # bytes of text whose windows are settled at once
+_BATCH = 2 << 20  # bytes of text whose windows are settled at once
 _KNOWN = 1 << 16  # repeated edges that a task remembers
 _SEGMENT = "doc_id long, fp long, start long, n long, src long, src_start long"
 

@@ -52,7 +52,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bins_for(docs: DataFrame, text: str = "text", bytes_per_bin: int = 8 << 20, least: int = 128) -> int:
+def bins_for(docs: DataFrame, text: str = "text", bytes_per_bin: int = 4 << 20, least: int = 128) -> int:
     """Bins so that each gets the keys of about `bytes_per_bin` bytes of text; grows in proportion to the input."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(least, -(-total // bytes_per_bin))
