@@ -142,18 +142,21 @@ def fit(texts: list[str | None], labels: list[int]) -> Field:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field:
-    """Fits on the labelled documents with the smallest hashes of their doc_id, at most `sample` of at most `sample_bytes`."""
+    """Fits on the labelled documents with the smallest hashes of their doc_id, at most `sample` of at most `sample_bytes`.
+
+    A text that no longer fits in these bytes is passed over, and the next ones are still taken.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.where(fold() != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = materialize(one_per_id(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")), "sample")
     sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()  # `sample` rows
     taken, total = [], 0
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
-        total += r["size"]
-        if total > sample_bytes:
-            break
-        taken.append(r["doc_id"])
-    kept = rows.where(F.col("doc_id").isin(taken)).orderBy("doc_id").collect() if taken else []
+        if total + r["size"] <= sample_bytes:
+            total += r["size"]
+            taken.append((r["doc_id"],))
+    wanted = docs.sparkSession.createDataFrame(taken, rows.select("doc_id").schema)
+    kept = rows.join(F.broadcast(wanted), "doc_id").orderBy("doc_id").collect() if taken else []
     made = fit([r["text"] for r in kept], [int(r["quality"] > 0) for r in kept])
     discard(rows)
     return made

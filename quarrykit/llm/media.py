@@ -19,6 +19,7 @@ from .shared import bounded_batches
 from .webp import encode_samples, images
 
 UNIT = 64
+DECODED = 1 << 20  # bytes of payloads that are held decoded at once
 
 
 def features(samples: np.ndarray) -> str:
@@ -54,20 +55,31 @@ def encode_media(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 
+def by_payload(batch: pa.RecordBatch, size: int, most: int = DECODED):
+    """Parts of a batch whose payloads (bytes in column `size`) are about `most` bytes together, or one larger payload."""
+    part = np.cumsum(batch.column(size).to_numpy(zero_copy_only=False)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
 def decode_media(media: DataFrame) -> DataFrame:
-    """`media` with payload (the samples read back), width, height and feature. Works on any lossless WebP column."""
+    """`media` with payload (the samples read back), width, height and feature. Works on any lossless WebP column.
+
+    Stored forms may be a small part of their payloads, so parts of a batch are cut by `payload_bytes`.
+    """
 
     def run(batches):
-        for batch in batches:
-            at, size = batch.schema.get_field_index("media"), batch.schema.get_field_index("payload_bytes")
-            rows = []
-            for data, n in zip(batch.column(at), batch.column(size), strict=True):
-                samples = np.concatenate([pixels[..., 2] for pixels in images(data.as_py())])
-                rows.append((samples.tobytes()[: n.as_py()], samples.shape[1], samples.shape[0], features(samples)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            for name, c, t in zip(("payload", "width", "height", "feature"), cols, (pa.binary(), pa.int32(), pa.int32(), pa.string()), strict=True):
-                batch = batch.append_column(name, pa.array(c, t))
-            yield batch
+        for whole in batches:
+            at, size = whole.schema.get_field_index("media"), whole.schema.get_field_index("payload_bytes")
+            for batch in by_payload(whole, size):
+                rows = []
+                for data, n in zip(batch.column(at), batch.column(size), strict=True):
+                    samples = np.concatenate([pixels[..., 2] for pixels in images(data.as_py())])
+                    rows.append((samples.tobytes()[: n.as_py()], samples.shape[1], samples.shape[0], features(samples)))
+                cols = list(zip(*rows, strict=True))
+                for name, c, t in zip(("payload", "width", "height", "feature"), cols, (pa.binary(), pa.int32(), pa.int32(), pa.string()), strict=True):
+                    batch = batch.append_column(name, pa.array(c, t))
+                yield batch
 
     media = media.drop("payload", "width", "height", "feature")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema] + ["payload binary, width int, height int, feature string"]

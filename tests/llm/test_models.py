@@ -144,6 +144,19 @@ def test_quality_edge_cases(spark, docs, nothing):
     assert {r["quality_score"] for r in crf.score_documents(docs, untrained).collect()} == {0.5}
 
 
+def test_quality_passes_over_texts_that_do_not_fit(spark):
+    """A text over the limit that comes first by its hash changes nothing for all others."""
+    rows = [(i, ["plain words of a line", "# $ % | <>"][i % 2] + f" {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = docs.where(langid.fold() != 1)
+    first = known.orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", 1000)).otherwise(F.col("text")))
+    field = crf.learn(long, labels, sample_bytes=5000)
+    want = crf.learn(docs.where(F.col("doc_id") != first), labels)
+    assert len(field.weights) and np.allclose(field.weights, want.weights) and np.allclose(field.moves, want.moves)
+
+
 def base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -348,6 +349,18 @@ def test_media_rows(docs, nothing, texts):
     assert media.decode_media(media.encode_media(nothing)).count() == 0
 
 
+def test_media_parts_follow_payloads(spark):
+    """Stored forms of few bytes are unfolded one by one where their payloads are large."""
+    texts = ["a" * 600_000, "b" * 600_000, "", None, "c" * 1_200_000, "d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    stored = media.encode_media(docs)
+    assert stored.agg({"payload_bytes": "sum"}).first()[0] > 1000 * stored.selectExpr("sum(octet_length(media))").first()[0]
+    rows = {r["doc_id"]: r for r in media.decode_media(stored).collect()}
+    assert all(bytes(rows[i]["payload"][: rows[i]["n_bytes"]]).decode() == (t or "") for i, t in enumerate(texts))
+    table = pa.record_batch({"n": pa.array([5, 5, 30, 1, 1, 9, 40])})
+    assert [p.column(0).to_pylist() for p in media.by_payload(table, 0, 20)] == [[5, 5], [30, 1, 1, 9], [40]]
+
+
 def test_media_query(spark):
     sf = "/root/testdata/sf0.001"
     own = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
