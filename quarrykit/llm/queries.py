@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, bpe, crf, divergence, jaccard, langid, licences, media, packing, repeats, urls
+from . import audit, bpe, crf, divergence, jaccard, langid, licences, media, packing, repeats, topk, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_media_columns": media.op10_media_columns,
     "op11_source_divergence_audit": audit.op11_source_divergence_audit,
+    "op12_exact_top_k": topk.op12_exact_top_k,
 }
-ORACLES = {"op1_ngram_jaccard_join": jaccard.ORACLE, "op4_host_reputation": urls.ORACLE, "op5_substring_dedup": repeats.ORACLE, "op11_source_divergence_audit": audit.ORACLE}
+ORACLES = {"op1_ngram_jaccard_join": jaccard.ORACLE, "op4_host_reputation": urls.ORACLE, "op5_substring_dedup": repeats.ORACLE, "op11_source_divergence_audit": audit.ORACLE, "op12_exact_top_k": topk.ORACLE}
