@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, bpe, crf, divergence, jaccard, langid, licences, media, packing, repeats, topk, urls
+from . import audit, bpe, crf, divergence, jaccard, langid, lexical, licences, media, packing, repeats, topk, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_media_columns": media.op10_media_columns,
     "op11_source_divergence_audit": audit.op11_source_divergence_audit,
     "op12_exact_top_k": topk.op12_exact_top_k,
+    "op13_ranked_lexical_search": lexical.op13_ranked_lexical_search,
 }
-ORACLES = {"op1_ngram_jaccard_join": jaccard.ORACLE, "op4_host_reputation": urls.ORACLE, "op5_substring_dedup": repeats.ORACLE, "op11_source_divergence_audit": audit.ORACLE, "op12_exact_top_k": topk.ORACLE}
+ORACLES = {"op1_ngram_jaccard_join": jaccard.ORACLE, "op4_host_reputation": urls.ORACLE, "op5_substring_dedup": repeats.ORACLE, "op11_source_divergence_audit": audit.ORACLE, "op12_exact_top_k": topk.ORACLE, "op13_ranked_lexical_search": lexical.ORACLE}
