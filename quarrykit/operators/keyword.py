@@ -3,9 +3,14 @@
 Terms are runs of letters and digits, lower-cased; k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a
 term repeated in a query counts once; ties go by chunk_id.
 
-The index has one row per chunk with its terms, so a chunk's score is complete where the chunk is: blocks of chunks meet
-blocks of queries, keep the best k of each query, and only these rows are shuffled. No term, however frequent, gathers
-its chunks anywhere.
+The index is sharded by chunks: a shard has up to `SHARD` chunks and, for each of their terms, an inverted list. Lists are
+cut into blocks at fixed ranges of `RANGE` chunks, and a posting is its place in the range and its frequency. A block
+knows its largest frequency and its shortest chunk, so what it can add to a score has a bound for any average length.
+
+A search leaves the shards where they are. The queries' terms go to all tasks, in rounds of bounded size. For each query
+the bounds of its terms' blocks add up to a bound for each range; ranges are scored from the highest bound on, and those
+whose bound is under the k-th score so far are skipped. A task carries these scores from shard to shard. Only the best k
+of each query and task are shuffled and ranked, and they are exact.
 """
 
 from __future__ import annotations
@@ -18,14 +23,21 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.sources.tables import scratch
+
 K1, B = 1.2, 0.75
-QUERIES, CHUNKS = 256, 256  # about as many queries, and at most as many chunks, in a block
+SHARD, RANGE = 4096, 32  # chunks of a shard (places of 16 bits) and of a range
+ROUND = 4 << 20  # characters of the queries of a round
+FEW = 100_000  # result rows up to which texts are looked up by a broadcast
+_FIRST = 4  # ranges that are scored before any is skipped
+_SLACK = 1e-6  # over what rounding may add to a score
+_LISTS = ["blocks", "block_range", "block_size", "block_tf", "block_dl", "place", "tf"]
 
 
 class KeywordIndex(NamedTuple):
-    """chunks (chunk_id, dl, terms, tf: how often each occurs), terms (term, df), size (one row: n, avgdl)."""
+    """shards (see `pack_shard`), terms (term, df), size (one row: n, avgdl)."""
 
-    chunks: DataFrame
+    shards: DataFrame
     terms: DataFrame
     size: DataFrame
 
@@ -34,95 +46,192 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
-def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
-    """Term frequencies are counted where the chunk is read; only the terms' document counts are shuffled."""
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
+def _small(a: np.ndarray) -> bytes:
+    """Whole numbers in 1 or 4 bytes each."""
+    return a.astype("<u1" if a.max(initial=0) < 256 else "<u4").tobytes()
 
-    def count(batches):
-        for batch in batches:
-            tokens, lengths = batch.column(1).flatten(), np.diff(batch.column(1).offsets.to_numpy())
-            coded = tokens.dictionary_encode()
-            n = max(1, len(coded.dictionary))
-            cell, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * n + coded.indices.to_numpy(), return_counts=True)
-            row, term = np.divmod(cell, n)
-            ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(lengths)))), pa.int32())
-            terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(term)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], ["chunk_id", "dl", "terms", "tf"])
 
-    rows = chunks.select("chunk_id", terms_of(F.col("text")).alias("t")).mapInArrow(count, f"chunk_id {kind}, dl int, terms array<string>, tf array<int>")
-    terms = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return KeywordIndex(rows, terms, rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+def _whole(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u1" if len(data) == n else "<u4")
 
 
-def write_keyword_index(index: KeywordIndex, path: str) -> None:
-    """Chunks are written first, and the counts are made from what was written."""
-    index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    rows = index.chunks.sparkSession.read.parquet(f"{path}/chunks")
-    rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
+def pack_shard(ids: pa.Array, terms: pa.ListArray) -> pa.RecordBatch:
+    """One row: n, tokens, chunk_ids, dl, terms, df and the terms' lists, laid end to end.
 
+    blocks: number of each term's blocks; block_range, block_size (postings), block_tf (largest), block_dl (least): of
+    each block; place (of the chunk in the range), tf: of each posting.
+    """
+    words, dl = terms.flatten().dictionary_encode(), np.diff(terms.offsets.to_numpy())
+    n = max(1, len(dl))
+    cell, tf = np.unique(words.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+    term, chunk = np.divmod(cell, n)
+    part = chunk // RANGE
+    first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (part[1:] != part[:-1])))) if len(cell) else np.zeros(0, np.int64)
+    most, least = (f.reduceat(v, first) if len(first) else v[:0] for f, v in ((np.maximum, tf), (np.minimum, dl[chunk])))
+    lists = [
+        _small(np.bincount(term[first], minlength=len(words.dictionary))), part[first].astype("<u2").tobytes(), _small(np.diff(np.append(first, len(cell)))), _small(most),
+        least.astype("<u4").tobytes(), (chunk % RANGE).astype("<u1").tobytes(), _small(tf),
+    ]
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    df = pa.array(np.bincount(term, minlength=len(words.dictionary)).astype(np.int32))
+    columns = [pa.array([len(dl)], pa.int64()), pa.array([dl.sum()], pa.int64()), one(ids), one(pa.array(dl, pa.int32())), one(words.dictionary), one(df)]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in lists)], ["n", "tokens", "chunk_ids", "dl", "terms", "df", *_LISTS])
 
-def read_keyword_index(spark, path: str) -> KeywordIndex:
-    return KeywordIndex(*(spark.read.parquet(f"{path}/{x}") for x in ("chunks", "terms", "size")))
 
+def build_keyword_index(chunks: DataFrame, path: str | None = None) -> KeywordIndex:
+    """Writes the index of `chunks` (chunk_id, text) to `path`, or to a new shared folder; texts are read once."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
 
-def _query_blocks(queries: DataFrame, index: KeywordIndex, blocks: int) -> DataFrame:
-    """block, query_ids, words, q (of each word's entries), entries (number per word), idf, avgdl of each block of queries."""
-    kind = queries.schema["query_id"].dataType.simpleString()
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    n = F.col("n")
-    weighted = asked.join(index.terms, "term").join(F.broadcast(index.size)).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
-    weighted = weighted.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", "term", "idf", "avgdl")
+    def pack(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, SHARD):
+                part = batch.slice(a, SHARD)
+                yield pack_shard(part.column(0), part.column(1))
 
-    def gather(group: pa.Table) -> pa.Table:
-        ids, words = (group[c].combine_chunks().dictionary_encode() for c in ("query_id", "term"))
-        q, w = (x.indices.to_numpy() for x in (ids, words))
-        order = np.argsort(w, kind="stable")
-        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-        cols = [ids.dictionary, words.dictionary, q[order].astype(np.int32), np.bincount(w).astype(np.int32), group["idf"].to_numpy()[order]]
-        return pa.table([group["block"][:1], *map(whole, cols), group["avgdl"][:1]], names=["block", "query_ids", "words", "q", "entries", "idf", "avgdl"])
+    fields = f"n long, tokens long, chunk_ids array<{kind}>, dl array<int>, terms array<string>, df array<int>, " + ", ".join(f"{c} binary" for c in _LISTS)
+    shards = chunks.select("chunk_id", terms_of(F.col("text")).alias("t")).mapInArrow(pack, fields)
+    path = path or scratch(chunks.sparkSession, "keyword")
+    _write(shards, path)
+    return read_keyword_index(chunks.sparkSession, path)
 
-    return weighted.groupBy("block").applyInArrow(gather, f"block long, query_ids array<{kind}>, words array<string>, q array<int>, entries array<int>, idf array<double>, avgdl double")
 
+def _write(shards: DataFrame, path: str) -> None:
+    """Shards are written first, and the counts are made from what was written."""
+    spark = shards.sparkSession
+    shards.write.mode("overwrite").parquet(f"{path}/shards")
+    rows = spark.read.schema(shards.schema).parquet(f"{path}/shards")
+    pairs = rows.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select("x.*")
+    pairs.groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
 
-def bm25_scores(queries: DataFrame, index: KeywordIndex, k: int = 20) -> DataFrame:
-    """query_id, chunk_id, score: for each block of chunks the best k of every query, and so all that can be among its best k."""
-    blocks = max(1, -(-queries.count() // QUERIES))
-    query_kind, chunk_kind = queries.schema["query_id"].dataType.simpleString(), index.chunks.schema["chunk_id"].dataType.simpleString()
 
-    def pack(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, CHUNKS):
-                part = whole.slice(a, CHUNKS)
-                row = [part.column(0), part.column(1), pa.array(np.diff(part.column(2).offsets.to_numpy()), pa.int32()), part.column(2).flatten(), part.column(3).flatten()]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row], ["chunk_ids", "dl", "sizes", "terms", "tf"])
+def write_keyword_index(index: KeywordIndex, path: str) -> None:
+    """A copy of an index in another place."""
+    _write(index.shards, path)
 
-    def score(batches):
+
+def read_keyword_index(spark, path: str) -> KeywordIndex:
+    return KeywordIndex(*(spark.read.parquet(f"{path}/{x}") for x in ("shards", "terms", "size")))
+
+
+class Asked(NamedTuple):
+    """The queries of a round: ids, their words, and for query i the words and weights from `at[i]` to `at[i + 1]`."""
+
+    ids: pa.Array
+    words: pa.Array
+    at: np.ndarray
+    word: np.ndarray
+    idf: np.ndarray
+    avgdl: float
+
+
+def _rounds(queries: DataFrame, index: KeywordIndex):
+    """`Asked` of all queries with a term of the index, in rounds of about `ROUND` characters by hash of query_id."""
+    total = queries.agg(F.sum(F.length("text"))).first()[0] or 0
+    n, avgdl = index.size.select("n", "avgdl").first()  # one row
+    rounds = max(1, -(-total // ROUND))
+    for i in range(rounds if n else 0):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i) if rounds > 1 else queries
+        words = own.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).distinct()
+        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        rows = index.terms.join(F.broadcast(words), "term").select("query_id", "term", idf.alias("idf")).toArrow()  # of one round
+        ids, words = (rows[c].combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+        order = np.argsort(ids.indices.to_numpy(), kind="stable")
+        at = np.append(0, np.cumsum(np.bincount(ids.indices.to_numpy(), minlength=len(ids.dictionary))))
+        if len(order):
+            yield Asked(ids.dictionary, words.dictionary, at, words.indices.to_numpy()[order], rows["idf"].to_numpy()[order], avgdl)
+
+
+def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers from each `begin` on, `size` of them."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+class Shard:
+    """A shard's lists, ready for search."""
+
+    def __init__(self, row: pa.RecordBatch, avgdl: float):
+        get = lambda c: row.column(c)[0].as_py()
+        self.ids, self.dl, self.terms = row.column("chunk_ids").flatten(), row.column("dl").flatten().to_numpy(), row.column("terms").flatten()
+        blocks = _whole(get("blocks"), len(self.terms)).astype(np.int64)
+        self.block_at = np.append(0, np.cumsum(blocks))
+        n = int(self.block_at[-1])
+        self.range = np.frombuffer(get("block_range"), "<u2").astype(np.int64)
+        self.size = _whole(get("block_size"), n).astype(np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.place, postings = np.frombuffer(get("place"), "<u1"), len(get("place"))
+        self.tf = _whole(get("tf"), postings)
+        self.norm = K1 * (1 - B + B * self.dl / avgdl)
+        most = _whole(get("block_tf"), n).astype(float)
+        self.bound = most * (K1 + 1) / (most + K1 * (1 - B + B * np.frombuffer(get("block_dl"), "<u4") / avgdl))
+
+    def search(self, term: np.ndarray, idf: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Chunks and scores that can be among the best k, where `least` is a k-th score so far; blocks that were read."""
+        count = self.block_at[term + 1] - self.block_at[term]
+        block, weight = _stretches(self.block_at[term], count), np.repeat(idf, count)
+        ranges = self.range[block]
+        bound = np.bincount(ranges, weight * self.bound[block], minlength=-(-len(self.dl) // RANGE)) + _SLACK
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > _SLACK]
+        chunks, scores, read, at = np.zeros(0, np.int64), np.zeros(0), 0, 0
+        while at < len(order) and bound[order[at]] >= least:
+            chosen = order[at : at + (_FIRST if at == 0 else max(_FIRST, len(order)))]
+            at += len(chosen)
+            wanted = np.zeros(len(bound), bool)
+            wanted[chosen[bound[chosen] >= least]] = True
+            use = wanted[ranges]
+            b, w = block[use], weight[use]
+            posting = _stretches(self.begin[b], self.size[b])
+            chunk = np.repeat(self.range[b] * RANGE, self.size[b]) + self.place[posting]
+            tf = self.tf[posting].astype(float)
+            score = np.bincount(chunk, np.repeat(w, self.size[b]) * (tf * (K1 + 1) / (tf + self.norm[chunk])), minlength=len(self.dl))
+            found = np.flatnonzero(score > 0)
+            read += len(b)
+            chunks, scores = np.append(chunks, found), np.append(scores, score[found])
+            if len(scores) >= k:
+                least = max(least, float(np.partition(scores, len(scores) - k)[len(scores) - k]))
+        keep = scores >= least - _SLACK
+        return chunks[keep], np.round(scores[keep], 9), read
+
+
+def _search(index: KeywordIndex, asked: Asked, k: int, query_kind: str) -> DataFrame:
+    chunk_kind = index.shards.schema["chunk_ids"].dataType.elementType.simpleString()
+    shared = index.shards.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        asked = shared.value
+        best = np.zeros((len(asked.ids), k))
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                chunk_ids, dl, sizes, terms, tf, query_ids, words, q, entries, idf = (row.column(c).flatten() for c in range(10))
-                avgdl = row.column(10)[0].as_py()
-                dl, sizes, tf, q, entries, idf = (x.to_numpy() for x in (dl, sizes, tf, q, entries, idf))
-                word = pa.compute.index_in(terms, words).fill_null(-1).to_numpy()
-                met = np.flatnonzero(word >= 0)
-                chunk, word, tf = np.repeat(np.arange(len(dl)), sizes)[met], word[met], tf[met]
-                used, column = np.unique(word, return_inverse=True)
-                weight = np.zeros((len(dl), len(used)))
-                weight[chunk, column] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[chunk] / avgdl))
-                wanted = np.zeros((len(used), len(query_ids)))
-                place = np.full(len(words), -1)
-                place[used] = np.arange(len(used))
-                at = place[np.repeat(np.arange(len(words)), entries)]
-                wanted[at[at >= 0], q[at >= 0]] = idf[at >= 0]
-                r, c, s = best_columns(np.round((weight @ wanted).T, 9), chunk_ids, k)
-                hit = s > 0
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(r[hit])), chunk_ids.take(pa.array(c[hit])), pa.array(s[hit])], ["query_id", "chunk_id", "score"])
-
-    right = index.chunks.select("chunk_id", "dl", "terms", "tf").mapInArrow(pack, f"chunk_ids array<{chunk_kind}>, dl array<int>, sizes array<int>, terms array<string>, tf array<int>")
-    met = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(_query_blocks(queries, index, blocks), "block")
-    cols = ["chunk_ids", "dl", "sizes", "terms", "tf", "query_ids", "words", "q", "entries", "idf", "avgdl"]
-    return met.select(*cols).mapInArrow(score, f"query_id {query_kind}, chunk_id {chunk_kind}, score double")
+                shard = Shard(batch.slice(i, 1), asked.avgdl)
+                known = pa.compute.index_in(asked.words, value_set=shard.terms).fill_null(-1).to_numpy()
+                queries, chunks, scores = [], [], []
+                for q in range(len(asked.ids)):
+                    own = slice(asked.at[q], asked.at[q + 1])
+                    term = known[asked.word[own]]
+                    met = term >= 0
+                    if not met.any():
+                        continue
+                    chunk, score, _ = shard.search(term[met], asked.idf[own][met], best[q, 0], k)
+                    queries.append(np.full(len(chunk), q))
+                    chunks.append(chunk)
+                    scores.append(score)
+                    best[q] = np.sort(np.append(best[q], score))[-k:]
+                if queries:
+                    q, c = (pa.array(np.concatenate(v)) for v in (queries, chunks))
+                    yield pa.RecordBatch.from_arrays([asked.ids.take(q), shard.ids.take(c), pa.array(np.concatenate(scores))], ["query_id", "chunk_id", "score"])
+
+    return index.shards.drop("n", "tokens", "df").mapInArrow(run, f"query_id {query_kind}, chunk_id {chunk_kind}, score double")
+
+
+def bm25_scores(queries: DataFrame, index: KeywordIndex, k: int = 20) -> DataFrame:
+    """query_id, chunk_id, score: all that can be among the best k of any query."""
+    kind, made = queries.schema["query_id"].dataType.simpleString(), None
+    for asked in _rounds(queries, index):
+        part = _search(index, asked, k, kind)
+        made = part if made is None else made.union(part)
+    chunk_kind = index.shards.schema["chunk_ids"].dataType.elementType.simpleString()
+    return queries.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id {chunk_kind}, score double") if made is None else made
 
 
 def best_columns(score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +257,12 @@ def top_k(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def bm25_search(queries: DataFrame, index: KeywordIndex, chunks: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, chunk_id, score, source, title, section, document_id, text."""
+    """query_id, rank, chunk_id, score, source, title, section, document_id, text.
+
+    Few results are broadcast to the chunks, so that chunks stay where they are; many are joined by a shuffle.
+    """
     best = top_k(bm25_scores(queries, index, k), k)
-    return best.join(chunks.select("chunk_id", "title", "section", "document_id", "text"), "chunk_id").withColumn("source", F.lit("keyword")).select("query_id", "rank", "chunk_id", "score", "source", "title", "section", "document_id", "text")
+    best = F.broadcast(best) if queries.count() * k <= FEW else best
+    texts = chunks.select("chunk_id", "title", "section", "document_id", "text")
+    source = F.lit("keyword").alias("source")
+    return texts.join(best, "chunk_id").select("query_id", "rank", "chunk_id", "score", source, "title", "section", "document_id", "text")

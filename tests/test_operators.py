@@ -1,4 +1,10 @@
+import math
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,7 +82,66 @@ def test_keyword_search(spark, chunks):
 def test_keyword_index_round_trip(spark, chunks, tmp_path):
     index = keyword.build_keyword_index(chunks)
     keyword.write_keyword_index(index, str(tmp_path / "index"))
-    assert keyword.read_keyword_index(spark, str(tmp_path / "index")).chunks.count() == index.chunks.count()
+    again = keyword.read_keyword_index(spark, str(tmp_path / "index"))
+    assert all(sorted(map(str, a.collect())) == sorted(map(str, b.collect())) for a, b in zip(index, again, strict=True))
+
+
+def bm25(texts, query, k):
+    """Every chunk scored for itself."""
+    cut = lambda t: [x for x in re.split(r"[^\w]+|_", t.lower()) if x]
+    docs = {i: Counter(cut(t)) for i, t in texts.items()}
+    average, df = sum(sum(c.values()) for c in docs.values()) / len(docs), Counter(t for c in docs.values() for t in c)
+    out = []
+    for i, c in docs.items():
+        norm = keyword.K1 * (1 - keyword.B + keyword.B * sum(c.values()) / average)
+        s = round(sum(math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * (keyword.K1 + 1) / (c[t] + norm) for t in set(cut(query)) if c[t]), 9)
+        out += [(-s, i)] if s > 0 else []
+    return [(i, -s) for s, i in sorted(out)[:k]]
+
+
+@pytest.mark.parametrize(("shard", "rounds"), [(4096, 4 << 20), (70, 60)])
+def test_bm25_by_shards_equals_all_chunks(spark, monkeypatch, shard, rounds):
+    """Ties, large frequencies, empty chunks, words of no chunk; several shards and rounds."""
+    monkeypatch.setattr(keyword, "SHARD", shard)
+    monkeypatch.setattr(keyword, "ROUND", rounds)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(200)]
+    texts = {f"c{i:03d}": " ".join(rng.choice(words, rng.integers(0, 80), p=np.arange(200, 0, -1) / 20100)) for i in range(300)}
+    texts |= {"c900": "w3 " * 300, "c901": "w1 w2", "c902": "w1 w2", "c903": ""}
+    rows = spark.createDataFrame([(i, "d", "T", "", t) for i, t in texts.items()], CHUNKS).repartition(3)
+    asked = {i: " ".join(rng.choice([*words, "zzz"], rng.integers(0, 12))) for i in range(12)} | {90: "w1 w2", 91: "nothing"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    found = defaultdict(list)
+    for r in keyword.bm25_search(queries, keyword.build_keyword_index(rows), rows, 20).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["chunk_id"], r["score"]))
+        assert r["text"] == texts[r["chunk_id"]]
+    for q, text in asked.items():
+        want = bm25(texts, text, 20)
+        assert [i for i, _ in found[q]] == [i for i, _ in want] and np.allclose([s for _, s in found[q]], [s for _, s in want])
+    assert keyword.bm25_search(queries, keyword.build_keyword_index(rows.limit(0)), rows.limit(0)).count() == 0
+
+
+def test_bm25_skips_blocks():
+    """Where some neighbouring chunks are about the query, most blocks of its frequent words are not read."""
+    rng = np.random.default_rng(5)
+    filler = [f"f{i}" for i in range(500)]
+    rows = [["a", "b", "c", *rng.choice(filler, 60)] if rng.random() < 0.6 else list(rng.choice(filler, 60)) for _ in range(4000)]
+    rows[2000:2024] = [["a", "b", "c"] * 8 + list(rng.choice(filler, 10)) for _ in range(24)]
+    made = keyword.pack_shard(pa.array(range(4000)), pa.array(rows, pa.list_(pa.string())))
+    shard = keyword.Shard(made, made["tokens"][0].as_py() / 4000)
+    term = pa.compute.index_in(pa.array(["a", "b", "c"]), value_set=shard.terms).to_numpy()
+    blocks = int((shard.block_at[term + 1] - shard.block_at[term]).sum())
+    chunk, _, read = shard.search(term, np.ones(3), 0.0, 20)
+    assert set(chunk) <= set(range(2000, 2024)) and len(chunk) >= 20 and blocks > 300 and read < blocks // 10
+
+
+def test_bm25_moves_no_index(spark, chunks):
+    """The plan has no exchange of index rows or chunk texts: only of the best of each task."""
+    queries = spark.createDataFrame([(1, "roman EMPIRE"), (2, "lava")], "query_id int, text string")
+    index = keyword.build_keyword_index(chunks)
+    plan = keyword.bm25_search(queries, index, chunks, 2)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if " Exchange " in line]
+    assert shuffles and all("hashpartitioning(query_id" in line for line in shuffles) and "SortMergeJoin" not in plan
 
 
 @pytest.mark.parametrize("block", [2, 4096])
