@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions.text import snippet
 
-from .keyword import terms_of, top_k
+from .keyword import FEW, terms_of, top_k
 
 META = ["title", "section", "document_id"]
 
@@ -59,11 +59,15 @@ def rerank(queries: DataFrame, candidates: DataFrame, score: Score | None = None
     return top_k(scored, top_n).withColumnRenamed("score", "rerank_score")
 
 
-def retrieve(queries: DataFrame, merged: DataFrame, chunks: DataFrame, top_k_: int = 5, score: Score | None = None, use_reranker: bool = True, fill_snippets: bool = True) -> DataFrame:
-    """query_id, rank, chunk_id, score, title, section, snippet. Text is joined late, after fusion."""
+def retrieve(queries: DataFrame, merged: DataFrame, chunks: DataFrame, top_k_: int = 5, score: Score | None = None, use_reranker: bool = True, fill_snippets: bool = True, most: int | None = None) -> DataFrame:
+    """query_id, rank, chunk_id, score, title, section, snippet. Text is joined late, after fusion.
+
+    `most`: rows of `merged` for one query, at most. If that makes few rows in all, they are broadcast to the chunks.
+    """
     texts = chunks.select("chunk_id", "title", "section", "text")
+    merged = F.broadcast(merged) if most is not None and queries.count() * most <= FEW else merged
     if use_reranker:
-        best = rerank(queries, merged.select("query_id", "chunk_id").join(texts, "chunk_id"), score, top_k_)
+        best = rerank(queries, texts.join(merged.select("query_id", "chunk_id"), "chunk_id"), score, top_k_)
         return best.select("query_id", "rank", "chunk_id", F.col("rerank_score").alias("score"), "title", "section", snippet(F.col("text")).alias("snippet"))
     best = merged.where(F.col("rank") <= top_k_).select("query_id", "rank", "chunk_id", "score")
     text = snippet(F.col("text")) if fill_snippets else F.lit("")

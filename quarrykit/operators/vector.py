@@ -1,23 +1,30 @@
 """Embedding jobs and exact nearest-neighbour search for a whole table of queries.
 
-Queries and index rows are packed in blocks (one row of bytes each); every block of the index meets every block of queries
-in one join, keeps its best k per query, and only those rows are ranked. So neither all pairs nor all vectors ever meet in
-one place, and no vector passes through the driver.
+Index rows are assigned to the nearest of some centres and packed in blocks of one cell, ordered by their distance to its
+centre. Queries go to the blocks, which stay where they are. A query's nearest cells give a limit for its k-th distance;
+then only blocks that can have a row within the limit are read for it. So results are exact, and what is shuffled are the
+best k of each block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.sources.tables import scratch
+
 from .keyword import best_columns, top_k
 
-BLOCK = 1024  # about as many queries, and at most as many index rows, in a block
+BLOCK = 1024  # index rows in a block, at most
+SAMPLE = 4096  # rows on which centres are fitted, at most
+ROUND = 32 << 20  # bytes of the queries of a round
 Embed = Callable[[list[str]], np.ndarray]
 
 
@@ -84,49 +91,164 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _packed(kind: str, name: str) -> str:
-    return f"{name}_ids array<{kind}>, {name} binary"
+class CellIndex(NamedTuple):
+    """blocks (cell, n, near, far: least and greatest distance to the cell's centre, ids, vectors) and the cells' centres."""
 
+    blocks: DataFrame
+    centers: np.ndarray
 
-def _pack(ids: pa.Array, vectors: pa.Array) -> list[pa.Array]:
-    flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.ascontiguousarray(flat).tobytes()], pa.binary())]
 
+def _matrix(vectors: pa.Array, kind=np.float64) -> np.ndarray:
+    return vectors.flatten().cast(pa.from_numpy_dtype(kind)).to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
-def vector_search(queries: DataFrame, index: DataFrame, k: int = 20, squared: bool = True, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, chunk_id, score, source of the k nearest rows by L2; score = 1 / (1 + distance).
 
-    `queries`: query_id, vector; `index`: chunk_id, vector. Rows without a vector are left out.
-    """
-    query_kind, chunk_kind = queries.schema["query_id"].dataType.simpleString(), index.schema["chunk_id"].dataType.simpleString()
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.where("vector is not null").select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", "vector")
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of `a` to all rows of `b`."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+
+
+def fit_centers(sample: np.ndarray, cells: int, steps: int = 8) -> np.ndarray:
+    """Centres of cells by Lloyd's steps, from spread rows of the sample on; cells that become empty stay where they were."""
+    centers = sample[np.linspace(0, len(sample) - 1, min(cells, len(sample))).astype(int)].copy()
+    for _ in range(steps if len(centers) < len(sample) else 0):
+        own = distances(sample, centers).argmin(1)
+        count = np.bincount(own, minlength=len(centers))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, sample)
+        centers[count > 0] = sums[count > 0] / count[count > 0, None]
+    return centers
 
-    def gather(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        columns = (group[c].combine_chunks() for c in ("query_id", "vector"))
-        return pa.table([group["block"][:1], *_pack(*columns)], names=["block", "query_ids", "query"])
+
+def build_cell_index(index: DataFrame, path: str | None = None, cells: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> CellIndex:
+    """Every row of `index` (chunk_id, vector) in blocks of one cell, written to `path` or to a new shared folder.
+
+    Centres are fitted on the rows with the smallest hashes of their ids, at most `sample`; any centres give right
+    results. Rows without a vector are left out. Large cells are split by size, so no cell's rows meet in one task.
+    """
+    spark, kind = index.sparkSession, index.schema["chunk_id"].dataType.simpleString()
+    rows = index.where("vector is not null").select("chunk_id", "vector")
+    chosen = rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("vector").toArrow()["vector"].combine_chunks()
+    cells = cells or max(1, min(1024, round(rows.count() ** 0.5)))
+    centers = fit_centers(_matrix(chosen), cells) if len(chosen) else np.zeros((0, 0))
+    shared = spark.sparkContext.broadcast(centers)
+
+    def assign(batches):
+        for batch in batches:
+            far = distances(_matrix(batch.column(1)), shared.value)
+            cell = far.argmin(1) if len(far) else np.zeros(0, np.int64)
+            yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column("far", pa.array(np.sqrt(far[np.arange(len(far)), cell])))
 
     def pack(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, block):
-                part = whole.slice(a, block)
-                yield pa.RecordBatch.from_arrays(_pack(part.column(0), part.column(1)), ["chunk_ids", "chunk"])
+        for batch in batches:
+            cell, far = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            starts = np.union1d(np.flatnonzero(np.diff(cell)) + 1, np.arange(0, len(cell), block)).astype(int)
+            for a, b in zip(starts, np.append(starts[1:], len(cell)), strict=True):
+                part = batch.slice(a, b - a)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False)  # 32 or 64 bits, as given
+                ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), part.column(0))
+                cols = [pa.array([cell[a]], pa.int32()), pa.array([b - a], pa.int32()), pa.array([far[a]]), pa.array([far[b - 1]]), ids, pa.array([x.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["cell", "n", "near", "far", "ids", "vectors"])
+
+    placed = rows.mapInArrow(assign, f"chunk_id {kind}, vector {rows.schema['vector'].dataType.simpleString()}, cell int, far double")
+    packed = placed.hint("rebalance", "cell").sortWithinPartitions("cell", "far").mapInArrow(pack, f"cell int, n int, near double, far double, ids array<{kind}>, vectors binary")
+    path = path or scratch(spark, "cells")
+    packed.write.mode("overwrite").parquet(f"{path}/blocks")
+    spark.createDataFrame([(i, c) for i, c in enumerate(centers.tolist())], "cell int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+    return read_cell_index(spark, path)
+
+
+def read_cell_index(spark, path: str) -> CellIndex:
+    rows = spark.read.parquet(f"{path}/centers").orderBy("cell").select("center").toArrow()["center"].combine_chunks()  # one row a cell
+    return CellIndex(spark.read.parquet(f"{path}/blocks"), _matrix(rows) if len(rows) else np.zeros((0, 0)))
+
+
+def _score(near: np.ndarray) -> np.ndarray:
+    return np.round(1 / (1 + near), 9)
+
+
+def _meet(blocks: DataFrame, ids: pa.Array, asked: np.ndarray, choose, k: int, squared: bool, query_kind: str) -> DataFrame:
+    """query_id, chunk_id, distance: in each block the k nearest of those queries that `choose` (cell, near, far) marks."""
+    chunk_kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    shared = blocks.sparkSession.sparkContext.broadcast((ids, asked, choose))
 
-    def nearest(batches):
+    def run(batches):
+        ids, asked, choose = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                ids, chunk_ids = row.column(0).flatten(), row.column(2).flatten()
-                q, x = (np.frombuffer(row.column(c)[0].as_py()).reshape(len(n), -1) for c, n in ((1, ids), (3, chunk_ids)))
-                near = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
-                near = near if squared else np.sqrt(near)
-                r, c, _ = best_columns(np.round(1 / (1 + near), 9), chunk_ids, k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), chunk_ids.take(pa.array(c)), pa.array(near[r, c])], ["query_id", "chunk_id", "distance"])
-
-    left = asked.groupBy("block").applyInArrow(gather, f"block long, {_packed(query_kind, 'query')}")
-    right = index.where("vector is not null").select("chunk_id", "vector").mapInArrow(pack, _packed(chunk_kind, "chunk"))
-    met = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(left, "block")
-    made = met.select("query_ids", "query", "chunk_ids", "chunk").mapInArrow(nearest, f"query_id {query_kind}, chunk_id {chunk_kind}, distance double")
-    scored = made.withColumn("score", F.round(1 / (1 + F.col("distance")), 9))
-    return top_k(scored, k).select("query_id", "rank", "chunk_id", "score", F.lit("vector").alias("source"))
+                cell, _, low, high = (batch.column(c)[i].as_py() for c in range(4))
+                queries = np.flatnonzero(choose(cell, low, high))
+                if len(queries):
+                    chunk_ids = batch.column(4).slice(i, 1).flatten()
+                    data = batch.column(5)[i].as_py()
+                    kind = np.float32 if len(data) == 4 * len(chunk_ids) * asked.shape[1] else np.float64
+                    x = np.frombuffer(data, kind).reshape(len(chunk_ids), -1).astype(float)
+                    near = distances(asked[queries], x) if squared else np.sqrt(distances(asked[queries], x))
+                    r, c, _ = best_columns(_score(near), chunk_ids, k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(queries[r])), chunk_ids.take(pa.array(c)), pa.array(near[r, c])], ["query_id", "chunk_id", "distance"])
+
+    made = blocks.select("cell", "n", "near", "far", "ids", "vectors").mapInArrow(run, f"query_id {query_kind}, chunk_id {chunk_kind}, distance double")
+    return made.withColumn("score", F.round(1 / (1 + F.col("distance")), 9))
+
+
+class Probe(NamedTuple):
+    """Marks queries whose nearest cells, as many as hold k rows, have the block's cell."""
+
+    wanted: np.ndarray
+
+    def __call__(self, cell: int, near: float, far: float) -> np.ndarray:
+        return self.wanted[:, cell]
+
+
+class Bound(NamedTuple):
+    """Marks queries that may have a row of the block within their limit: by the triangle inequality no row is nearer."""
+
+    to_center: np.ndarray
+    limit: np.ndarray
+
+    def __call__(self, cell: int, near: float, far: float) -> np.ndarray:
+        d = self.to_center[:, cell]
+        return np.maximum(d - far, near - d) <= self.limit
+
+
+def _nearest(cells: CellIndex, rows: pa.Table, count: np.ndarray, k: int, squared: bool, query_kind: str) -> DataFrame:
+    """Distances that can be among the k least of each query: a limit from the nearest cells, then all blocks within it."""
+    ids, asked = rows["query_id"].combine_chunks(), _matrix(rows["vector"].combine_chunks())
+    to_center = np.sqrt(distances(asked, cells.centers))
+    order = to_center.argsort(1)
+    before = np.cumsum(count[order], 1) - count[order]
+    wanted = np.zeros(to_center.shape, bool)
+    np.put_along_axis(wanted, order, before < k, 1)
+    first = top_k(_meet(cells.blocks, ids, asked, Probe(wanted), k, squared, query_kind), k).where(F.col("rank") == k)
+    kth = first.select("query_id", "score").toArrow()  # one row a query
+    at = pa.compute.index_in(ids, value_set=kth["query_id"].combine_chunks()).fill_null(-1).to_numpy()
+    limit = np.full(len(ids), np.inf)
+    score = kth["score"].to_numpy()[at[at >= 0]]
+    far = 1 / np.maximum(score - 2e-9, 1e-12) - 1  # what rounds to the same score is within
+    limit[at >= 0] = (np.sqrt(far) if squared else far) * (1 + 1e-6) + 1e-6
+    return _meet(cells.blocks, ids, asked, Bound(to_center, limit), k, squared, query_kind)
+
+
+def vector_search(queries: DataFrame, index: DataFrame | CellIndex, k: int = 20, squared: bool = True, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, chunk_id, score, source of the k nearest rows by L2; score = 1 / (1 + distance).
+
+    `queries`: query_id, vector; `index`: chunk_id, vector, or its cells. Rows without a vector are left out. Queries go
+    to all blocks in rounds of about `ROUND` bytes, by hash of query_id.
+    """
+    spark, query_kind = queries.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    cells = index if isinstance(index, CellIndex) else build_cell_index(index, block=block)
+    count = np.zeros(max(1, len(cells.centers)), np.int64)
+    for row in cells.blocks.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row a cell
+        count[row["cell"]] = row["n"]
+    asked = queries.where("vector is not null").select("query_id", "vector")
+    size = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
+    rounds, made = max(1, -(-size * 8 // ROUND)), None
+    for i in range(rounds if count.any() else 0):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i) if rounds > 1 else asked
+        rows = own.toArrow()  # of one round
+        if rows.num_rows:
+            part = _nearest(cells, rows, count, k, squared, query_kind)
+            made = part if made is None else made.union(part)
+    chunk_kind = cells.blocks.schema["ids"].dataType.elementType.simpleString()
+    if made is None:
+        made = spark.createDataFrame([], f"query_id {query_kind}, chunk_id {chunk_kind}, distance double, score double")
+    return top_k(made, k).select("query_id", "rank", "chunk_id", "score", F.lit("vector").alias("source"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrykit.operators import fusion, keyword, store, vector
 
 from .corpus import FIXED, fixed_chunks, read
+from .letters import counts_sql, letter_embedder, unit_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -89,7 +90,7 @@ def rerank(spark, sf_dir):
 @query("retrieve", f"WITH {BM25}, {LEXICAL} SELECT query_id, rank, chunk_id, round(rerank_score, 6) AS score, c.title, c.section, replace(substr(c.text, 1, 200), chr(10), ' ') AS snippet FROM top JOIN chunks c USING (chunk_id)")
 def retrieve(spark, sf_dir):
     best, chunks = searched(spark, sf_dir)
-    return fusion.retrieve(asked(spark, sf_dir), best, chunks).withColumn("score", F.round("score", 6))
+    return fusion.retrieve(asked(spark, sf_dir), best, chunks, most=20).withColumn("score", F.round("score", 6))
 
 
 @query("search_summaries", f"WITH {BM25} SELECT item_id AS query_id, CAST(count(bm.chunk_id) AS INT) AS n_results, string_agg(bm.chunk_id || ' ' || replace(substr(c.text, 1, 120), chr(10), ' '), '|' ORDER BY rank) AS results FROM benchmark LEFT JOIN bm ON bm.query_id = item_id AND rank <= 5 LEFT JOIN chunks c USING (chunk_id) WHERE trim(coalesce(benchmark.text, '')) <> '' GROUP BY item_id")
@@ -127,12 +128,12 @@ def chunks_contain(spark, sf_dir):
 
 
 def vectors(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries: every tenth vector, index: all vectors)."""
+    """(queries: every hundredth vector, index: all vectors)."""
     e = read(spark, sf_dir, "embeddings")
-    return e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
 
-VECTOR = """vs AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(1 / (1 + list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2)))), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0),
+VECTOR = """vs AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(1 / (1 + list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2)))), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
 ve AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM vs QUALIFY rank <= 20)"""
 
 
@@ -153,27 +154,29 @@ def index_summary(spark, sf_dir):
     return vector.index_summary(read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector"))
 
 
-#: A second list per query: members of the query's own label, by id.
-LABELLED = "kw AS (SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank, b.vec_id AS chunk_id, 1.0 AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0 QUALIFY rank <= 20)"
-
-
-def two_lists(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    queries, index = vectors(spark, sf_dir)
-    labels = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "label").where("query_id % 10 = 0")
-    ranked = keyword.top_k(labels.join(index.select("chunk_id", "label"), "label").select("query_id", "chunk_id", F.lit(1.0).alias("score")), 20)
-    return ranked, vector.vector_search(queries, index)
+def two_lists(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(BM25 and vector search over all fixed chunks, 20 of each query; chunks)."""
+    best, chunks = searched(spark, sf_dir)
+    index = vector.embed_texts(chunks.select("chunk_id", "text"), letter_embedder)
+    return best, vector.vector_search(vector.embed_queries(asked(spark, sf_dir), letter_embedder), index), chunks
 
 
 def rrf_sql(lists: str, n: int, k: str = "60", keys: str = "query_id") -> str:
     return f"SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY s DESC, chunk_id) AS rank, chunk_id, s AS score FROM (SELECT {keys}, chunk_id, round(sum(1 / ({k} + rank)), 9) AS s FROM {lists} GROUP BY {keys}, chunk_id) QUALIFY rank <= {n}"
 
 
-HYBRID = f"{LABELLED}, {VECTOR}, lists AS (SELECT 1 AS list_no, * FROM kw UNION ALL SELECT 2, * FROM ve), hy AS ({rrf_sql('lists', 50)})"
+HYBRID = (
+    f"{BM25}, qv AS (SELECT item_id AS query_id, {counts_sql('text')} AS c FROM benchmark WHERE text IS NOT NULL), cv AS (SELECT chunk_id, {counts_sql('text')} AS c FROM chunks), "
+    f"qu AS MATERIALIZED (SELECT query_id, {unit_sql('c')} AS v FROM qv), cu AS MATERIALIZED (SELECT chunk_id, {unit_sql('c')} AS v FROM cv), "
+    "vs AS (SELECT query_id, chunk_id, round(1 / (1 + list_sum(list_transform(list_zip(qu.v, cu.v), lambda p: pow(p[1] - p[2], 2)))), 9) AS score FROM qu, cu), "
+    "ve AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM vs QUALIFY rank <= 20), "
+    f"lists AS MATERIALIZED (SELECT 1 AS list_no, * FROM bm UNION ALL SELECT 2, * FROM ve), hy AS ({rrf_sql('lists', 50)})"
+)
 
 
 @query("hybrid_merge", f"WITH {HYBRID} SELECT query_id, rank, chunk_id, round(score, 6) AS score, 'hybrid' AS source FROM hy")
 def hybrid_merge(spark, sf_dir):
-    return fusion.hybrid_merge(*two_lists(spark, sf_dir)).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "source")
+    return fusion.hybrid_merge(*two_lists(spark, sf_dir)[:2]).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "source")
 
 
 @query("confidence_check", f"WITH {BM25} SELECT item_id AS query_id, count(bm.chunk_id) AS n_retrieved, count(bm.chunk_id) < 2 AS needs_fallback FROM benchmark LEFT JOIN bm ON bm.query_id = item_id GROUP BY item_id")
@@ -183,12 +186,12 @@ def confidence_check(spark, sf_dir):
 
 @query("sweep_rrf_k", f"WITH {HYBRID}, each_ AS (SELECT k, * FROM lists, unnest([1, 10, 30, 60, 120]) AS t(k)) SELECT query_id, k, rank, chunk_id, round(score, 6) AS score FROM ({rrf_sql('each_', 5, 'k', 'query_id, k')})")
 def sweep_rrf_k(spark, sf_dir):
-    return fusion.sweep_rrf_k(fusion.ranked_lists(*two_lists(spark, sf_dir))).select("query_id", "k", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return fusion.sweep_rrf_k(fusion.ranked_lists(*two_lists(spark, sf_dir)[:2])).select("query_id", "k", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("sweep_candidate_balance", f"WITH {HYBRID}, each_ AS (SELECT a AS keyword_n, b AS vector_n, lists.* FROM lists, (VALUES (5, 30), (20, 20), (30, 5)) AS t(a, b) WHERE rank <= CASE WHEN list_no = 1 THEN a ELSE b END) SELECT query_id, keyword_n, vector_n, rank, chunk_id, round(score, 6) AS score FROM ({rrf_sql('each_', 5, '60', 'query_id, keyword_n, vector_n')})")
 def sweep_candidate_balance(spark, sf_dir):
-    return fusion.sweep_candidate_balance(*two_lists(spark, sf_dir)).select("query_id", "keyword_n", "vector_n", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return fusion.sweep_candidate_balance(*two_lists(spark, sf_dir)[:2]).select("query_id", "keyword_n", "vector_n", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("score_distribution", f"WITH {VECTOR} SELECT query_id, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 6) AS gap FROM ve GROUP BY query_id")
@@ -197,33 +200,51 @@ def score_distribution(spark, sf_dir):
     return made.withColumns({c: F.round(c, 6) for c in ("min_score", "max_score", "gap")})
 
 
+RERANKED = """hx AS (SELECT query_id, chunk_id, text, title, section FROM hy JOIN chunks USING (chunk_id)), qt AS (SELECT query_id, list(term) AS qs FROM q GROUP BY query_id),
+rr AS (SELECT hx.*, round(coalesce(len(list_intersect(qs, t)), 0) / greatest(coalesce(len(qs), 0), 1), 9) AS score FROM hx LEFT JOIN qt USING (query_id) JOIN toks USING (chunk_id)),
+re AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score, text, title, section FROM rr QUALIFY rank <= 5)"""
+
+
 @query(
     "retrieval_comparison",
-    f"""WITH {HYBRID}, re AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) AS rank, chunk_id, CAST(chunk_id AS DOUBLE) AS score FROM hy QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) <= 5),
-u AS (SELECT 'semantic' AS l, * FROM ve UNION ALL SELECT 'bm25', * FROM kw UNION ALL SELECT 'hybrid', * FROM hy UNION ALL SELECT 'reranked', * FROM re)
+    f"""WITH {HYBRID}, {RERANKED}, u AS (SELECT 'semantic' AS l, * FROM ve UNION ALL SELECT 'bm25', * FROM bm UNION ALL SELECT 'hybrid', * FROM hy UNION ALL SELECT 'reranked', query_id, rank, chunk_id, score FROM re)
 SELECT query_id, chunk_id, {", ".join(f"max(CASE WHEN l = '{n}' THEN {c if c == 'rank' else 'round(score, 6)'} END) AS {n}_{c}" for n in ("semantic", "bm25", "hybrid", "reranked") for c in ("rank", "score"))}, coalesce(max(CASE WHEN l = 'reranked' THEN rank END), 6) <= 5 AS in_final FROM u GROUP BY query_id, chunk_id""",
 )
 def retrieval_comparison(spark, sf_dir):
-    kw, ve = two_lists(spark, sf_dir)
-    hybrid = fusion.hybrid_merge(kw, ve)
-    reranked = keyword.top_k(hybrid.select("query_id", F.col("chunk_id"), (F.col("chunk_id").cast("double")).alias("score")), 5)
-    made = fusion.retrieval_comparison(ve, kw, hybrid, reranked)
+    best, near, chunks = two_lists(spark, sf_dir)
+    hybrid = fusion.hybrid_merge(best, near)
+    reranked = fusion.rerank(asked(spark, sf_dir), hybrid.select("query_id", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id"))
+    made = fusion.retrieval_comparison(near, best, hybrid, reranked)
     return made.withColumns({c: F.round(c, 6) for c in made.columns if c.endswith("_score")})
 
 
-def fused(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(BM25 and vector search over all fixed chunks, fused; chunks)."""
-    best, chunks = searched(spark, sf_dir)
-    embed = vector.hashing_embedder()
-    index = vector.embed_texts(chunks.select("chunk_id", "text"), embed)
-    return fusion.hybrid_merge(best, vector.vector_search(vector.embed_queries(asked(spark, sf_dir), embed), index)), chunks
-
-
-@query("hybrid_search")
+@query("hybrid_search", f"WITH {HYBRID} SELECT query_id, rank, chunk_id, round(score, 6) AS score, 'hybrid' AS source, c.title IS NOT NULL AS by_words FROM hy LEFT JOIN (SELECT query_id, chunk_id, title FROM bm JOIN chunks USING (chunk_id)) c USING (query_id, chunk_id)")
 def hybrid_search(spark, sf_dir):
-    return fused(spark, sf_dir)[0].select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "source")
+    """With the titles that only the keyword list brings: chunks without are found by vectors alone."""
+    best, near, _ = two_lists(spark, sf_dir)
+    return fusion.hybrid_merge(best, near).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "source", F.col("title").isNotNull().alias("by_words"))
 
 
-@query("hybrid_retrieve")
+@query("hybrid_retrieve", f"WITH {HYBRID}, {RERANKED} SELECT query_id, rank, chunk_id, round(score, 6) AS score, title, section, replace(substr(text, 1, 200), chr(10), ' ') AS snippet FROM re")
 def hybrid_retrieve(spark, sf_dir):
-    return fusion.retrieve(asked(spark, sf_dir), *fused(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    best, near, chunks = two_lists(spark, sf_dir)
+    return fusion.retrieve(asked(spark, sf_dir), fusion.hybrid_merge(best, near), chunks, most=50).withColumn("score", F.round("score", 6))
+
+
+_PLAIN = "SELECT query_id, rank, chunk_id, round(score, 6) AS score, title, section, {snippet} AS snippet FROM hy JOIN chunks USING (chunk_id) WHERE rank <= 7"
+
+
+@query("retrieve_without_reranker", f"WITH {HYBRID} {_PLAIN.format(snippet=repr(''))} UNION ALL {_PLAIN.format(snippet='replace(substr(text, 1, 200), chr(10), chr(32))')}")
+def retrieve_without_reranker(spark, sf_dir):
+    """The fused list as it is, once without and once with snippets."""
+    best, near, chunks = two_lists(spark, sf_dir)
+    fused = fusion.hybrid_merge(best, near)
+    plain, filled = (fusion.retrieve(asked(spark, sf_dir), fused, chunks, 7, most=50, use_reranker=False, fill_snippets=x) for x in (False, True))
+    return plain.unionByName(filled).withColumn("score", F.round("score", 6))
+
+
+@query("retrieve_with_scorer", f"WITH {HYBRID}, s AS (SELECT query_id, chunk_id, title, section, text, CAST(length(text) % 97 + length(b.text) % 7 AS DOUBLE) AS score FROM hy JOIN chunks USING (chunk_id) JOIN benchmark b ON item_id = query_id) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score, title, section, replace(substr(text, 1, 200), chr(10), ' ') AS snippet FROM s QUALIFY rank <= 3".replace("length(text) % 97", "length(chunks.text) % 97").replace("section, text, CAST", "section, chunks.text, CAST"))
+def retrieve_with_scorer(spark, sf_dir):
+    """A supplied scorer of (query, chunk) pairs; this one knows only their lengths, so that SQL can repeat it."""
+    best, near, chunks = two_lists(spark, sf_dir)
+    return fusion.retrieve(asked(spark, sf_dir), fusion.hybrid_merge(best, near), chunks, 3, most=50, score=lambda q, t: (t.str.len() % 97 + q.str.len() % 7).astype(float))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import string
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from quarrykit.sources import mediawiki, tables
 from . import answers
 from .answers import LOGS
 from .corpus import COMPARED, FIXED, articles, fixed_chunks, page_xml, read
+from .letters import LETTERS, counts_sql, letter_embedder
 from .retrieval import _REQUESTS, _requests
 
 QUERIES: dict = {}
@@ -77,19 +75,6 @@ def count_chunks(spark, sf_dir):
     return store.count_chunks(chunks).withColumnRenamed("count", "n_chunks").join(store.count_chunks(asked).withColumnRenamed("count", "n_requested"))
 
 
-LETTERS = string.ascii_lowercase
-
-
-def letter_embedder(texts: list[str]) -> np.ndarray:
-    """An embedder that SQL can repeat: how often each letter occurs, and 1 for every text."""
-    return np.array([[t.count(x) for x in LETTERS] + [1] for t in texts], np.float32)
-
-
-def _vectors(text: str) -> str:
-    counts = ", ".join(f"length({text}) - length(replace({text}, '{x}', ''))" for x in LETTERS)
-    return f"list_transform([{counts}, 1], lambda c: CAST(c AS BIGINT))"
-
-
 _SHOWN = "array_to_string(list_append(v, CAST(list_sum(list_transform(v, lambda y: y * y)) AS BIGINT)), ' ')"
 
 
@@ -101,13 +86,13 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vector", F.array_join(F.concat(counts, F.array(whole(1 / (last * last)))).cast("array<string>"), " "))
 
 
-@query("embed_texts", f"WITH {FIXED}, e AS (SELECT chunk_id, {_vectors('text')} AS v FROM chunks) SELECT chunk_id, {_SHOWN} AS vector FROM e")
+@query("embed_texts", f"WITH {FIXED}, e AS (SELECT chunk_id, {counts_sql('text')} AS v FROM chunks) SELECT chunk_id, {_SHOWN} AS vector FROM e")
 def embed_texts(spark, sf_dir):
     made = vector.embed_texts(fixed_chunks(spark, sf_dir).select("chunk_id", "text"), letter_embedder)
     return _shown(made.select("chunk_id", "vector"))
 
 
-@query("embed_queries", f"WITH q AS (SELECT item_id AS query_id, 'query: ' || coalesce(text, '') AS t FROM benchmark), e AS (SELECT query_id, {_vectors('t')} AS v FROM q) SELECT query_id, {_SHOWN} AS vector FROM e")
+@query("embed_queries", f"WITH q AS (SELECT item_id AS query_id, 'query: ' || coalesce(text, '') AS t FROM benchmark), e AS (SELECT query_id, {counts_sql('t')} AS v FROM q) SELECT query_id, {_SHOWN} AS vector FROM e")
 def embed_queries(spark, sf_dir):
     """With the prefix of an E5-like model."""
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -119,7 +104,7 @@ def build_vector_index(spark, sf_dir):
     return vector.build_vector_index(fixed_chunks(spark, sf_dir), letter_embedder, tables.scratch(spark, "index"))
 
 
-@query("chunk_index_append", f"WITH {FIXED}, e AS (SELECT chunk_id, document_id, title, section, {_vectors('text')} AS v FROM chunks) SELECT chunk_id, document_id, title, section, {_SHOWN} AS vector FROM e")
+@query("chunk_index_append", f"WITH {FIXED}, e AS (SELECT chunk_id, document_id, title, section, {counts_sql('text')} AS v FROM chunks) SELECT chunk_id, document_id, title, section, {_SHOWN} AS vector FROM e")
 def chunk_index_append(spark, sf_dir):
     """An index that is written in two steps, the second appended."""
     path = tables.scratch(spark, "index")

@@ -156,6 +156,45 @@ def test_vector_search(spark, block):
         want = sorted(range(40), key=lambda i: (round(((x[i] - x[q]) ** 2).sum(), 9), i))[:5]
         assert [r["chunk_id"] for r in sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])] == want
     assert vector.vector_search(queries, index, 100).count() == 120
+    assert vector.vector_search(queries, index.limit(0), 5).count() == 0 and vector.vector_search(queries.limit(0), index, 5).count() == 0
+
+
+def clustered(rng, n, dim=12, groups=30):
+    middles = rng.normal(size=(groups, dim)) * 10
+    return (middles[rng.integers(0, groups, n)] + rng.normal(size=(n, dim)) * 0.3).astype(np.float32)
+
+
+@pytest.mark.parametrize(("squared", "rounds"), [(True, 32 << 20), (False, 2000)])
+def test_vector_cells_are_exact_and_skip(spark, monkeypatch, tmp_path, squared, rounds):
+    """Clusters, copies of one vector as a third of all rows, a row without a vector; few blocks are read."""
+    monkeypatch.setattr(vector, "ROUND", rounds)
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 2000)
+    x[:700] = x[0]
+    rows = [(f"c{i:04d}", v.tolist()) for i, v in enumerate(x)] + [("none", None)]
+    index = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(4)
+    cells = vector.build_cell_index(index, str(tmp_path / "cells"), cells=40, block=64)
+    again = vector.read_cell_index(spark, str(tmp_path / "cells"))
+    assert np.array_equal(again.centers, cells.centers) and cells.blocks.agg(F.sum("n")).first()[0] == 2000
+    ids = [0, 3, 800, 900, 1000, 1999]
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in ids], "query_id int, vector array<float>")
+    found = defaultdict(list)
+    for r in vector.vector_search(queries, cells, 20, squared).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["chunk_id"])
+    d = ((x[ids, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    score = np.round(1 / (1 + (d if squared else np.sqrt(d))), 9)
+    assert all(found[q] == [f"c{i:04d}" for i in np.argsort(-score[j], kind="stable")[:20]] for j, q in enumerate(ids))
+    bounds = [r[1:] for r in cells.blocks.select("n", "cell", "near", "far").collect()]
+    to_center = np.sqrt(vector.distances(x[ids].astype(float), cells.centers))
+    read = sum(int(vector.Bound(to_center, np.sort(np.sqrt(d), 1)[:, 19])(*b).sum()) for b in bounds)
+    assert read < len(bounds) * len(ids) // 4
+
+
+def test_vector_search_moves_no_index(spark):
+    index = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "chunk_id int, vector array<float>")
+    queries = index.limit(3).withColumnRenamed("chunk_id", "query_id")
+    plan = vector.vector_search(queries, index, 2)._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if " Exchange " in line] and all("hashpartitioning(query_id" in line for line in plan.splitlines() if " Exchange " in line)
 
 
 def test_embedding(spark, chunks, tmp_path):

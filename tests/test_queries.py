@@ -40,36 +40,3 @@ def test_query(spark, duck, name):
         names = [d[0] for d in found.description]
         assert sorted(names) == cols
         assert rows == sorted(repr([plain(r[names.index(c)]) for c in cols]) for r in found.fetchall())
-
-
-def test_hybrid_search_over_chunks(spark):
-    from collections import defaultdict
-
-    import numpy as np
-
-    from quarrykit.operators import vector
-    from quarrykit.plans import retrieval
-
-    best, chunks = retrieval.searched(spark, SF)
-    want, texts = defaultdict(dict), {r["chunk_id"]: r["text"] for r in chunks.collect()}
-    keyword_ids = defaultdict(set)
-    for r in best.collect():
-        keyword_ids[r["query_id"]].add(r["chunk_id"])
-        want[r["query_id"]][r["chunk_id"]] = 1 / (60 + r["rank"])
-    unit = lambda v: (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(float)
-    embed, ids = vector.hashing_embedder(), sorted(texts)
-    x = unit(embed([texts[i] for i in ids]))
-    asked = {r["query_id"]: r["text"] for r in retrieval.asked(spark, SF).collect()}
-    for q, text in asked.items():
-        score = np.round(1 / (1 + ((x - unit(embed([text]))) ** 2).sum(1)), 9)
-        for rank, i in enumerate(np.argsort(-score, kind="stable")[:20], 1):
-            want[q][ids[i]] = want[q].get(ids[i], 0) + 1 / (60 + rank)
-    got, final = defaultdict(dict), defaultdict(list)
-    for r in catalog.QUERIES["hybrid_search"](spark, SF).collect():
-        got[r["query_id"]][r["chunk_id"]] = r["score"]
-    assert {q: set(v) for q, v in got.items()} == {q: set(v) for q, v in want.items()}
-    assert all(abs(got[q][c] - s) < 2e-6 for q in want for c, s in want[q].items())
-    assert any(set(got[q]) - keyword_ids[q] for q in got)  # chunks that only the vector side finds
-    for r in catalog.QUERIES["hybrid_retrieve"](spark, SF).collect():
-        final[r["query_id"]].append(r["chunk_id"])
-    assert set(final) == set(asked) and all(len(v) == 5 and set(v) <= set(got[q]) for q, v in final.items())
