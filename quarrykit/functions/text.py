@@ -5,13 +5,13 @@ Patterns are ASCII for white space and digits, and only \\n ends a line, so that
 
 from __future__ import annotations
 
-import html
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .markup import visible_text
+
 
 def strip_space(c: Column) -> Column:
     """Without white space at both ends (`trim` removes spaces only)."""
@@ -53,41 +53,27 @@ def strip_wiki_markup(c: Column) -> Column:
     return strip_space(out)
 
 
-#: Fixed: elements of a page that hold no article text, and the entities of plain pages.
-DROPPED = ["script", "style", "nav", "footer", "header", "aside", "form"]
+#: Fixed: the entities of plain pages, for the SQL twins.
 ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 
 
-@F.pandas_udf(StringType())
-def unescape_html(texts: pd.Series) -> pd.Series:
-    """All HTML entities, by the standard library's table."""
-    return texts.map(html.unescape, na_action="ignore")
-
+def extract_html_text(c: Column, max_chars: int = 8000) -> Column:
+    """Text nodes of a page, one per line, without navigation, scripts and the like; null and empty give an empty string."""
 
-def extract_html_text(c: Column, max_chars: int = 8000, all_entities: bool = True) -> Column:
-    """Text nodes of a page, one per line, without navigation, scripts and the like.
+    @F.pandas_udf(StringType())
+    def extract(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: visible_text(page, max_chars))
 
-    All entities are decoded, in Arrow batches; without `all_entities` only the common ones, in the JVM.
-    """
-    out = F.regexp_replace(F.coalesce(c, F.lit("")), "(?s)<!--.*?-->|<![^>]*>", "")
-    for tag in DROPPED:
-        out = F.regexp_replace(out, f"(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>", "")
-    nodes = F.transform(F.split(out, "<[^>]+>"), strip_space)
-    out = F.array_join(F.filter(nodes, lambda x: x != ""), "\n")
-    for entity, char in [] if all_entities else ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = unescape_html(out) if all_entities else out
-    out = F.regexp_replace(F.regexp_replace(out, "\\n{3,}", "\n\n"), "[ \\t]{2,}", " ")
-    return strip_space(F.substring(out, 1, max_chars))
+    return extract(c)
 
 
-def page_text(status: Column, content_type: Column, body: Column, max_chars: int = 8000, all_entities: bool = True) -> dict[str, Column]:
+def page_text(status: Column, content_type: Column, body: Column, max_chars: int = 8000) -> dict[str, Column]:
     """text, char_count, fetched, error of a stored response."""
     if not 100 <= max_chars <= 50000:
         raise ValueError("max_chars must be from 100 to 50000")
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     failed = F.coalesce(status, F.lit(0)) >= 400
-    text = F.when(failed, "").when(kind.contains("html"), extract_html_text(body, max_chars, all_entities)).when(kind.contains("text/plain"), F.substring(F.coalesce(body, F.lit("")), 1, max_chars)).otherwise(F.concat(F.lit("[Non-text content: "), F.coalesce(content_type, F.lit("")), F.lit("]")))
+    text = F.when(failed, "").when(kind.contains("html"), extract_html_text(body, max_chars)).when(kind.contains("text/plain"), F.substring(F.coalesce(body, F.lit("")), 1, max_chars)).otherwise(F.concat(F.lit("[Non-text content: "), F.coalesce(content_type, F.lit("")), F.lit("]")))
     return {"text": text, "char_count": F.length(text), "fetched": ~failed, "error": F.when(failed, F.concat(F.lit("HTTP "), status.cast("string")))}
 
 

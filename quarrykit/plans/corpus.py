@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions import dates, text
+from quarrykit.functions.markup import DROPPED
 from quarrykit.operators import chunking, profiling
 from quarrykit.sources import mediawiki
 
@@ -168,7 +169,7 @@ def ingest_summary(spark, sf_dir):
 
 def _html_sql(x: str, n: int = 8000) -> str:
     out = f"regexp_replace(coalesce({x}, ''), '(?s)<!--.*?-->|<![^>]*>', '', 'g')"
-    for tag in text.DROPPED:
+    for tag in DROPPED:
         out = f"regexp_replace({out}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', '', 'g')"
     out = f"array_to_string(list_filter(list_transform(string_split_regex({out}, '<[^>]+>'), lambda x: {STRIP('x')}), lambda x: x <> ''), chr(10))"
     for entity, char in text.ENTITIES:

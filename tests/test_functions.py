@@ -1,7 +1,12 @@
+import re
+from html.parser import HTMLParser
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrykit.functions import citations, dates, parsing, prompts, routing, text
+from quarrykit.functions import citations, dates, markup, parsing, prompts, routing, text
 
 
 def apply(spark, values, make, kind="string"):
@@ -84,4 +89,66 @@ def test_html(spark):
     page = "<html><head><title>T &amp; U</title><style>p{}</style></head><body><nav>n</nav><!-- c --><p>One<p>Two</p><script>x</script><footer>f</footer></body></html>"
     assert apply(spark, [page, "", None], text.extract_html_text) == ["T & U\nOne\nTwo", "", ""]
     rare = ["<p>a &eacute; &#233; &lt;</p>"]
-    assert apply(spark, rare, lambda c: text.extract_html_text(c, all_entities=True)) == ["a é é <"]
+    assert apply(spark, rare, text.extract_html_text) == ["a é é <"]
+
+
+class Plain(HTMLParser):
+    """The standard library's parser with a stack of open elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.nodes = [], [""]
+
+    def cut(self):
+        self.nodes.append("")
+
+    def handle_starttag(self, tag, attrs):
+        self.cut()
+        if tag not in markup.VOID:
+            self.stack.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.cut()
+
+    def handle_endtag(self, tag):
+        self.cut()
+        if tag in self.stack:
+            while self.stack.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not {*self.stack} & {*markup.DROPPED, *markup.HIDDEN}:
+            self.nodes[-1] += data
+
+    handle_comment = handle_decl = handle_pi = lambda self, data: self.cut()
+
+
+def parsed(page):
+    plain = Plain()
+    plain.feed(page)
+    plain.close()
+    text = "\n".join(n.strip() for n in plain.nodes if n.strip())
+    return re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", text)).strip()
+
+
+PIECES = [
+    "<p>", "</p>", "<nav>", "</nav>", "<NAV class='a>b'>", "<div title=\"x > y\" hidden>", "</div>", "<br>", "<img src=a>", "<br/>", "<span/>", "<aside>", "</aside>", "<form action='/a?b=1&c=2'>", "</form >",
+    "<script>var q = 1; <p>t</p> </nav></script>", "<style>p > a {}</style>", "<!-- <nav> -->", "<!---->", "<!DOCTYPE html>", "<template>", "</template>", "<h1 id=x>", "</h1>", "</b>", "a", "b  c", " ", "\n", "&nbsp;",
+    "&amp;nbsp;", "&#233;", "&eacute;", "1 < 2", "x&y", "é",
+]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
+def test_html_equals_the_parser(page):
+    assert markup.visible_text(page, 10**6) == parsed(page)
+
+
+def test_html_of_given_pages_and_odd_ones(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert all(markup.visible_text(p, 10**6) == parsed(p) for p in pages)
+    odd = "<p>a</p><td>&nbsp;</td><p>&nbsp;b</p><nav>x<nav>y</nav>z</nav><script>var q=1; <p>t</p>"
+    assert markup.visible_text(odd) == "a\nb"
+    assert markup.visible_text("<div><nav>x</div>y<footer>z") == "y" and markup.visible_text("a<!-- b") == "a" and markup.visible_text("a <p b='c") == "a <p b='c"
+    assert markup.visible_text("<p>" + "ab " * 50, 10) == "ab ab ab a" and markup.visible_text(None) == ""
+    assert markup.visible_text("<![CDATA[x <b>]]>y<ruby>k<rt>r</rt></ruby>") == "x <b>\ny\nk"
