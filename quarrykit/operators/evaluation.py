@@ -6,9 +6,11 @@ model_latency_ms; lists are arrays of structs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 STRINGS = "array<string>"
 RETRIEVED = "array<struct<chunk_id:string,score:double,title:string,snippet:string>>"
 OPENED = "array<struct<chunk_id:string,document_id:string,title:string,section:string,text:string>>"
@@ -68,12 +70,11 @@ def evaluation_summary(measured: DataFrame) -> DataFrame:
 
 
 def summary_lines(measured: DataFrame) -> DataFrame:
-    """number, line of the summary's table, by question_id."""
+    """number, line of the summary's table, by question_id (one row each)."""
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
     failed = F.when(F.coalesce("error", F.lit("")) != "", "Yes").otherwise("—")
-    number = F.row_number().over(Window.orderBy("question_id"))  # a report is for people: some thousand rows at most
     cells = [F.col("number").cast("string"), F.substring("question", 1, 60), *(value(c) for c in ("citation_count", "unique_cited_titles", "timeline_item_count", "total_steps")), failed]
-    return measured.withColumn("number", number).select("number", F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |")).alias("line"))
+    return numbered(measured, "question_id").select("number", F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |")).alias("line"))
 
 
 def sources_used(runs: DataFrame, key: str = "question_id") -> DataFrame:

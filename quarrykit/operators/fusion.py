@@ -65,11 +65,13 @@ def retrieve(queries: DataFrame, merged: DataFrame, chunks: DataFrame, top_k_: i
     `most`: rows of `merged` for one query, at most. If that makes few rows in all, they are broadcast to the chunks.
     """
     texts = chunks.select("chunk_id", "title", "section", "text")
-    merged = F.broadcast(merged) if most is not None and queries.count() * most <= FEW else merged
+    few = most is not None and queries.count() * most <= FEW
+    hint = F.broadcast if few else lambda rows: rows
     if use_reranker:
-        best = rerank(queries, texts.join(merged.select("query_id", "chunk_id"), "chunk_id"), score, top_k_)
+        best = rerank(queries, texts.join(hint(merged.select("query_id", "chunk_id")), "chunk_id"), score, top_k_)
         return best.select("query_id", "rank", "chunk_id", F.col("rerank_score").alias("score"), "title", "section", snippet(F.col("text")).alias("snippet"))
     best = merged.where(F.col("rank") <= top_k_).select("query_id", "rank", "chunk_id", "score")
+    texts = texts.join(hint(best.select("chunk_id").distinct()), "chunk_id", "left_semi")
     text = snippet(F.col("text")) if fill_snippets else F.lit("")
     return best.join(texts, "chunk_id", "left").select("query_id", "rank", "chunk_id", "score", "title", "section", text.alias("snippet"))
 

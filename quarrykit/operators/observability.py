@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.sources.tables import upsert
+
 #: Typed fields of each event's data.
 EVENTS = {
     "query": "query string, query_length long, query_id string",
@@ -49,15 +51,21 @@ def metrics_from_runs(runs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def append_metrics(rows: DataFrame, path: str) -> None:
-    """Appends rows of a metric table with defaults: run_id `unknown`, query cut to 200, tokens per second filled."""
+def append_metrics(rows: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """Appends rows of a metric table with defaults: run_id `unknown`, query cut to 200, tokens per second filled.
+
+    With `keys`, which name a measurement, a repeated call adds nothing, and a row that has changed replaces the former.
+    """
     if "run_id" in rows.columns:
         rows = rows.withColumn("run_id", F.coalesce("run_id", F.lit("unknown")))
     if "query" in rows.columns:
         rows = rows.withColumn("query", F.substring("query", 1, 200))
     if {"tokens_out", "duration_ms"} <= set(rows.columns):
         rows = rows.withColumn("tokens_per_second", tokens_per_second())
-    rows.write.mode("append").parquet(path)
+    if keys:
+        upsert(rows, path, keys)
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def component_stats(latency: DataFrame, component: str | None = None, run_id: str | None = None) -> DataFrame:

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 #: Fixed: leftover markup that the audit looks for.
 LEFTOVERS = [("[[..]] wikilinks", "\\[\\["), ("{{..}} templates", "\\{\\{"), ("<ref> tags", "<ref"), ("''' bold", "'''"), ("Category:", "Category:"), ("{| table start", "\\{\\|")]
 
 
-def _quantile(c: str, q: float, exact: bool) -> Column:
-    return F.percentile(c, q) if exact else F.percentile_approx(c, q, 10000).cast("double")
+def _with_quantiles(rows: DataFrame, c: str, shares: dict[str, float], exact: bool, made: list[Column], order: list[str]) -> DataFrame:
+    """One row of aggregates and quantiles; exact ones are found by counts of values, without a list of them."""
+    if not exact:
+        return rows.agg(*made, *(F.percentile_approx(c, q, 10000).cast("double").alias(n) for n, q in shares.items())).select(*order)
+    return rows.agg(*made).join(quantiles(rows, c, shares)).select(*order)  # one row each
 
 
 def length_profile(articles: DataFrame, c: str = "text_length", exact: bool = True) -> DataFrame:
-    q = [_quantile(c, x, exact).alias(n) for n, x in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
-    return articles.agg(F.count(c).alias("count"), F.sum(c).alias("sum"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *q, F.max(c).alias("max"))
+    made = [f(c).alias(n) for n, f in (("count", F.count), ("sum", F.sum), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    return _with_quantiles(articles, c, shares, exact, made, ["count", "sum", "mean", "std", "min", *shares, "max"])
 
 
 def length_histogram(articles: DataFrame, c: str = "text_length", cap: int = 20000, bins: int = 80) -> DataFrame:
@@ -55,7 +61,12 @@ def index_profile(index: DataFrame, exact: bool = True) -> DataFrame:
     distinct = F.count_distinct if exact else F.approx_count_distinct
     rows = index.withColumn("_n", F.length("text"))
     size = [F.max(F.size("vector")).alias("vector_size")] if "vector" in index.columns else []
-    return rows.agg(F.count("*").alias("rows"), distinct("title").alias("titles"), distinct("document_id").alias("documents"), *size, F.min("_n").alias("min_len"), _quantile("_n", 0.5, exact).alias("median_len"), F.avg("_n").alias("mean_len"), F.max("_n").alias("max_len"))
+    made = [
+        F.count("*").alias("rows"), distinct("title").alias("titles"), distinct("document_id").alias("documents"), *size,
+        F.min("_n").alias("min_len"), F.avg("_n").alias("mean_len"), F.max("_n").alias("max_len"),
+    ]
+    order = ["rows", "titles", "documents", *(["vector_size"] if size else []), "min_len", "median_len", "mean_len", "max_len"]
+    return _with_quantiles(rows, "_n", {"median_len": 0.5}, exact, made, order)
 
 
 def top_chunked_titles(chunks: DataFrame, n: int = 10) -> DataFrame:

@@ -10,6 +10,12 @@ from quarrykit.functions.text import snippet, token_count
 SEPARATOR = "\n\n---\n\n"
 
 
+def write_chunk_store(chunks: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """A table of chunks in buckets sorted by chunk_id. Lookups by id read it as it lies: only requests are shuffled."""
+    chunks.write.mode("overwrite").bucketBy(buckets, "chunk_id").sortBy("chunk_id").option("path", path).saveAsTable(name)
+    return chunks.sparkSession.table(name)
+
+
 def get_many_chunks(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """Full rows for requests (req_id, pos, chunk_id) in requested order: unknown ids go, repeated ones repeat."""
     have = set(chunks.columns)

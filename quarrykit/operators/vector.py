@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.sources.tables import scratch
+from quarrykit.sources.tables import scratch, upsert
 
 from .keyword import best_columns, top_k
 
@@ -69,8 +69,12 @@ def embed_queries(queries: DataFrame, embed: Embed, model: str = "hashing", batc
 
 
 def write_chunk_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """`chunks` with vectors as a table; mode overwrite or append."""
-    chunks.select("chunk_id", "document_id", "title", "section", "text", "vector").write.mode(mode).parquet(path)
+    """`chunks` with vectors as a table; mode overwrite, append or upsert (by chunk_id: a repeated call changes nothing)."""
+    rows = chunks.select("chunk_id", "document_id", "title", "section", "text", "vector")
+    if mode == "upsert":
+        upsert(rows, path, ["chunk_id"])
+    else:
+        rows.write.mode(mode).parquet(path)
 
 
 def index_summary(index: DataFrame) -> DataFrame:

@@ -180,6 +180,19 @@ def validate_citations(spark, sf_dir):
     return made.select("question_id", "v.valid", joined("errors", "; ").alias("errors"), joined("cited_ids").alias("cited"), joined("hallucinated_ids").alias("invented"), joined("uncited_opened_ids").alias("unused"), F.col("v.paragraph_count").alias("paragraphs"), repair.alias("repair"))
 
 
+@query(
+    "validate_citations_lenient",
+    f"WITH {ANSWERS} SELECT doc_id AS question_id, NOT ghost AS valid, CASE WHEN ghost THEN 'Hallucinated chunk IDs: [''ghost1'']' ELSE '' END AS errors, '' AS warnings, c || 'b,' || c || 'a' AS cited, 0 AS paragraphs, false AS repair FROM a",
+)
+def validate_citations_lenient(spark, sf_dir):
+    """Only invented ids are errors, nothing is warned of, and nothing is repaired."""
+    ids = F.transform("opened", lambda o: o["chunk_id"])
+    made = answers(spark, sf_dir).withColumn("v", citations.validate(F.col("answer_text"), ids, citations.LENIENT, F.col("timeline")))
+    repair = citations.needs_repair(F.col("v.valid"), F.col("answer_text"), F.lit(None).cast("string"), F.lit(0), citations.LENIENT)
+    joined = lambda c, by=",": F.array_join(f"v.{c}", by)
+    return made.select("question_id", "v.valid", joined("errors", "; ").alias("errors"), joined("warnings", "; ").alias("warnings"), joined("cited_ids").alias("cited"), F.col("v.paragraph_count").alias("paragraphs"), repair.alias("repair"))
+
+
 @query(
     "reference_list",
     f"""WITH {ANSWERS} SELECT doc_id AS question_id, CAST(o AS INT) AS ordinal, CASE WHEN o < 3 THEN 'cited' WHEN o = 3 THEN 'opened' ELSE 'web' END AS kind, CASE o WHEN 1 THEN c || 'b' WHEN 2 THEN c || 'a' WHEN 3 THEN c || 'c' ELSE 'http://x/' || doc_id END AS ref FROM a, unnest([1, 2, 3, 4]) AS t(o)""",
@@ -211,6 +224,18 @@ def build_prompts(spark, sf_dir):
     return prompts.build_prompts(rows, TEMPLATE).select("question_id", "prompt", "prompt_version")
 
 
+@query(
+    "prompt_meta",
+    f"WITH {ANSWERS} SELECT doc_id AS question_id, 3 AS evidence_count, CASE WHEN timed THEN 2 ELSE 0 END AS timeline_count, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE len(string_split(coalesce(text, ''), chr(10))) END AS chat_turns, coalesce(text, '') <> '' AS has_summary FROM a JOIN documents USING (doc_id)",
+)
+def prompt_meta(spark, sf_dir):
+    """Lines of the document stand for chat turns, absent for some; the document is the summary."""
+    lines = F.when(F.col("doc_id") % 5 > 0, F.split(F.coalesce("text", F.lit("")), "\n"))
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), lines.alias("chat"), F.col("text").alias("summary"))
+    rows = answers(spark, sf_dir).drop("chat", "summary").join(texts, "question_id")
+    return rows.select("question_id", prompts.prompt_meta(*map(F.col, ("opened", "timeline", "chat", "summary"))).alias("m")).select("question_id", "m.*")
+
+
 @query("web_and_sub_answer_blocks", "SELECT page_id, '[Web 1] ' || url || chr(10) || 'URL: ' || url || chr(10) || html AS web, '[Part 1] ' || url || chr(10) || '(no answer)' || chr(10) || chr(10) || '[Part 2] Sub-question 2' || chr(10) || 'x' AS parts FROM pages")
 def web_and_sub_answer_blocks(spark, sf_dir):
     web = F.array(F.struct(F.col("url").alias("title"), F.col("url").alias("url"), F.col("html").alias("snippet")))
@@ -262,6 +287,16 @@ def evaluation_summary(spark, sf_dir):
     return summed.withColumns({c: F.round(c, 6) for c in ("avg_citations", "avg_sources", "avg_timeline")})
 
 
+@query(
+    "summary_lines",
+    f"""WITH {RUNS} SELECT row_number() OVER (ORDER BY question_id) AS number, '| ' || row_number() OVER (ORDER BY question_id) || ' | ' || substr(source, 1, 60) || ' | ' || CASE WHEN failed THEN '— | — | —' ELSE '2 | 2 | ' || timeline_item_count END || ' | 0 | ' || CASE WHEN failed THEN 'Yes' ELSE '—' END || ' |' AS line FROM m JOIN documents ON doc_id = question_id""",
+)
+def summary_lines(spark, sf_dir):
+    made = evaluation.compute_all_measures(runs(spark, sf_dir), "question_id", "question", "error")
+    empty = {c: F.when(F.col("error").isNull(), F.col(c)) for c in ("citation_count", "unique_cited_titles", "timeline_item_count")}
+    return evaluation.summary_lines(made.withColumns(empty))
+
+
 @query("sources_used", f"WITH {RUNS} SELECT question_id, CAST(i AS INT) AS pos, 'T' || t || ['a', 'b', ''][i + 1] AS title, c || ['a', 'b', 'c'][i + 1] AS chunk_ids FROM m, unnest([0, 1, 2]) AS u(i)")
 def sources_used(spark, sf_dir):
     return evaluation.sources_used(runs(spark, sf_dir)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.operators import chunking, evaluation, observability, store, vector
 from quarrykit.sources import mediawiki, tables
+from quarrykit.streaming import logs
 
 from . import answers
 from .answers import LOGS
@@ -114,6 +115,27 @@ def chunk_index_append(spark, sf_dir):
     return _shown(spark.read.parquet(path).drop("text"))
 
 
+@query("chunk_index_upsert", f"WITH {FIXED}, e AS (SELECT chunk_id, document_id, title, section, {counts_sql('text')} AS v FROM chunks) SELECT chunk_id, document_id, title, section, {_SHOWN} AS vector FROM e")
+def chunk_index_upsert(spark, sf_dir):
+    """First chunks with a wrong title, then all chunks, then the first ones again, as a retried job does."""
+    path, chunks = tables.scratch(spark, "index"), fixed_chunks(spark, sf_dir)
+    first = chunks.where("start_char = 0")
+    for part in (first.withColumn("title", F.lit("wrong")), chunks, first):
+        vector.write_chunk_index(vector.embed_texts(part, letter_embedder), path, "upsert")
+    return _shown(tables.read_upserted(spark, path).drop("text"))
+
+
+@query(
+    "chunk_store_lookup",
+    f"WITH {FIXED}, r AS ({_REQUESTS}) SELECT req_id, pos, chunk_id, document_id, title, section, text, start_char, end_char, CAST(length(text) // 4 AS BIGINT) AS token_count FROM r JOIN chunks USING (chunk_id)",
+)
+def chunk_store_lookup(spark, sf_dir):
+    """Lookups in a bucketed table of all chunks."""
+    path = tables.scratch(spark, "store")
+    stored = store.write_chunk_store(fixed_chunks(spark, sf_dir), path.rpartition("/")[2].replace("-", "_"), path, 8)
+    return store.get_many_chunks(_requests(spark, sf_dir), stored)
+
+
 @query("run_log_round_trip", f"WITH {LOGS} SELECT stamp AS timestamp, CASE event_id % 3 WHEN 0 THEN 'rag_completed' WHEN 1 THEN 'query' ELSE 'model_call' END AS event_type, 'INFO' AS level, run_id FROM l")
 def run_log_round_trip(spark, sf_dir):
     path = tables.scratch(spark, "logs")
@@ -121,6 +143,19 @@ def run_log_round_trip(spark, sf_dir):
     return tables.read_run_logs(spark, path).select("timestamp", "event_type", "level", "run_id")
 
 
+@query("incremental_logs", f"WITH {LOGS} SELECT stamp AS timestamp, CASE event_id % 3 WHEN 0 THEN 'rag_completed' WHEN 1 THEN 'query' ELSE 'model_call' END AS event_type, 'INFO' AS level, run_id FROM l")
+def incremental_logs(spark, sf_dir):
+    """Log files that come in two times; a third call finds nothing new."""
+    path, table, checkpoint = (tables.scratch(spark, x) for x in ("logs", "log_table", "log_checkpoint"))
+    rows = answers.logs(spark, sf_dir)
+    half = F.pmod(F.xxhash64("timestamp", "run_id"), F.lit(2))
+    for part in (0, 1, None):
+        if part is not None:
+            tables.write_run_logs(rows.where(half == part), f"{path}/{part}")
+        made = logs.take_up_logs(spark, f"{path}/*", table, checkpoint)
+    return made.select("timestamp", "event_type", "level", "run_id")
+
+
 @query("question_round_trip", "SELECT 'q' || item_id AS id, text AS question, 'topic' AS topic, CAST(NULL AS VARCHAR) AS expected_date_range FROM benchmark WHERE text <> ''")
 def question_round_trip(spark, sf_dir):
     rows = read(spark, sf_dir, "benchmark").where("text <> ''").select(F.concat(F.lit("q"), F.col("item_id")).alias("id"), F.col("text").alias("question"), F.lit("topic").alias("topic"), F.lit(None).cast("string").alias("expected_date_range"))
@@ -143,12 +178,12 @@ def eval_result_round_trip(spark, sf_dir):
     "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'unknown' ELSE CAST(user_id AS VARCHAR) END AS run_id, substr(repeat(event_type, 60), 1, 200) AS query, event_id % 5 AS tokens_out, value AS duration_ms, round(CASE WHEN value > 0 THEN (event_id % 5) / (value / 1000) ELSE 0 END, 6) AS tokens_per_second FROM events",
 )
 def metric_round_trip(spark, sf_dir):
-    """Two appends to one table; absent runs become `unknown`, queries are cut."""
+    """Appends to one table, one of them twice; absent runs become `unknown`, queries are cut."""
     i, path = F.col("event_id"), tables.scratch(spark, "metrics")
     rows = read(spark, sf_dir, "events").select(i.alias("id"), F.when(i % 2 == 1, F.col("user_id").cast("string")).alias("run_id"), F.repeat("event_type", 60).alias("query"), (i % 5).alias("tokens_out"), F.col("value").alias("duration_ms"))
-    for rest in (0, 1):
-        observability.append_metrics(rows.where(F.col("id") % 2 == rest), path)
-    return spark.read.parquet(path).withColumn("tokens_per_second", F.round("tokens_per_second", 6))
+    for rest in (0, 1, 0):
+        observability.append_metrics(rows.where(F.col("id") % 2 == rest), path, ["id"])
+    return tables.read_upserted(spark, path).withColumn("tokens_per_second", F.round("tokens_per_second", 6))
 
 
 #: One event of each further type: its data by SQL and the fields that its view shows.

@@ -52,8 +52,17 @@ def write_run_logs(logs: DataFrame, path: str) -> None:
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of a JSON array; every item needs id and question, else an error names the first bad ones."""
-    rows = spark.read.schema(QUESTION).option("multiLine", True).json(path)
+    """Questions of a JSON array; every item needs id and question, else an error names the first bad ones.
+
+    Text files (`.txt`) hold an array in parts, as `save_questions` writes it; any other file is an array of its own.
+    """
+    files = spark.read.text(path).inputFiles()
+    parts, whole = [f for f in files if f.endswith(".txt")], [f for f in files if not f.endswith(".txt")]
+    rows = spark.read.schema(QUESTION).option("multiLine", True).json(whole) if whole else spark.createDataFrame([], QUESTION)
+    if parts:
+        item = F.regexp_replace("value", "^\\[|[,\\]]$", "")
+        lines = spark.read.text(parts).select(item.alias("item")).where("item <> ''")
+        rows = rows.unionByName(lines.select(F.from_json("item", QUESTION).alias("x")).select("x.*"))
     bad = rows.where((F.coalesce("id", F.lit("")) == "") | (F.coalesce("question", F.lit("")) == "")).limit(5).collect()
     if bad:
         raise ValueError(f"questions without id or question: {[r.asDict() for r in bad]}")
@@ -61,6 +70,56 @@ def load_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_questions(questions: DataFrame, path: str) -> None:
-    """A folder with one JSON array."""
-    whole = questions.agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "question", "topic", "expected_date_range")))).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    """A folder with one JSON array in parts: its files one after the other, by name, are the array, with an item a line."""
+    from quarrykit.operators.ordering import running
+
+    item = F.to_json(F.struct("id", "question", "topic", "expected_date_range"))
+    rows, total = running(questions.select("id", item.alias("item")), "id", "item")
+    begin, end = F.when(F.col("before") == 0, "[").otherwise(""), F.when(F.col("before") == total - 1, "]").otherwise(",")
+    lines = rows.select("before", F.concat(begin, "item", end).alias("value")) if total else questions.sparkSession.createDataFrame([(0, "[]")], "before long, value string")
+    lines.repartitionByRange("before").sortWithinPartitions("before").select("value").write.mode("overwrite").text(path)
+
+
+_BUCKET = "_bucket"
+
+
+def upsert(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> int:
+    """Puts `rows` into the table at `path` (Parquet, by buckets of `keys`); returns the number of buckets it has written.
+
+    New keys are added, rows that differ replace those of their key, equal rows change nothing: a repeated or retried call
+    leaves the table as it is. Of several rows with one key the greatest counts. Only buckets with a change are rewritten.
+    """
+    spark = rows.sparkSession
+    rest = [c for c in rows.columns if c not in keys]
+    given = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("new")) if rest else rows.distinct().withColumn("new", F.struct(F.lit(1)))
+    given = given.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    names = lambda *more: [*keys, *((F.col("new")[c].alias(c) for c in rest)), *more]
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        old = None
+    if old is None:
+        out = given.select(*names(_BUCKET))
+    else:
+        have = old.select(*(F.col(c).alias(f"_{c}") for c in keys), _BUCKET, F.struct(*rest).alias("old") if rest else F.struct(F.lit(1)).alias("old"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        met = given.join(have.withColumnRenamed(_BUCKET, "_old_bucket"), [F.col(_BUCKET) == F.col("_old_bucket"), *same], "left")
+        changed = met.where(F.col("_old_bucket").isNull() | ~F.col("new").eqNullSafe(F.col("old"))).select(*names(_BUCKET))
+        held = scratch(spark, "changed")
+        changed.write.parquet(held)
+        changed = spark.read.schema(changed.schema).parquet(held)
+        touched = [r[0] for r in changed.select(_BUCKET).distinct().collect()]  # `buckets` rows at most
+        if not touched:
+            return 0
+        new = changed.select(*(F.col(c).alias(f"_{c}") for c in keys))
+        out = old.where(F.col(_BUCKET).isin(touched)).join(new, same, "left_anti").select(*rows.columns, _BUCKET).unionByName(changed)
+    out = out.repartition(_BUCKET)
+    n = out.select(_BUCKET).distinct().count() if old is None else len(touched)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(path)
+    return n
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(_BUCKET)

@@ -8,7 +8,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.operators import chunking, conversations, evaluation, fusion, keyword, observability, profiling, store, vector
+from quarrykit.operators import chunking, conversations, evaluation, fusion, keyword, observability, ordering, profiling, store, vector
 
 ARTICLE = "page_id string, title string, text string"
 LONG = "\n\n".join(f"Paragraph {i}. " + "word " * (20 * i) for i in range(1, 6))
@@ -290,3 +290,61 @@ def test_profiles_of_nothing(spark, articles):
     assert profiling.length_profile(empty).first()["count"] == 0
     assert profiling.markup_audit(empty).count() == 6
     assert profiling.length_profile(articles.withColumn("text_length", F.length("text").cast("long")), exact=False).first()["count"] == 5
+
+
+@pytest.mark.parametrize("values", [[], [5], [1, 2], [3] * 40 + [9], list(range(0, 300, 7)) * 3, [None, 2, None, 10, 4]])
+def test_exact_quantiles(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+    shares = {"low": 0.0, "q": 0.25, "half": 0.5, "most": 0.9, "high": 1.0}
+    made, known = ordering.quantiles(rows, "v", shares).first(), [v for v in values if v is not None]
+    assert all(made[n] == (pytest.approx(np.quantile(known, q)) if known else None) for n, q in shares.items())
+
+
+def test_rows_are_numbered_in_many_tasks(spark):
+    rows = spark.range(500).select(F.col("id"), (F.col("id") * 7919 % 500).alias("o"), (F.col("id") % 3).alias("w")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["o"]: r["number"] for r in ordering.numbered(rows, "o").collect()}
+        sums, total = ordering.running(rows, "o", weight=F.col("w"))
+        plan = ordering.numbered(rows, "o")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {o: o + 1 for o in range(500)} and "SinglePartition" not in plan
+    weights = {r["o"]: r["w"] for r in rows.collect()}
+    assert total == sum(weights.values()) and all(r["before"] == sum(weights[o] for o in range(r["o"])) for r in sums.collect() if r["o"] % 50 == 0)
+
+
+def test_summary_lines(spark):
+    rows = [(2, "Why " * 40, 3, None, 1, 4, ""), (1, "How?", None, 2, 0, 0, "boom"), (3, "", 1, 1, 1, 1, None)]
+    measured = spark.createDataFrame(rows, "question_id long, question string, citation_count int, unique_cited_titles int, timeline_item_count int, total_steps int, error string")
+    got = [tuple(r) for r in evaluation.summary_lines(measured).orderBy("number").collect()]
+    assert got == [(1, "| 1 | How? | — | 2 | 0 | 0 | Yes |"), (2, f"| 2 | {('Why ' * 40)[:60]} | 3 | — | 1 | 4 | — |"), (3, "| 3 |  | 1 | 1 | 1 | 1 | — |")]
+
+
+def test_bucketed_lookups_leave_the_table(spark, tmp_path):
+    """Only requests are shuffled, to the table's buckets."""
+    rows = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("chunk_id"), F.lit("d").alias("document_id"), F.lit("T").alias("title"), F.lit("").alias("section"), F.col("id").cast("string").alias("text"))
+    stored = store.write_chunk_store(rows, "bucketed_chunks", str(tmp_path / "store"), 4)
+    asked = rows.select(F.lit(1).alias("req_id"), F.col("text").cast("int").alias("pos"), "chunk_id").where("pos % 3 = 0").union(spark.createDataFrame([(1, -1, "missing")], "req_id int, pos int, chunk_id string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (store.get_many_chunks(asked, stored), store.chunks_contain(asked, stored), store.open_top_n(asked.select(F.col("req_id").alias("query_id"), F.col("pos").alias("rank"), "chunk_id"), stored, 30)):
+            found = made.collect()
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            final = plan.split("== Initial Plan ==")[0]
+            shuffled = [line for line in final.splitlines() if "Exchange hashpartitioning" in line]
+            assert "Bucketed: true" in final and len(shuffled) == 1 and found, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_chunks")
+    assert {r["pos"]: r["text"] for r in store.get_many_chunks(asked, rows).collect()} == {i: str(i) for i in range(0, 3000, 3)}
+
+
+def test_retrieve_without_reranker(spark, chunks):
+    merged = spark.createDataFrame([(1, 1, "c2", 0.9), (1, 2, "gone", 0.8), (1, 3, "c0", 0.7)], "query_id int, rank int, chunk_id string, score double")
+    queries = spark.createDataFrame([(1, "x")], "query_id int, text string")
+    for most in (None, 3):
+        got = fusion.retrieve(queries, merged, chunks, 2, use_reranker=False, most=most).orderBy("rank").collect()
+        assert [(r["chunk_id"], r["title"], r["snippet"]) for r in got] == [("c2", "T2", "A volcano erupts lava and ash"), ("gone", None, None)]
+        assert [r["snippet"] for r in fusion.retrieve(queries, merged, chunks, 2, use_reranker=False, fill_snippets=False, most=most).collect()] == ["", ""]
+        assert [r["chunk_id"] for r in fusion.retrieve(queries, merged, chunks, 5, score=lambda q, t: t.str.len().astype(float), most=most).orderBy("rank").collect()] == ["c0", "c2"]

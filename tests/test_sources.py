@@ -1,8 +1,10 @@
 import bz2
+import json
 
 import pytest
 
 from quarrykit.sources import mediawiki, tables
+from quarrykit.streaming import logs
 
 BODY = "Some article text with [[links|shown]] that is long enough to be kept by the filter. &lt;ref&gt;x&lt;/ref&gt;"
 
@@ -52,3 +54,47 @@ def test_questions(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"id": "1"}]')
     with pytest.raises(ValueError, match="without id or question"):
         tables.load_questions(spark, str(tmp_path / "bad.json"))
+
+
+def test_questions_in_parts(spark, tmp_path):
+    """The files one after the other are one JSON array; an empty table is an empty array."""
+    rows = spark.createDataFrame([(f"q{i:03d}", f'Why, "{i}"]?', "t,", None) for i in range(200)], tables.QUESTION).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.save_questions(rows, str(tmp_path / "q"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "q").glob("part-*.txt"))
+    assert len(files) > 1 and [q["id"] for q in json.loads("".join(f.read_text() for f in files))] == [f"q{i:03d}" for i in range(200)]
+    assert sorted(map(tuple, tables.load_questions(spark, str(tmp_path / "q")).collect())) == sorted(map(tuple, rows.collect()))
+    tables.save_questions(rows.limit(0), str(tmp_path / "none"))
+    assert tables.load_questions(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_upsert(spark, tmp_path):
+    path = str(tmp_path / "table")
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v array<float>, n long")
+    first = [(f"k{i}", [float(i)], i) for i in range(50)] + [(None, None, 1)]
+    assert tables.upsert(frame(first), path, ["k"], 8) == 8
+    files = sorted(p.name for p in (tmp_path / "table").rglob("*.parquet"))
+    assert tables.upsert(frame(first[:20]), path, ["k"], 8) == 0 and sorted(p.name for p in (tmp_path / "table").rglob("*.parquet")) == files
+    more = [("k3", [3.5], 3), ("k7", None, 7), ("new", [1.0], 1), ("new", [1.0], 1), (None, None, 2)]
+    assert 0 < tables.upsert(frame(more), path, ["k"], 8) <= 4
+    want = {r[0]: r for r in first} | {r[0]: r for r in more}
+    got = tables.read_upserted(spark, path).select("k", "v", "n").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want.values(), key=str)
+    assert tables.upsert(frame(more), path, ["k"], 8) == 0 and tables.upsert(frame([]), path, ["k"], 8) == 0
+
+
+def test_log_files_are_taken_up_once(spark, tmp_path):
+    def write(name, n):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("".join(f'{{"timestamp": "{name}{i}", "event_type": "query", "data": {{"query": "x"}}}}\n\n' for i in range(n)))
+        return logs.take_up_logs(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "checkpoint"), 1)
+
+    assert write("a.jsonl", 3).count() == 3
+    assert write("b.txt", 5).count() == 3
+    again = write("c.jsonl", 4)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, tables.read_run_logs(spark, str(tmp_path / "in")).collect()), key=str) and again.count() == 7
+    (tmp_path / "in" / "c.jsonl").touch()
+    assert logs.take_up_logs(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "checkpoint")).count() == 7
