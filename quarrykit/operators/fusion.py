@@ -5,7 +5,7 @@ Ranked lists have query_id, list_no, rank, chunk_id and any of score, source, ti
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions.text import snippet
 
 from .keyword import FEW, terms_of, top_k
+from .models import Model, loaded, run_by_length
 
 META = ["title", "section", "document_id"]
 
@@ -44,7 +45,20 @@ def hybrid_merge(keyword: DataFrame, vector: DataFrame, k: int = 60, keyword_n:
 Score = Callable[[pd.Series, pd.Series], pd.Series]
 
 
-def rerank(queries: DataFrame, candidates: DataFrame, score: Score | None = None, top_n: int = 5) -> DataFrame:
+def scorer(score: Score | Model, batch: int = 32, cells: int | None = None):
+    """A UDF of (query text, chunk text). A `Model` scores lists of pairs of like length and is loaded once per worker."""
+    if not isinstance(score, Model):
+        return F.pandas_udf(score, "double")
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for asked, texts in batches:
+            yield pd.Series(run_by_length(loaded(score), [asked.fillna("").tolist(), texts.fillna("").tolist()], batch, cells), dtype=float)
+
+    return run
+
+
+def rerank(queries: DataFrame, candidates: DataFrame, score: Score | Model | None = None, top_n: int = 5) -> DataFrame:
     """Scores (query text, chunk text) pairs and keeps the best. Without a scorer: share of query terms in the chunk.
 
     `candidates`: query_id, chunk_id, text.
@@ -54,12 +68,12 @@ def rerank(queries: DataFrame, candidates: DataFrame, score: Score | None = None
         q, t = F.array_distinct(terms_of(F.col("query_text"))), terms_of(F.col("text"))
         value = F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1))
     else:
-        value = F.pandas_udf(score, "double")("query_text", "text")
+        value = scorer(score)("query_text", "text")
     scored = pairs.withColumn("score", F.round(value, 9)).drop("query_text", "rank")
     return top_k(scored, top_n).withColumnRenamed("score", "rerank_score")
 
 
-def retrieve(queries: DataFrame, merged: DataFrame, chunks: DataFrame, top_k_: int = 5, score: Score | None = None, use_reranker: bool = True, fill_snippets: bool = True, most: int | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, merged: DataFrame, chunks: DataFrame, top_k_: int = 5, score: Score | Model | None = None, use_reranker: bool = True, fill_snippets: bool = True, most: int | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score, title, section, snippet. Text is joined late, after fusion.
 
     `most`: rows of `merged` for one query, at most. If that makes few rows in all, they are broadcast to the chunks.

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quarrykit.sources.tables import scratch, upsert
 
 from .keyword import best_columns, top_k
+from .models import Model, loaded, run_by_length
 
 BLOCK = 1024  # index rows in a block, at most
 SAMPLE = 4096  # rows on which centres are fitted, at most
@@ -48,23 +49,26 @@ def prefix_for(model: str, kind: str, prefix: str | None = None) -> str:
     return prefix if prefix is not None else f"{kind}: " if "e5" in model.lower() else ""
 
 
-def embed_texts(rows: DataFrame, embed: Embed, model: str = "hashing", kind: str = "passage", batch: int = 512, prefix: str | None = None) -> DataFrame:
-    """`rows` with vector: the unit vector of `text`, made in batches."""
+def embed_texts(rows: DataFrame, embed: Embed | Model, model: str = "hashing", kind: str = "passage", batch: int = 512, prefix: str | None = None, cells: int | None = None) -> DataFrame:
+    """`rows` with vector: the unit vector of `text`.
+
+    A `Model` is loaded once per worker. Batches hold texts of like length, up to `batch` of them and, padded, up to
+    `cells` characters; rows keep their order.
+    """
     head = prefix_for(model, kind, prefix)
 
     def run(frames):
         for pdf in frames:
-            made = []
-            for a in range(0, len(pdf), batch):
-                v = np.asarray(embed([head + (t or "") for t in pdf["text"].iloc[a : a + batch]]), np.float32)
-                made += list(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))
-            yield pdf.assign(vector=pd.Series([x.tolist() for x in made], index=pdf.index, dtype=object))
+            texts = [head + (t or "") for t in pdf["text"]]
+            made = np.asarray(run_by_length(lambda part: np.asarray(loaded(embed)(part), np.float32), [texts], batch, cells), np.float32)
+            unit = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12) if len(made) else made
+            yield pdf.assign(vector=pd.Series(list(unit), index=pdf.index, dtype=object))
 
     rows = rows.drop("vector")
     return rows.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["vector array<float>"]))
 
 
-def embed_queries(queries: DataFrame, embed: Embed, model: str = "hashing", batch: int = 256, prefix: str | None = None) -> DataFrame:
+def embed_queries(queries: DataFrame, embed: Embed | Model, model: str = "hashing", batch: int = 256, prefix: str | None = None) -> DataFrame:
     return embed_texts(queries, embed, model, "query", batch, prefix)
 
 
@@ -82,7 +86,7 @@ def index_summary(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("num_chunks"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("embedding_dim"), F.count("*").alias("rows_written"))
 
 
-def build_vector_index(chunks: DataFrame, embed: Embed, path: str, model: str = "hashing", mode: str = "overwrite") -> DataFrame:
+def build_vector_index(chunks: DataFrame, embed: Embed | Model, path: str, model: str = "hashing", mode: str = "overwrite") -> DataFrame:
     write_chunk_index(embed_texts(chunks, embed, model), path, mode)
     return index_summary(chunks.sparkSession.read.parquet(path))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions import citations, parsing, prompts, routing
-from quarrykit.operators import conversations, evaluation, observability
+from quarrykit.operators import conversations, evaluation, matching, observability
 
 from .corpus import read
 
@@ -157,6 +157,26 @@ def web_citations(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.array_join(cited, ",").alias("cited"), F.length(body).alias("n_chars"))
 
 
+_SENTENCES = "s AS (SELECT DISTINCT sentence FROM (SELECT unnest(string_split(text, '. ')) AS sentence FROM benchmark) WHERE sentence <> '')"
+
+
+@query("known_sentences", f"WITH {_SENTENCES} SELECT doc_id, sentence FROM documents JOIN s ON contains(text, sentence)")
+def known_sentences(spark, sf_dir):
+    """Sentences of benchmark passages that stand anywhere in a document, by one pass with an automaton of all of them."""
+    known = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\\. ")).alias("sentence"))
+    found = matching.known_in_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), known, "doc_id", "sentence")
+    return found.withColumnRenamed("known", "sentence")
+
+
+@query("known_bracket_ids", f"WITH {ANSWERS} SELECT doc_id AS question_id, id FROM a, unnest([c || 'a', c || 'b']) AS t(id)")
+def known_bracket_ids(spark, sf_dir):
+    """Ids in brackets that any answer has opened, by an equi-join of tokens; invented ones go."""
+    made = answers(spark, sf_dir)
+    known = made.select(F.explode("opened").alias("o")).select(F.col("o.chunk_id").alias("id"))
+    texts = made.select("question_id", F.col("answer_text").alias("text"))
+    return matching.known_tokens(texts, known, citations.TOKEN, "question_id", "id").withColumnRenamed("known", "id")
+
+
 @query(
     "numberize_citations",
     f"""WITH {ANSWERS} SELECT doc_id AS question_id, 'First [1][2] and [1].' || CASE WHEN ghost THEN ' Also [ghost1].' ELSE '' END || CASE WHEN thin THEN chr(10) || chr(10) || 'Nothing here.' || chr(10) || chr(10) || 'Nor here.' ELSE '' END AS text, '1:' || c || 'b:T' || t || 'b|2:' || c || 'a:T' || t || 'a' AS map FROM a""",

@@ -8,7 +8,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.operators import chunking, conversations, evaluation, fusion, keyword, observability, ordering, profiling, store, vector
+from quarrykit.operators import chunking, conversations, evaluation, fusion, keyword, matching, models, observability, ordering, profiling, store, vector
 
 ARTICLE = "page_id string, title string, text string"
 LONG = "\n\n".join(f"Paragraph {i}. " + "word " * (20 * i) for i in range(1, 6))
@@ -348,3 +348,59 @@ def test_retrieve_without_reranker(spark, chunks):
         assert [(r["chunk_id"], r["title"], r["snippet"]) for r in got] == [("c2", "T2", "A volcano erupts lava and ash"), ("gone", None, None)]
         assert [r["snippet"] for r in fusion.retrieve(queries, merged, chunks, 2, use_reranker=False, fill_snippets=False, most=most).collect()] == ["", ""]
         assert [r["chunk_id"] for r in fusion.retrieve(queries, merged, chunks, 5, score=lambda q, t: t.str.len().astype(float), most=most).orderBy("rank").collect()] == ["c0", "c2"]
+
+
+def test_known_strings(spark, monkeypatch):
+    texts = [(1, "abcd [ab] x"), (2, None), (3, ""), (4, "éa abc éa"), (5, "zzz"), (1, "abcd")]
+    known = [("abc", 2), ("bc", 1), ("", 0), (None, 9), ("éa", 3), ("abc", 5), ("ab", 4), ("q", 6)]
+    rows, names = spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(known, "known string, pos int")
+    words = {k for k, _ in known if k}
+    for size in (4 << 20, 3):
+        monkeypatch.setattr(matching, "ROUND", size)
+        found = matching.known_in_texts(rows, names)
+        assert sorted(map(tuple, found.collect())) == sorted((i, k) for i, t in texts for k in words if t and k in t)
+    cited = matching.citations_in_order(rows.where("text_id > 1"), names, matching.known_in_texts(rows.where("text_id > 1"), names))
+    assert {r["text_id"]: r["cited"] for r in cited.collect()} == {2: [], 3: [], 4: ["bc", "abc", "éa", "ab", "abc"], 5: []}
+    assert [tuple(r) for r in matching.known_tokens(rows, names, "\\[(\\w+)\\]").collect()] == [(1, "ab")]
+    assert matching.known_in_texts(rows, names.limit(0)).count() == 0
+
+
+def test_batches_by_length():
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(0, 1000, 300)
+    rows = list(models.by_length(lengths, 32))
+    assert sorted(np.concatenate(rows)) == list(range(300)) and max(map(len, rows)) == 32
+    padded = sum(int(lengths[r].max()) * len(r) for r in rows)
+    plain = sum(int(lengths[a : a + 32].max()) * len(lengths[a : a + 32]) for a in range(0, 300, 32))
+    assert padded < 0.6 * plain
+    bounded = list(models.by_length(lengths, 32, 2000))
+    assert sorted(np.concatenate(bounded)) == list(range(300)) and all(len(r) == 1 or lengths[r].max() * len(r) <= 2000 for r in bounded)
+    assert models.run_by_length(lambda a, b: [x + y for x, y in zip(a, b, strict=True)], [["ccc", "", "a"], ["1", "2", "3"]], 2) == ["ccc1", "2", "a3"]
+    assert models.run_by_length(lambda a: a, [[]], 2) == []
+
+
+def test_models_are_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        import numpy as np
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    def load_pairs():
+        return lambda asked, texts: [len(q) + len(t) for q, t in zip(asked, texts, strict=True)]
+
+    rows = spark.createDataFrame([(i, "x" * (i * 37 % 50)) for i in range(400)], "id int, text string").repartition(8)
+    made = vector.embed_texts(rows, models.Model(f"count-{log}", load), batch=16, prefix="").collect()
+    assert all(np.allclose(r["vector"], np.array([len(r["text"]), 1.0]) / np.hypot(len(r["text"]), 1.0)) for r in made) and len(made) == 400
+    loads = (tmp_path / "loads").read_text().split()
+    assert len(loads) == len(set(loads))
+    asked = spark.createDataFrame([(1, "abc")], "query_id int, text string")
+    pairs = rows.where("id < 60").select(F.lit(1).alias("query_id"), F.format_string("c%03d", "id").alias("chunk_id"), "text")
+    best = fusion.rerank(asked, pairs, models.Model(f"pairs-{log}", load_pairs), 3).collect()
+    want = sorted(((-(3 + i * 37 % 50), f"c{i:03d}") for i in range(60)))[:3]
+    assert sorted((-r["rerank_score"], r["chunk_id"]) for r in best) == want
