@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,29 +32,48 @@ def chunk_fixed(articles: DataFrame, chunk_size: int = 1000, overlap: int = 200,
     return _finish(rows, "fixed_size", f"size={chunk_size},overlap={overlap},min={min_chunk_size}")
 
 
-def _paragraph_groups(target: int):
+_GROUP = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def group_paragraphs(raw: pa.ListArray, clean: pa.ListArray, target: int) -> pa.ListArray:
     """(lengths of paragraphs, lengths without outer white space) -> chunks by first and last paragraph and offsets.
 
-    A paragraph joins the open chunk unless that would pass `target`: a running sum that starts anew at each chunk, which
-    no built-in expresses without copying its list, so it runs over Arrow batches of lengths; texts stay in the JVM.
+    A paragraph joins the open chunk unless that would pass `target`, and a sum that starts anew at each chunk is a jump
+    in the running sum of all lengths. The next chunk of every text of the batch is found at once.
     """
+    bounds = raw.offsets.to_numpy().astype(np.int64)
+    own = bounds - bounds[0]
+    lengths, filled = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (raw, clean))
+    sizes = lengths + 2
+    begin = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(own) - 1), np.diff(own))
+    begin -= np.append(begin, 0)[own[:-1]][text]
+    kept = np.flatnonzero(filled)
+    sums = np.append(0, np.cumsum(filled[kept]))
+    at, until = np.searchsorted(kept, own[:-1]), np.searchsorted(kept, own[1:])
+    texts, owners, firsts, lasts = np.arange(len(at)), [], [], []
+    while len(texts := texts[at[texts] < until[texts]]):
+        end = np.searchsorted(sums, sums[at[texts]] + target, "right") - 1
+        end = np.minimum(np.maximum(end, at[texts] + 1), until[texts])
+        owners.append(texts)
+        firsts.append(kept[at[texts]])
+        lasts.append(kept[end - 1])
+        at[texts] = end
+    owner, first, last = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (owners, firsts, lasts))
+    order = np.lexsort((first, owner))
+    owner, first, last = owner[order], first[order], last[order]
+    cols = [pa.array((x - own[owner]).astype(np.int32)) for x in (first, last)]
+    groups = pa.StructArray.from_arrays([*cols, pa.array(begin[first]), pa.array(begin[last] + lengths[last])], fields=list(_GROUP))
+    ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(own) - 1)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups)
+
+
+def _paragraph_groups(target: int):
+    """`group_paragraphs` on Arrow batches of lengths; texts stay in the JVM."""
 
-    @F.pandas_udf("array<struct<first:int,last:int,start:bigint,end:bigint>>")
-    def groups(raw: pd.Series, clean: pd.Series) -> pd.Series:
-        out = []
-        for lengths, filled in zip(raw, clean, strict=True):
-            at, used, made = 0, 0, []
-            for i, (n, m) in enumerate(zip(lengths.tolist(), filled.tolist(), strict=True)):
-                if m:
-                    if made and used + m <= target:
-                        used += m
-                        made[-1]["last"], made[-1]["end"] = i, at + n
-                    else:
-                        used = m
-                        made.append({"first": i, "last": i, "start": at, "end": at + n})
-                at += n + 2
-            out.append(made)
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<struct<first:int,last:int,start:bigint,end:bigint>>")
+    def groups(raw: pa.Array, clean: pa.Array) -> pa.Array:
+        return group_paragraphs(raw, clean, target)
 
     return groups
 

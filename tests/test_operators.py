@@ -56,6 +56,24 @@ def test_chunker_invariants(spark, articles, name, settings):
     assert chunking.diff_chunk_tables(again, again).isEmpty()
 
 
+def test_paragraph_groups_equal_one_by_one():
+    rng = np.random.default_rng(8)
+    texts = [[], [0, 0], [5], [5000], [0, 7, 0], *(rng.choice([0, 3, 50, 400, 1200], rng.integers(0, 60)).tolist() for _ in range(50))]
+    raw = [[n + int(rng.integers(0, 3)) for n in t] for t in texts]
+    arrays = (pa.array([[1]] + x, pa.list_(pa.int32())).slice(1) for x in (raw, texts))  # with an offset
+    for lengths, filled, made in zip(raw, texts, chunking.group_paragraphs(*arrays, 1000).to_pylist(), strict=True):
+        want, at, used = [], 0, 0
+        for i, (n, m) in enumerate(zip(lengths, filled, strict=True)):
+            if m and want and used + m <= 1000:
+                used += m
+                want[-1] |= {"last": i, "end": at + n}
+            elif m:
+                used = m
+                want.append({"first": i, "last": i, "start": at, "end": at + n})
+            at += n + 2
+        assert made == want
+
+
 def test_chunker_errors(articles):
     with pytest.raises(ValueError, match="overlap"):
         chunking.chunk_fixed(articles, 100, 100)

@@ -98,3 +98,23 @@ def test_log_files_are_taken_up_once(spark, tmp_path):
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, tables.read_run_logs(spark, str(tmp_path / "in")).collect()), key=str) and again.count() == 7
     (tmp_path / "in" / "c.jsonl").touch()
     assert logs.take_up_logs(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "checkpoint")).count() == 7
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_one_large_dump_is_read_in_many_tasks(spark, tmp_path, packed):
+    """A single file, compressed or not, is split, and every page is read once."""
+    pages = "".join(page(i, BODY * 20) for i in range(1500))
+    data = f"<mediawiki>\n{pages}</mediawiki>\n".encode()
+    name = tmp_path / ("dump.xml.bz2" if packed else "dump.xml")
+    name.write_bytes(bz2.compress(data, 1) if packed else data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(name.stat().st_size // 6))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.sparkContext._jsc.hadoopConfiguration().set("mapreduce.input.fileinputformat.split.maxsize", str(name.stat().st_size // 6))
+    try:
+        rows = mediawiki.read_mediawiki_dump(spark, str(name), split=True)
+        assert rows.rdd.getNumPartitions() > 1
+        assert sorted(int(r["page_id"]) for r in rows.select("page_id").collect()) == list(range(1500))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.sparkContext._jsc.hadoopConfiguration().unset("mapreduce.input.fileinputformat.split.maxsize")
