@@ -3,7 +3,8 @@
 Two texts link when 100 * |intersection| >= percent * |union| of their distinct n-word shingles (words lower-cased A-Z).
 Equal sets are one *class* from the start, so copies cost one row each.
 
-1. `class_table`: per document its set size, class and a 512-bit parity bitmap; the same pass counts shingles in a
+1. `class_table`: per document its set size, class and a parity bitmap, of 512 bits up to 1024
+   shingles and about a bit for every two shingles beyond; the same pass counts shingles in a
    sketch of fixed size. The sketch only orders shingles from rare to frequent; any order gives right results.
 2. `shared_tokens`: the first shingles of each set in that order (prefix filter: linked sets share two shingles within
    their first n - ceil(t * n) + 2) go in packed rows to bins, which keep those that two or more classes hold.
@@ -44,6 +45,7 @@ from .shared import bins_for, bounded_batches, discard, materialize, one_per_id
 
 SKETCH_BITS = 20  # cells of the frequency sketch: a fixed 4 MB a task and 2 MB to broadcast, whatever the input
 _BLOCK, _BATCH = 1 << 16, 2 << 20
+_CELLS = 1 << 19  # numbers of bitmaps that are compared at once
 HOT = 20_000  # members of a list that are compared in one place; longer lists are cut into parts
 KEYS_PER_BIN, SHORT, SIDE = 200_000, 8, 256
 _KEEP = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
@@ -67,13 +69,43 @@ def class_of(s: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
     return set_hash(s, 1) if made in clashes else made
 
 
+def bitmap_words(size: np.ndarray) -> np.ndarray:
+    """Numbers of 64 cells in a set's bitmap: 8 for up to 1024 shingles, and twice as many for each doubling beyond."""
+    return 8 << np.ceil(np.log2(np.maximum(size, 1024) / 1024)).astype(np.int64)
+
+
 def _bitmaps(all_shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Per set the parities of its shingles in 512 cells, as eight numbers."""
-    owner = np.repeat(np.arange(len(size)) * 512, size)
-    odd = np.bincount(owner + ((all_shingles >> U64(7)) & U64(511)).astype(np.int64), minlength=512 * len(size)) & 1
+    """Per set the parities of its shingles in cells, as numbers, laid end to end.
+
+    A cell is the low bits of a hash, so the halves of a bitmap, one over the other, are the bitmap of half as many cells.
+    """
+    cells = 64 * bitmap_words(size)
+    begin = np.cumsum(cells) - cells
+    cell = (all_shingles >> U64(7)).astype(np.int64) & np.repeat(cells - 1, size)
+    odd = np.bincount(np.repeat(begin, size) + cell, minlength=int(cells.sum())) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def bitmaps_apart(bits: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cells in which the bitmaps of sets a and b differ, at the size of the smaller one (at most half of the other)."""
+    begin, out = np.cumsum(words) - words, np.zeros(len(a), np.int64)
+    least = np.minimum(words[a], words[b])
+    for m in np.unique(least).tolist():
+        rows = np.flatnonzero(least == m)
+        for at in range(0, len(rows), step := max(1, _CELLS // m)):
+            part = rows[at : at + step]
+            x, y = (_folded(bits, begin[i[part]], words[i[part]] > m, m) for i in (a, b))
+            out[part] = np.bitwise_count((x ^ y).view(U64)).sum(1)
+    return out
+
+
+def _folded(bits: np.ndarray, begin: np.ndarray, twice: np.ndarray, m: int) -> np.ndarray:
+    place = begin[:, None] + np.arange(m)
+    out = bits[place]
+    out[twice] ^= bits[place[twice] + m]
+    return out
+
+
 def class_table(docs: DataFrame, ngram: int) -> DataFrame:
     """doc_id, n, sig, other (second hash), bits of every document, and rows of the sketch (block, counts)."""
     kinds = {"doc_id": pa.int64(), "n": pa.int32(), "sig": pa.int64(), "other": pa.int64(), "bits": pa.list_(pa.int64()), "block": pa.int32(), "counts": pa.binary()}
@@ -94,7 +126,7 @@ def class_table(docs: DataFrame, ngram: int) -> DataFrame:
                 index = np.where(full, np.cumsum(full) - 1, 0)
                 spread = lambda x: pa.array(x[index], mask=~full)
                 hashes = (spread(set_hashes(flat, np.cumsum(size) - size, size, seed)) for seed in (0, 1))
-                held = pa.array(np.append(0, np.cumsum(8 * full)), pa.int32(), mask=np.append(~full, False))
+                held = pa.array(np.append(0, np.cumsum(np.where(full, bitmap_words(n), 0))), pa.int32(), mask=np.append(~full, False))
                 bits = pa.ListArray.from_arrays(held, pa.array(_bitmaps(flat, size)))
                 yield rows(batch.num_rows, doc_id=batch.column(0), n=n, sig=next(hashes), other=next(hashes), bits=bits)
         blocks = [i for i in range(len(cells) // _BLOCK) if cells[i * _BLOCK : (i + 1) * _BLOCK].any()]
@@ -273,7 +305,8 @@ def list_pairs(classes: DataFrame, limit: int, percent: int, bins: int, hot: int
         for batch in batches:
             cols = [batch.column(i) for i in range(batch.num_columns)]
             sig, n, root, doc = (c.to_numpy() for c in cols[:4])
-            bits = cols[4].flatten().to_numpy().reshape(-1, 8)
+            bits, words = cols[4].flatten().to_numpy(), bitmap_words(n)
+            begin = np.cumsum(words) - words
             at = cols[5].offsets.to_numpy() - cols[5].offsets[0].as_py()
             key, rank, lens = (c.flatten().to_numpy() for c in cols[5:])
             made = [_keys_of(int(n[i]), *(x[at[i] : at[i + 1]] for x in (key, rank, lens)), limit, percent) for i in range(len(sig))]
@@ -286,7 +319,8 @@ def list_pairs(classes: DataFrame, limit: int, percent: int, bins: int, hot: int
             rows = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 used, index = np.unique(of[a:b], return_inverse=True)
-                sets = (sig[used], root[used], doc[used], n[used], bits[used])
+                place = np.repeat(begin[used] - (np.cumsum(words[used]) - words[used]), words[used]) + np.arange(words[used].sum())
+                sets = (sig[used], root[used], doc[used], n[used], bits[place])
                 rows.append((int(home[a]), packed(keys[a:b]), packed(index, "<i4"), *(packed(x, t) for x, (_, t) in zip(sets, _SETS, strict=True))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MEET.types, strict=True)], schema=_MEET)
@@ -294,7 +328,7 @@ def list_pairs(classes: DataFrame, limit: int, percent: int, bins: int, hot: int
     def meet(group: pa.Table) -> pa.Table:
         sizes = np.diff(text_buffers(group["sig"])[1]) // 8
         sig, root, doc, n, bits = (unpacked(group[c], t) for c, t in _SETS)
-        bits, n = bits.reshape(-1, 8), n.astype(np.int64)
+        n, words = n.astype(np.int64), bitmap_words(n)
         of = unpacked(group["of"], "<i4") + np.repeat(np.cumsum(sizes) - sizes, np.diff(text_buffers(group["of"])[1]) // 4)
         key = unpacked(group["key"], "<u8")
         order = np.argsort(key, kind="stable")
@@ -306,7 +340,7 @@ def list_pairs(classes: DataFrame, limit: int, percent: int, bins: int, hot: int
             ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
             a, b = a[ok], b[ok]
             total = n[a] + n[b]
-            ok = np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= total - 2 * -(-percent * total // (100 + percent))
+            ok = bitmaps_apart(bits, words, a, b) <= total - 2 * -(-percent * total // (100 + percent))
             a, b = a[ok], b[ok]
             if len(a):
                 turn = sig[a] > sig[b]
@@ -347,10 +381,17 @@ def _distinct(sig: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _may_link(percent: int):
-    """Condition on (na, ba) and (nb, bb): sizes and bitmaps allow a link."""
-    apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(8)), F.lit(0))
+    """Condition on (na, ba) and (nb, bb): sizes and bitmaps allow a link.
+
+    Sets that may link have bitmaps of one size, or one of them has twice the other's, which is then folded.
+    """
+    short = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(8)), F.lit(0))
+    m = F.least(F.size("ba"), F.size("bb"))
+    fold = lambda b, i: F.when(F.size(b) > m, F.get(b, i).bitwiseXOR(F.get(b, i + m))).otherwise(F.get(b, i))
+    long = F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0), lambda s, i: s + F.bit_count(fold("ba", i).bitwiseXOR(fold("bb", i))))
     total = F.col("na") + F.col("nb")
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    apart = F.when(F.greatest(F.size("ba"), F.size("bb")) == 8, short).otherwise(long)
     return sizes & (apart <= total - 2 * F.ceil(F.lit(percent) * total / F.lit(100.0 + percent)))
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrykit.llm import components, jaccard, kernels, repeats
 
@@ -51,6 +52,43 @@ def test_jaccard_keeps_one(docs, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in groups(texts, 5, 80).items() if i == c)
 
 
+@pytest.mark.parametrize("ways", ["plain", "lists only"])
+def test_jaccard_of_long_texts(spark, monkeypatch, ways):
+    """Long texts with one rare passage in common: pairs that reach the texts are those that link, and a few more."""
+    rng, seen = np.random.default_rng(9), []
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**6, n))
+    passage = text(30)
+    texts = {i: f"{text(int(rng.integers(900, 5000)))} {passage} {text(600)}" for i in range(120)}
+    for i in range(0, 40, 4):  # near copies, some of them over the bounds between sizes of bitmaps
+        w = texts[i].split(" ")
+        texts[200 + i] = " ".join(w[: len(w) - len(w) // 20])
+        texts[300 + i] = " ".join([*w, *text(len(w) // 12).split(" ")])
+    monkeypatch.setattr(jaccard, "linked", lambda docs, pairs, *a, f=jaccard.linked: (seen.append(pairs.count()), f(docs, pairs, *a))[1])
+    if ways == "lists only":  # no hubs, so lists of rare shingles give all their pairs
+        monkeypatch.setattr(jaccard, "hub_pairs", lambda members, first: members.limit(0).select(F.col("sig").alias("a"), F.col("sig").alias("b")))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs, 4, 85).collect()}
+    assert got == groups(texts, 4, 85)
+    assert sum(seen) <= 60
+
+
+def test_bitmaps_of_all_sizes():
+    rng = np.random.default_rng(10)
+    sizes = np.array([1, 500, 1024, 1025, 1250, 2048, 2049, 2600, 20_000, 24_000])
+    base = rng.integers(0, 1 << 63, 30_000).astype(np.uint64)
+    sets = [base[:n] for n in sizes]
+    words = jaccard.bitmap_words(sizes)
+    assert words.tolist() == [8, 8, 8, 16, 16, 16, 32, 32, 256, 256]
+    bits = jaccard._bitmaps(np.concatenate(sets), sizes)
+    assert len(bits) == words.sum()
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(10) for j in range(i, 10) if words[j] <= 2 * words[i]], strict=True))
+    apart = jaccard.bitmaps_apart(bits, words, a, b)
+    assert (apart <= sizes[b] - sizes[a]).all() and (apart[a == b] == 0).all()
+    other = rng.integers(0, 1 << 63, 24_000).astype(np.uint64)
+    bits = jaccard._bitmaps(np.concatenate([base[:24_000], other]), np.array([24_000] * 2))
+    assert jaccard.bitmaps_apart(bits, np.array([256] * 2), np.array([0]), np.array([1]))[0] > 48_000 * 0.082
+
+
 def test_jaccard_edge_cases(spark, nothing):
     assert jaccard.jaccard_groups(nothing).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, None), (5, None)], "doc_id long, text string")
