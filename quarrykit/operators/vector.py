@@ -26,6 +26,8 @@ from .models import Model, loaded, run_by_length
 BLOCK = 1024  # index rows in a block, at most
 SAMPLE = 4096  # rows on which centres are fitted, at most
 ROUND = 32 << 20  # bytes of the queries of a round
+_TEXTS = 2048  # texts that are ordered by length and embedded at once
+_ROWS = 512  # rows that meet all centres at once
 Embed = Callable[[list[str]], np.ndarray]
 
 
@@ -58,7 +60,7 @@ def embed_texts(rows: DataFrame, embed: Embed | Model, model: str = "hashing", k
     head = prefix_for(model, kind, prefix)
 
     def run(frames):
-        for pdf in frames:
+        for pdf in (frame.iloc[at : at + _TEXTS] for frame in frames for at in range(0, len(frame), _TEXTS)):
             texts = [head + (t or "") for t in pdf["text"]]
             made = np.asarray(run_by_length(lambda part: np.asarray(loaded(embed)(part), np.float32), [texts], batch, cells), np.float32)
             unit = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12) if len(made) else made
@@ -141,10 +143,12 @@ def build_cell_index(index: DataFrame, path: str | None = None, cells: int | Non
     shared = spark.sparkContext.broadcast(centers)
 
     def assign(batches):
-        for batch in batches:
-            far = distances(_matrix(batch.column(1)), shared.value)
-            cell = far.argmin(1) if len(far) else np.zeros(0, np.int64)
-            yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column("far", pa.array(np.sqrt(far[np.arange(len(far)), cell])))
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                far = distances(_matrix(batch.column(1)), shared.value)
+                cell = far.argmin(1)
+                yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column("far", pa.array(np.sqrt(far[np.arange(len(far)), cell])))
 
     def pack(batches):
         for batch in batches:
