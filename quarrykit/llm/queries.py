@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, bpe, crf, divergence, jaccard, langid, lexical, licences, media, packing, repeats, topk, urls
+from . import audit, bpe, crf, divergence, jaccard, langid, lexical, licences, media, packing, repeats, topk, twins, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -18,5 +18,16 @@ QUERIES = {
     "op11_source_divergence_audit": audit.op11_source_divergence_audit,
     "op12_exact_top_k": topk.op12_exact_top_k,
     "op13_ranked_lexical_search": lexical.op13_ranked_lexical_search,
+    "quality_base_counts": twins.quality_base_counts,
+    "media_payloads": twins.media_payloads,
+}
+ORACLES = {
+    "op1_ngram_jaccard_join": jaccard.ORACLE,
+    "op4_host_reputation": urls.ORACLE,
+    "op5_substring_dedup": repeats.ORACLE,
+    "op11_source_divergence_audit": audit.ORACLE,
+    "op12_exact_top_k": topk.ORACLE,
+    "op13_ranked_lexical_search": lexical.ORACLE,
+    "quality_base_counts": twins.BASE_SQL,
+    "media_payloads": twins.PAYLOAD_SQL,
 }
-ORACLES = {"op1_ngram_jaccard_join": jaccard.ORACLE, "op4_host_reputation": urls.ORACLE, "op5_substring_dedup": repeats.ORACLE, "op11_source_divergence_audit": audit.ORACLE, "op12_exact_top_k": topk.ORACLE, "op13_ranked_lexical_search": lexical.ORACLE}

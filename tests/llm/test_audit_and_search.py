@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarrykit.llm import audit, lexical, terms, topk
+from quarrykit.llm import audit, lexical, queries, terms, topk
 
 SF = "/root/testdata/sf0.001"
 LETTERS, LETTERS_DIGITS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -19,14 +19,14 @@ def cut(pattern, text):
     return re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-@pytest.mark.parametrize(("name", "query"), [("audit", audit.op11_source_divergence_audit), ("topk", topk.op12_exact_top_k), ("lexical", lexical.op13_ranked_lexical_search)])
-def test_query_equals_sql(spark, name, query):
+@pytest.mark.parametrize("name", ["op11_source_divergence_audit", "op12_exact_top_k", "op13_ranked_lexical_search", "quality_base_counts", "media_payloads"])
+def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
     for table in ("documents", "embeddings", "benchmark"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    found = duck.execute({"audit": audit, "topk": topk, "lexical": lexical}[name].ORACLE)
+    found = duck.execute(queries.ORACLES[name])
     names = [d[0] for d in found.description]
-    made = query(spark, SF)
+    made = queries.QUERIES[name](spark, SF)
     assert made.columns == names
     assert sorted(map(tuple, made.collect())) == sorted(found.fetchall())
 
