@@ -6,13 +6,13 @@ their SQL does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.functions import citations, parsing, prompts, routing
 from quarrykit.operators import conversations, evaluation, matching, observability
 
-from .corpus import read
+from .corpus import FIXED, STRIP, fixed_chunks, read
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -213,6 +213,52 @@ def validate_citations_lenient(spark, sf_dir):
     return made.select("question_id", "v.valid", joined("errors", "; ").alias("errors"), joined("warnings", "; ").alias("warnings"), joined("cited_ids").alias("cited"), F.col("v.paragraph_count").alias("paragraphs"), repair.alias("repair"))
 
 
+#: Answers made of texts: a document's first four chunks, those of an even length cited after themselves.
+TEXT_ANSWERS = f"""{FIXED},
+o AS (SELECT document_id, chunk_id, text, start_char, length(text) % 2 = 0 AS cited, chr(10) || chr(10) || translate(text, '[]', '()') AS part FROM chunks QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY start_char) <= 4),
+k AS (SELECT *, CASE WHEN cited THEN row_number() OVER (PARTITION BY document_id, cited ORDER BY start_char) END AS k FROM o),
+ta AS (SELECT document_id, string_agg(part || CASE WHEN cited THEN ' [' || chunk_id || ']' ELSE '' END, '' ORDER BY start_char)[3:] || CASE WHEN count(*) % 2 = 1 THEN ' [ghost_1]' ELSE '' END AS answer,
+string_agg(part || CASE WHEN cited THEN ' [' || k || ']' ELSE '' END, '' ORDER BY start_char)[3:] || CASE WHEN count(*) % 2 = 1 THEN ' [ghost_1]' ELSE '' END AS numbered,
+count(*) % 2 = 1 AS ghost, count(*) AS n, coalesce(list(chunk_id ORDER BY start_char) FILTER (cited), []) AS cited, list(chunk_id ORDER BY start_char) AS ids, coalesce(list(chunk_id ORDER BY start_char) FILTER (NOT cited), []) AS unused FROM k GROUP BY document_id),
+tp AS (SELECT *, list_filter(list_transform(string_split_regex({STRIP('answer')}, '\\n\\s*\\n'), lambda x: {STRIP('x')}), lambda x: x <> '') AS parts FROM ta),
+tv AS (SELECT *, len(parts) AS paragraphs, len(list_filter(parts, lambda x: len(list_filter(ids, lambda i: contains(x, i))) > 0)) AS with_ids FROM tp)"""
+
+
+def text_answers(spark, sf_dir: str) -> DataFrame:
+    """question_id, answer_text, opened of every document with a text; every odd number of chunks invents an id."""
+    w = Window.partitionBy("document_id").orderBy("start_char")
+    first = fixed_chunks(spark, sf_dir).withColumn("at", F.row_number().over(w)).where("at <= 4")
+    listed = first.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("at", "chunk_id", "document_id", "title", F.lit("").alias("section"), "text"))).alias("o"))
+    opened = F.transform("o", lambda o: F.struct(*(o[c].alias(c) for c in ("chunk_id", "document_id", "title", "section", "text"))))
+    cite = lambda o: F.when(F.length(o["text"]) % 2 == 0, F.concat(F.lit(" ["), o["chunk_id"], F.lit("]"))).otherwise("")
+    parts = F.transform("opened", lambda o: F.concat(F.translate(o["text"], "[]", "()"), cite(o)))
+    answer = F.concat(F.array_join(parts, "\n\n"), F.when(F.size("opened") % 2 == 1, " [ghost_1]").otherwise(""))
+    return listed.select(F.col("document_id").alias("question_id"), opened.alias("opened")).withColumn("answer_text", answer)
+
+
+_ERRORS = """concat_ws('; ', CASE WHEN len(cited) < 1 THEN 'Too few valid citations: 0 (need >= 1)' END, CASE WHEN ghost THEN 'Hallucinated chunk IDs: [''ghost_1'']' END,
+CASE WHEN paragraphs > 0 AND with_ids / paragraphs < 0.5 THEN 'Citation density too low: ' || printf('%.2f', with_ids / paragraphs) || ' (' || with_ids || '/' || paragraphs || ' paragraphs) (need >= 0.50)' END)"""
+
+
+@query(
+    "citations_of_texts",
+    f"""WITH {TEXT_ANSWERS} SELECT document_id AS question_id, array_to_string(cited, ',') AS cited, CASE WHEN ghost THEN 'ghost_1' ELSE '' END AS invented, array_to_string(unused, ',') AS unused, {_ERRORS} AS errors, {_ERRORS} = '' AS valid,
+CAST(paragraphs AS INT) AS paragraphs, CAST(with_ids AS INT) AS with_ids, numbered, CAST(len(cited) AS INT) AS citation_count, 1 AS unique_titles, CAST(least(len(cited), 1) AS INT) AS unique_cited_titles, CAST(n AS INT) AS opened_count FROM tv""",
+)
+def citations_of_texts(spark, sf_dir):
+    """Found, numbered, checked and counted citations of answers that consist of whole chunks."""
+    ids = F.transform("opened", lambda o: o["chunk_id"])
+    made = text_answers(spark, sf_dir).withColumn("v", citations.validate(F.col("answer_text"), ids, citations.STRICT)).withColumn("citations", citations.extract_citations(F.col("answer_text"), ids))
+    runs_ = evaluation.results_to_runs(made)
+    measured = evaluation.compute_all_measures(runs_, "question_id").select("question_id", "citation_count", "unique_titles", "unique_cited_titles", "opened_count")
+    joined = lambda c, by=",": F.array_join(f"v.{c}", by)
+    checked = made.select(
+        "question_id", joined("cited_ids").alias("cited"), joined("hallucinated_ids").alias("invented"), joined("uncited_opened_ids").alias("unused"), joined("errors", "; ").alias("errors"), "v.valid",
+        F.col("v.paragraph_count").alias("paragraphs"), F.col("v.paragraphs_with_citations").alias("with_ids"), citations.numberize(F.col("answer_text"), F.col("opened"))[0].alias("numbered"),
+    )
+    return checked.join(measured, "question_id")
+
+
 @query(
     "reference_list",
     f"""WITH {ANSWERS} SELECT doc_id AS question_id, CAST(o AS INT) AS ordinal, CASE WHEN o < 3 THEN 'cited' WHEN o = 3 THEN 'opened' ELSE 'web' END AS kind, CASE o WHEN 1 THEN c || 'b' WHEN 2 THEN c || 'a' WHEN 3 THEN c || 'c' ELSE 'http://x/' || doc_id END AS ref FROM a, unnest([1, 2, 3, 4]) AS t(o)""",
