@@ -35,11 +35,12 @@ _LISTS = ["blocks", "block_range", "block_size", "block_tf", "block_dl", "place"
 
 
 class KeywordIndex(NamedTuple):
-    """shards (see `pack_shard`), terms (term, df), size (one row: n, avgdl)."""
+    """shards (see `pack_shard`), terms (term, df), size (one row: n, avgdl); `counted` if terms are a table of their own."""
 
     shards: DataFrame
     terms: DataFrame
     size: DataFrame
+    counted: bool = False
 
 
 def terms_of(text: Column) -> Column:
@@ -79,7 +80,7 @@ def pack_shard(ids: pa.Array, terms: pa.ListArray) -> pa.RecordBatch:
 
 
 def build_keyword_index(chunks: DataFrame, path: str | None = None) -> KeywordIndex:
-    """Writes the index of `chunks` (chunk_id, text) to `path`, or to a new shared folder; texts are read once."""
+    """Writes the shards of `chunks` (chunk_id, text) to `path`, or to a new shared folder; texts are read once."""
     kind = chunks.schema["chunk_id"].dataType.simpleString()
 
     def pack(batches):
@@ -91,27 +92,35 @@ def build_keyword_index(chunks: DataFrame, path: str | None = None) -> KeywordIn
     fields = f"n long, tokens long, chunk_ids array<{kind}>, dl array<int>, terms array<string>, df array<int>, " + ", ".join(f"{c} binary" for c in _LISTS)
     shards = chunks.select("chunk_id", terms_of(F.col("text")).alias("t")).mapInArrow(pack, fields)
     path = path or scratch(chunks.sparkSession, "keyword")
-    _write(shards, path)
-    return read_keyword_index(chunks.sparkSession, path)
+    shards.write.mode("overwrite").parquet(f"{path}/shards")
+    return _of_shards(chunks.sparkSession.read.schema(shards.schema).parquet(f"{path}/shards"))
 
 
-def _write(shards: DataFrame, path: str) -> None:
-    """Shards are written first, and the counts are made from what was written."""
-    spark = shards.sparkSession
-    shards.write.mode("overwrite").parquet(f"{path}/shards")
-    rows = spark.read.schema(shards.schema).parquet(f"{path}/shards")
-    pairs = rows.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select("x.*")
-    pairs.groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
+def _of_shards(shards: DataFrame) -> KeywordIndex:
+    pairs = shards.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select("x.*")
+    terms = pairs.groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df"))
+    size = shards.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
+    return KeywordIndex(shards, terms, size)
 
 
 def write_keyword_index(index: KeywordIndex, path: str) -> None:
-    """A copy of an index in another place."""
-    _write(index.shards, path)
+    """A copy of an index with its terms counted, for many searches."""
+    index.shards.write.mode("overwrite").parquet(f"{path}/shards")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def read_keyword_index(spark, path: str) -> KeywordIndex:
-    return KeywordIndex(*(spark.read.parquet(f"{path}/{x}") for x in ("shards", "terms", "size")))
+    index = _of_shards(spark.read.parquet(f"{path}/shards"))
+    return index._replace(terms=spark.read.parquet(f"{path}/terms"), counted=True)
+
+
+def _document_counts(index: KeywordIndex, words: DataFrame) -> DataFrame:
+    """query_id, term, df of the words (query_id, term) of a round; without counted terms, from those shards' lists alone."""
+    if index.counted:
+        return index.terms.join(F.broadcast(words), "term")
+    wanted = F.broadcast(words.select(F.col("term").alias("terms")).distinct())
+    pairs = index.shards.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select("x.*").join(wanted, "terms", "left_semi")
+    return words.join(pairs.groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df")), "term")
 
 
 class Asked(NamedTuple):
@@ -134,7 +143,7 @@ def _rounds(queries: DataFrame, index: KeywordIndex):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i) if rounds > 1 else queries
         words = own.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).distinct()
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        rows = index.terms.join(F.broadcast(words), "term").select("query_id", "term", idf.alias("idf")).toArrow()  # of one round
+        rows = _document_counts(index, words).select("query_id", "term", idf.alias("idf")).toArrow()  # of one round
         ids, words = (rows[c].combine_chunks().dictionary_encode() for c in ("query_id", "term"))
         order = np.argsort(ids.indices.to_numpy(), kind="stable")
         at = np.append(0, np.cumsum(np.bincount(ids.indices.to_numpy(), minlength=len(ids.dictionary))))

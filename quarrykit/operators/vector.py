@@ -24,6 +24,7 @@ from .keyword import best_columns, top_k
 from .models import Model, loaded, run_by_length
 
 BLOCK = 1024  # index rows in a block, at most
+ONE_CELL = 8192  # rows up to which there is one cell
 SAMPLE = 4096  # rows on which centres are fitted, at most
 ROUND = 32 << 20  # bytes of the queries of a round
 _TEXTS = 2048  # texts that are ordered by length and embedded at once
@@ -102,7 +103,10 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 class CellIndex(NamedTuple):
-    """blocks (cell, n, near, far: least and greatest distance to the cell's centre, ids, vectors) and the cells' centres."""
+    """blocks (cell, n, near, far: least and greatest distance to the cell's centre, ids, vectors) and the cells' centres.
+
+    Without centres there is one cell around the origin.
+    """
 
     blocks: DataFrame
     centers: np.ndarray
@@ -137,16 +141,20 @@ def build_cell_index(index: DataFrame, path: str | None = None, cells: int | Non
     """
     spark, kind = index.sparkSession, index.schema["chunk_id"].dataType.simpleString()
     rows = index.where("vector is not null").select("chunk_id", "vector")
-    chosen = rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("vector").toArrow()["vector"].combine_chunks()
-    cells = cells or max(1, min(1024, round(rows.count() ** 0.5)))
-    centers = fit_centers(_matrix(chosen), cells) if len(chosen) else np.zeros((0, 0))
+    total = 0 if cells else rows.count()
+    cells = cells or (min(1024, round(total**0.5)) if total > ONE_CELL else 1)
+    centers = np.zeros((0, 0))
+    if cells > 1:
+        chosen = rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("vector").toArrow()["vector"].combine_chunks()
+        centers = fit_centers(_matrix(chosen), cells) if len(chosen) else centers
     shared = spark.sparkContext.broadcast(centers)
 
     def assign(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
-                far = distances(_matrix(batch.column(1)), shared.value)
+                x = _matrix(batch.column(1))
+                far = distances(x, shared.value if len(shared.value) else np.zeros((1, x.shape[1])))
                 cell = far.argmin(1)
                 yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column("far", pa.array(np.sqrt(far[np.arange(len(far)), cell])))
 
@@ -165,8 +173,14 @@ def build_cell_index(index: DataFrame, path: str | None = None, cells: int | Non
     packed = placed.hint("rebalance", "cell").sortWithinPartitions("cell", "far").mapInArrow(pack, f"cell int, n int, near double, far double, ids array<{kind}>, vectors binary")
     path = path or scratch(spark, "cells")
     packed.write.mode("overwrite").parquet(f"{path}/blocks")
-    spark.createDataFrame([(i, c) for i, c in enumerate(centers.tolist())], "cell int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
-    return read_cell_index(spark, path)
+    return CellIndex(spark.read.schema(packed.schema).parquet(f"{path}/blocks"), centers)
+
+
+def write_cell_index(cells: CellIndex, path: str) -> None:
+    """A copy of an index, for many searches."""
+    spark = cells.blocks.sparkSession
+    cells.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+    spark.createDataFrame([(i, c) for i, c in enumerate(cells.centers.tolist())], "cell int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
 
 
 def read_cell_index(spark, path: str) -> CellIndex:
@@ -222,9 +236,11 @@ class Bound(NamedTuple):
         return np.maximum(d - far, near - d) <= self.limit
 
 
-def _nearest(cells: CellIndex, rows: pa.Table, count: np.ndarray, k: int, squared: bool, query_kind: str) -> DataFrame:
+def _nearest(cells: CellIndex, rows: pa.Table, count: np.ndarray | None, k: int, squared: bool, query_kind: str) -> DataFrame:
     """Distances that can be among the k least of each query: a limit from the nearest cells, then all blocks within it."""
     ids, asked = rows["query_id"].combine_chunks(), _matrix(rows["vector"].combine_chunks())
+    if count is None:
+        return _meet(cells.blocks, ids, asked, Bound(np.zeros((len(ids), 1)), np.full(len(ids), np.inf)), k, squared, query_kind)
     to_center = np.sqrt(distances(asked, cells.centers))
     order = to_center.argsort(1)
     before = np.cumsum(count[order], 1) - count[order]
@@ -248,13 +264,13 @@ def vector_search(queries: DataFrame, index: DataFrame | CellIndex, k: int = 20,
     """
     spark, query_kind = queries.sparkSession, queries.schema["query_id"].dataType.simpleString()
     cells = index if isinstance(index, CellIndex) else build_cell_index(index, block=block)
-    count = np.zeros(max(1, len(cells.centers)), np.int64)
-    for row in cells.blocks.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row a cell
+    count = np.zeros(len(cells.centers), np.int64) if len(cells.centers) > 1 else None
+    for row in cells.blocks.groupBy("cell").agg(F.sum("n").alias("n")).collect() if count is not None else []:  # one row a cell
         count[row["cell"]] = row["n"]
     asked = queries.where("vector is not null").select("query_id", "vector")
     size = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
     rounds, made = max(1, -(-size * 8 // ROUND)), None
-    for i in range(rounds if count.any() else 0):
+    for i in range(rounds):
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i) if rounds > 1 else asked
         rows = own.toArrow()  # of one round
         if rows.num_rows:

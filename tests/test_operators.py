@@ -101,7 +101,9 @@ def test_keyword_index_round_trip(spark, chunks, tmp_path):
     index = keyword.build_keyword_index(chunks)
     keyword.write_keyword_index(index, str(tmp_path / "index"))
     again = keyword.read_keyword_index(spark, str(tmp_path / "index"))
-    assert all(sorted(map(str, a.collect())) == sorted(map(str, b.collect())) for a, b in zip(index, again, strict=True))
+    assert all(sorted(map(str, a.collect())) == sorted(map(str, b.collect())) for a, b in zip(index[:3], again[:3], strict=True)) and again.counted
+    queries = spark.createDataFrame([(1, "roman EMPIRE in the"), (2, "lava")], "query_id int, text string")
+    assert sorted(keyword.bm25_scores(queries, index).collect()) == sorted(keyword.bm25_scores(queries, again).collect())
 
 
 def bm25(texts, query, k):
@@ -191,7 +193,8 @@ def test_vector_cells_are_exact_and_skip(spark, monkeypatch, tmp_path, squared,
     x[:700] = x[0]
     rows = [(f"c{i:04d}", v.tolist()) for i, v in enumerate(x)] + [("none", None)]
     index = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(4)
-    cells = vector.build_cell_index(index, str(tmp_path / "cells"), cells=40, block=64)
+    cells = vector.build_cell_index(index, cells=40, block=64)
+    vector.write_cell_index(cells, str(tmp_path / "cells"))
     again = vector.read_cell_index(spark, str(tmp_path / "cells"))
     assert np.array_equal(again.centers, cells.centers) and cells.blocks.agg(F.sum("n")).first()[0] == 2000
     ids = [0, 3, 800, 900, 1000, 1999]
