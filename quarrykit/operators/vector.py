@@ -12,7 +12,6 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -58,23 +57,33 @@ def embed_texts(rows: DataFrame, embed: Embed | Model, model: str = "hashing", k
     A `Model` is loaded once per worker. Batches hold texts of like length, up to `batch` of them and, padded, up to
     `cells` characters; rows keep their order.
     """
-    head = prefix_for(model, kind, prefix)
+    head, batch_size = prefix_for(model, kind, prefix), batch
 
-    def run(frames):
-        for pdf in (frame.iloc[at : at + _TEXTS] for frame in frames for at in range(0, len(frame), _TEXTS)):
-            texts = [head + (t or "") for t in pdf["text"]]
-            made = np.asarray(run_by_length(lambda part: np.asarray(loaded(embed)(part), np.float32), [texts], batch, cells), np.float32)
-            unit = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12) if len(made) else made
-            yield pdf.assign(vector=pd.Series(list(unit), index=pdf.index, dtype=object))
+    def run(batches):
+        for whole in batches:
+            at = whole.schema.get_field_index("text")
+            for batch in (whole.slice(i, _TEXTS) for i in range(0, whole.num_rows, _TEXTS)):
+                texts = [head + (t or "") for t in batch.column(at).to_pylist()]
+                made = np.asarray(run_by_length(lambda part: np.asarray(loaded(embed)(part), np.float32), [texts], batch_size, cells), np.float32)
+                unit = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+                ends = pa.array(np.arange(len(unit) + 1) * unit.shape[1], pa.int32())
+                yield batch.append_column("vector", pa.ListArray.from_arrays(ends, pa.array(unit.ravel())))
 
     rows = rows.drop("vector")
-    return rows.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["vector array<float>"]))
+    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["vector array<float>"]))
 
 
 def embed_queries(queries: DataFrame, embed: Embed | Model, model: str = "hashing", batch: int = 256, prefix: str | None = None) -> DataFrame:
     return embed_texts(queries, embed, model, "query", batch, prefix)
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """`rows` written to a new shared folder and read from there: what an embedder makes is made once."""
+    path = scratch(rows.sparkSession, "vectors")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_chunk_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """`chunks` with vectors as a table; mode overwrite, append or upsert (by chunk_id: a repeated call changes nothing)."""
     rows = chunks.select("chunk_id", "document_id", "title", "section", "text", "vector")
@@ -138,6 +147,7 @@ def build_cell_index(index: DataFrame, path: str | None = None, cells: int | Non
 
     Centres are fitted on the rows with the smallest hashes of their ids, at most `sample`; any centres give right
     results. Rows without a vector are left out. Large cells are split by size, so no cell's rows meet in one task.
+    `index` is read up to three times, so it should be a table (see `stored`).
     """
     spark, kind = index.sparkSession, index.schema["chunk_id"].dataType.simpleString()
     rows = index.where("vector is not null").select("chunk_id", "vector")

@@ -157,7 +157,7 @@ def index_summary(spark, sf_dir):
 def two_lists(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(BM25 and vector search over all fixed chunks, 20 of each query; chunks)."""
     best, chunks = searched(spark, sf_dir)
-    index = vector.embed_texts(chunks.select("chunk_id", "text"), letter_embedder)
+    index = vector.stored(vector.embed_texts(chunks.select("chunk_id", "text"), letter_embedder).drop("text"))
     return best, vector.vector_search(vector.embed_queries(asked(spark, sf_dir), letter_embedder), index), chunks
 
 
