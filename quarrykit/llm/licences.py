@@ -3,11 +3,13 @@
 Units are lines with a word and, as licences are mostly hard-wrapped, paragraphs: runs of such lines, joined, which a
 blank line ends. Their 2- and 3-word n-grams, as far as they occur in the templates, are the features of a multinomial
 logistic regression with an L1 penalty (so few weights stay). It learns licence families from the templates and from cut
-pieces of them, and the class `unknown` from corpus lines. Each family is judged by itself, from the n-grams of its own
-templates, so that two licences side by side are both found. The probability that a family needs is calibrated on the
-unconfirmed candidates of all documents: `QUANTILE` of them stay below it. A prediction counts only if a template of the family shares at least
-`COVER` of its n-grams with the unit, and if no other family explains the shared n-grams better (a notice of the AGPL
-holds nearly all of the GPL's).
+pieces of them, and the class `unknown` from corpus lines. Units with the same n-grams are judged once: their n-grams meet
+the templates' in an equi-join, so a set has rows only for families that it shares an n-gram with. Each family is judged by
+itself, from the n-grams of its own templates, so that two licences side by side are both found. The probability that a
+family needs is calibrated on the unconfirmed candidates of all documents: `QUANTILE` of them stay below it (in steps of
+0.0001; candidates without n-grams count as 0). A prediction counts only if a template of the family shares at least `COVER`
+of its n-grams with the unit, and if no other family explains the shared n-grams better (a notice of the AGPL holds nearly
+all of the GPL's).
 
 A result's `paragraph` is the number of its line. A paragraph's family that no single line of it shows has the number of
 the line that shares most n-grams with the family's closest template.
@@ -64,6 +66,18 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-NC-ND": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-ND": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -103,6 +117,9 @@ SPDX = {
     "BSD": ["BSD-2-Clause", "BSD-3-Clause"],
     "CC-BY": ["CC-BY-3.0", "CC-BY-4.0"],
     "CC-BY-NC": ["CC-BY-NC-3.0", "CC-BY-NC-4.0"],
+    "CC-BY-NC-ND": ["CC-BY-NC-ND-3.0", "CC-BY-NC-ND-4.0"],
+    "CC-BY-NC-SA": ["CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0"],
+    "CC-BY-ND": ["CC-BY-ND-3.0", "CC-BY-ND-4.0"],
     "CC-BY-SA": ["CC-BY-SA-3.0", "CC-BY-SA-4.0"],
     "GPL": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
     "ISC": ["ISC"],
@@ -130,9 +147,10 @@ def ngrams(w: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """family, grams of every template."""
+    """family, template (a number), w, grams of every template."""
     rows = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
-    return spark.createDataFrame(rows, "family string, text string").select("family", words(F.col("text")).alias("w")).select("family", "w", ngrams(F.col("w")).alias("grams"))
+    made = spark.createDataFrame([(n, *row) for n, row in enumerate(rows)], "template int, family string, text string")
+    return made.select("family", "template", words(F.col("text")).alias("w")).select("*", ngrams(F.col("w")).alias("grams"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -186,10 +204,10 @@ def plain_line(numbered: Column) -> Column:
 
 
 def candidates(docs: DataFrame, anchor_words: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(blocks that hold an anchor: block_id, doc_id, lines; their units: block_id, doc_id, paragraph, single, grams).
+    """(blocks that hold an anchor: block_id, doc_id, lines; their units: block_id, doc_id, paragraph, single, set_id, grams).
 
-    No other unit can be confirmed. `grams` has the distinct n-grams that any template has; a unit is a line that holds an
-    anchor (`single`) or all lines of a block.
+    No other unit can be confirmed. `grams` has the distinct n-grams that any template has, sorted, and set_id is their
+    digest; a unit is a line that holds an anchor (`single`) or all lines of a block.
     """
     holds = any_anchor(anchor_words)
     texts = docs.select("doc_id", "text").where(holds(F.lower("text")))
@@ -201,7 +219,9 @@ def candidates(docs: DataFrame, anchor_words: list[str]) -> tuple[DataFrame, Dat
     joined = kept.where("size(lines) > 1").select("block_id", "doc_id", F.col("lines")[0]["paragraph"].alias("paragraph"), F.lit(False).alias("single"), F.array_join("lines.line", " ").alias("line"))
     known = vocabulary(docs.sparkSession)
     units = line.unionByName(joined).withColumn("w", words(F.col("line"))).drop("line")
-    return kept, units.select("block_id", "doc_id", "paragraph", "single", F.array_distinct(F.filter(ngrams(F.col("w")), lambda g: g.isin(known))).alias("grams"))
+    grams = F.sort_array(F.array_distinct(F.filter(ngrams(F.col("w")), lambda g: g.isin(known))))
+    units = units.select("block_id", "doc_id", "paragraph", "single", grams.alias("grams"))
+    return kept, units.select("block_id", "doc_id", "paragraph", "single", F.sha2(F.array_join("grams", "\n"), 256).alias("set_id"), "grams")
 
 
 class Scanner:
@@ -228,36 +248,51 @@ class Scanner:
         rows = self.counts.transform(rows.withColumn("weight", weight).coalesce(1)).cache()
         self.model = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=30, weightCol="weight").fit(rows)
         rows.unpersist()
-        kept, units = candidates(docs, anchors(spark))
-        self.found = kept, materialize(units, "units")
-        sets = self.found[1].groupBy("grams").agg(F.count("*").alias("n")).withColumn("unit", F.col("grams"))
-        unconfirmed = self._probable(self._covered(sets)).groupBy("unit", "n").agg(F.max("probability").alias("p"), F.max("coverage").alias("most")).where(F.col("most") < COVER)
-        limit = unconfirmed.agg(F.expr(f"percentile(p, {QUANTILE}, n)")).first()[0]
+        self.found = self._scored(docs)
+        scored, sets = self.found[2], self.found[1].where("size(grams) = 0").agg(F.lit(0.0).alias("p"), F.count("*").alias("n"))
+        best = scored.groupBy("set_id", "n").agg(F.max("probability").alias("p"), F.max("coverage").alias("most"))
+        unconfirmed = best.where(F.col("most") < COVER).select("p", "n").unionByName(sets.where("n > 0"))
+        steps = unconfirmed.groupBy(F.round("p", 4).alias("p")).agg(F.sum("n").alias("n"))  # 10001 rows at most
+        limit = steps.agg(F.expr(f"percentile(p, {QUANTILE}, n)")).first()[0]
         self.least = min(0.95, max(LEAST, limit or 0.0))
 
-    def _covered(self, units: DataFrame) -> DataFrame:
-        """`units` for each family: grams (those of its templates), coverage by its closest template, matched (shared with it)."""
-        of = self.known.select("family", F.array_distinct("grams").alias("t")).groupBy("family").agg(F.collect_list("t").alias("ts"))
-        of = of.select(F.col("family"), "ts", F.array_distinct(F.flatten("ts")).alias("own"))
-        each = units.crossJoin(F.broadcast(of)).withColumn("grams", F.array_intersect("grams", "own"))  # as many rows as there are families
-        shared = lambda t: F.array_intersect(F.col("grams"), t)
-        closest = F.array_max(F.transform("ts", lambda t: F.struct((F.size(shared(t)) / F.size(t)).alias("coverage"), shared(t).alias("matched"))))
-        return each.withColumn("_closest", closest).drop("own", "ts").select("*", "_closest.*").drop("_closest")
+    def _scored(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """`candidates` of `docs` and set_id, n (units), family, coverage, matched, probability of their sets of n-grams."""
+        kept, units = candidates(docs, anchors(self.spark))
+        units = materialize(units, "units")
+        sets = units.where("size(grams) > 0").groupBy("set_id").agg(F.first("grams").alias("grams"), F.count("*").alias("n"))
+        return kept, units, materialize(self._probable(self._covered(sets)), "sets")
+
+    def _covered(self, sets: DataFrame) -> DataFrame:
+        """Each set with every family that it shares n-grams with (grams), coverage by its closest template, matched (shared with it).
+
+        Of templates that cover as much, the one whose shared n-grams are last in order counts as the closest.
+        """
+        each = self.known.select("family", "template", F.array_distinct("grams").alias("t")).where("size(t) > 0")
+        each = each.select("family", F.explode("t").alias("gram"), F.struct("template", F.size("t").alias("size")).alias("of"))
+        held = each.groupBy("gram", "family").agg(F.collect_list("of").alias("of"))  # fixed in size by the templates
+        met = sets.select("set_id", "n", F.explode("grams").alias("gram")).join(F.broadcast(held), "gram")
+        met = met.groupBy("set_id", "n", "family").agg(F.sort_array(F.collect_list(F.struct("gram", "of"))).alias("met"))  # n-grams of one family's templates
+        shared = lambda t: F.transform(F.filter("met", lambda x: F.array_contains(x["of"], t)), lambda x: x["gram"])
+        by = F.transform(F.array_distinct(F.flatten("met.of")), lambda t: F.struct(t["size"].alias("size"), shared(t).alias("matched")))
+        met = met.select("set_id", "n", "family", F.col("met.gram").alias("grams"), by.alias("by"))
+        closest = F.array_max(F.transform("by", lambda x: F.struct((F.size(x["matched"]) / x["size"]).alias("coverage"), x["matched"].alias("matched"))))
+        return met.withColumn("_closest", closest).select("set_id", "n", "family", "grams", "_closest.*")
 
     def _probable(self, covered: DataFrame) -> DataFrame:
-        """Adds the probability of the row's family, by the n-grams of its own templates."""
+        """The probability of the row's family, by the n-grams of its own templates, in place of these."""
         scored = self.model.transform(self.counts.transform(covered))
         index = F.array_position(F.array(*(F.lit(x) for x in self.families)), F.col("family")) - 1
-        return scored.withColumn("_p", vector_to_array("probability")).drop("probability", "rawPrediction", "prediction", "features").withColumn("probability", F.get("_p", index.cast("int"))).drop("_p")
+        return scored.select("set_id", "n", "family", "coverage", "matched", F.get(vector_to_array("probability"), index.cast("int")).alias("probability"))
 
-    def judge(self, kept: DataFrame, units: DataFrame) -> DataFrame:
-        """doc_id, paragraph, family, probability, coverage of the units of `candidates` that are found to be a licence's."""
-        key = ["block_id", "doc_id", "paragraph", "single"]
-        met = self._probable(self._covered(units.where("size(grams) > 0")).where(F.col("coverage") >= COVER)).drop("grams")
-        whole = met.groupBy(*key).agg(F.collect_list(F.struct("family", "probability", "coverage", "matched")).alias("fs"))
+    def judge(self, kept: DataFrame, units: DataFrame, scored: DataFrame) -> DataFrame:
+        """doc_id, paragraph, family, probability, coverage of the units of `_scored` that are found to be a licence's."""
+        met = scored.where(F.col("coverage") >= COVER)
+        whole = met.groupBy("set_id").agg(F.collect_list(F.struct("family", "probability", "coverage", "matched")).alias("fs"))  # as many as families
         better = lambda f, g: (g["coverage"] > f["coverage"]) & (F.size(F.array_except(f["matched"], g["matched"])) <= (1 - COVER) * F.size(f["matched"]))
         left = F.filter("fs", lambda f: ~F.exists("fs", lambda g: better(f, g)))
-        hits = whole.select(*key, F.explode(left).alias("f")).select(*key, "f.*").where(F.col("probability") >= self.least)
+        accepted = whole.select("set_id", F.explode(left).alias("f")).select("set_id", "f.*").where(F.col("probability") >= self.least)
+        hits = units.drop("grams").join(accepted, "set_id")
         hits = hits.withColumn("_alone", F.max("single").over(Window.partitionBy("block_id", "family"))).where(F.col("single") | ~F.col("_alone"))
         shares = lambda x: F.size(F.array_intersect(ngrams(words(x["line"])), F.col("matched")))
         at = F.array_max(F.transform("lines", lambda x: F.struct(shares(x).alias("n"), (-x["paragraph"]).alias("p"))))
@@ -267,7 +302,7 @@ class Scanner:
 
     def scan(self, docs: DataFrame) -> DataFrame:
         """`judge` of the candidates of `docs`."""
-        return self.judge(*candidates(docs, anchors(self.spark)))
+        return self.judge(*self._scored(docs))
 
 
 def op8_licence_scan(spark, sf_dir: str) -> DataFrame:

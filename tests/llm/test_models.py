@@ -296,6 +296,67 @@ def test_wrapped_licences_and_families(spark, scanner):
     assert len(rows) == 2 and all(lines[r["paragraph"]] in wrap(whole["BSD"], 50) for r in rows)
 
 
+def plain_licences(scanner, texts):
+    """(doc_id, paragraph, family, coverage) by a plain scan: every line and block against every template, without anchors."""
+    families = scanner.families
+    weights, base = scanner.model.coefficientMatrix.toArray(), scanner.model.interceptVector.toArray()
+    column = {g: i for i, g in enumerate(scanner.vocab)}
+    words = lambda t: [x for x in (re.sub(r"^[.-]+|[.-]+$", "", p) for p in re.sub(r"[^\w.-]|_", " ", t.lower()).split()) if x]
+    grams = lambda t: set(licences._grams(words(t)))
+    known = {f: [grams(t) for t in ts] for f, ts in licences.TEMPLATES.items()}
+
+    def families_of(unit):
+        found = []
+        for f, ts in known.items():
+            cover, matched = max((len(unit & t) / len(t), sorted(unit & t)) for t in ts)
+            if cover < licences.COVER:
+                continue
+            own = unit & set().union(*ts)
+            score = base + weights[:, [column[g] for g in own]].sum(1)
+            p = np.exp(score - score.max())
+            found.append((f, cover, set(matched), p[families.index(f)] / p.sum()))
+        beaten = lambda f: any(g[1] > f[1] and len(f[2] - g[2]) <= (1 - licences.COVER) * len(f[2]) for g in found)
+        return [f for f in found if not beaten(f) and f[3] >= scanner.least]
+
+    out = []
+    for doc, text in texts:
+        lines = [(i, x) if x.strip(" \t\n\v\f\r") else None for i, x in enumerate((text or "").split("\n"))]
+        block = []
+        for line in [*lines, None]:
+            if line is not None:
+                block.append(line)
+                continue
+            single = [(i, f) for i, x in block for f in families_of(grams(x))]
+            out += [(doc, i, f[0], round(f[1], 4)) for i, f in single]
+            for f in families_of(grams(" ".join(x for _, x in block))) if len(block) > 1 else []:
+                if f[0] not in {g[0] for _, g in single}:
+                    at = max(block, key=lambda x: (len(grams(x[1]) & f[2]), -x[0]))[0]
+                    out.append((doc, at, f[0], round(f[1], 4)))
+            block = []
+    return sorted(out)
+
+
+def test_licences_against_a_plain_scan(spark, scanner):
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    row = lambda r: (r["doc_id"], r["paragraph"], r["family"], round(r["coverage"], 4))
+    got = sorted(row(r) for r in scanner.judge(*scanner.found).collect())
+    assert got and got == plain_licences(scanner, texts)
+    every = [(n, text) for n, text in enumerate(t for ts in licences.TEMPLATES.values() for t in ts)]
+    every += [(1000 + n, "before\n" + text.replace(" ", "\n", 7) + "\nafter\n\n" + every[n - 5][1] + "\n" + text) for n, text in every]
+    frame = spark.createDataFrame(every, "doc_id long, text string").repartition(7)
+    assert sorted(row(r) for r in scanner.scan(frame).collect()) == plain_licences(scanner, every)
+    families = {n: f for n, f in enumerate(f for f, ts in licences.TEMPLATES.items() for _ in ts)}
+    found = {d: f for d, _, f, _ in plain_licences(scanner, every) if d < 1000}
+    assert {n: f for n, f in families.items() if found.get(n) != f} == {}
+
+
+def test_licence_sets_do_not_meet_all_families(spark, scanner):
+    sets = spark.createDataFrame([("a", 2, ["released under", "under the", "mit license"]), ("b", 1, ["isc license"])], "set_id string, n long, grams array<string>")
+    made = {(r["set_id"], r["family"]): r for r in scanner._covered(sets).collect()}
+    assert ("b", "ISC") in made and len([k for k in made if k[0] == "b"]) == 1 and made["a", "MIT"]["matched"] == sorted(made["a", "MIT"]["matched"])
+    assert "CartesianProduct" not in (plan := scanner._covered(sets)._jdf.queryExecution().toString()) and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_licence_limit_from_all_documents_in_any_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     one, two = (licences.Scanner(spark, x, 40) for x in (docs.repartition(7, "text"), docs.orderBy(F.desc("doc_id")).coalesce(1)))
