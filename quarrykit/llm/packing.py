@@ -173,7 +173,7 @@ def plan(counts: dict[int, int], size: int = SEQUENCE, spare: float = SPARE) ->
 
 
 def packed_pieces(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """`pieces` (doc_id, piece, length and any others) with sequence_id and offset."""
+    """`pieces` (doc_id, piece, length and any others, whatever their names) with sequence_id and offset in place of columns of these names."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     slots, used, sequence = [], dict.fromkeys(counts, 0), 0
@@ -186,13 +186,14 @@ def packed_pieces(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
         sequence += times
     ranges = spark.createDataFrame(slots, "length long, lo long, hi long, first long, offset long")
     salts = max(64, sum(counts.values()) // 50_000)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    group = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = group.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("_in", inside).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in"))
-    placed = ranked.join(F.broadcast(ranges), "length").where("_rank >= lo and _rank < hi")  # as large as the plan, whatever the input
-    return placed.withColumn("sequence_id", F.col("first") + F.col("_rank") - F.col("lo")).drop("_salt", "_in", "_before", "_rank", "lo", "hi", "first")
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt")
+    salted = pieces.drop("sequence_id", "offset").select(F.struct("*").alias("row"), "length", salt)
+    group = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = group.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row.doc_id", "row.piece")) - 1
+    ranked = salted.withColumn("inside", inside).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("inside"))
+    placed = ranked.join(F.broadcast(ranges), "length").where("rank >= lo and rank < hi")  # as large as the plan, whatever the input
+    return placed.select("row.*", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, separator: int = SEPARATOR, digest: bool = False) -> DataFrame:

@@ -368,3 +368,19 @@ def test_media_query(spark):
         raw = own[r["doc_id"]]
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+
+
+def test_packed_pieces_with_clashing_names(spark):
+    names = ["lo", "hi", "first", "offset", "_salt", "salt", "row", "rank", "sequence_id", "n", "before", "a.b"]
+    lengths = [700, 300, 24, 1024, 500, 524, 1, 700]
+    rows = [(i // 2, i % 2, n, *(f"{name}{i}" for name in names)) for i, n in enumerate(lengths)]
+    made = packing.packed_pieces(spark.createDataFrame(rows, ["doc_id", "piece", "length", *names]))
+    kept = [n for n in names if n not in ("offset", "sequence_id")]
+    assert made.columns == ["doc_id", "piece", "length", *kept, "sequence_id", "offset"]
+    got = sorted(map(tuple, made.collect()))
+    assert [r[:-2] for r in got] == [tuple(x for x, name in zip(r, ["", "", "", *names], strict=True) if name not in ("offset", "sequence_id")) for r in rows]
+    used = {}
+    for r in sorted(got, key=lambda r: r[-2:]):
+        assert r[-1] == used.get(r[-2], 0)
+        used[r[-2]] = r[-1] + r[2]
+    assert max(used.values()) <= 1024 and len(used) == 4
