@@ -40,3 +40,19 @@ def test_query(spark, duck, name):
         names = [d[0] for d in found.description]
         assert sorted(names) == cols
         assert rows == sorted(repr([plain(r[names.index(c)]) for c in cols]) for r in found.fetchall())
+
+
+def odd_questions(spark, folder, name):
+    """Rows of a query and of its SQL on questions with letters, marks and line ends beyond ASCII."""
+    texts = ["Doó ciónado", "isé?", "is it", "is_it", "is1", "DÓ", "did文", "are you", "which", "1 + 1 ", "1 + 1\n", "2*2\u0085", "", None]
+    spark.createDataFrame([(i, t, "user", x) for i, x in enumerate(texts) for t in (0, 1)], "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    made = catalog.QUERIES[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    found = con.execute(f"SELECT {', '.join(made.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    return sorted(map(tuple, made.collect())), sorted(found)
+
+
+def test_heuristic_route_of_odd_questions(spark, tmp_path):
+    made, found = odd_questions(spark, tmp_path, "heuristic_route")
+    assert made == found and {r[2] for r in made} == {"math", "local_rag", "ambiguous"}
