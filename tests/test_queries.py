@@ -56,3 +56,8 @@ def odd_questions(spark, folder, name):
 def test_heuristic_route_of_odd_questions(spark, tmp_path):
     made, found = odd_questions(spark, tmp_path, "heuristic_route")
     assert made == found and {r[2] for r in made} == {"math", "local_rag", "ambiguous"}
+
+
+def test_resolve_route_of_odd_questions(spark, tmp_path):
+    made, found = odd_questions(spark, tmp_path, "resolve_route")
+    assert made == found and {r[3] for r in made} == {"heuristic", "llm", "fallback"}
