@@ -114,10 +114,14 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
 
 
 def _meetings(candidates: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
-    """Every block of candidates with every block of queries; the smaller side, queries, is copied to all groups of blocks."""
+    """Every block of candidates with every block of queries; the smaller side, queries, is copied to all groups of blocks.
+
+    Both sides are shuffled: a broadcast would be chosen by the size of the queries before they are copied, and would send
+    all copies through the driver.
+    """
     left = candidates.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
     right = queries.select(*(F.col(c).alias(f"q_{c}") for c in _NAMES)).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return left.join(right, "g").select(*_NAMES, *(f"q_{c}" for c in _NAMES))
+    return left.join(right.hint("merge"), "g").select(*_NAMES, *(f"q_{c}" for c in _NAMES))
 
 
 def _search(met: DataFrame, choose, k: int, sums: bool) -> DataFrame:

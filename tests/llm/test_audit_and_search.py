@@ -145,6 +145,15 @@ def test_top_k_leaves_out(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_copied_queries_are_not_broadcast(spark):
+    """The queries look small before they are copied to all groups, and must not go through the driver."""
+    rows = spark.createDataFrame([(i, [float(i)], None) for i in range(30)], "vec_id long, embedding array<float>, cutoff long")
+    candidates, queries = topk.materialize(topk.pack(rows, 8), "candidates"), topk.materialize(topk.pack(rows.where("vec_id < 9"), 2), "queries")
+    met = topk._meetings(candidates, queries, 50)
+    assert met.count() == candidates.count() * queries.count()
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_thresholds_are_safe_and_selective():
     rng = np.random.default_rng(1)
     x, q = rng.integers(-40, 40, (4000, 64)), rng.integers(-40, 40, (50, 64))
