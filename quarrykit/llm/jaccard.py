@@ -46,6 +46,7 @@ from .shared import bins_for, bounded_batches, discard, materialize, one_per_id
 SKETCH_BITS = 20  # cells of the frequency sketch: a fixed 4 MB a task and 2 MB to broadcast, whatever the input
 _BLOCK, _BATCH = 1 << 16, 2 << 20
 _CELLS = 1 << 19  # numbers of bitmaps that are compared at once
+_KEYS = 1 << 18  # keys that are made at once
 HOT = 20_000  # members of a list that are compared in one place; longer lists are cut into parts
 KEYS_PER_BIN, SHORT, SIDE = 200_000, 8, 256
 _KEEP = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
@@ -295,6 +296,39 @@ _SETS = (("sig", "<i8"), ("root", "<i8"), ("doc", "<i8"), ("n", "<i4"), ("bits",
 _MEET = pa.schema([("bin", pa.int32()), ("key", pa.binary()), ("of", pa.binary()), *((c, pa.binary()) for c, _ in _SETS)])
 
 
+def key_rows(batch: pa.RecordBatch, limit: int, percent: int, bins: int, hot: int):
+    """Keys of the sets of a batch (sig, n, root, doc_id, bits, key, rank, len), a packed row for every bin.
+
+    Keys are made and sent on set by set, about `_KEYS` at a time: a set has as many as pairs of its shingles.
+    """
+    cols = [batch.column(i) for i in range(batch.num_columns)]
+    sig, n, root, doc = (c.to_numpy() for c in cols[:4])
+    bits, words = cols[4].flatten().to_numpy(), bitmap_words(n)
+    begin = np.cumsum(words) - words
+    at = cols[5].offsets.to_numpy() - cols[5].offsets[0].as_py()
+    key, rank, lens = (c.flatten().to_numpy() for c in cols[5:])
+    held, first, count = [], 0, 0
+    for i in range(len(sig)):
+        held.append(_blocked(*_keys_of(int(n[i]), *(x[at[i] : at[i + 1]] for x in (key, rank, lens)), limit, percent), int(sig[i]), hot))
+        count += len(held[-1])
+        if count < _KEYS and i < len(sig) - 1:
+            continue
+        keys, of = np.concatenate(held), np.repeat(np.arange(first, i + 1, dtype=np.int32), [len(h) for h in held])
+        held, first, count = [], i + 1, 0
+        home = (keys >> U64(20)) % U64(bins)
+        order = np.argsort(home, kind="stable")
+        keys, of, home = keys[order], of[order], home[order]
+        cuts = np.flatnonzero(np.diff(home, prepend=U64(bins + 1), append=U64(bins + 1)))
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            used, index = np.unique(of[a:b], return_inverse=True)
+            place = np.repeat(begin[used] - (np.cumsum(words[used]) - words[used]), words[used]) + np.arange(words[used].sum())
+            sets = (sig[used], root[used], doc[used], n[used], bits[place])
+            rows.append((int(home[a]), packed(keys[a:b]), packed(index, "<i4"), *(packed(x, t) for x, (_, t) in zip(sets, _SETS, strict=True))))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MEET.types, strict=True)], schema=_MEET)
+
+
 def list_pairs(classes: DataFrame, limit: int, percent: int, bins: int, hot: int = HOT) -> DataFrame:
     """a, b, da, db: all pairs of classes in one key's list that are in different components and may link.
 
@@ -303,27 +337,7 @@ def list_pairs(classes: DataFrame, limit: int, percent: int, bins: int, hot: int
 
     def emit(batches):
         for batch in batches:
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            sig, n, root, doc = (c.to_numpy() for c in cols[:4])
-            bits, words = cols[4].flatten().to_numpy(), bitmap_words(n)
-            begin = np.cumsum(words) - words
-            at = cols[5].offsets.to_numpy() - cols[5].offsets[0].as_py()
-            key, rank, lens = (c.flatten().to_numpy() for c in cols[5:])
-            made = [_keys_of(int(n[i]), *(x[at[i] : at[i + 1]] for x in (key, rank, lens)), limit, percent) for i in range(len(sig))]
-            held = [_blocked(*m, int(sig[i]), hot) for i, m in enumerate(made)]
-            keys, of = np.concatenate([*held, np.zeros(0, U64)]), np.repeat(np.arange(len(held)), [len(h) for h in held])
-            home = (keys >> U64(20)) % U64(bins)
-            order = np.argsort(home, kind="stable")
-            keys, of, home = keys[order], of[order], home[order]
-            cuts = np.flatnonzero(np.diff(home, prepend=U64(bins + 1), append=U64(bins + 1)))
-            rows = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                used, index = np.unique(of[a:b], return_inverse=True)
-                place = np.repeat(begin[used] - (np.cumsum(words[used]) - words[used]), words[used]) + np.arange(words[used].sum())
-                sets = (sig[used], root[used], doc[used], n[used], bits[place])
-                rows.append((int(home[a]), packed(keys[a:b]), packed(index, "<i4"), *(packed(x, t) for x, (_, t) in zip(sets, _SETS, strict=True))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MEET.types, strict=True)], schema=_MEET)
+            yield from key_rows(batch, limit, percent, bins, hot)
 
     def meet(group: pa.Table) -> pa.Table:
         sizes = np.diff(text_buffers(group["sig"])[1]) // 8

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,26 @@ def test_lists_lose_no_link(classes, limit, hot):
     assert len(linked) > 100 and linked <= set(made) and len(made) == len(set(made)) < 4 * len(linked)
 
 
+def test_keys_are_made_in_parts():
+    """Pairs of many sets' shingles are sent on as they are made, none twice and none left out."""
+    sets, each = 2000, 50
+    rng = np.random.default_rng(3)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(sets + 1) * each, pa.int32()), x)
+    ids = pa.array(np.arange(sets))
+    bits = pa.ListArray.from_arrays(pa.array(np.arange(sets + 1) * 8, pa.int32()), pa.array(np.zeros(8 * sets, np.int64)))
+    cols = [ids, pa.array(np.full(sets, 200, np.int32)), ids, ids, bits, lists(pa.array(rng.integers(0, 1 << 62, sets * each))), lists(pa.array(np.tile(np.arange(each, dtype=np.int32), sets))), lists(pa.array(np.full(sets * each, 2)))]
+    batch = pa.RecordBatch.from_arrays(cols, ["sig", "n", "root", "doc_id", "bits", "key", "rank", "len"])
+    tracemalloc.start()
+    seen = []
+    for part in jaccard.key_rows(batch, 1000, 80, 16, jaccard.HOT):
+        at = np.concatenate([kernels.unpacked(part.column(3).slice(i, 1), "<i8")[kernels.unpacked(part.column(2).slice(i, 1), "<i4")] for i in range(part.num_rows)])
+        seen.append(np.bincount(at, minlength=sets))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (sum(seen) == each * (each - 1) // 2).all() and len(seen) > 5
+    assert most < 60 << 20
+
+
 def test_boundary(classes):
     """The size of the least total cost, and what lies on either side."""
     rows, _ = classes
