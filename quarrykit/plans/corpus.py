@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions import dates, text
 from quarrykit.functions.markup import DROPPED
 from quarrykit.operators import chunking, profiling
-from quarrykit.sources import mediawiki
+from quarrykit.sources import mediawiki, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -180,6 +180,7 @@ def _html_sql(x: str, n: int = 8000) -> str:
 
 @query("extract_html_text", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
 def extract_html_text(spark, sf_dir):
+    tables.small_batches(spark)
     return read(spark, sf_dir, "pages").select("page_id", text.extract_html_text(F.col("html")).alias("text"))
 
 
@@ -193,6 +194,7 @@ def extract_pages(spark, sf_dir):
     status = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
     kind = F.when(F.col("page_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 1, "text/plain").otherwise("image/png")
     made = text.page_text(status, kind, F.col("html"))
+    tables.small_batches(spark)
     return read(spark, sf_dir, "pages").select("page_id", "url", *(c.alias(n) for n, c in made.items())).withColumn("char_count", F.col("char_count").cast("long"))
 
 

@@ -19,6 +19,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From here on Spark hands Python at most about `size` bytes at once; its default is 64 MB, of which a task holds several copies."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).strip().lower()
+    if not now.isdigit() or not 0 < int(now) <= size:
+        spark.conf.set(key, size)
+
+
 def read_chunks(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     rows = spark.read.schema(CHUNKS).parquet(path)
     return rows.select(*columns) if columns else rows

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quarrykit import catalog
 
@@ -61,3 +62,13 @@ def test_heuristic_route_of_odd_questions(spark, tmp_path):
 def test_resolve_route_of_odd_questions(spark, tmp_path):
     made, found = odd_questions(spark, tmp_path, "resolve_route")
     assert made == found and {r[3] for r in made} == {"heuristic", "llm", "fallback"}
+
+
+@pytest.mark.parametrize("name", ["extract_pages", "extract_html_text", "hybrid_merge"])
+def test_python_gets_small_batches(spark, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, 64 << 20)
+    catalog.QUERIES[name](spark, SF)
+    count = F.pandas_udf(lambda pages: pages.map(lambda _: len(pages)), "int")
+    rows = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("page"))
+    assert rows.select(count("page").alias("n")).agg(F.max("n")).first()[0] < 600
