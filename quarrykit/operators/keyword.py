@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.sources.tables import scratch
+from quarrykit.sources.tables import scratch, small_batches
 
 K1, B = 1.2, 0.75
 SHARD, RANGE = 4096, 32  # chunks of a shard (places of 16 bits) and of a range
@@ -205,6 +205,7 @@ class Shard:
 
 def _search(index: KeywordIndex, asked: Asked, k: int, query_kind: str) -> DataFrame:
     chunk_kind = index.shards.schema["chunk_ids"].dataType.elementType.simpleString()
+    small_batches(index.shards.sparkSession)
     shared = index.shards.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches):

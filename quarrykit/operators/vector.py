@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.sources.tables import scratch, upsert
+from quarrykit.sources.tables import scratch, small_batches, upsert
 
 from .keyword import best_columns, top_k
 from .models import Model, loaded, run_by_length
@@ -25,9 +25,10 @@ from .models import Model, loaded, run_by_length
 BLOCK = 1024  # index rows in a block, at most
 ONE_CELL = 8192  # rows up to which there is one cell
 SAMPLE = 4096  # rows on which centres are fitted, at most
-ROUND = 32 << 20  # bytes of the queries of a round
+ROUND = 32 << 20  # bytes of the queries of a round, with their distances to the centres
 _TEXTS = 2048  # texts that are ordered by length and embedded at once
 _ROWS = 512  # rows that meet all centres at once
+_PAIRS = 1 << 19  # distances of queries and rows of a block that are held at once
 Embed = Callable[[list[str]], np.ndarray]
 
 
@@ -70,6 +71,7 @@ def embed_texts(rows: DataFrame, embed: Embed | Model, model: str = "hashing", k
                 yield batch.append_column("vector", pa.ListArray.from_arrays(ends, pa.array(unit.ravel())))
 
     rows = rows.drop("vector")
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["vector array<float>"]))
 
 
@@ -150,6 +152,7 @@ def build_cell_index(index: DataFrame, path: str | None = None, cells: int | Non
     `index` is read up to three times, so it should be a table (see `stored`).
     """
     spark, kind = index.sparkSession, index.schema["chunk_id"].dataType.simpleString()
+    small_batches(spark)
     rows = index.where("vector is not null").select("chunk_id", "vector")
     total = 0 if cells else rows.count()
     cells = cells or (min(1024, round(total**0.5)) if total > ONE_CELL else 1)
@@ -218,9 +221,11 @@ def _meet(blocks: DataFrame, ids: pa.Array, asked: np.ndarray, choose, k: int, s
                     data = batch.column(5)[i].as_py()
                     kind = np.float32 if len(data) == 4 * len(chunk_ids) * asked.shape[1] else np.float64
                     x = np.frombuffer(data, kind).reshape(len(chunk_ids), -1).astype(float)
-                    near = distances(asked[queries], x) if squared else np.sqrt(distances(asked[queries], x))
-                    r, c, _ = best_columns(_score(near), chunk_ids, k)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(queries[r])), chunk_ids.take(pa.array(c)), pa.array(near[r, c])], ["query_id", "chunk_id", "distance"])
+                    step = max(1, _PAIRS // len(x))
+                    for part in (queries[at : at + step] for at in range(0, len(queries), step)):
+                        near = distances(asked[part], x) if squared else np.sqrt(distances(asked[part], x))
+                        r, c, _ = best_columns(_score(near), chunk_ids, k)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(part[r])), chunk_ids.take(pa.array(c)), pa.array(near[r, c])], ["query_id", "chunk_id", "distance"])
 
     made = blocks.select("cell", "n", "near", "far", "ids", "vectors").mapInArrow(run, f"query_id {query_kind}, chunk_id {chunk_kind}, distance double")
     return made.withColumn("score", F.round(1 / (1 + F.col("distance")), 9))
@@ -270,15 +275,16 @@ def vector_search(queries: DataFrame, index: DataFrame | CellIndex, k: int = 20,
     """query_id, rank, chunk_id, score, source of the k nearest rows by L2; score = 1 / (1 + distance).
 
     `queries`: query_id, vector; `index`: chunk_id, vector, or its cells. Rows without a vector are left out. Queries go
-    to all blocks in rounds of about `ROUND` bytes, by hash of query_id.
+    to all blocks in rounds of about `ROUND` bytes with their distances to the centres, by hash of query_id.
     """
     spark, query_kind = queries.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    small_batches(spark)
     cells = index if isinstance(index, CellIndex) else build_cell_index(index, block=block)
     count = np.zeros(len(cells.centers), np.int64) if len(cells.centers) > 1 else None
     for row in cells.blocks.groupBy("cell").agg(F.sum("n").alias("n")).collect() if count is not None else []:  # one row a cell
         count[row["cell"]] = row["n"]
     asked = queries.where("vector is not null").select("query_id", "vector")
-    size = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
+    size = asked.agg(F.sum(F.size("vector") + len(cells.centers))).first()[0] or 0
     rounds, made = max(1, -(-size * 8 // ROUND)), None
     for i in range(rounds):
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i) if rounds > 1 else asked

@@ -211,6 +211,22 @@ def test_vector_cells_are_exact_and_skip(spark, monkeypatch, tmp_path, squared,
     assert read < len(bounds) * len(ids) // 4
 
 
+def test_many_queries_meet_a_block_in_parts(spark, monkeypatch):
+    """Distances that are held at once are bounded, and so are a round's distances to the centres; results stay exact."""
+    x = np.random.default_rng(4).normal(size=(400, 4)).astype(np.float32)
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id int, vector array<float>")
+    cells = vector.build_cell_index(index, cells=20, block=64)
+    queries = index.withColumnRenamed("chunk_id", "query_id")
+    monkeypatch.setattr(vector, "_PAIRS", 500)
+    monkeypatch.setattr(vector, "ROUND", 400 * (4 + 20) * 8 // 3)
+    sizes = []
+    monkeypatch.setattr(vector, "_nearest", lambda cells, rows, *a, f=vector._nearest: (sizes.append(rows.num_rows), f(cells, rows, *a))[1])
+    made = vector.vector_search(queries, cells, 3).orderBy("query_id", "rank").collect()
+    score = np.round(1 / (1 + ((x[:, None].astype(float) - x[None]) ** 2).sum(2)), 9)
+    assert [r["chunk_id"] for r in made] == np.argsort(-score, axis=1, kind="stable")[:, :3].ravel().tolist()
+    assert sum(sizes) == 400 and len(sizes) == 3
+
+
 def test_vector_search_moves_no_index(spark):
     index = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "chunk_id int, vector array<float>")
     queries = index.limit(3).withColumnRenamed("chunk_id", "query_id")
