@@ -100,7 +100,8 @@ def upsert(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> in
     spark = rows.sparkSession
     rest = [c for c in rows.columns if c not in keys]
     given = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("new")) if rest else rows.distinct().withColumn("new", F.struct(F.lit(1)))
-    given = given.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    given = given.withColumn(_BUCKET, bucket)
     names = lambda *more: [*keys, *((F.col("new")[c].alias(c) for c in rest)), *more]
     try:
         old = spark.read.parquet(path)
@@ -111,10 +112,11 @@ def upsert(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> in
     if old is None:
         out = given.select(*names(_BUCKET))
     else:
-        have = old.select(*(F.col(c).alias(f"_{c}") for c in keys), _BUCKET, F.struct(*rest).alias("old") if rest else F.struct(F.lit(1)).alias("old"))
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-        met = given.join(have.withColumnRenamed(_BUCKET, "_old_bucket"), [F.col(_BUCKET) == F.col("_old_bucket"), *same], "left")
-        changed = met.where(F.col("_old_bucket").isNull() | ~F.col("new").eqNullSafe(F.col("old"))).select(*names(_BUCKET))
+        body = F.struct(*rest) if rest else F.struct(F.lit(1))
+        none = F.lit(None).cast(rows.select(body.alias("x")).schema["x"].dataType)
+        both = rows.select(*keys, body.alias("new"), none.alias("old")).unionByName(old.select(*keys, none.alias("new"), body.alias("old")))
+        met = both.groupBy(*keys).agg(F.max("new").alias("new"), F.max("old").alias("old"))  # one shuffle of either side
+        changed = met.where(F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("old"))).withColumn(_BUCKET, bucket).select(*names(_BUCKET))
         held = scratch(spark, "changed")
         changed.write.parquet(held)
         changed = spark.read.schema(changed.schema).parquet(held)
@@ -122,6 +124,7 @@ def upsert(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> in
         if not touched:
             return 0
         new = changed.select(*(F.col(c).alias(f"_{c}") for c in keys))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
         out = old.where(F.col(_BUCKET).isin(touched)).join(new, same, "left_anti").select(*rows.columns, _BUCKET).unionByName(changed)
     out = out.repartition(_BUCKET)
     n = out.select(_BUCKET).distinct().count() if old is None else len(touched)
