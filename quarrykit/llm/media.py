@@ -29,8 +29,9 @@ def features(samples: np.ndarray) -> str:
     mean = float(share @ np.arange(256))
     deviation = float(np.sqrt(max(0.0, share @ (np.arange(256) - mean) ** 2)))
     entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
-    cells = np.add.reduceat(samples.ravel().astype(np.int64), np.arange(65) * n // 65) if n >= 65 else np.zeros(65, np.int64)
-    size = np.diff(np.append(np.arange(65) * n // 65, n)) if n >= 65 else np.ones(65, np.int64)
+    at = np.arange(66) * n // 65
+    cells = np.add.reduceat(samples.ravel(), at[:-1], dtype=np.int64) if n >= 65 else np.zeros(65, np.int64)
+    size = at[1:] - at[:-1] if n >= 65 else np.ones(65, np.int64)
     hash_ = np.packbits(cells[1:] * size[:-1] > cells[:-1] * size[1:]).tobytes().hex()
     return f"{samples.shape[1]}x{samples.shape[0]} mean={mean:.4f} deviation={deviation:.4f} entropy={entropy:.4f} gradient={hash_}"
 

@@ -11,8 +11,9 @@ The writer stores samples as green: as a palette where there are few values, as
 
 from __future__ import annotations
 
-import heapq
 import struct
+import sys
+from functools import cache
 
 import numpy as np
 
@@ -20,6 +21,7 @@ MOST = 16384  # largest width and height of the format
 WIDTH = 64
 FRAME = WIDTH * MOST  # samples of one image at most; longer payloads are several images
 LONGEST_CODE, LEAST_COPY, FARTHEST = 15, 10, 1_000_000
+SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, so that a product's high bits hash all of a number
 #: Fixed: order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: Neighbours that distance codes 1 to 120 name: by distance, then by column, right before left.
@@ -73,7 +75,7 @@ class Code:
             self.fixed = 0
             return
         n = self.lengths = lengths[used]
-        if (1 << int(n.max())) < len(used) or int((2.0 ** -n.astype(float)).sum() * (1 << 20)) != 1 << 20:
+        if int((1 << LONGEST_CODE - n).sum()) != 1 << LONGEST_CODE:
             raise ValueError("a prefix code is not complete")
         if n.min() == n.max():
             self.fixed = int(n[0])
@@ -92,7 +94,7 @@ class Code:
         """(width, symbol, length) by the next `width` bits, whatever follows the code in them."""
         if self.fixed == 0:
             return 0, self.symbols[:1], np.zeros(1, np.int64)
-        order = np.lexsort((self.symbols, self.lengths))
+        order = np.argsort(self.lengths, kind="stable")
         n = self.lengths[order]
         width = int(n[-1])
         row, times = _REVERSED[width], 1 << width - n
@@ -110,8 +112,8 @@ class Code:
 
 
 def read_code(bits: Bits, size: int) -> Code:
-    lengths = np.zeros(size, np.int64)
     if bits.read(1):  # simple: one or two symbols
+        lengths = np.zeros(size, np.int64)
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
@@ -124,7 +126,7 @@ def read_code(bits: Bits, size: int) -> Code:
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     if of_lengths.fixed == 1 and of_lengths.symbols[-1] < 16 and left == size:
         return Code(of_lengths.symbols[bits.array(size)])
-    i, before, at = 0, 8, bits.at
+    i, before, at, lengths = 0, 8, bits.at, [0] * size
     width, symbol, length = of_lengths.window()
     symbol, length, mask = symbol.tolist(), length.tolist(), (1 << width) - 1
     ahead = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 2 * size + 8], "little") >> (at & 7)  # 14 bits a symbol at most
@@ -144,12 +146,13 @@ def read_code(bits: Bits, size: int) -> Code:
         at += more
         if i + n > size:
             raise ValueError("too many code lengths")
-        lengths[i : i + n] = value
+        if value:
+            lengths[i : i + n] = [value] * n
         i += n
     if at > bits.end:
         raise ValueError("the bit stream ends too early")
     bits.at = at
-    return Code(lengths)
+    return Code(np.array(lengths))
 
 
 def _amount(bits: Bits, prefix: int) -> int:
@@ -209,18 +212,24 @@ def _read_image(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
     return out.reshape(h, w)
 
 
+@cache
+def _near(w: int) -> np.ndarray:
+    """Pixels back for distance codes up to 120; widths are 16384 at most."""
+    return np.array([0, *(max(1, x + y * w) for x, y in NEAR)])
+
+
 def _far(code: np.ndarray, w: int) -> np.ndarray:
     """Pixels back for distance codes."""
-    near = np.array([0, *(max(1, x + y * w) for x, y in NEAR)])
-    return np.where(code > 120, code - 120, near[np.minimum(code, 120)])
+    return np.where(code > 120, code - 120, _near(w)[np.minimum(code, 120)])
 
 
 def _chain(size: np.ndarray, at: int, most: int) -> np.ndarray:
     """Positions of at most `most` codes from `at` on, when the code at position i is size[i] long. Four are passed at once."""
-    one = np.append(size, np.zeros(256, np.uint8))
-    two = one[: len(size)] + one[np.arange(len(size)) + size]
-    two = np.append(two, np.zeros(256, np.uint8))
-    four = (two[: len(size)] + two[np.arange(len(size)) + two[: len(size)]]).tobytes()
+    n, number = len(size), np.arange(len(size))
+    one, two = np.zeros(n + 256, np.uint8), np.zeros(n + 256, np.uint8)
+    one[:n] = size
+    two[:n] = size + one[number + size]
+    four = (two[:n] + two[number + two[:n]]).tobytes()
     found: list[int] = []
     add = found.append
     try:
@@ -255,10 +264,11 @@ def _read_green(bits: Bits, group: list[Code], total: int, w: int) -> np.ndarray
     peek = (four[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # the next 25 bits or more at every bit
     n = 8 * (len(raw) - 12)
     width, symbol, length = group[0].window()
-    index = peek[:n] & np.uint32((1 << width) - 1)
-    size, shown = length.astype(np.uint8)[index], symbol.astype(np.uint16)[index]
-    copies = np.flatnonzero(shown > 255)
-    run = far = None
+    index = (peek[:n] & np.uint32((1 << width) - 1)).astype(np.intp)
+    marked = (length + 128 * (symbol > 255)).astype(np.uint8)[index]
+    copies = np.flatnonzero(marked > 127)
+    size = marked & np.uint8(127)
+    lengths = far = None
     if len(copies) and group[0].symbols[-1] > 255:
 
         def amounts(at, prefix):
@@ -268,34 +278,38 @@ def _read_green(bits: Bits, group: list[Code], total: int, w: int) -> np.ndarray
             return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + value + 1), extra
 
         at = copies + size[copies]
-        lengths, extra = amounts(at, shown[copies].astype(np.int64) - 256)
+        lengths, extra = amounts(at, symbol[index[copies]] - 256)
         at = at + extra
         dwidth, dsymbol, dlength = group[4].window()
-        index = (peek[np.minimum(at, len(peek) - 1)] & np.uint32((1 << dwidth) - 1)).astype(np.int64)
-        codes, dextra = amounts(at + dlength[index], dsymbol[index])
-        size[copies] = np.minimum(at + dlength[index] + dextra - copies, 63)
-        run, far = np.ones(n, np.int64), np.zeros(n, np.int64)
-        run[copies], far[copies] = lengths, _far(codes, w)
+        dindex = (peek[np.minimum(at, len(peek) - 1)] & np.uint32((1 << dwidth) - 1)).astype(np.intp)
+        at = at + dlength[dindex]
+        far, dextra = amounts(at, dsymbol[dindex])
+        size[copies] = np.minimum(at + dextra - copies, 63)
     place = _chain(size, bits.at - 8 * first, total)
-    amount = None if run is None else run[place]
-    if run is not None:
+    green = symbol[index[place]]
+    again = np.flatnonzero(green > 255)
+    amount = None
+    if far is not None:
+        known = np.searchsorted(copies, place[again])
+        amount = np.ones(len(place), np.int64)
+        amount[again] = lengths[known]
         ends = np.cumsum(amount)
         place = place[: int(np.searchsorted(ends, total, "left")) + 1]
-        amount = amount[: len(place)]
+        amount, green = amount[: len(place)], green[: len(place)]
+        again = again[: int(np.searchsorted(again, len(place)))]
+        far = _far(far[known[: len(again)]], w)
         if len(ends) >= len(place) and ends[len(place) - 1] > total:
             raise ValueError("a back-reference leaves the image")
-    if (len(place) if run is None else int(amount.sum())) < total or (last := int(place[-1]) + int(size[place[-1]])) > n:
+    if (len(place) if far is None else int(amount.sum())) < total or (last := int(place[-1]) + int(size[place[-1]])) > n:
         raise ValueError("the bit stream ends too early")
     bits.at = 8 * first + last
-    green = shown[place]
-    if run is None:
+    if far is None:
         return base | green.astype(np.uint32) << np.uint32(8)
     to = np.cumsum(amount) - amount
     out = np.zeros(total, np.uint16)
     literal = green < 256
     out[to[literal]] = green[literal]
-    again = np.flatnonzero(~literal)
-    for a, m, d in zip(to[again].tolist(), amount[again].tolist(), far[place[again]].tolist(), strict=True):
+    for a, m, d in zip(to[again].tolist(), amount[again].tolist(), far.tolist(), strict=True):
         if d > a:
             raise ValueError("a back-reference leaves the image")
         out[a : a + m] = out[a - d : a - d + m] if d >= m else np.resize(out[a - d : a], m)
@@ -441,14 +455,29 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarray:
         return out
     weight = counts[used]
     while True:
-        heap = [(int(c), i) for i, c in enumerate(weight)]
-        heapq.heapify(heap)
-        parent, n = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a = heapq.heappop(heap)
-            b = heap[0]
-            parent[a[1]] = parent[b[1]] = n
-            heapq.heapreplace(heap, (a[0] + b[0], n))
+        order = np.argsort(weight, kind="stable").tolist()
+        leaves = [*weight[order].tolist(), sys.maxsize, sys.maxsize]
+        m = n = len(used)
+        made, parent = [sys.maxsize] * m, [0] * (2 * m - 1)
+        i = j = 0  # next leaf, next inner node; both come by rising weight, leaves first
+        for k in range(m - 1):
+            if leaves[i] <= made[j]:
+                total = leaves[i]
+                parent[order[i]] = n
+                i += 1
+            else:
+                total = made[j]
+                parent[m + j] = n
+                j += 1
+            if leaves[i] <= made[j]:
+                total += leaves[i]
+                parent[order[i]] = n
+                i += 1
+            else:
+                total += made[j]
+                parent[m + j] = n
+                j += 1
+            made[k] = total
             n += 1
         depth = [0] * n
         for i in range(n - 2, -1, -1):
@@ -465,7 +494,7 @@ def code_bits(lengths: np.ndarray) -> np.ndarray:
     used = np.flatnonzero(lengths)
     if len(used) < 2:
         return out
-    order = used[np.lexsort((used, lengths[used]))]
+    order = used[np.argsort(lengths[used], kind="stable")]
     n = lengths[order]
     top = int(n[-1])
     begin = np.cumsum(1 << top - n) - (1 << top - n)  # left-aligned, so reversed codes start at bit 0
@@ -487,16 +516,18 @@ def find_copies(x: np.ndarray, least: int = LEAST_COPY) -> list[tuple[int, int,
     if n < 2:
         return []
     eight = np.ndarray((n,), "<u8", np.ascontiguousarray(x), 0, (1,))
-    order = np.argsort(eight, kind="stable")
-    ordered = eight[order]
-    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    low = np.uint64((1 << n.bit_length()) - 1)  # a hash with the position below it sorts faster than an argsort
+    keyed = np.sort(eight * SPREAD & ~low | np.arange(n, dtype=np.uint64))
+    same = np.flatnonzero((keyed[1:] ^ keyed[:-1]) <= low)
     if not len(same):
         return []
+    later, before = (keyed[same + 1] & low).astype(np.int64), (keyed[same] & low).astype(np.int64)
     back = np.zeros(n, np.int64)
-    back[order[same + 1]] = order[same + 1] - order[same]
-    back[back > FARTHEST] = 0
-    cut = np.flatnonzero(np.diff(back, prepend=-1))
-    length = np.diff(np.append(cut, n)) + 7
+    back[later] = np.where(eight[later] == eight[before], later - before, 0)
+    if n > FARTHEST:
+        back[back > FARTHEST] = 0
+    cut = np.concatenate(([0], np.flatnonzero(back[1:] != back[:-1]) + 1))
+    length = np.append(cut[1:], n) - cut + 7
     good = (back[cut] > 0) & (length >= least)
     out, at = [], 0
     for a, m, d in zip(cut[good].tolist(), length[good].tolist(), back[cut[good]].tolist(), strict=True):
@@ -536,25 +567,23 @@ class Writer:
         if len(used) <= 2 and used[-1] < 256:
             self.put_single(used[0]) if len(used) == 1 else self.put(1 | 1 << 1 | 1 << 2 | used[0] << 3 | used[1] << 11, 19)
             return
-        symbols, extras = [], []
+        symbols, extras, known = [], [], lengths.tolist()  # extras: (place, value, bits) of runs of zeros
         last = -1
         for i in used:
             gap = i - last - 1
             while gap:
                 n = min(gap, 138)
-                kind, more = (18, (n - 11, 7)) if n > 10 else (17, (n - 3, 3)) if n > 2 else (0, (0, 0))
-                n = n if kind else 1
-                symbols.append(kind)
-                extras.append(more)
-                gap -= n
-            symbols.append(int(lengths[i]))
-            extras.append((0, 0))
+                if n > 2:
+                    extras.append((len(symbols), n - 11, 7) if n > 10 else (len(symbols), n - 3, 3))
+                symbols.append(18 if n > 10 else 17 if n > 2 else 0)
+                gap -= n if n > 2 else 1
+            symbols.append(known[i])
             last = i
         if last < len(lengths) - 1:
             for n in [138] * ((len(lengths) - 1 - last) // 138) + [(len(lengths) - 1 - last) % 138]:
-                kinds = [(18, (n - 11, 7))] if n > 10 else [(17, (n - 3, 3))] if n > 2 else [(0, (0, 0))] * n
-                symbols += [k for k, _ in kinds]
-                extras += [e for _, e in kinds]
+                if n > 2:
+                    extras.append((len(symbols), n - 11, 7) if n > 10 else (len(symbols), n - 3, 3))
+                symbols += [18] if n > 10 else [17] if n > 2 else [0] * n
         own = code_lengths(np.bincount(symbols, minlength=19), 7)
         count = max(4, int(np.flatnonzero(own[list(LENGTH_ORDER)])[-1]) + 1)
         self.put(0 | count - 4 << 1, 5)
@@ -564,7 +593,8 @@ class Writer:
         at = np.array(symbols)
         values, widths = np.zeros(2 * len(at), np.int64), np.zeros(2 * len(at), np.int64)
         values[::2], widths[::2] = code_bits(own)[at], 0 if only else own[at]
-        values[1::2], widths[1::2] = zip(*extras, strict=True)
+        more, *extra = np.array(extras, np.int64).reshape(-1, 3).T
+        values[2 * more + 1], widths[2 * more + 1] = extra
         self.put_many(values, widths)
 
     def put_green(self, x: np.ndarray, main: bool, alpha: int) -> None:
@@ -572,32 +602,34 @@ class Writer:
         self.put(0, 2 if main else 1)  # no colour cache; one group
         copies = find_copies(x)
         start, run, back = (np.array(c, np.int64) for c in zip(*copies, strict=True)) if copies else (np.zeros(0, np.int64),) * 3
-        held = np.ones(len(x), bool)
         if copies:
-            inside = np.zeros(len(x) + 1, np.int64)
+            inside = np.zeros(len(x) + 1, np.int8)
             inside[start] = 1
             inside[start + run] -= 1
-            held = np.cumsum(inside[:-1]) == 0
-        at = np.concatenate((np.flatnonzero(held), start))
-        lengths, more, extra = prefix_of(run)
-        codes, dmore, dextra = prefix_of(back + 120)
-        green = np.concatenate((x[held].astype(np.int64), 256 + lengths))
+            held = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) == 0)
+            lengths, more, extra = prefix_of(run)
+            codes, dmore, dextra = prefix_of(back + 120)
+            green = np.concatenate((x[held].astype(np.int64), 256 + lengths))
+        else:
+            green, codes = x.astype(np.int64), start
         own, far = code_lengths(np.bincount(green, minlength=280)), code_lengths(np.bincount(codes, minlength=40))
         self.put_code(own)
         for symbol in (0, 0, alpha):
             self.put_single(symbol)
         self.put_code(far) if copies else self.put_single(0)
-        width = np.zeros((len(at), 4), np.int64)
-        value = np.zeros((len(at), 4), np.int64)
-        value[:, 0], width[:, 0] = code_bits(own)[green], own[green] if np.count_nonzero(own) > 1 else 0
-        c = len(at) - len(start)
-        value[c:, 1], width[c:, 1], value[c:, 3], width[c:, 3] = more, extra, dmore, dextra
-        value[c:, 2], width[c:, 2] = code_bits(far)[codes], far[codes] if np.count_nonzero(far) > 1 else 0
-        order = np.argsort(at, kind="stable")
-        if copies:
-            self.put_many(value[order].ravel(), width[order].ravel())
-        else:
-            self.put_many(value[:, 0], width[:, 0])
+        shown, taken = code_bits(own)[green], own[green] if np.count_nonzero(own) > 1 else np.zeros(len(green), np.int64)
+        if not copies:
+            self.put_many(shown, taken)
+            return
+        # A copy's code is followed by three more numbers: extra bits of its length, distance code, extra bits of that.
+        c = len(held)
+        of = np.searchsorted(held, start) + 4 * np.arange(len(start))
+        value, width = np.zeros(c + 4 * len(start), np.int64), np.zeros(c + 4 * len(start), np.int64)
+        to = np.arange(c) + 4 * np.searchsorted(start, held)
+        value[to], width[to], value[of], width[of] = shown[:c], taken[:c], shown[c:], taken[c:]
+        value[of + 1], width[of + 1], value[of + 3], width[of + 3] = more, extra, dmore, dextra
+        value[of + 2], width[of + 2] = code_bits(far)[codes], far[codes] if np.count_nonzero(far) > 1 else 0
+        self.put_many(value, width)
 
     def put_palette(self, colours: np.ndarray) -> None:
         """Opaque colours that differ in green, each as the difference to the one before."""
@@ -617,9 +649,15 @@ class Writer:
         value, width = np.concatenate(self.values), np.concatenate(self.widths)
         full = width > 0
         value, width = value[full], width[full]
-        of = np.repeat(np.arange(len(width)), width)
-        bits = (value[of] >> np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width) & 1).astype(np.uint8)
-        body = np.packbits(bits, bitorder="little").tobytes()
+        ends = np.cumsum(width)
+        begin = ends - width
+        word, shifted = begin >> 5, (value & (1 << width) - 1) << (begin & 31)  # at most 32 bits each, so two words of 32
+        size = int(ends[-1])
+        words = np.zeros((size >> 5) + 2, np.int64)
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        words[word[first]] = np.add.reduceat(shifted & 0xFFFFFFFF, first)
+        words[word[first] + 1] += np.add.reduceat(shifted >> 32, first)
+        body = words.astype("<u4").tobytes()[: size + 7 >> 3]
         head = struct.pack("<I", w - 1 | h - 1 << 14)
         chunk = b"\x2f" + head + body
         chunk_size, chunk = len(chunk), chunk + b"\0" * (len(chunk) & 1)
