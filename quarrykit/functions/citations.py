@@ -5,6 +5,7 @@ Bracket tokens are `[letters, digits, underscores]`. Known ids also count as cit
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def extract_citations(answer: Column, known: Column) -> Column:
     return F.filter(known, lambda x: (x != "") & F.contains(answer, x))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once for each row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def find_bracket_ids(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)))
 
@@ -67,7 +73,12 @@ def _listed(ids: Column) -> Column:
 
 def validate(answer: Column, opened_ids: Column, policy: CitationPolicy, timeline: Column | None = None) -> Column:
     """struct of valid, errors, warnings, cited_ids, hallucinated_ids, uncited_opened_ids and paragraph counts."""
-    found = find_bracket_ids(answer)
+    if policy.min_density > 0:
+        return once(find_bracket_ids(answer), lambda found: once(paragraphs(answer), lambda parts: _validate(found, parts, opened_ids, policy, timeline)))
+    return once(find_bracket_ids(answer), lambda found: _validate(found, None, opened_ids, policy, timeline))
+
+
+def _validate(found: Column, parts: Column | None, opened_ids: Column, policy: CitationPolicy, timeline: Column | None) -> Column:
     cited = F.filter(found, lambda x: F.array_contains(opened_ids, x))
     invented = F.filter(found, lambda x: ~F.array_contains(opened_ids, x))
     unused = F.filter(opened_ids, lambda x: ~F.array_contains(cited, x))
@@ -75,7 +86,6 @@ def validate(answer: Column, opened_ids: Column, policy: CitationPolicy, timelin
     errors.append(F.when(F.size(invented) > policy.max_hallucinated, F.concat(F.lit("Hallucinated chunk IDs: "), _listed(invented))))
     n, with_ids = F.lit(0), F.lit(0)
     if policy.min_density > 0:
-        parts = paragraphs(answer)
         n = F.size(parts)
         with_ids = F.size(F.filter(parts, lambda p: F.exists(opened_ids, lambda x: F.contains(p, x))))
         share = with_ids / F.nullif(n, F.lit(0))

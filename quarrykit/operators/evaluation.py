@@ -19,11 +19,11 @@ DEFAULTS = [("step", "int", 0), ("answer_text", "string", ""), ("tokens_in", "lo
 LISTS = [("citations", STRINGS), ("retrieved", RETRIEVED), ("opened", OPENED), ("timeline", TIMELINE)]
 
 
-def results_to_runs(results: DataFrame) -> DataFrame:
-    """Run rows from results whose fields may be absent or null."""
+def results_to_runs(results: DataFrame, *also: str) -> DataFrame:
+    """Run rows from results whose fields may be absent or null. The columns `also` stay as they are."""
     have = set(results.columns)
     get = lambda n, kind: F.col(n).cast(kind) if n in have else F.lit(None).cast(kind)
-    keep = [c for c in results.columns if c in ("question_id", "question", "topic")]
+    keep = [c for c in results.columns if c in ("question_id", "question", "topic", *also)]
     lists = [F.coalesce(get(n, kind), F.array().cast(kind)).alias(n) for n, kind in LISTS]
     scalars = [F.coalesce(get(n, kind), F.lit(v).cast(kind)).alias(n) for n, kind, v in DEFAULTS]
     return results.select(*keep, *lists, *scalars, get("error", "string").alias("error"), F.lit(True).alias("done"))

@@ -81,3 +81,16 @@ def test_python_gets_small_batches(spark, name):
     count = F.pandas_udf(lambda pages: pages.map(lambda _: len(pages)), "int")
     rows = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("page"))
     assert rows.select(count("page").alias("n")).agg(F.max("n")).first()[0] < 600
+
+
+def test_citations_of_texts_reads_texts_once(spark):
+    plan = catalog.QUERIES["citations_of_texts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_citations_of_texts_with_repeated_ids(spark, tmp_path):
+    """Texts of one doc_id are one answer of the first four chunks of them all."""
+    rows = [(1, "ab [c]\n\n" * 700, "en", "s", 1), (2, "x" * 3299, "en", "s", 1), (3, "y " * 1650, "en", "s", 1), (4, "", "en", "s", 1), (5, None, "en", "s", 1), (6, "z" * 3400, "en", "s", 1), (6, "z" * 900, "en", "s", 1), (6, "z" * 1000, "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made = {r["question_id"]: r for r in catalog.QUERIES["citations_of_texts"](spark, str(tmp_path)).collect()}
+    assert {k: r["opened_count"] for k, r in made.items()} == {"1": 4, "2": 4, "3": 4, "6": 4}
