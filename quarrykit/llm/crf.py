@@ -154,8 +154,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
         if total + r["size"] <= sample_bytes:
             total += r["size"]
-            taken.append((r["doc_id"],))
-    wanted = docs.sparkSession.createDataFrame(taken, rows.select("doc_id").schema)
+            taken.append(r["doc_id"])
+    wanted = docs.sparkSession.createDataFrame(pa.table({"doc_id": taken}), rows.select("doc_id").schema)  # rows of Python would leave idle workers
     kept = rows.join(F.broadcast(wanted), "doc_id").orderBy("doc_id").collect() if taken else []
     made = fit([r["text"] for r in kept], [int(r["quality"] > 0) for r in kept])
     discard(rows)

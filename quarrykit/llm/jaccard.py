@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import U64, mix, packed, shingle_sets, sliced, text_buffers, unpacked, word_table
+from .kernels import U64, gathered, mix, packed, shingle_sets, sliced, text_buffers, unpacked, word_table
 from .shared import bins_for, bounded_batches, discard, materialize, one_per_id
 
 SKETCH_BITS = 20  # cells of the frequency sketch: a fixed 4 MB a task and 2 MB to broadcast, whatever the input
@@ -167,38 +167,37 @@ def shared_tokens(docs: DataFrame, levels, ngram: int, percent: int, bins: int,
 
     def emit(batches):
         level = table.value
-        for whole in batches:
-            for batch in sliced(whole, 0, _BATCH):
-                tokens, sigs, sizes, ranks, seen = [], [], [], [], set()
-                for _, s in shingle_sets(word_table(*text_buffers(batch.column(0)), lower=True), batch.num_rows, ngram):
-                    n = len(s)
-                    size = n - -(-percent * n // 100) + 2
-                    if n * (100 - percent) < percent:  # no set of another size or content can link
-                        continue
-                    sig = class_of(s, clashes)
-                    if sig in seen:
-                        continue
-                    seen.add(sig)
-                    order = np.lexsort((s, level[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]))[:size]
-                    tokens.append(s[order])
-                    ranks.append(np.arange(len(order), dtype=np.int32))
-                    sigs.append(np.full(len(order), sig, np.int64))
-                    sizes.append(np.full(len(order), n, np.int32))
-                if not tokens:
+        for batch in gathered(batches, 0, _BATCH):
+            tokens, sigs, sizes, ranks, seen = [], [], [], [], set()
+            for _, s in shingle_sets(word_table(*text_buffers(batch.column(0)), lower=True), batch.num_rows, ngram):
+                n = len(s)
+                size = n - -(-percent * n // 100) + 2
+                if n * (100 - percent) < percent:  # no set of another size or content can link
+                    continue
+                sig = class_of(s, clashes)
+                if sig in seen:
                     continue
-                token, sig, n, rank = (np.concatenate(x) for x in (tokens, sigs, sizes, ranks))
-                order = np.argsort(token, kind="stable")
-                ts = token[order]
-                same = ts[1:] == ts[:-1]
-                again = np.zeros(len(token), bool)
-                again[order] = np.concatenate(([False], same))
-                many = np.zeros(len(token), bool)
-                many[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-                home = ((token >> U64(20)) % U64(bins)).astype(np.int32)
-                spread = (mix(sig.view(U64)) % U64(bins)).astype(np.int32)
-                yield from _packed_rows((~again) & ~many, home, False, token, sig, n, rank)
-                yield from _packed_rows((~again) & many, home, True, token, sig, n, rank)
-                yield from _packed_rows(again, spread, True, token, sig, n, rank, settled=True)
+                seen.add(sig)
+                order = np.lexsort((s, level[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]))[:size]
+                tokens.append(s[order])
+                ranks.append(np.arange(len(order), dtype=np.int32))
+                sigs.append(np.full(len(order), sig, np.int64))
+                sizes.append(np.full(len(order), n, np.int32))
+            if not tokens:
+                continue
+            token, sig, n, rank = (np.concatenate(x) for x in (tokens, sigs, sizes, ranks))
+            order = np.argsort(token, kind="stable")
+            ts = token[order]
+            same = ts[1:] == ts[:-1]
+            again = np.zeros(len(token), bool)
+            again[order] = np.concatenate(([False], same))
+            many = np.zeros(len(token), bool)
+            many[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            home = ((token >> U64(20)) % U64(bins)).astype(np.int32)
+            spread = (mix(sig.view(U64)) % U64(bins)).astype(np.int32)
+            yield from _packed_rows((~again) & ~many, home, False, token, sig, n, rank)
+            yield from _packed_rows((~again) & many, home, True, token, sig, n, rank)
+            yield from _packed_rows(again, spread, True, token, sig, n, rank, settled=True)
 
     def settle(group: pa.Table) -> pa.Table:
         known = np.repeat(group["known"].to_numpy(), np.diff(text_buffers(group["sig"])[1]) // 8)
@@ -497,7 +496,7 @@ def _mixed(lists: DataFrame, root: DataFrame | None) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) for every row of `docs` (doc_id, text)."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 1 << 20)
     docs = docs.select("doc_id", "text")
     table = materialize(class_table(docs, ngram), "classes")
     rows = table.where("block is null").select("doc_id", "n", "sig", "other", "bits")

@@ -200,6 +200,20 @@ def sliced(batch: pa.RecordBatch, column: int, most: int = _SLICE):
             yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """All rows in batches of about `most` bytes of text, whatever the size of those that come in."""
+    held, size = [], 0
+    for batch in (part for whole in batches for part in sliced(whole, column, most)):
+        more = pa.compute.sum(pa.compute.binary_length(batch.column(column))).as_py() or 0
+        if held and size + more > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+
 def packed(a: np.ndarray, kind=None) -> bytes:
     return np.ascontiguousarray(a, kind).tobytes()
 

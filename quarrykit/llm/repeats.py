@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, mix, packed, sliced, text_buffers, windows, word_table
+from .kernels import U64, gathered, mix, packed, text_buffers, unpacked, windows, word_table
 from .shared import bins_for, bounded_batches, discard, materialize
 
 _PACK = "bin int, keys binary, doc binary, fp binary, cnt binary, pos binary, src binary, diag binary"
@@ -75,6 +75,28 @@ def _unpack(doc: bytes, fp: bytes, cnt: bytes, pos: bytes) -> tuple[np.ndarray,
     return np.repeat(np.frombuffer(doc, "<i8"), n), np.repeat(np.frombuffer(fp, "<i8"), n), total - base
 
 
+def _met_again(key: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    order = np.argsort(key, kind="stable")
+    ks = key[order]
+    same = ks[1:] == ks[:-1]
+    out = np.zeros(len(key), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _occurrences(table: pa.Table, keep: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Document, text hash and position of the packed occurrences, only of those to `keep`: a row at a time is unpacked whole."""
+    out, at = [], 0
+    for row in zip(*(table[c] for c in ("doc", "fp", "cnt", "pos")), strict=True):
+        made = _unpack(*(x.as_buffer() for x in row))
+        n = len(made[0])
+        out.append(made if keep is None else tuple(x[keep[at : at + n]] for x in made))
+        at += n
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _doc_bin(doc: np.ndarray, bins: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(U64)) % U64(bins)).astype(np.int32)
 
@@ -106,7 +128,7 @@ def repeated_edges(docs: DataFrame, k: int, bins: int, bits: int = 64) -> DataFr
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # edges that have repeated: hash, document, position
-        for batch in (part for whole in batches for part in sliced(whole, 2, _BATCH)):
+        for batch in gathered(batches, 2, _BATCH):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -149,14 +171,9 @@ def repeated_edges(docs: DataFrame, k: int, bins: int, bits: int = 64) -> DataFr
         made = [done] if done.num_rows else []
         open_ = table.filter(pa.compute.is_valid(table["keys"]))
         if open_.num_rows:
-            key = np.concatenate([np.frombuffer(x, U64) for x in open_["keys"].to_pylist()])
-            parts = [_unpack(*x) for x in zip(*(open_[c].to_pylist() for c in ("doc", "fp", "cnt", "pos")), strict=True)]
-            doc, fp, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(key, kind="stable")
-            ks = key[order]
-            same = ks[1:] == ks[:-1]
-            many = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-            key, doc, fp, pos = key[many], doc[many], fp[many], pos[many]
+            key = unpacked(open_["keys"], "<u8")
+            many = _met_again(key)
+            key, (doc, fp, pos) = key[many], _occurrences(open_, many)
             order = np.lexsort((pos, fp, doc, key))
             key, doc, fp, pos = key[order], doc[order], fp[order], pos[order]
             if len(key):
@@ -174,10 +191,8 @@ def walks(edges: DataFrame) -> DataFrame:
     """Segments of consecutive repeated edges with consecutive source positions: one row each, `n` edges long."""
 
     def join(table: pa.Table) -> pa.Table:
-        parts = [_unpack(*x) for x in zip(*(table[c].to_pylist() for c in ("doc", "fp", "cnt", "pos")), strict=True)]
-        doc, fp, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        src = np.concatenate([np.frombuffer(x, "<i8") for x in table["src"].to_pylist()])
-        diag = np.concatenate([np.frombuffer(x, "<i4") for x in table["diag"].to_pylist()]).astype(np.int64)
+        doc, fp, pos = _occurrences(table)
+        src, diag = unpacked(table["src"], "<i8"), unpacked(table["diag"], "<i4").astype(np.int64)
         order = np.lexsort((src, pos, fp, doc))
         doc, fp, pos, src, diag = doc[order], fp[order], pos[order], src[order], diag[order]
         again = np.concatenate(([False], (doc[1:] == doc[:-1]) & (fp[1:] == fp[:-1]) & (pos[1:] == pos[:-1])))
@@ -296,7 +311,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, bins: int | None = None, bits:
 
     Results do not depend on the number of hash `bits`; fewer than 64 only make more work.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 1 << 20)
     segments = materialize(walks(repeated_edges(docs, k, bins or bins_for(docs), bits)), "segments")
     spans = materialize(path_spans(compact_paths(segments)), "paths")
     discard(segments)

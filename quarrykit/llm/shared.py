@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_READ = 512
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; where it is unset, a folder in the warehouse, which executors share too."""
@@ -16,12 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """From here on Spark hands Python at most about `size` bytes at once (its default is 64 MB), as texts may be long."""
+    """From here on Spark hands Python at most about `size` bytes at once (its default is 64 MB), as texts may be long.
+
+    For the same reason Parquet is read by `ROWS_READ` rows at most: 4096, the default, are arrays of many MB on the heap.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).strip().lower()).groups()
     now = int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20}.get(unit, 30)
     if now <= 0 or now > size:
         spark.conf.set(key, size)
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(rows, min(int(spark.conf.get(rows)), ROWS_READ))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

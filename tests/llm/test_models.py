@@ -144,6 +144,14 @@ def test_quality_edge_cases(spark, docs, nothing):
     assert {r["quality_score"] for r in crf.score_documents(docs, untrained).collect()} == {0.5}
 
 
+def test_quality_learns_without_rows_of_python(spark, monkeypatch):
+    """Rows of Python would pass through workers of their own kind, which stay idle beside those of the other steps."""
+    docs = spark.createDataFrame([(i, f"line {i}\nand one more") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows of Python"))
+    assert len(crf.learn(docs, labels).weights)
+
+
 def test_quality_passes_over_texts_that_do_not_fit(spark):
     """A text over the limit that comes first by its hash changes nothing for all others."""
     rows = [(i, ["plain words of a line", "# $ % | <>"][i % 2] + f" {i}") for i in range(60)]

@@ -232,6 +232,36 @@ def test_words_cut_from_the_text(docs, texts):
     assert repeats.cut_words(b" a  b\nc d\t", [0, 2]) == b" a  c "
 
 
+def test_bins_are_settled_in_bounded_memory(monkeypatch):
+    """Small Arrow batches are gathered, so bins get as many rows as from large ones; a bin unpacks only what repeats."""
+    steps = {}
+
+    class Docs:
+        where = select = groupBy = alias = lambda self, *a: self
+        mapInArrow = lambda self, f, fields: steps.setdefault("emit", f) and self
+        applyInArrow = lambda self, f, fields: steps.setdefault("settle", f) and self
+
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *a: Docs())
+    repeats.repeated_edges(Docs(), 13, 1)
+    rng = np.random.default_rng(3)
+    word = np.array([f"w{i}" for i in range(40_000)])
+    texts = [" ".join(word[rng.integers(0, len(word), 2000)]) for _ in range(330)] + ["", None]
+    texts.append(texts[7])
+    batch = pa.record_batch({"doc_id": np.arange(len(texts)), "fp": np.arange(len(texts)), "text": texts})
+    made = list(steps["emit"](batch.slice(i, 5) for i in range(0, batch.num_rows, 5)))
+    assert 3_500_000 < batch.nbytes < 5_000_000 and sum(x.num_rows for x in made) <= 4
+    table = pa.Table.from_batches(made).combine_chunks()
+    tracemalloc.start()
+    try:
+        out = steps["settle"](table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    doc, _, pos = repeats._occurrences(out)
+    assert set(doc.tolist()) == {len(texts) - 1} and sorted(pos.tolist()) == list(range(1988))
+    assert peak < 30_000_000
+
+
 def test_windows_of_one_hash(docs, texts):
     """With hashes of 6 bits nearly all windows clash; what is removed stays right, by the words themselves."""
     few = {i: t for i, t in texts.items() if i < 40}
@@ -254,6 +284,16 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98, 200: 200, 201: 200}
 
 
+def test_gathered_batches():
+    rows = [None, "", "é" * 30, "a" * 500, *["b" * 40] * 9, "c" * 90, None]
+    batch = pa.record_batch({"doc_id": np.arange(len(rows)), "text": rows})
+    for step in (1, 3, len(rows)):
+        made = list(kernels.gathered((batch.slice(i, step) for i in range(0, len(rows), step)), 1, 100))
+        assert [x for b in made for x in b.column(1).to_pylist()] == rows
+        sizes = [sum(len((x or "").encode()) for x in b.column(1).to_pylist()) for b in made]
+        assert all(x <= 100 or b.num_rows == 1 or step > 1 for x, b in zip(sizes, made, strict=True)) and len(made) < len(rows)
+
+
 def test_word_table(texts):
     import pyarrow as pa
 

@@ -32,6 +32,15 @@ def test_bounded_batches(spark, was, now):
     spark.conf.unset(key)
 
 
+def test_parquet_is_read_in_short_batches(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    for was, now in (("4096", "512"), ("100", "100")):
+        spark.conf.set(key, was)
+        shared.bounded_batches(spark)
+        assert spark.conf.get(key) == now
+    spark.conf.unset(key)
+
+
 def test_one_per_id(spark):
     rows = [(1, "b", "x"), (1, "a", "z"), (1, "a", "y"), (2, None, None), (2, None, None), (None, "c", "c")]
     made = shared.one_per_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
