@@ -184,7 +184,8 @@ def packed_pieces(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
             used[x] += times
             offset += x
         sequence += times
-    ranges = spark.createDataFrame(slots, "length long, lo long, hi long, first long, offset long")
+    cols = list(zip(*slots, strict=True)) or [[]] * 5
+    ranges = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in cols], ["length", "lo", "hi", "first", "offset"]))
     salts = max(64, sum(counts.values()) // 50_000)
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt")
     salted = pieces.drop("sequence_id", "offset").select(F.struct("*").alias("row"), "length", salt)

@@ -370,6 +370,15 @@ def test_media_query(spark):
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def test_the_plan_is_no_rows_of_python(spark, monkeypatch):
+    """Rows of Python would pass through workers of their own kind, which stay idle beside those of the other steps."""
+    pieces = spark.createDataFrame([(i, 0, 0, 5 + i % 3) for i in range(9)], "doc_id long, piece int, start long, length long")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows of Python"))
+    made = packing.packed_pieces(pieces, 16)
+    assert made.schema["sequence_id"].dataType.simpleString() == "bigint" and made.count() == 9
+    assert packing.packed_pieces(pieces.where("length > 99"), 16).count() == 0
+
+
 def test_packed_pieces_with_clashing_names(spark):
     names = ["lo", "hi", "first", "offset", "_salt", "salt", "row", "rank", "sequence_id", "n", "before", "a.b"]
     lengths = [700, 300, 24, 1024, 500, 524, 1, 700]
