@@ -73,6 +73,25 @@ def test_resolve_route_of_odd_questions(spark, tmp_path):
     assert made == found and {r[3] for r in made} == {"heuristic", "llm", "fallback"}
 
 
+def cut_pages(spark, folder, name):
+    """Rows of a query and of its SQL on pages whose titles are cut anywhere, within references too; 15 ids show each to every status and type."""
+    title = 'a &amp; "b" &quot;c&quot; &#39;d&#39; &lt;e&gt; &copy; f &middot;'
+    page = "<html><head><title>{0}</title></head><body><h1>{0}</h1><p>{0}<b>x{0}y</b></body></html>"
+    cuts = [title[:i] for i in range(len(title) + 1)] + ["&amplt;", "&ampx", "&amp;amp;", "&amp;quot;", "&notit;", "&copyright", "&quot&quot;", "&lt &gt", "&#;", "&;", "&unknown;"]
+    rows = [(15 * i + j, f"http://a/{i}", page.format(x)) for i, x in enumerate(cuts) for j in range(15)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    made = catalog.QUERIES[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    found = con.execute(f"SELECT {', '.join(made.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    return sorted(map(tuple, made.collect()), key=str), sorted(found, key=str)
+
+
+def test_html_text_of_references_cut_short(spark, tmp_path):
+    made, found = cut_pages(spark, tmp_path, "extract_html_text")
+    assert made == found and any(r[1].startswith('a & "b" &quot\n') for r in made)
+
+
 @pytest.mark.parametrize("name", ["extract_pages", "extract_html_text", "hybrid_merge"])
 def test_python_gets_small_batches(spark, name):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
