@@ -92,6 +92,11 @@ def test_html_text_of_references_cut_short(spark, tmp_path):
     assert made == found and any(r[1].startswith('a & "b" &quot\n') for r in made)
 
 
+def test_page_text_of_references_cut_short(spark, tmp_path):
+    made, found = cut_pages(spark, tmp_path, "extract_pages")
+    assert made == found and any(r[2].startswith('a & "b" &quot\n') for r in made) and len({r[5] for r in made}) == 2
+
+
 @pytest.mark.parametrize("name", ["extract_pages", "extract_html_text", "hybrid_merge"])
 def test_python_gets_small_batches(spark, name):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
