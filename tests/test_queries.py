@@ -118,3 +118,9 @@ def test_citations_of_texts_with_repeated_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     made = {r["question_id"]: r for r in catalog.QUERIES["citations_of_texts"](spark, str(tmp_path)).collect()}
     assert {k: r["opened_count"] for k, r in made.items()} == {"1": 4, "2": 4, "3": 4, "6": 4}
+
+
+@pytest.mark.parametrize("name", ["vector_search"])
+def test_every_tenth_vector_is_asked(spark, name):
+    asked = {i for (i,) in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 10 = 0").select("vec_id").collect()}
+    assert {r["query_id"] for r in catalog.QUERIES[name](spark, SF).collect()} == asked and len(asked) == 50
