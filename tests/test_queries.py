@@ -120,7 +120,7 @@ def test_citations_of_texts_with_repeated_ids(spark, tmp_path):
     assert {k: r["opened_count"] for k, r in made.items()} == {"1": 4, "2": 4, "3": 4, "6": 4}
 
 
-@pytest.mark.parametrize("name", ["vector_search"])
+@pytest.mark.parametrize("name", ["vector_search", "score_distribution"])
 def test_every_tenth_vector_is_asked(spark, name):
     asked = {i for (i,) in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 10 = 0").select("vec_id").collect()}
     assert {r["query_id"] for r in catalog.QUERIES[name](spark, SF).collect()} == asked and len(asked) == 50
