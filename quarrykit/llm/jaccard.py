@@ -46,9 +46,10 @@ from .shared import bins_for, bounded_batches, discard, materialize, one_per_id
 SKETCH_BITS = 20  # cells of the frequency sketch: a fixed 4 MB a task and 2 MB to broadcast, whatever the input
 _BLOCK, _BATCH = 1 << 16, 2 << 20
 _CELLS = 1 << 19  # numbers of bitmaps that are compared at once
-_KEYS = 1 << 18  # keys that are made at once
+_KEYS = 1 << 16  # keys that are made at once
 HOT = 20_000  # members of a list that are compared in one place; longer lists are cut into parts
 KEYS_PER_BIN, SHORT, SIDE = 200_000, 8, 256
+_KNOWN = 1 << 16  # classes that a task remembers as sent
 _KEEP = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
 _KEEP_SQL = "token long, sig long, n int, rank int"
 _BIN = pa.schema([("bin", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("token", "sig", "n", "rank"))])
@@ -162,13 +163,18 @@ def sketch_levels(table: DataFrame) -> np.ndarray:
 
 
 def shared_tokens(docs: DataFrame, levels, ngram: int, percent: int, bins: int, clashes: frozenset[int] = frozenset()) -> DataFrame:
-    """token, sig, n, rank: prefix shingles (with one more than a single shared one needs) that two or more classes hold."""
+    """token, sig, n, rank: prefix shingles (with one more than a single shared one needs) that two or more classes hold.
+
+    However many copies a class has, it has a row for a shingle once, or twice if copies of it fell to both its bins.
+    """
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def emit(batches):
-        level = table.value
+        level, seen = table.value, set()
         for batch in gathered(batches, 0, _BATCH):
-            tokens, sigs, sizes, ranks, seen = [], [], [], [], set()
+            tokens, sigs, sizes, ranks = [], [], [], []
+            if len(seen) > _KNOWN:
+                seen.clear()
             for _, s in shingle_sets(word_table(*text_buffers(batch.column(0)), lower=True), batch.num_rows, ngram):
                 n = len(s)
                 size = n - -(-percent * n // 100) + 2
@@ -203,7 +209,9 @@ def shared_tokens(docs: DataFrame, levels, ngram: int, percent: int, bins: int,
         known = np.repeat(group["known"].to_numpy(), np.diff(text_buffers(group["sig"])[1]) // 8)
         token, sig = (unpacked(group[c], "<i8") for c in ("token", "sig"))
         n, rank = (unpacked(group[c], "<i4") for c in ("n", "rank"))
-        order = np.argsort(token, kind="stable")
+        order = np.lexsort((~known, sig, token))  # of a class's rows one that is known, if any is
+        ts, ss = token[order], sig[order]
+        order = order[np.concatenate(([True], (ts[1:] != ts[:-1]) | (ss[1:] != ss[:-1])))]
         ts = token[order]
         same = ts[1:] == ts[:-1]
         keep = np.concatenate(([False], same)) | np.concatenate((same, [False])) | known[order]
@@ -242,7 +250,7 @@ class Boundary(NamedTuple):
 def prefixes(lists: DataFrame, reps: DataFrame) -> DataFrame:
     """One row per class: sig, n, root, doc_id, bits, and its shingles `t` (len of the list, key, rank), at most its prefix."""
     lens = lists.groupBy("key").agg(F.count("*").alias("len"))
-    held = lists.join(lens, "key").groupBy("sig", "root").agg(F.collect_list(F.struct("len", "key", "rank")).alias("t"))
+    held = lists.join(lens, "key").groupBy("sig", "root").agg(F.collect_set(F.struct("len", "key", "rank")).alias("t"))  # a row may be there twice
     return held.join(reps, "sig").select("sig", "n", "root", "doc_id", "bits", "t.key", "t.rank", "t.len")
 
 

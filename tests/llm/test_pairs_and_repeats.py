@@ -54,6 +54,22 @@ def test_jaccard_keeps_one(docs, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in groups(texts, 5, 80).items() if i == c)
 
 
+def test_copies_of_a_class_are_sent_and_kept_once(spark):
+    """Copies in many tasks and batches add no rows to lists: a class has a shingle once, or once in either of its two bins."""
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    near = [text("b"), text("b", 57), text("b", 54)]
+    rows = [(i, (text("a"), *near)[i % 4]) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16, "doc_id")
+    tokens = jaccard.shared_tokens(docs, np.zeros(1 << jaccard.SKETCH_BITS, np.uint16), 5, 80, 3)
+    held = Counter((r["token"], r["sig"]) for r in tokens.collect())
+    assert {sig for _, sig in held} == {jaccard.class_of(next(s for _, s in kernels.shingle_sets(kernels.word_table(*kernels.text_buffers(pa.array([t])), lower=True), 1, 5))) for t in near}
+    assert max(held.values()) <= 2
+    reps = tokens.groupBy("sig").agg(F.first("n").alias("n"), F.min("token").alias("doc_id"), F.array(F.lit(0)).alias("bits"))
+    lists = tokens.drop("n").withColumnRenamed("token", "key").withColumn("root", F.col("sig"))
+    assert all(len(set(r["key"])) == len(r["key"]) for r in jaccard.prefixes(lists, reps).collect())
+    assert {r["component_id"] for r in jaccard.jaccard_groups(docs).collect()} == {0, 1}
+
+
 @pytest.mark.parametrize("ways", ["plain", "lists only"])
 def test_jaccard_of_long_texts(spark, monkeypatch, ways):
     """Long texts with one rare passage in common: pairs that reach the texts are those that link, and a few more."""
